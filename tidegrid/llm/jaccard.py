@@ -8,7 +8,7 @@ the filters are intersected before sets are compared.
    counts, once, as sorted arrays by token range; each range sums the counts over all groups and sends every group its
    tokens' frequency classes back. So the frequencies cover all documents, and a token in every document costs
    no more than one entry a group.
-2. Prefixes: rare tokens first, ties by token, by two other hashes for the other two orders. Tokens of one document
+2. Prefixes, with the position of each token: rare tokens first, ties by token, by two other hashes for the other two orders. Tokens of one document
    link nothing and are left out; a document with no other token in its prefix has no partner and takes no further part.
    Equal sets are one class with the least key as its representative.
 3. Rounds of stars: in every token's list, members of another component than the list's head meet the head only; links
@@ -91,8 +91,8 @@ def frequency_classes(grouped: DataFrame, k: int, bits: int) -> DataFrame:
 
 
 def prefixes(grouped: DataFrame, codes: DataFrame, k: int, percent: int, bits: int) -> DataFrame:
-    """(k, n, sig, p1, p2, p3 array<bigint>, tokens binary) of every document; the arrays and tokens are empty where no
-    partner is possible."""
+    """(k, n, sig, lone, p1, p2, p3 array<bigint>, tokens binary) of every document; the arrays and tokens are empty where
+    no partner is possible. lone: tokens before p1, which no other document has; p1 is in order."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         sets, ids = _sets(left, k), left.column("k")
@@ -100,7 +100,7 @@ def prefixes(grouped: DataFrame, codes: DataFrame, k: int, percent: int, bits: i
         order = np.argsort(right.column("rng").to_numpy())
         blobs = right.column("codes").to_pylist()
         klass = np.frombuffer(b"".join(blobs[i] for i in order), np.uint8)
-        n, sig, firsts, raw = [], [], ([], [], []), []
+        n, sig, lones, firsts, raw = [], [], [], ([], [], []), []
         with np.errstate(over="ignore"):
             for s in sets:
                 n.append(len(s))
@@ -108,7 +108,8 @@ def prefixes(grouped: DataFrame, codes: DataFrame, k: int, percent: int, bits: i
                 sig.append(int((m.sum(dtype=np.uint64) ^ mix(np.array([len(s)], np.uint64))[0]).astype(np.int64)))
                 c = klass[np.searchsorted(every, s)]
                 size = len(s) - -(-percent * len(s) // 100) + 1 if len(s) else 0
-                lone = np.count_nonzero(c == 0)
+                lone = int(np.count_nonzero(c == 0))
+                lones.append(lone)
                 if lone >= size:
                     for f in firsts:
                         f.append([])
@@ -118,7 +119,7 @@ def prefixes(grouped: DataFrame, codes: DataFrame, k: int, percent: int, bits: i
                 for f, seed in zip(firsts, _SEEDS, strict=True):
                     tie = shared if not seed else mix(shared + np.uint64(seed))
                     take = np.lexsort((tie, rank))[: size - lone]
-                    f.append(np.sort(shared[take]).astype(np.int64))
+                    f.append(shared[take].astype(np.int64))
                 raw.append(s.tobytes())
         array = pa.list_(pa.int64())
         return pa.table(
@@ -126,18 +127,22 @@ def prefixes(grouped: DataFrame, codes: DataFrame, k: int, percent: int, bits: i
                 "k": ids,
                 "n": pa.array(n, pa.int64()),
                 "sig": pa.array(sig, pa.int64()),
+                "lone": pa.array(lones, pa.int64()),
                 **{f"p{i + 1}": pa.array(f, array) for i, f in enumerate(firsts)},
                 "tokens": pa.array(raw, pa.binary()),
             }
         )
 
-    schema = "k bigint, n bigint, sig bigint, p1 array<bigint>, p2 array<bigint>, p3 array<bigint>, tokens binary"
+    schema = "k bigint, n bigint, sig bigint, lone bigint, p1 array<bigint>, p2 array<bigint>, p3 array<bigint>, tokens binary"
     return grouped.groupBy("grp").cogroup(codes.groupBy("grp")).applyInArrow(run, schema)
 
 
-def _enough(a: str, b: str, percent: int):
-    """The sizes allow the similarity."""
-    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+def _enough(percent: int):
+    """The sizes n and m allow the similarity, and so do the tokens from a common one at pos and at on: if that is the first
+    common token, which every similar pair has in its prefixes, no more tokens than these can be common."""
+    sizes = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
+    rest = F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("at"))
+    return sizes & ((100 + percent) * rest >= percent * (F.col("n") + F.col("m")))
 
 
 def verify(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
@@ -160,7 +165,7 @@ def verify(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
 
 
 def jaccard_components(
-    docs: DataFrame, percent: int = 75, k: int = 5, key: str = "doc_id", text: str = "text", group_docs: int = 1024, star_rounds: int = 3
+    docs: DataFrame, percent: int = 75, k: int = 5, key: str = "doc_id", text: str = "text", group_docs: int = 1024, star_rounds: int = 2
 ) -> DataFrame:
     """One row per input row: (key, n_shingles, component_id), the least key reachable by links."""
     rows = docs.select(F.col(key).cast("long").alias("k"), text_of(text).alias("text"))
@@ -176,7 +181,7 @@ def jaccard_components(
     same = some.join(least.filter("copies > 1").select("sig", "n", "rep"), ["sig", "n"]).select(F.col("k").alias("a"), F.col("rep").alias("b")).filter("a <> b").distinct()
     reps = every.filter(F.size("p1") > 0).join(least.select(F.col("rep").alias("k"), "sig", "n"), ["k", "sig", "n"])
     reps = stash(reps.dropDuplicates(["k", "sig"]), "jaccard-reps")
-    lists = reps.select("k", "n", F.explode("p1").alias("tok"))
+    lists = reps.select("k", "n", "lone", F.posexplode("p1").alias("pos", "tok")).withColumn("pos", F.col("pos") + F.col("lone")).drop("lone")
     several = lists.groupBy("tok").agg(F.count("*").alias("m")).filter("m > 1").select("tok")
     lists = stash(lists.join(several, "tok"), "jaccard-lists")
     links = None
@@ -190,13 +195,14 @@ def jaccard_components(
         if now.isEmpty():
             break
         if turn < star_rounds:
-            by = F.xxhash64("k", F.lit(turn)) if turn else F.col("k")
-            heads = now.groupBy("tok").agg(F.min_by(F.struct("k", "n", "c"), by).alias("h"))
-            pairs = now.join(heads, "tok").filter(F.col("c") != F.col("h.c")).select(F.col("k").alias("x"), "n", F.col("h.k").alias("y"), F.col("h.n").alias("m"))
+            # the first heads are those with the fewest rare tokens before the common one: they are nearest to the others
+            by = F.struct("pos", "k") if not turn else F.struct(F.xxhash64("k", F.lit(turn)), "k")
+            heads = now.groupBy("tok").agg(F.min_by(F.struct("k", "n", "pos", "c"), by).alias("h")).select("tok", F.col("h.k").alias("y"), F.col("h.n").alias("m"), F.col("h.pos").alias("at"), F.col("h.c").alias("d"))
+            pairs = now.join(heads, "tok").filter((F.col("c") != F.col("d")) & _enough(percent))
         else:
-            other = now.select("tok", F.col("k").alias("y"), F.col("n").alias("m"), F.col("c").alias("d"))
-            pairs = now.join(other, "tok").filter((F.col("c") < F.col("d")) & _enough("n", "m", percent)).select(F.col("k").alias("x"), "n", "y", "m")
-        pairs = pairs.filter(_enough("n", "m", percent)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).filter("a <> b").distinct()
+            other = now.select("tok", F.col("k").alias("y"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("c").alias("d"))
+            pairs = now.join(other, "tok").filter((F.col("c") < F.col("d")) & _enough(percent))
+        pairs = pairs.select(F.least("k", "y").alias("a"), F.greatest("k", "y").alias("b")).filter("a <> b").distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = stash(pairs, "jaccard-pairs")
