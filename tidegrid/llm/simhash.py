@@ -7,7 +7,7 @@ least 0, an estimate of the cosine of their term vectors.
 
 Search: with radius r, bits are cut into r + `extra` blocks; two fingerprints within r agree on at least `extra` of them
 exactly. A table a choice of `extra` blocks, with those blocks permuted to the front as the key, finds every pair: an
-equi-join on (table, key), then the distance of each candidate. Queries are a stated set of keys, all rows are searched.
+equi-join on a hash of table and key, then the distance of each candidate. Queries are a stated set of keys, all rows are searched.
 Rows with equal fingerprints are one entry with a count, so copies do not multiply candidates.
 
 Null text counts as empty; texts without words have the fingerprint of zeros. Repeated rows repeat; extra columns
@@ -81,7 +81,7 @@ def _distance(a: str, b: str, bits: int):
     return sum(parts[1:], parts[0])
 
 
-def near_fingerprints(queries: DataFrame, rows: DataFrame, radius: int = 7, extra: int = 1, bits: int = 128) -> DataFrame:
+def near_fingerprints(queries: DataFrame, rows: DataFrame, radius: int = 3, extra: int = 2, bits: int = 128) -> DataFrame:
     """(fingerprint, other, n_rows, distance) for the distinct fingerprints of `queries` and all of `rows` (column
     `fingerprint`) within `radius`, by permuted block tables; n_rows counts the rows that have `other`."""
     count = radius + extra
@@ -91,19 +91,19 @@ def near_fingerprints(queries: DataFrame, rows: DataFrame, radius: int = 7, extr
 
     def keyed(df, name):
         keys = [
-            F.struct(F.lit(t).alias("t"), F.concat(*[F.substring(name, edges[i] + 1, edges[i + 1] - edges[i]) for i in chosen]).alias("key"))
+            F.xxhash64(F.lit(t), *[F.substring(name, edges[i] + 1, edges[i + 1] - edges[i]) for i in chosen])
             for t, chosen in enumerate(tables)
         ]
-        return df.select("*", F.inline(F.array(*keys)))
+        return df.select("*", F.explode(F.array(*keys)).alias("block_key"))
 
     every = rows.groupBy("fingerprint").agg(F.count("*").alias("n_rows")).withColumnRenamed("fingerprint", "other")
     asked = queries.select("fingerprint").distinct()
-    pairs = keyed(asked, "fingerprint").join(keyed(every, "other"), ["t", "key"])
+    pairs = keyed(asked, "fingerprint").join(keyed(every, "other"), "block_key")
     pairs = pairs.withColumn("distance", _distance("fingerprint", "other", bits)).filter(F.col("distance") <= radius)
     return pairs.select("fingerprint", "other", "n_rows", "distance").distinct()
 
 
-def with_edited(docs: DataFrame, k: int = 2, bits: int = 128, span_bits: int = 9, key: str = "doc_id", text: str = "text") -> DataFrame:
+def with_edited(docs: DataFrame, k: int = 2, bits: int = 128, span_bits: int = 10, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Every document beside its edited text: the last half replaced by the start of the next document (by key).
 
     (key, n_chars, edited string, fingerprint, edited_fingerprint, near_edited, near_next). Documents meet in blocks of
@@ -117,6 +117,7 @@ def with_edited(docs: DataFrame, k: int = 2, bits: int = 128, span_bits: int = 9
     block = F.shiftright("k", span_bits)
     # the keys that follow a block's last key, with the block that needs them
     last = after.groupBy(block.alias("block")).agg(F.max_by("next_key", "k").alias("k"))
+    last = stash(last, "simhash-lent")  # its size is known then: a small one is broadcast and texts need not move
     own = rows.withColumn("block", block).withColumn("lent", F.lit(False))
     lent = rows.join(last, "k").select("k", "text", "block").withColumn("lent", F.lit(True))
     both = own.unionByName(lent)
