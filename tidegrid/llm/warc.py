@@ -1,6 +1,6 @@
 """WARC records in ZIP archives: written by tasks, read by range without extraction.
 
-Writing: pages are dealt to archives by a hash of their key. An archive is a ZIP file with stored members: one WARC file and
+Writing: every task writes the records of its partition. An archive is a ZIP file with stored members: one WARC file and
 an index of its records (key, offset, length). A task writes each archive under a name of its own and renames it when
 it is whole, so that a lost or repeated task leaves no half file that is read: the rows that a task returns name its file.
 Equal payloads of at least `least` bytes are written once, as the response with the smallest key; the others
@@ -25,7 +25,7 @@ import zlib
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidegrid.llm.common import shared_dir, text_of
+from tidegrid.llm.common import shared_dir, stash, text_of
 
 #: fixed values: ZIP signatures
 LOCAL, CENTRAL, END, END64, LOCATOR64 = b"PK\x03\x04", b"PK\x01\x02", b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07"
@@ -161,36 +161,30 @@ def parse_record(raw: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def originals(pages: DataFrame, key: str = "page_id", html: str = "html", least: int = 0) -> DataFrame:
-    """(key, url, html, sha1, refers_to): refers_to is null for responses."""
+    """(k, url, html, sha1, refers_to): refers_to is null for responses.
+
+    The revisits are found without payloads and written as a table, whose known size lets a small one be broadcast; then
+    payloads do not move. A large one is joined by a shuffle.
+    """
     rows = pages.select(F.col(key).alias("k"), F.col("url").cast("string").alias("url"), text_of(html).alias("html")).withColumn("sha1", F.sha1("html"))
-    first = rows.filter(F.octet_length("html") >= least).groupBy("sha1").agg(F.min("k").alias("first"), F.count("*").alias("n"))
-    rows = rows.join(first.filter("n > 1").select("sha1", "first"), "sha1", "left")
-    return rows.withColumn("refers_to", F.when(F.col("first") != F.col("k"), F.col("first"))).drop("first")
+    prints = rows.filter(F.octet_length("html") >= least).select("k", "sha1")
+    first = prints.groupBy("sha1").agg(F.min("k").alias("first"), F.count("*").alias("n")).filter("n > 1")
+    revisits = prints.join(first, "sha1").filter("k <> first").select("k", "sha1", F.col("first").alias("refers_to")).distinct()
+    return rows.join(stash(revisits, "revisits"), ["k", "sha1"], "left")
+
 
+def write_archives(records: DataFrame, folder: str, archive_bytes: int) -> DataFrame:
+    """Write `records` (k, url, html, sha1, refers_to) to ZIP archives; (archive string, records bigint) for each.
 
-def write_archives(records: DataFrame, folder: str, archives: int, key_type: str = "bigint") -> DataFrame:
-    """Write `records` (k, url, html, sha1, refers_to) to ZIP archives; (archive string, records bigint) for each."""
+    Tasks write the records of their partitions as they come and begin a new archive after `archive_bytes`.
+    """
 
     def run(batches):
-        out, place, made = None, "", None
         system, path = file_system(folder)
         system.create_dir(path, recursive=True)
-        index, n = [], 0
-        for b in batches:
-            for r in b.to_pylist():
-                if out is None:
-                    made = f"part-{uuid.uuid4().hex}"
-                    place = f"{path}/_{made}.tmp"
-                    sink = system.open_output_stream(place)
-                    out = ZipWriter(sink)
-                    base = out.begin(f"{made}.warc")
-                payload = r["html"].encode()
-                digest = base64.b32encode(bytes.fromhex(r["sha1"])).decode()
-                raw = warc_record(r["k"], r["url"], payload, digest, r["refers_to"])
-                index.append(f"{r['k']} {out.at - base} {len(raw)}\n")
-                out.add(raw)
-                n += 1
-        if out is not None:
+        out = None
+
+        def finish():
             out.end()
             out.begin(f"{made}.cdx")
             out.add("".join(index).encode())
@@ -198,10 +192,30 @@ def write_archives(records: DataFrame, folder: str, archives: int, key_type: str
             out.close(force64=True)
             sink.close()
             system.move(place, f"{path}/{made}.zip")
-            yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{made}.zip"]), pa.array([n], pa.int64())], names=["archive", "records"])
+            return pa.RecordBatch.from_arrays(
+                [pa.array([f"{folder}/{made}.zip"]), pa.array([len(index)], pa.int64())], names=["archive", "records"]
+            )
+
+        for b in batches:
+            for i in range(0, b.num_rows, 64):
+                for r in b.slice(i, 64).to_pylist():
+                    if out is None:
+                        made, index = f"part-{uuid.uuid4().hex}", []
+                        place = f"{path}/_{made}.tmp"
+                        sink = system.open_output_stream(place)
+                        out = ZipWriter(sink)
+                        base = out.begin(f"{made}.warc")
+                    digest = base64.b32encode(bytes.fromhex(r["sha1"])).decode()
+                    raw = warc_record(r["k"], r["url"], r["html"].encode(), digest, r["refers_to"])
+                    index.append(f"{r['k']} {out.at - base} {len(raw)}\n")
+                    out.add(raw)
+                    if out.at >= archive_bytes:
+                        yield finish()
+                        out = None
+        if out is not None:
+            yield finish()
 
-    dealt = records.repartition(archives, F.xxhash64("k", "sha1"))
-    return dealt.mapInArrow(run, "archive string, records bigint")
+    return records.select("k", "url", "html", "sha1", "refers_to").mapInArrow(run, "archive string, records bigint")
 
 
 def list_records(archives: DataFrame) -> DataFrame:
@@ -264,12 +278,13 @@ def read_records(places: DataFrame, step: int = 64) -> DataFrame:
     return places.select("archive", "at", "length").mapInArrow(run, schema)
 
 
-def archive_and_read(pages: DataFrame, rows_an_archive: int = 500, least: int = 0, key: str = "page_id", html: str = "html") -> DataFrame:
-    """Write `pages` to archives in the shared folder and read every record back."""
-    from tidegrid.llm.common import stash
-
+def archive_and_read(
+    pages: DataFrame, archive_bytes: int = 64_000_000, rows_a_task: int = 1_000, least: int = 0, key: str = "page_id", html: str = "html"
+) -> DataFrame:
+    """Write `pages` to archives in the shared folder and read every record back, neighbours in an archive together."""
     folder = f"{shared_dir(pages.sparkSession)}/tidegrid/warc-{uuid.uuid4().hex}"
-    archives = max(1, -(-pages.count() // rows_an_archive))
-    written = stash(write_archives(originals(pages, key, html, least), folder, archives), "archives")
-    places = list_records(written.repartition(archives, "archive"))
-    return read_records(places)
+    written = stash(write_archives(originals(pages, key, html, least), folder, archive_bytes), "archives")
+    sizes = written.agg(F.count("*").alias("n"), F.sum("records").alias("rows")).first()
+    places = list_records(written.repartition(max(1, sizes["n"]), "archive"))
+    tasks = max(1, -(-(sizes["rows"] or 0) // rows_a_task))
+    return read_records(places.repartition(tasks, "archive", F.shiftright("at", 22)).sortWithinPartitions("archive", "at"))
