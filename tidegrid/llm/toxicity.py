@@ -131,37 +131,39 @@ def learn(
     """Learn the terms and the logistic layer. `labels` (key, label) must hold only rows that may be learned from."""
     sample = train_rows(docs, labels, sample_rows, key, text, label)
 
-    def count(batches):
-        for b in batches:
-            sides = (Counter(), Counter())
-            for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                sides[y].update(term_features(t))
-            # stems of toxic texts only can become terms; what is on the other side alone is not needed
-            names = list(sides[0] | sides[1])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(names, pa.string()), pa.array([sides[1][n] for n in names], pa.int64()), pa.array([sides[0][n] for n in names], pa.int64())],
-                names=["term", "pos", "neg"],
-            )
+    def count(side: int, among: frozenset | None):
+        """A function of Arrow batches (text, toxic) to (term, n): texts of one side that have the term."""
+
+        def run(batches):
+            for b in batches:
+                for i in range(0, b.num_rows, 256):
+                    part, terms = b.slice(i, 256), Counter()
+                    for t, y in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                        if y == side:
+                            own = term_features(t)
+                            terms.update(own if among is None else own & among)
+                    yield pa.RecordBatch.from_arrays([pa.array(list(terms), pa.string()), pa.array(list(terms.values()), pa.int64())], names=["term", "n"])
+
+        return run
 
     sizes = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}  # two rows
     if len(sizes) < 2:
         return Model()
     odds = float(np.log(sizes[0] / sizes[1]))
-    pos, neg = F.col("pos") + 0.5, F.col("neg") + 0.5
-    found = (
-        sample.mapInArrow(count, "term string, pos bigint, neg bigint").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-        .withColumn("weight", F.log(pos / neg) + odds - F.sqrt(1 / pos + 1 / neg))
-        .filter(F.col("weight") >= least_weight)
-        .orderBy(F.desc("weight"), "term")
-        .limit(max_terms)  # the documented bound of the grammar's size
-    )
+    # without any clean text a term needs so many toxic ones to reach the least weight; the others need not be counted
+    enough = next((n for n in range(1, 1000) if _weight(n, 0, odds) >= least_weight), 1000)
+    toxic = sample.mapInArrow(count(1, None), "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
+    pos = {r["term"]: r["n"] for r in toxic.filter(F.col("n") >= enough).collect()}  # bounded by the sample
+    clean = sample.mapInArrow(count(0, frozenset(pos)), "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
+    neg = {r["term"]: r["n"] for r in clean.collect()}
+    weights = {t: w for t, n in pos.items() if (w := _weight(n, neg.get(t, 0), odds)) >= least_weight}
+    # the documented bound of the grammar's size
+    best = sorted(weights, key=lambda t: (-weights[t], t))[:max_terms]
     terms: dict[str, float] = {}
-    rows = sorted(found.collect(), key=lambda r: (len(r["term"].rstrip("*")), not r["term"].endswith("*"), r["term"]))
-    for r in rows:
-        name = r["term"].rstrip("*")
-        if any(name[:n] + "*" in terms for n in range(MIN_STEM, len(name) + 1)):
-            continue  # a shorter stem holds it
-        terms[r["term"]] = float(r["weight"])
+    for t in sorted(best, key=lambda t: (len(t.rstrip("*")), not t.endswith("*"), t)):
+        name = t.rstrip("*")
+        if not any(name[:n] + "*" in terms for n in range(MIN_STEM, len(name) + 1)):  # else a shorter stem holds it
+            terms[t] = weights[t]
     model = Model(terms)
     feats = sample.mapInArrow(_features_of(model, ["toxic"]), "toxic int, f array<double>").toPandas()  # sample_rows rows
     x, y = design(np.stack(feats["f"].to_numpy())), feats["toxic"].to_numpy(float)
@@ -174,6 +176,12 @@ def learn(
     return model
 
 
+def _weight(pos: int, neg: int, odds: float) -> float:
+    """Smoothed log odds less one standard error; odds: log of clean texts a toxic one."""
+    p, n = pos + 0.5, neg + 0.5
+    return float(np.log(p / n) + odds - np.sqrt(1 / p + 1 / n))
+
+
 def _features_of(model: Model, keep: list[str], score: bool = False):
     """A function of Arrow batches (text, *keep) to (*keep, features or score)."""
 
