@@ -1,11 +1,304 @@
-"""The registered queries of the point and grid engine."""
+"""The registered queries of the point and grid engine, each with the SQL that must give the same rows."""
 
-FLAGSHIP = "multi_stack"
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+from tidegrid.functions.grid import age_weight, beam_uncertainty, ensure_schema
+from tidegrid.operators import filters, rasters, stacks
+from tidegrid.plans.fixtures import GRID, REGION, beams, datasets, points, raster, reference, with_sql
+from tidegrid.functions.grid import Region
+from tidegrid.sources.readers import cells_to_points, vertices
+
+FLAGSHIP = "simple_stack_global"
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+_SMALL = Region(2.0, 10.0, 3.0, 12.0)
+
+
+def _add(name: str, query: Callable, sql: str | None = None) -> None:
+    query.__name__ = name
+    _QUERIES[name] = query
+    if sql:
+        _SQL[name] = sql
+
+
+def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Doubles to `digits` decimals, so that the order of a sum does not show."""
+    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+def _on_points(name: str, f: Callable[[DataFrame], DataFrame], names: str, body: str, keep=("seq", "classification")) -> None:
+    _add(name, lambda spark, sf: _rounded(f(points(spark, sf)).select(*keep)), with_sql(names, body))
+
+
+def _class(flag: str, src: str = "p", more: str = "") -> str:
+    return f"SELECT seq, CASE WHEN {flag} THEN 7 ELSE classification END AS classification FROM {src} {more}"
+
+
+# point schema and filters
+_add(
+    "schema_ensure",
+    lambda spark, sf: _rounded(ensure_schema(points(spark, sf), 2.0, 0.5).select("seq", "w", "u", "classification", "confidence")),
+    with_sql("p", "SELECT seq, w*2 AS w, round(sqrt(u*u + 0.25), 6) AS u, classification, CAST(1 AS SMALLINT) AS confidence FROM p"),
+)
+_on_points("crop_hard", lambda p: filters.spatial_crop(p, _SMALL), "p", "SELECT seq, classification FROM p WHERE x BETWEEN 2 AND 10 AND y BETWEEN 3 AND 12")
+_on_points("crop_soft", lambda p: filters.spatial_crop(p, _SMALL, soft=True), "p", _class("NOT (x BETWEEN 2 AND 10 AND y BETWEEN 3 AND 12)"))
+_on_points("range_z", lambda p: filters.range_z(p, -100, 100), "p", _class("z < -100 OR z > 100"))
+_on_points("range_z_exclude_invert", lambda p: filters.range_z(p, -100, 100, exclude=(2, 29), invert=True), "p", _class("NOT (z < -100 OR z > 100) AND classification NOT IN (2, 29)"))
+_on_points("drop_class", lambda p: filters.drop_class(p, "7/12"), "p", "SELECT seq, classification FROM p WHERE classification NOT IN (7, 12)")
+_on_points("drop_class_invert", lambda p: filters.drop_class(p, "7/12", invert=True), "p", "SELECT seq, classification FROM p WHERE classification IN (7, 12)")
+_on_points(
+    "outlierz", lambda p: filters.outlierz(p, 1.5), "p",
+    _class("n >= 3 AND s > 0 AND abs(z - m) > 1.5*s", "p JOIN (SELECT dataset_id, avg(z) m, stddev_pop(z) s, count(*) n FROM p GROUP BY dataset_id) USING (dataset_id)"),
+)
+_BLOCK = "(SELECT *, row_number() OVER (PARTITION BY floor({x}/2), floor({y}/2) ORDER BY {o}) AS r FROM p)"
+_on_points("block_minmax_soft", lambda p: filters.block_minmax(p, 2.0), "p", _class("r > 1", _BLOCK.format(x="x", y="y", o="z, seq")))
+_on_points("block_minmax_hard", lambda p: filters.block_minmax(p, 2.0, "max", soft=False), "p", "SELECT seq, classification FROM " + _BLOCK.format(x="x", y="y", o="-z, seq") + " WHERE r = 1")
+_LOW = {"x": "(x - (SELECT min(x) FROM p))", "y": "(y - (SELECT min(y) FROM p))"}
+_on_points("block_thin", lambda p: filters.block_thin(p, 2.0), "p", _class("r > 1", _BLOCK.format(o="z, seq", **_LOW)))
+_on_points("block_thin_first", lambda p: filters.block_thin(p, 2.0, "first", soft=False), "p", "SELECT seq, classification FROM " + _BLOCK.format(o="seq", **_LOW) + " WHERE r = 1")
+_on_points(
+    "coplanarz", lambda p: filters.coplanarz(p, 0.25, 100.0), "p",
+    """, m AS (SELECT a.seq AS s, b.x - a.x AS dx, b.y - a.y AS dy, b.z FROM p a JOIN p b ON b.x BETWEEN a.x - 0.25 AND a.x + 0.25
+      AND b.y BETWEEN a.y - 0.25 AND a.y + 0.25 AND (b.x-a.x)*(b.x-a.x) + (b.y-a.y)*(b.y-a.y) <= 0.0625),
+    t AS (SELECT s, count(*) AS n, sum(dx) sx, sum(dy) sy, sum(z) sz, sum(dx*dx) sxx, sum(dx*dy) sxy, sum(dy*dy) syy, sum(dx*z) sxz, sum(dy*z) syz FROM m GROUP BY s),
+    f AS (SELECT s AS seq, n, n*(sxx*syy-sxy*sxy) - sx*(sx*syy-sxy*sy) + sy*(sx*sxy-sxx*sy) AS det,
+      sz*(sxx*syy-sxy*sxy) - sx*(sxz*syy-sxy*syz) + sy*(sxz*sxy-sxx*syz) AS top FROM t) """
+    + _class("coalesce(n < 4 OR abs(z - CASE WHEN abs(det) > 1e-12 THEN top/det END) > 100, false)", "p JOIN f USING (seq)"),
+)
+
+# sampling joins
+_SAMPLED = "(SELECT p.*, ref_z FROM p LEFT JOIN ref ON CAST(floor(16 - y) AS INT) = ref.row AND CAST(floor(x) AS INT) = ref.col)"
+
+
+def _sampled(name: str, f: Callable, flag: str) -> None:
+    query = lambda spark, sf: f(points(spark, sf), reference(spark, sf)).select("seq", "classification")
+    _add(name, query, with_sql("p ref", _class(flag, _SAMPLED)))
+
+
+_sampled("raster_mask", lambda p, r: filters.raster_mask(p, r, GRID, "ref_z"), "coalesce(ref_z, 0) = 0")
+_sampled("raster_mask_invert", lambda p, r: filters.raster_mask(p, r, GRID, "ref_z", invert=True), "coalesce(ref_z, 0) <> 0")
+_sampled("diffz", lambda p, r: filters.diffz(p, r, GRID, "ref_z", -100, 50), "NOT coalesce(z - ref_z BETWEEN -100 AND 50, false)")
+_sampled("rq_diff", lambda p, r: filters.rq(p, r, GRID, "ref_z", 60.0), "coalesce(abs(z - ref_z) > 60, false)")
+_sampled(
+    "rq_percent", lambda p, r: filters.rq(p, r, GRID, "ref_z", 80.0, "percent"),
+    "coalesce(CASE WHEN ref_z = 0 THEN z <> 0 ELSE abs(z - ref_z)/nullif(abs(ref_z), 0)*100 > 80 END, false)",
+)
+_BOX = [[(3.5, 2.5), (9.5, 2.5), (9.5, 11.5), (3.5, 11.5)], [(5.5, 5.5), (6.5, 5.5), (6.5, 7.5), (5.5, 7.5)]]
+_IN_BOX = "(x >= 3.5 AND x < 9.5 AND y >= 2.5 AND y < 11.5 AND NOT (x >= 5.5 AND x < 6.5 AND y >= 5.5 AND y < 7.5))"
+_on_points("vector_mask", lambda p: filters.vector_mask(p, [_BOX]), "p", _class(_IN_BOX))
+_on_points("vector_mask_invert", lambda p: filters.vector_mask(p, [_BOX], invert=True), "p", _class(f"NOT {_IN_BOX}"))
+
+# beams
+_add(
+    "beam_uncertainty",
+    lambda spark, sf: _rounded(
+        beams(spark, sf).groupBy("survey_year").agg(F.sum(beam_uncertainty()).alias("u"), F.sum(age_weight("survey_year")).alias("age"), F.count("*").alias("n")), 4
+    ),
+    with_sql(
+        "b",
+        """SELECT survey_year, round(sum(sqrt(pow(0.51*(0.25 + 0.02*abs(z)), 2) + pow(0.005*abs(crosstrack_distance), 2) + pow(0.51*least(14.0, abs(speed - 14)), 2))), 4) AS u,
+        round(sum(least(0.99, greatest(0.01, 1 - (2024 - survey_year)/44.0))), 4) AS age, count(*) AS n FROM b GROUP BY survey_year""",
+    ),
+)
+_add(
+    "beam_quality",
+    lambda spark, sf: filters.beam_quality(beams(spark, sf)).groupBy("l_linenumber").agg(F.count("*").alias("n")),
+    with_sql("b", "SELECT l_linenumber, count(*) AS n FROM b WHERE beamflag = 0 AND speed > 2 AND abs(roll) < 10 AND abs(seafloor_grazing_angle) > 20 AND abs(crosstrack_slope) < 50 GROUP BY 1"),
+)
+_add(
+    "clean_percent",
+    lambda spark, sf: _rounded(beams(spark, sf).agg((F.count_if(F.col("beamflag") != 0) * 100 / F.count("*")).alias("removed"))),
+    with_sql("b", "SELECT round(count(*) FILTER (beamflag <> 0) * 100 / count(*), 6) AS removed FROM b"),
+)
+
+# grids
+_U = "round(sqrt(pow(min_by(u, seq), 2) + {s}), 6) AS uncertainty, count(*) AS count"
+_ONE = "round(min_by(w, seq) * count(*), 6) AS weight"
+_SPREAD = "pow(stddev_pop(z), 2)"
+for _mode, _z, _xy, _w, _s in (
+    ("mean", "avg(z)", "avg({})", _ONE, _SPREAD),
+    ("min", "min(z)", "min({})", _ONE, "0"),
+    ("max", "max(z)", "max({})", _ONE, "0"),
+    ("median", "median(z)", "avg({})", _ONE, _SPREAD),
+    ("std", "stddev_pop(z)", "avg({})", _ONE, "0"),
+    ("var", "var_pop(z)", "avg({})", _ONE, "0"),
+    ("sums", "sum(z*w)", "sum({}*w)", "sum(w) AS weight", _SPREAD),
+):
+    _add(
+        f"bin_{_mode}",
+        lambda spark, sf, mode=_mode: _rounded(stacks.point_pixels(points(spark, sf), GRID, mode)),
+        with_sql("p g", f"SELECT row, col, round({_z}, 6) AS z, round({_xy.format('x')}, 6) AS x, round({_xy.format('y')}, 6) AS y, {_w}, {_U.format(s=_s)} FROM g GROUP BY row, col"),
+    )
+_add("simple_stack_global", lambda spark, sf: _rounded(stacks.simple_stack(points(spark, sf), GRID)), with_sql("p g", "SELECT row, col, round(sum(z*w)/sum(w), 6) AS z FROM g GROUP BY row, col"))
+_add(
+    "simple_stack_per_dataset",
+    lambda spark, sf: _rounded(stacks.simple_stack(points(spark, sf), GRID, ("dataset_id",))),
+    with_sql("p g", "SELECT dataset_id, row, col, round(sum(z*w)/sum(w), 6) AS z FROM g GROUP BY ALL"),
+)
+_add(
+    "flagship_pipeline",
+    lambda spark, sf: _rounded(
+        stacks.simple_stack(filters.drop_class(filters.range_z(filters.spatial_crop(ensure_schema(points(spark, sf)), _SMALL), -150, 150), "7"), GRID)
+    ),
+    with_sql("p g", "SELECT row, col, round(sum(z*w)/sum(w), 6) AS z FROM g WHERE x BETWEEN 2 AND 10 AND y BETWEEN 3 AND 12 AND z BETWEEN -150 AND 150 AND classification <> 7 GROUP BY row, col"),
+)
+_PARTS = """, s AS (SELECT row, col, dataset_id, count(*) AS n, sum(w) AS sw, sum(z*w) AS sz, sum(x*w) AS sx, sum(y*w) AS sy,
+  pow(min_by(u, seq), 2) + pow(stddev_pop(z), 2) AS suc2, min(z) AS zmin, max(z) AS zmax FROM g GROUP BY row, col, dataset_id),
+k AS (SELECT s.*, ingest_order, sw/n AS wavg FROM s JOIN ds USING (dataset_id)) """
+_FINISH = """SELECT row, col, round(sum(sz)/sum(sw), 6) AS z, CAST(sum(n) AS BIGINT) AS count, round(sum(sw), 6) AS weights, round(sqrt(sum(suc2))/sum(n), 6) AS uncertainty,
+  CAST(0 AS DOUBLE) AS src_uncertainty, round(sum(sx)/sum(sw), 6) AS x, round(sum(sy)/sum(sw), 6) AS y FROM {} GROUP BY row, col"""
+_TIER = "(SELECT *, CAST(wavg >= 2.25 AS INT) + CAST(wavg >= 2.5 AS INT) AS tier FROM k)"
+_FROM = {
+    "mean": "k",
+    "supercede": "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY row, col ORDER BY wavg DESC, ingest_order) AS r FROM k) WHERE r = 1)",
+    "mixed": f"(SELECT * FROM (SELECT *, max(tier) OVER (PARTITION BY row, col) AS top FROM {_TIER}) WHERE tier = top)",
+}
+for _mode in ("mean", "supercede", "mixed", "min", "max"):
+    _body = _FINISH.format(_FROM[_mode]) if _mode in _FROM else f"SELECT row, col, round({_mode}(z{_mode}), 6) AS z, CAST(sum(n) AS BIGINT) AS count, round(sum(sw), 6) AS weights FROM k GROUP BY row, col"
+    _add(
+        f"multi_stack_{_mode}",
+        lambda spark, sf, mode=_mode: _rounded(stacks.multi_stack(points(spark, sf), datasets(spark), GRID, mode, (2.25, 2.5))),
+        with_sql("p g ds", _PARTS + _body),
+    )
+_add(
+    "provenance",
+    lambda spark, sf: stacks.provenance(points(spark, sf), datasets(spark), GRID),
+    with_sql("p g", "SELECT row, col, bit_or(1::BIGINT << CASE dataset_id WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END) AS mask FROM g GROUP BY row, col"),
+)
+_add("source_masks", lambda spark, sf: stacks.source_masks(points(spark, sf), GRID), with_sql("p g", "SELECT DISTINCT dataset_id, row, col FROM g"))
+_add(
+    "stream_inf",
+    lambda spark, sf: _rounded(stacks.stream_inf(points(spark, sf))),
+    with_sql("p", "SELECT dataset_id, count(*) AS numpts, min(x) AS xmin, max(x) AS xmax, min(y) AS ymin, max(y) AS ymax, round(min(z), 6) AS zmin, round(max(z), 6) AS zmax FROM p GROUP BY 1"),
+)
+_add("footprints", lambda spark, sf: stacks.footprints(points(spark, sf), REGION), with_sql("p", "SELECT dataset_id, min(x) AS w, max(x) AS e, min(y) AS s, max(y) AS n FROM p GROUP BY 1"))
+_VOTES = {"F": 5.0, "O": -2.0}
+_add(
+    "coastline_vote",
+    lambda spark, sf: _rounded(stacks.coastline_votes(stacks.simple_stack(points(spark, sf), GRID, ("dataset_id",)), _VOTES)),
+    with_sql(
+        "p g",
+        """, c AS (SELECT dataset_id, row, col, sum(z*w)/sum(w) AS z FROM g GROUP BY ALL), l AS (SELECT dataset_id, min(z) AS low FROM c GROUP BY 1),
+        v AS (SELECT c.*, low, CASE dataset_id WHEN 'F' THEN 5.0 WHEN 'O' THEN -2.0 ELSE 0.1 END::DOUBLE AS wt FROM c JOIN l USING (dataset_id)),
+        t AS (SELECT row, col, sum(CASE WHEN wt > 0 THEN CASE WHEN z > 0 THEN wt ELSE -wt END WHEN low >= 0 THEN CASE WHEN z > 0 THEN -abs(wt) ELSE 0 END
+          ELSE CASE WHEN z > 0 THEN wt ELSE -wt END END) AS vote FROM v GROUP BY row, col)
+        SELECT row, col, round(vote, 6) AS vote, CAST(vote > 0 AS INT) AS land FROM t""",
+    ),
+)
+_add(
+    "registry_skip",
+    lambda spark, sf: stacks.unseen(points(spark, sf), datasets(spark).filter("dataset_id = 'O'")).groupBy("dataset_id").agg(F.count("*").alias("n")),
+    with_sql("p", "SELECT dataset_id, count(*) AS n FROM p WHERE dataset_id <> 'O' GROUP BY 1"),
+)
+_add("iqr_fence", lambda spark, sf: _rounded(stacks.iqr_fences(points(spark, sf))), with_sql("p", ", q AS (SELECT quantile_cont(z, 0.25) lo, quantile_cont(z, 0.75) hi FROM p) SELECT round(lo - 1.5*(hi - lo), 6) AS lower, round(hi + 1.5*(hi - lo), 6) AS upper FROM q"))
+_add("band_statistics", lambda spark, sf: _rounded(stacks.band_statistics(raster(spark, sf))), with_sql("r", "SELECT 'z' AS band, round(min(z), 6) AS least, round(max(z), 6) AS greatest, round(avg(z), 6) AS mean, round(stddev_pop(z), 6) AS std FROM r"))
+_add("value_frequency", lambda spark, sf: raster(spark, sf, quantised=True).groupBy("z").agg(F.count("*").alias("n")), with_sql("rq", "SELECT z, count(*) AS n FROM rq GROUP BY z"))
+
+
+# grid to grid
+def _shifted(cells: DataFrame) -> DataFrame:
+    return cells.filter("(row + col) % 5 <> 0").withColumn("z", F.col("z") * 0.5 + 0.1)
+
+
+_OTHER = ", o AS (SELECT row, col, z*0.5 + 0.1 AS oz FROM r WHERE (row + col) % 5 <> 0) "
+_add("raster_diff_difference", lambda spark, sf: _rounded(rasters.raster_diff(raster(spark, sf), _shifted(raster(spark, sf)), "difference")), with_sql("r", _OTHER + "SELECT row, col, round(z - oz, 6) AS z FROM r LEFT JOIN o USING (row, col)"))
+_add("raster_diff_filter", lambda spark, sf: _rounded(rasters.raster_diff(raster(spark, sf), _shifted(raster(spark, sf)), "filter", 0.5)), with_sql("r", _OTHER + "SELECT row, col, round(CASE WHEN coalesce(abs(z - oz) <= 0.5, true) THEN z END, 6) AS z FROM r LEFT JOIN o USING (row, col)"))
+_add("raster_cut", lambda spark, sf: _rounded(rasters.raster_cut(raster(spark, sf), (10, 90), (5, 40))), with_sql("r", "SELECT row, col, round(z, 6) AS z FROM r WHERE row BETWEEN 10 AND 90 AND col BETWEEN 5 AND 40"))
+_FILLED = ", f AS (SELECT *, coalesce(z, (SELECT avg(z) FROM rv)) AS q FROM rv)"
+_GRAD = "(coalesce(lead(q) OVER {0}, q) - coalesce(lag(q) OVER {0}, q)) / (CASE WHEN lag(q) OVER {0} IS NULL THEN 0 ELSE 1 END + CASE WHEN lead(q) OVER {0} IS NULL THEN 0 ELSE 1 END)"
+_SLOPE = _FILLED + f", s AS (SELECT row, col, z, {_GRAD.format('a')} AS gx, {_GRAD.format('b')} AS gy FROM f WINDOW a AS (PARTITION BY row ORDER BY col), b AS (PARTITION BY col ORDER BY row)) "
+_add("raster_slope", lambda spark, sf: _rounded(rasters.slope(raster(spark, sf, voids=True))), with_sql("rv", _SLOPE + "SELECT row, col, round(z, 6) AS z, round(sqrt(gx*gx + gy*gy), 6) AS slope FROM s"))
+_add("raster_slope_filter", lambda spark, sf: _rounded(rasters.slope_filter(raster(spark, sf, voids=True), 0.02, 0.2)), with_sql("rv", _SLOPE + "SELECT row, col, round(CASE WHEN sqrt(gx*gx + gy*gy) BETWEEN 0.02 AND 0.2 THEN z END, 6) AS z FROM s"))
+
+
+def _zscore(spark: SparkSession, sf: str) -> DataFrame:
+    cells = raster(spark, sf, voids=True)
+    size = cells.agg(F.max("row") + 1, F.max("col") + 1).first()
+    return _rounded(rasters.zscore_filter(cells, size[0], size[1], 1.8))
+
+
+_MIRROR = """, d AS (SELECT max(row) + 1 AS nr, max(col) + 1 AS nc FROM rv),
+  mr AS (SELECT row AS r0, row FROM f UNION SELECT row, -1 - row FROM f WHERE row < 2 UNION SELECT row, 2*nr - 1 - row FROM f, d WHERE row >= nr - 2),
+  mc AS (SELECT col AS c0, col FROM f UNION SELECT col, -1 - col FROM f WHERE col < 2 UNION SELECT col, 2*nc - 1 - col FROM f, d WHERE col >= nc - 2),
+  x AS (SELECT mr.row, mc.col, f.z, f.q FROM f JOIN mr ON f.row = mr.r0 JOIN mc ON f.col = mc.c0),
+  h AS (SELECT *, avg(q) OVER w AS m1, avg(q*q) OVER w AS v1 FROM x WINDOW w AS (PARTITION BY row ORDER BY col RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING)),
+  v AS (SELECT *, avg(m1) OVER w AS m, avg(v1) OVER w AS v FROM h WINDOW w AS (PARTITION BY col ORDER BY row RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING)),
+  t AS (SELECT v.*, sqrt(greatest(v - m*m, 0)) AS sd FROM v, d WHERE row BETWEEN 0 AND nr - 1 AND col BETWEEN 0 AND nc - 1)
+  SELECT row, col, round(CASE WHEN abs(q - m)/CASE WHEN sd = 0 THEN 1e-6 ELSE sd END <= 1.8 THEN z END, 6) AS z FROM t"""
+_add("raster_zscore", _zscore, with_sql("rv", _FILLED + _MIRROR))
+_add("raster_flats", lambda spark, sf: rasters.flats_filter(raster(spark, sf, quantised=True), 3000), with_sql("rq", "SELECT row, col, CASE WHEN count(*) OVER (PARTITION BY z) <= 3000 THEN z END AS z FROM rq"))
+_add(
+    "raster_flats_auto",
+    lambda spark, sf: rasters.flats_filter(raster(spark, sf, quantised=True)),
+    with_sql("rq", ", c AS (SELECT z, count(*) AS n FROM rq GROUP BY z), q AS (SELECT quantile_cont(n, 0.01) lo, quantile_cont(n, 0.99) hi FROM c) SELECT row, col, CASE WHEN n <= hi + 1.5*(hi - lo) THEN z END AS z FROM rq JOIN c USING (z), q"),
+)
+
+
+def _morph_sql(first: str, second: str | None) -> str:
+    steps, src = "", "(SELECT *, z AS e0 FROM rv)"
+    for i, f in enumerate([first] * 2 + [second] * 2 if second else [first] * 2):
+        line, order = ("row", "col") if i % 2 == 0 else ("col", "row")
+        steps += f", m{i} AS (SELECT *, {f}(e{i}) OVER (PARTITION BY {line} ORDER BY {order} RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS e{i + 1} FROM {src})"
+        src = f"m{i}"
+    return steps + f" SELECT row, col, round(CASE WHEN z IS NOT NULL THEN e{i + 1} END, 6) AS z FROM {src}"
+
+
+for _op, _pair in {"erosion": ("min", None), "dilation": ("max", None), "opening": ("min", "max"), "closing": ("max", "min")}.items():
+    _add(f"raster_morph_{_op}", lambda spark, sf, op=_op: _rounded(rasters.morphology(raster(spark, sf, voids=True), op)), with_sql("rv", _morph_sql(*_pair)))
+_DEC = "SELECT CAST(floor(row/4) AS INT) AS row, CAST(floor(col/4) AS INT) AS col, {} FROM {} GROUP BY 1, 2"
+_add("decimate", lambda spark, sf: _rounded(rasters.decimate(raster(spark, sf, voids=True), 4)), with_sql("rv", _DEC.format("round(avg(z), 6) AS z", "rv")))
+
+
+def _stacked(spark: SparkSession, sf: str) -> DataFrame:
+    """A raster with counts and weights."""
+    cells = raster(spark, sf, voids=True)
+    n = F.when(F.col("z").isNull(), 0).otherwise(F.col("row") % 3).cast("bigint")
+    return cells.withColumn("count", n).withColumn("weights", (F.col("col") % 7) / 4)
+
+
+_STACKED = ", k AS (SELECT *, CAST(CASE WHEN z IS NULL THEN 0 ELSE row % 3 END AS BIGINT) AS count, (col % 7)/4 AS weights FROM rv) "
+_add("auto_stack_mask", lambda spark, sf: _rounded(rasters.auto_stack_mask(_stacked(spark, sf), 0.75)), with_sql("rv", _STACKED + "SELECT row, col, round(CASE WHEN count > 0 AND weights >= 0.75 THEN z END, 6) AS z FROM k"))
+_add(
+    "blend_background",
+    lambda spark, sf: _rounded(rasters.blend_background(_stacked(spark, sf), rasters.decimate(raster(spark, sf, voids=True), 4), 4, 0.5)),
+    with_sql(
+        "rv",
+        _STACKED + ", c AS (" + _DEC.format("avg(z) AS b", "rv") + """) SELECT k.row, k.col, round(coalesce(z, b), 6) AS z, CASE WHEN z IS NULL AND b IS NOT NULL THEN 1 ELSE count END AS count,
+        CASE WHEN z IS NULL AND b IS NOT NULL THEN 0.5 ELSE weights END AS weights FROM k LEFT JOIN c ON CAST(floor(k.row/4) AS INT) = c.row AND CAST(floor(k.col/4) AS INT) = c.col""",
+    ),
+)
+_NEAR = """, n AS (SELECT a.row, a.col, b.row AS r, b.col AS c, b.z, (a.row-b.row)*(a.row-b.row) + (a.col-b.col)*(a.col-b.col) AS d2 FROM rv a JOIN rv b
+  ON b.row BETWEEN a.row - 3 AND a.row + 3 AND b.col BETWEEN a.col - 3 AND a.col + 3 WHERE a.z IS NULL AND b.z IS NOT NULL),
+  e AS (SELECT row, col, {} AS f FROM n WHERE d2 <= 9 GROUP BY row, col) SELECT row, col, round(coalesce(z, f), 6) AS z FROM rv LEFT JOIN e USING (row, col)"""
+_add("fill_idw", lambda spark, sf: _rounded(rasters.fill_idw(raster(spark, sf, voids=True), 3)), with_sql("rv", _NEAR.format("sum(z/d2)/sum(1/d2)")))
+_add("interp_nearest", lambda spark, sf: _rounded(rasters.interp_nearest(raster(spark, sf, voids=True), 3)), with_sql("rv", _NEAR.format("arg_min(z, {d: d2, r: r, c: c})").replace("{{", "{")))
+_add("ms_cudem_step", lambda spark, sf: _rounded(rasters.ms_cudem_step(_stacked(spark, sf), 4, 0.5)))
+_add(
+    "raster_points",
+    lambda spark, sf: _rounded(cells_to_points(raster(spark, sf, voids=True), GRID)),
+    with_sql("rv", "SELECT col + 0.5::DOUBLE AS x, 16 - (row + 0.5)::DOUBLE AS y, round(z, 6) AS z, 1.0::DOUBLE AS w, 0.0::DOUBLE AS u FROM rv WHERE z IS NOT NULL"),
+)
+
+
+def _features(spark: SparkSession, sf: str) -> DataFrame:
+    """A polygon of each supplier-like point, as GeoJSON, and its vertices."""
+    p = points(spark, sf).select("seq", "x", "y", "z")
+    ring = F.concat(*[s for dx, dy in ((0, 0), (1, 0), (1, 1), (0, 0)) for s in (F.lit("["), F.col("x") + dx, F.lit(","), F.col("y") + dy, F.lit("],"))])
+    shape = F.concat(F.lit('{"type":"Polygon","coordinates":[['), F.rtrim(ring, F.lit(",")), F.lit("]]}"))
+    features = p.select(shape.alias("geometry"), F.concat(F.lit('{"elevation":'), F.col("seq"), F.lit("}")).alias("properties"))
+    return vertices(features).groupBy("z").agg(F.count("*").alias("n"), F.sum("x").alias("sx"), F.sum("y").alias("sy"))
+
+
+_add("vertices_explode", _features, with_sql("p", "SELECT CAST(seq AS DOUBLE) AS z, CAST(4 AS BIGINT) AS n, 4*x + 2 AS sx, 4*y + 1 AS sy FROM p"))
 
 
 def queries() -> dict:
-    return {}
+    return dict(_QUERIES)
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return {name: sql.replace(") , ", "), ") for name, sql in _SQL.items()}
