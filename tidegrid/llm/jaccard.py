@@ -13,7 +13,8 @@ the filters are intersected before sets are compared.
    Equal sets are one class with the least key as its representative.
 3. Rounds of stars: in every token's list, members of another component than the list's head meet the head only; links
    found join components at once, and the next round takes other heads. Then all pairs of a list in different components
-   are compared, so no link between components is lost; pairs inside a component need no comparison.
+   are compared, so no link between components is lost; pairs inside a component need no comparison. A pair is met at its
+   first common token only, and passes only if sizes, positions and parity maps of the two sets allow the similarity.
 
 Null or empty texts, or texts without words, have no token and are alone. Rows that share a key are one node, whose links
 are those of any of its texts; null keys are left out of links and get a null component. Extra columns are ignored; an
@@ -29,6 +30,9 @@ from pyspark.sql import DataFrame, functions as F
 from tidegrid.llm.common import components, stash, text_of
 from tidegrid.llm.wordhash import mix, shingle_sets
 
+#: Words of 64 bits in a set's parity map.
+_WORDS = 4
+_BITS = [f"b{i}" for i in range(_WORDS)]
 _SEEDS = (0, 0x2545F4914F6CDD1D, 0x9E3779B97F4A7C15)
 
 
@@ -54,6 +58,13 @@ def _classes(count: np.ndarray) -> np.ndarray:
     return np.minimum(np.round(2 * np.log2(np.maximum(count, 1))), 255).astype(np.uint8)
 
 
+def _parity(h: np.ndarray) -> np.ndarray:
+    """A bit for each of 64 * _WORDS residues of the hashes: whether an odd number of them has it. Two maps differ in no more
+    bits than their sets have tokens that only one of them has."""
+    odd = np.bincount((h & np.uint64(64 * _WORDS - 1)).astype(np.int64), minlength=64 * _WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def frequency_classes(grouped: DataFrame, k: int, bits: int) -> DataFrame:
     """(grp, rng, codes binary): classes of the sorted distinct tokens of a group in a range. `grouped`: (grp, k, text)."""
 
@@ -91,7 +102,7 @@ def frequency_classes(grouped: DataFrame, k: int, bits: int) -> DataFrame:
 
 
 def prefixes(grouped: DataFrame, codes: DataFrame, k: int, percent: int, bits: int) -> DataFrame:
-    """(k, n, sig, lone, p1, p2, p3 array<bigint>, tokens binary) of every document; the arrays and tokens are empty where
+    """(k, n, sig, lone, b0.., p1, p2, p3 array<bigint>, tokens binary) of every document; the arrays and tokens are empty where
     no partner is possible. lone: tokens before p1, which no other document has; p1 is in order."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -100,11 +111,12 @@ def prefixes(grouped: DataFrame, codes: DataFrame, k: int, percent: int, bits: i
         order = np.argsort(right.column("rng").to_numpy())
         blobs = right.column("codes").to_pylist()
         klass = np.frombuffer(b"".join(blobs[i] for i in order), np.uint8)
-        n, sig, lones, firsts, raw = [], [], [], ([], [], []), []
+        n, sig, lones, maps, firsts, raw = [], [], [], [], ([], [], []), []
         with np.errstate(over="ignore"):
             for s in sets:
                 n.append(len(s))
                 m = mix(s ^ np.uint64(0x6A09E667F3BCC909))
+                maps.append(_parity(m))
                 sig.append(int((m.sum(dtype=np.uint64) ^ mix(np.array([len(s)], np.uint64))[0]).astype(np.int64)))
                 c = klass[np.searchsorted(every, s)]
                 size = len(s) - -(-percent * len(s) // 100) + 1 if len(s) else 0
@@ -128,21 +140,26 @@ def prefixes(grouped: DataFrame, codes: DataFrame, k: int, percent: int, bits: i
                 "n": pa.array(n, pa.int64()),
                 "sig": pa.array(sig, pa.int64()),
                 "lone": pa.array(lones, pa.int64()),
+                **{b: pa.array([int(x[i]) for x in maps], pa.int64()) for i, b in enumerate(_BITS)},
                 **{f"p{i + 1}": pa.array(f, array) for i, f in enumerate(firsts)},
                 "tokens": pa.array(raw, pa.binary()),
             }
         )
 
-    schema = "k bigint, n bigint, sig bigint, lone bigint, p1 array<bigint>, p2 array<bigint>, p3 array<bigint>, tokens binary"
+    maps_schema = ", ".join(f"{b} bigint" for b in _BITS)
+    schema = f"k bigint, n bigint, sig bigint, lone bigint, {maps_schema}, p1 array<bigint>, p2 array<bigint>, p3 array<bigint>, tokens binary"
     return grouped.groupBy("grp").cogroup(codes.groupBy("grp")).applyInArrow(run, schema)
 
 
 def _enough(percent: int):
-    """The sizes n and m allow the similarity, and so do the tokens from a common one at pos and at on: if that is the first
-    common token, which every similar pair has in its prefixes, no more tokens than these can be common."""
-    sizes = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
-    rest = F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("at"))
-    return sizes & ((100 + percent) * rest >= percent * (F.col("n") + F.col("m")))
+    """What the rows of a list say of two members (the other's columns end in _): the sizes allow the similarity; so do the
+    tokens from the common one on, since if that is the first common token, which every similar pair has in its prefixes,
+    no more tokens than these can be common; and their parity maps differ in few enough bits."""
+    n, m = F.col("n"), F.col("n_")
+    sizes = 100 * F.least(n, m) >= percent * F.greatest(n, m)
+    rest = F.least(n - F.col("pos"), m - F.col("pos_"))
+    differ = sum((F.bit_count(F.col(b).bitwiseXOR(F.col(f"{b}_"))) for b in _BITS[1:]), F.bit_count(F.col("b0").bitwiseXOR(F.col("b0_"))))
+    return sizes & ((100 + percent) * rest >= percent * (n + m)) & ((100 + percent) * differ <= (100 - percent) * (n + m))
 
 
 def verify(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
@@ -181,9 +198,11 @@ def jaccard_components(
     same = some.join(least.filter("copies > 1").select("sig", "n", "rep"), ["sig", "n"]).select(F.col("k").alias("a"), F.col("rep").alias("b")).filter("a <> b").distinct()
     reps = every.filter(F.size("p1") > 0).join(least.select(F.col("rep").alias("k"), "sig", "n"), ["k", "sig", "n"])
     reps = stash(reps.dropDuplicates(["k", "sig"]), "jaccard-reps")
-    lists = reps.select("k", "n", "lone", F.posexplode("p1").alias("pos", "tok")).withColumn("pos", F.col("pos") + F.col("lone")).drop("lone")
+    each = F.transform("p1", lambda x, i: F.struct((i + F.col("lone")).alias("pos"), x.alias("tok"), F.get("p1", i - 1).alias("before")))
+    lists = reps.select("k", "n", *_BITS, F.inline(each))
     several = lists.groupBy("tok").agg(F.count("*").alias("m")).filter("m > 1").select("tok")
     lists = stash(lists.join(several, "tok"), "jaccard-lists")
+    own = ["k", "n", "pos", "c", *_BITS]
     links = None
     tried = None
     comp = reps.select("k", F.col("k").alias("c"))
@@ -197,12 +216,15 @@ def jaccard_components(
         if turn < star_rounds:
             # the first heads are those with the fewest rare tokens before the common one: they are nearest to the others
             by = F.struct("pos", "k") if not turn else F.struct(F.xxhash64("k", F.lit(turn)), "k")
-            heads = now.groupBy("tok").agg(F.min_by(F.struct("k", "n", "pos", "c"), by).alias("h")).select("tok", F.col("h.k").alias("y"), F.col("h.n").alias("m"), F.col("h.pos").alias("at"), F.col("h.c").alias("d"))
-            pairs = now.join(heads, "tok").filter((F.col("c") != F.col("d")) & _enough(percent))
+            heads = now.groupBy("tok").agg(F.min_by(F.struct(*own), by).alias("h"))
+            heads = heads.select("tok", *[F.col(f"h.{x}").alias(f"{x}_") for x in own])
+            pairs = now.join(heads, "tok").filter((F.col("c") != F.col("c_")) & _enough(percent))
         else:
-            other = now.select("tok", F.col("k").alias("y"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("c").alias("d"))
-            pairs = now.join(other, "tok").filter((F.col("c") < F.col("d")) & _enough(percent))
-        pairs = pairs.select(F.least("k", "y").alias("a"), F.greatest("k", "y").alias("b")).filter("a <> b").distinct()
+            other = now.select("tok", *[F.col(x).alias(f"{x}_") for x in [*own, "before"]])
+            # where the token before is the same too, this is not the first common one, at which the pair is met
+            first = F.coalesce(F.col("before") != F.col("before_"), F.lit(True))
+            pairs = now.join(other, "tok").filter((F.col("c") < F.col("c_")) & first & _enough(percent))
+        pairs = pairs.select(F.least("k", "k_").alias("a"), F.greatest("k", "k_").alias("b")).filter("a <> b").distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = stash(pairs, "jaccard-pairs")
@@ -220,7 +242,8 @@ def jaccard_components(
 
 
 def keep_one(docs: DataFrame, percent: int = 75, k: int = 5, key: str = "doc_id", text: str = "text", **more) -> DataFrame:
-    """`docs` without the near copies: of each component the row with the least key stays."""
+    """`docs` without the near copies: of each component the row with the least key stays. Rows that share a key are one node
+    and stay or go together; rows with a null key stay."""
     found = jaccard_components(docs, percent, k, key, text, **more)
     gone = found.filter(F.col(key) != F.col("component_id")).select(key).distinct()
     return docs.join(gone, key, "left_anti")
