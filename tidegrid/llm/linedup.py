@@ -1,8 +1,8 @@
 """Line deduplication by distinct-site spread. Main path: DataFrame functions only.
 
 A line is boilerplate when it is on at least `sites` distinct sites and its distinct surroundings (the lines before and
-after) are at least `variety` times the distinct texts that hold it: a line that recurs between the same neighbours
-belongs to copies of one text, which is not the business of this operator. Each frequent line hash gets HyperLogLog
+after) are at least `sites` too and at least `variety` times the distinct texts that hold it: a line that recurs between the same neighbours
+belongs to copies of one text, which are not the business of this operator. Each frequent line hash gets HyperLogLog
 sketches of its sites, texts and surroundings, which merge by aggregation; lines whose estimates lie near either
 threshold get exact distinct counts. Boilerplate goes from every document.
 
@@ -54,9 +54,9 @@ def boilerplate(
     part = rows.join(_salted(frequent), ["line", "salt"]).groupBy("line", "salt")
     part = part.agg(*[F.hll_sketch_agg(c, F.lit(lg_k)).alias(n) for n, c in names.items()])
     whole = part.groupBy("line").agg(*[F.hll_sketch_estimate(F.hll_union_agg(n)).alias(n) for n in names])
-    near_sites = F.abs(F.col("n_sites") - sites) <= site_margin * sites
+    near_sites = F.abs(F.least("n_sites", "n_around") - sites) <= site_margin * sites
     ratio = F.col("n_around") / F.col("n_texts")
-    maybe = F.col("n_sites") >= (1 - site_margin) * sites
+    maybe = F.least("n_sites", "n_around") >= (1 - site_margin) * sites
     whole = whole.withColumn("near", maybe & (near_sites | (F.abs(ratio - variety) <= variety_margin)))
     whole = stash(whole, "lines-estimates")
     near = whole.filter("near").select("line")
@@ -65,7 +65,7 @@ def boilerplate(
     counts = values.groupBy("line").agg(*[F.count_if(F.col("kind") == n).alias(n) for n in names])
     chosen = whole.filter("not near").select("line", *names, F.lit(False).alias("exact"))
     chosen = chosen.unionByName(counts.withColumn("exact", F.lit(True)))
-    return chosen.filter((F.col("n_sites") >= sites) & (F.col("n_around") >= variety * F.col("n_texts")))
+    return chosen.filter((F.least("n_sites", "n_around") >= sites) & (F.col("n_around") >= variety * F.col("n_texts")))
 
 
 def dedup_lines(docs: DataFrame, sites: int = 10, variety: float = 0.6, text: str = "text", source: str = "source") -> DataFrame:

@@ -165,7 +165,7 @@ t AS (SELECT *, nullif(trim(raw, ' ' || chr(9) || chr(11) || chr(12) || chr(13))
 a AS (SELECT *, struct_pack(p := coalesce(lag(line) OVER w, ''), n := coalesce(lead(line) OVER w, '')) AS around
       FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
 b AS (SELECT line FROM a WHERE line IS NOT NULL GROUP BY line
-      HAVING count(DISTINCT site) >= 10 AND count(DISTINCT around) >= 0.6 * count(DISTINCT text)),
+      HAVING count(DISTINCT site) >= 10 AND count(DISTINCT around) >= 10 AND count(DISTINCT around) >= 0.6 * count(DISTINCT text)),
 k AS (SELECT doc_id, count(*) AS lines_before, count(b.line) AS lines_removed,
       coalesce(string_agg(raw, chr(10) ORDER BY i) FILTER (b.line IS NULL), '') AS kept
       FROM a LEFT JOIN b ON a.line = b.line GROUP BY doc_id)
