@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tidegrid.functions.grid import age_weight, beam_uncertainty, ensure_schema
 from tidegrid.operators import filters, rasters, stacks
+from tidegrid.plans import chains
 from tidegrid.plans.fixtures import GRID, REGION, beams, datasets, points, raster, reference, with_sql
 from tidegrid.functions.grid import Region
 from tidegrid.sources.readers import cells_to_points, vertices
@@ -92,6 +93,32 @@ _IN_BOX = "(x >= 3.5 AND x < 9.5 AND y >= 2.5 AND y < 11.5 AND NOT (x >= 5.5 AND
 _on_points("vector_mask", lambda p: filters.vector_mask(p, [_BOX]), "p", _class(_IN_BOX))
 _on_points("vector_mask_invert", lambda p: filters.vector_mask(p, [_BOX], invert=True), "p", _class(f"NOT {_IN_BOX}"))
 
+_add(
+    "sample_bilinear",
+    lambda spark, sf: _rounded(filters.sample_bilinear(points(spark, sf), reference(spark, sf), GRID, "ref_z")),
+    with_sql(
+        "p ref",
+        """, a AS (SELECT seq, floor(x - 0.5) AS c, floor(16 - y - 0.5) AS r, x - 0.5 - floor(x - 0.5) AS fa, 16 - y - 0.5 - floor(16 - y - 0.5) AS fb FROM p),
+        k AS (SELECT seq, CAST(r + dr AS INT) AS row, CAST(c + dc AS INT) AS col, (CASE dr WHEN 1 THEN fb ELSE 1 - fb END) * (CASE dc WHEN 1 THEN fa ELSE 1 - fa END) AS w
+          FROM a, (VALUES (0), (1)) i(dr), (VALUES (0), (1)) j(dc))
+        SELECT seq, round(CASE WHEN count(ref_z) = count(*) THEN sum(w*ref_z) END, 6) AS ref FROM k LEFT JOIN ref USING (row, col) WHERE w > 0 GROUP BY seq""",
+    ),
+)
+_add(
+    "chain_land_surface",
+    lambda spark, sf: _rounded(chains.land_surface(points(spark, sf), GRID)),
+    with_sql("p g", "SELECT row, col, round(sum(z*w)/sum(w), 6) AS z FROM g WHERE z >= 0.01 AND classification <> 7 GROUP BY row, col"),
+)
+for _chain, _t, _mode, _flag in (
+    ("chain_bare_earth", 50.0, "diff", "abs(z - ref_z) > 50"),
+    ("chain_soundings", 60.0, "percent", "CASE WHEN ref_z = 0 THEN z <> 0 ELSE abs(z - ref_z)/nullif(abs(ref_z), 0)*100 > 60 END"),
+):
+    _add(
+        _chain,
+        lambda spark, sf, t=_t, mode=_mode: _rounded(chains.checked_surface(points(spark, sf), GRID, reference(spark, sf), "ref_z", t, mode)),
+        with_sql("p g ref", f"SELECT row, col, round(sum(z*w)/sum(w), 6) AS z FROM g LEFT JOIN ref USING (row, col) WHERE NOT coalesce({_flag}, false) AND classification <> 7 GROUP BY row, col"),
+    )
+
 # beams
 _add(
     "beam_uncertainty",

@@ -153,3 +153,19 @@ def vector_mask(points: DataFrame, polygons: list, invert: bool = False, **more)
 def beam_quality(beams: DataFrame) -> DataFrame:
     """Soundings of good beams."""
     return beams.filter("beamflag = 0 AND speed > 2 AND abs(roll) < 10 AND abs(seafloor_grazing_angle) > 20 AND abs(crosstrack_slope) < 50")
+
+
+def sample_bilinear(points: DataFrame, cells: DataFrame, grid: GridSpec, value: str, name: str = "ref", seq: str = "seq") -> DataFrame:
+    """(seq, name): bilinear between the centres of the four cells around each point; null where one of them is missing."""
+    fx = (F.col("x") - grid.region.w) / grid.xinc - 0.5
+    fy = (F.lit(grid.region.n) - F.col("y")) / grid.yinc - 0.5
+    at = points.select(seq, F.floor(fx).alias("_c"), F.floor(fy).alias("_r"), (fx - F.floor(fx)).alias("_a"), (fy - F.floor(fy)).alias("_b"))
+    corner = lambda dr, dc: F.struct(
+        (F.col("_r") + dr).cast("int").alias("_row"), (F.col("_c") + dc).cast("int").alias("_col"),
+        ((F.col("_b") if dr else 1 - F.col("_b")) * (F.col("_a") if dc else 1 - F.col("_a"))).alias("_w"),
+    )
+    four = at.select(seq, F.inline(F.array(corner(0, 0), corner(0, 1), corner(1, 0), corner(1, 1)))).filter("_w > 0")
+    ref = cells.select(F.col("row").alias("_row"), F.col("col").alias("_col"), F.col(value).alias("_v"))
+    met = four.join(ref, ["_row", "_col"], "left").groupBy(seq)
+    whole = F.count("_v") == F.count("*")
+    return met.agg(F.when(whole, F.sum(F.col("_w") * F.col("_v"))).alias(name))
