@@ -195,12 +195,15 @@ def jaccard_components(
     # equal sets: one class
     some = every.filter("n > 0 and k is not null").select("k", "sig", "n")
     least = some.groupBy("sig", "n").agg(F.min("k").alias("rep"), F.count("*").alias("copies"))
+    # written tables: a join with an aggregate in its own stage could not split a hot key
+    least = stash(least, "jaccard-least")
     same = some.join(least.filter("copies > 1").select("sig", "n", "rep"), ["sig", "n"]).select(F.col("k").alias("a"), F.col("rep").alias("b")).filter("a <> b").distinct()
     reps = every.filter(F.size("p1") > 0).join(least.select(F.col("rep").alias("k"), "sig", "n"), ["k", "sig", "n"])
     reps = stash(reps.dropDuplicates(["k", "sig"]), "jaccard-reps")
     each = F.transform("p1", lambda x, i: F.struct((i + F.col("lone")).alias("pos"), x.alias("tok"), F.get("p1", i - 1).alias("before")))
     lists = reps.select("k", "n", *_BITS, F.inline(each))
     several = lists.groupBy("tok").agg(F.count("*").alias("m")).filter("m > 1").select("tok")
+    several = stash(several, "jaccard-several")
     lists = stash(lists.join(several, "tok"), "jaccard-lists")
     own = ["k", "n", "pos", "c", *_BITS]
     links = None
@@ -210,6 +213,7 @@ def jaccard_components(
         now = lists if turn == 0 else lists.join(comp.withColumnRenamed("c", "c0"), "k", "left").withColumn("c", F.coalesce("c0", "k")).drop("c0")
         now = now.withColumn("c", F.col("k")) if turn == 0 else now
         mixed = now.groupBy("tok").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("tok")
+        mixed = stash(mixed, "jaccard-mixed")
         now = stash(now.join(mixed, "tok"), "jaccard-open")
         if now.isEmpty():
             break
@@ -218,6 +222,7 @@ def jaccard_components(
             by = F.struct("pos", "k") if not turn else F.struct(F.xxhash64("k", F.lit(turn)), "k")
             heads = now.groupBy("tok").agg(F.min_by(F.struct(*own), by).alias("h"))
             heads = heads.select("tok", *[F.col(f"h.{x}").alias(f"{x}_") for x in own])
+            heads = stash(heads, "jaccard-heads")
             pairs = now.join(heads, "tok").filter((F.col("c") != F.col("c_")) & _enough(percent))
         else:
             other = now.select("tok", *[F.col(x).alias(f"{x}_") for x in [*own, "before"]])
