@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tidegrid.functions.grid import age_weight, beam_uncertainty, ensure_schema
-from tidegrid.operators import filters, rasters, stacks
+from tidegrid.operators import filters, rasters, stacks, surfaces
 from tidegrid.plans import chains
 from tidegrid.plans.fixtures import GRID, REGION, beams, datasets, points, raster, reference, with_sql
 from tidegrid.functions.grid import Region
@@ -323,6 +323,90 @@ def _features(spark: SparkSession, sf: str) -> DataFrame:
 _add("vertices_explode", _features, with_sql("p", "SELECT CAST(seq AS DOUBLE) AS z, CAST(4 AS BIGINT) AS n, 4*x + 2 AS sx, 4*y + 1 AS sy FROM p"))
 
 
+# surfaces
+def _taxi_sql(src: str, out: str, mask: str, name: str, keep: str = "*") -> str:
+    """Tables that end in `out`: `src` with the taxicab distance to the nearest cell where `mask` holds."""
+    return f""", {out}1 AS (SELECT {keep}, least(col - max(CASE WHEN {mask} THEN col END) OVER a, min(CASE WHEN {mask} THEN col END) OVER b - col) AS _d1 FROM {src}
+      WINDOW a AS (PARTITION BY row ORDER BY col), b AS (PARTITION BY row ORDER BY col DESC)),
+    {out} AS (SELECT * EXCLUDE (_d1), CAST(least(min(_d1 - row) OVER a + row, min(_d1 + row) OVER b - row) AS INT) AS {name} FROM {out}1
+      WINDOW a AS (PARTITION BY col ORDER BY row), b AS (PARTITION BY col ORDER BY row DESC))"""
+
+
+def _lines_sql(src: str, out: str, z: str) -> str:
+    """Tables that end in `out`: `src` with voids of `z` filled along lines as `{z}_new`."""
+    ends = ", ".join(
+        f"last_value(CASE WHEN {z} IS NOT NULL THEN {order} END IGNORE NULLS) OVER {w} AS {w}p, last_value({z} IGNORE NULLS) OVER {w} AS {w}v"
+        for w, order in (("ra", "col"), ("rb", "col"), ("ca", "row"), ("cb", "row"))
+    )
+    line = lambda a, b, order: f"CASE WHEN {z} IS NULL THEN {a}v + ({b}v - {a}v)*({order} - {a}p)/({b}p - {a}p) END"
+    return f""", {out}1 AS (SELECT *, {ends} FROM {src} WINDOW
+      ra AS (PARTITION BY row ORDER BY col ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), rb AS (PARTITION BY row ORDER BY col DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+      ca AS (PARTITION BY col ORDER BY row ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), cb AS (PARTITION BY col ORDER BY row DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+    {out}2 AS (SELECT *, {line("ra", "rb", "col")} AS h, {line("ca", "cb", "row")} AS v, rbp - rap AS hg, cbp - cap AS vg FROM {out}1),
+    {out} AS (SELECT * EXCLUDE (h, v, hg, vg, rap, rav, rbp, rbv, cap, cav, cbp, cbv), coalesce({z}, CASE WHEN h IS NULL THEN v WHEN v IS NULL THEN h ELSE (h*vg + v*hg)/(hg + vg) END) AS {z}_new FROM {out}2)"""
+
+
+def _closed_sql(src: str, out: str, mask: str, name: str) -> str:
+    """Tables that end in `out`: `src` with the 8-connected closing of `mask`."""
+    steps, last = "", f"(SELECT *, CASE WHEN {mask} THEN 1 ELSE 0 END AS _e0 FROM {src})"
+    for i, (f, line, order) in enumerate((("max", "row", "col"), ("max", "col", "row"), ("min", "row", "col"), ("min", "col", "row"))):
+        steps += f", {out}{i} AS (SELECT * EXCLUDE (_e{i}), {f}(_e{i}) OVER (PARTITION BY {line} ORDER BY {order} RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS _e{i + 1} FROM {last})"
+        last = f"{out}{i}"
+    return steps + f", {out} AS (SELECT * EXCLUDE (_e4), _e4 = 1 AS {name} FROM {last})"
+
+
+_add(
+    "taxicab_distance",
+    lambda spark, sf: surfaces.taxicab(raster(spark, sf), F.col("z") > 0.3).select("row", "col", "distance"),
+    with_sql("r", _taxi_sql("r", "t", "z > 0.3", "distance") + " SELECT row, col, distance FROM t"),
+)
+_add("interp_linear", lambda spark, sf: _rounded(surfaces.interp(raster(spark, sf, voids=True))), with_sql("rv", _lines_sql("rv", "t", "z") + " SELECT row, col, round(z_new, 6) AS z FROM t"))
+_add("interp_cubic", lambda spark, sf: _rounded(surfaces.interp(raster(spark, sf, voids=True), "cubic")))
+_add("ms_cudem", lambda spark, sf: _rounded(surfaces.ms_cudem(_stacked(spark, sf))))
+_add(
+    "ms_blend",
+    lambda spark, sf: _rounded(surfaces.ms_blend(_stacked(spark, sf), 1.25, 2, random_scale=0)),
+    with_sql(
+        "rv",
+        _STACKED + ", f AS (SELECT row, col, z, z IS NOT NULL AND weights >= 1.25 AS fg FROM k)" + _closed_sql("f", "cl", "fg", "core") + _taxi_sql("cl", "far", "core", "dc")
+        + _taxi_sql("far", "near", "fg", "df") + ", zo AS (SELECT *, coalesce(z IS NOT NULL AND NOT core AND dc <= 2, false) AS zone FROM near)"
+        + ", zi AS (SELECT *, CASE WHEN NOT zone THEN z END AS i FROM zo)" + _lines_sql("zi", "li", "i")
+        + """, e AS (SELECT min(df) AS lo, max(df) AS hi FROM zo WHERE zone), q AS (SELECT li.*, CASE WHEN hi > lo THEN (df - lo)/(hi - lo) ELSE 0 END AS t FROM li, e)
+        SELECT row, col, round(CASE WHEN zone THEN coalesce((1 - t)*i_new + t*z, z) ELSE z END, 6) AS z FROM q""",
+    ),
+)
+_PATCH = "row BETWEEN 40 AND 90 AND col BETWEEN 8 AND 40"
+_add(
+    "raster_blend",
+    lambda spark, sf: _rounded(surfaces.raster_blend(raster(spark, sf, voids=True), _shifted(raster(spark, sf)).filter(_PATCH), 3, random_scale=0)),
+    with_sql(
+        "r rv",
+        _OTHER + ", f AS (SELECT row, col, rv.z, oz FROM rv LEFT JOIN (SELECT * FROM o WHERE row BETWEEN 40 AND 90 AND col BETWEEN 8 AND 40) USING (row, col))"
+        + _closed_sql("f", "cl", "oz IS NOT NULL", "core") + _taxi_sql("cl", "far", "core", "dc") + ", gr AS (SELECT *, coalesce(dc <= 3, false) AS grown FROM far)"
+        + _taxi_sql("gr", "ed", "NOT grown", "de") + ", zo AS (SELECT *, grown AND z IS NOT NULL AS zone, coalesce(oz, CASE WHEN NOT grown THEN z END) AS i FROM ed)" + _lines_sql("zo", "li", "i")
+        + """, e AS (SELECT min(de) AS lo, max(de) AS hi FROM zo WHERE zone), q AS (SELECT li.*, CASE WHEN hi > lo THEN (de - lo)/(hi - lo) ELSE 0 END AS t FROM li, e)
+        SELECT row, col, round(CASE WHEN zone THEN z + coalesce(i_new - z, 0)*t ELSE z END, 6) AS z FROM q""",
+    ),
+)
+
+
+def _coast(spark: SparkSession, sf: str) -> DataFrame:
+    return stacks.simple_stack(points(spark, sf), GRID)
+
+
+_LAND = "land AS (SELECT row, col FROM (SELECT row, col, sum(z*w)/sum(w) AS z FROM g GROUP BY row, col) WHERE z < -98)"
+_add(
+    "polygonize",
+    lambda spark, sf: surfaces.polygons(_coast(spark, sf), F.col("z") < -98, GRID),
+    with_sql("p g", f", {_LAND}" + """, touch AS (SELECT a.row*100 + a.col AS a, b.row*100 + b.col AS b FROM land a JOIN land b ON abs(a.row - b.row) + abs(a.col - b.col) = 1),
+      nodes AS (SELECT row*100 + col AS id, row, col FROM land), met AS (SELECT a, count(*) AS n FROM touch GROUP BY a),
+      best AS (SELECT id, coalesce((SELECT min(y) FROM reach WHERE x = id), id) AS root FROM nodes)
+      SELECT CAST(root // 100 AS BIGINT) * 4294967296 + root % 100 AS label, count(*) AS n_cells, CAST(sum(4 - coalesce(met.n, 0)) AS BIGINT) AS n_sides, count(*)::DOUBLE AS area,
+        min(col)::DOUBLE AS w, (max(col) + 1)::DOUBLE AS e, (16 - (max(row) + 1))::DOUBLE AS s, (16 - min(row))::DOUBLE AS n
+      FROM best JOIN nodes USING (id) LEFT JOIN met ON met.a = id GROUP BY root""").replace("WITH p", "WITH RECURSIVE p", 1).replace("      nodes AS", "      reach(x, y) AS (SELECT a, b FROM touch UNION SELECT x, b FROM reach JOIN touch ON y = a), nodes AS", 1),
+)
+
+
 def queries() -> dict:
     return dict(_QUERIES)
 

@@ -26,11 +26,13 @@ def read_xyz(
     skiprows: int = 0, delimiter: str | None = None, z_scale: float = 1.0, x_offset: float = 0.0, y_offset: float = 0.0,
 ) -> DataFrame:
     """ASCII points. Lines that begin with # and lines whose coordinates are no numbers are left out; without a delimiter
-    commas, semicolons, bars and white space part fields. Whole files are split among tasks; with `skiprows` the rows to skip
-    are known by their position in the file."""
+    commas, semicolons, bars and white space part fields. Files are split among tasks, also with one row to skip, which is
+    read as a header; with more, a file goes to one task."""
     text = spark.read.text(path)
-    if skiprows:
-        # the first line of a file starts at offset 0: files with headers are read whole, one task each
+    if skiprows == 1:
+        # a separator that no line has, and no quotes: a line is one value
+        text = spark.read.csv(path, schema="value string", header=True, sep="\x01", quote="", enforceSchema=True).filter("value IS NOT NULL")
+    elif skiprows:
         text = spark.read.text(path, wholetext=True).select(F.explode(F.slice(F.split("value", "\r?\n"), skiprows + 1, 1 << 30)).alias("value"))
     line = F.trim("value")
     fields = F.split(line, r"[,;|\s]+" if delimiter is None else "\\" + delimiter if delimiter in "|.+*?^$()[]{}\\" else delimiter)
