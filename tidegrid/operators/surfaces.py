@@ -24,13 +24,13 @@ def _both_ways(line: str, order: str):
 
 def taxicab(cells: DataFrame, mask: Column, name: str = "distance") -> DataFrame:
     """`cells` with the taxicab distance to the nearest cell where `mask` holds, null where it holds nowhere."""
-    out = cells.withColumn("_at", F.when(mask, F.col("col")))
-    west, east = (F.last("_at", True).over(w) for w in _both_ways("row", "col"))
-    out = out.withColumn("_d", F.least(F.col("col") - west, east - F.col("col")))
+    out = cells.withColumn("_tx", F.when(mask, F.col("col")))
+    west, east = (F.last("_tx", True).over(w) for w in _both_ways("row", "col"))
+    out = out.withColumn("_ty", F.least(F.col("col") - west, east - F.col("col")))
     north, south = _both_ways("col", "row")
-    up = F.min(F.col("_d") - F.col("row")).over(north) + F.col("row")
-    down = F.min(F.col("_d") + F.col("row")).over(south) - F.col("row")
-    return out.withColumn(name, F.least(up, down).cast("int")).drop("_at", "_d")
+    up = F.min(F.col("_ty") - F.col("row")).over(north) + F.col("row")
+    down = F.min(F.col("_ty") + F.col("row")).over(south) - F.col("row")
+    return out.withColumn(name, F.least(up, down).cast("int")).drop("_tx", "_ty")
 
 
 def _closed(cells: DataFrame, mask: Column, name: str) -> DataFrame:
