@@ -1,29 +1,10 @@
-"""Helpers that several operators share: the shared folder, written tables, components, next keys."""
+"""Helpers that several operators share: written tables, components, texts, next keys."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import DataFrame, functions as F
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
-    sc = spark.sparkContext
-    place = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("tidegrid.scratch.dir", None)
-    if not place:
-        place = "file://" + tempfile.mkdtemp(prefix="tidegrid-")
-        spark.conf.set("tidegrid.scratch.dir", place)
-    return place.rstrip("/")
-
-
-def stash(df: DataFrame, label: str) -> DataFrame:
-    """Write `df` once to the shared folder and read it back: lineage ends here and nothing is computed twice."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidegrid/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from tidegrid.functions.shared import components, shared_dir, stash  # noqa: F401
 
 
 def text_of(column: str = "text"):
@@ -38,40 +19,6 @@ def ascii_lower(column):
     )
 
 
-def components(edges: DataFrame, label: str = "cc", max_rounds: int = 40) -> DataFrame:
-    """Connected components of `edges` (a, b long) as (id, component_id), the smallest id reachable.
-
-    Alternating large-star and small-star joins; each round is a written table. Ids without an edge do not
-    occur in the result. A star whose centre has many leaves is a skewed join, which AQE splits.
-    """
-
-    def state(e: DataFrame):
-        return e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-
-    current = stash(
-        edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), label
-    )
-    before = state(current)
-    for _ in range(max_rounds):
-        both = current.union(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.filter("a <> b").distinct()
-        # small star: every a keeps its least smaller neighbour; the others are hung below that one
-        centre = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(centre, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
-        small = small.union(centre.select("a", F.col("m").alias("b"))).distinct()
-        current = stash(small, label)
-        now = state(current)
-        if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError("components did not settle")
-    leaves = current.select(F.col("a").alias("id"), F.col("b").alias("component_id"))
-    return leaves.union(current.select(F.col("b").alias("id"), F.col("b").alias("component_id")).distinct())
-
-
 def with_next_key(keys: DataFrame, key: str, span_bits: int = 12) -> DataFrame:
     """Distinct integer keys with the next larger one (after the last: the first) as `next_key`.
 
