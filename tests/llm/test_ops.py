@@ -344,6 +344,23 @@ def test_block_tables_find_all_within_the_radius(spark):
     assert got == want
 
 
+def test_simhash_query_counts_all_within_seven_bits(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    base = [f"w{n}" for n in rng.integers(0, 5000, 1500)]
+    rows = []
+    for i in range(20, 60):
+        words = list(base)
+        for at in rng.choice(len(words), i % 10, replace=False):
+            words[at] = f"new{i}{at}"
+        rows.append((i, " ".join(words), "s"))
+    docs(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in queries.op8_simhash(spark, str(tmp_path)).collect()}
+    far = lambda a, b: (int(got[a]["fingerprint"], 16) ^ int(got[b]["fingerprint"], 16)).bit_count()
+    for i in (20, 40):
+        assert got[i]["n_near"] == sum(far(i, j) <= 7 for j in got) - 1
+        assert any(3 < far(i, j) <= 7 for j in got)
+
+
 # BPE
 def test_bpe_round_trip(spark):
     from tokenizers import Tokenizer

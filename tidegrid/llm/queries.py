@@ -87,6 +87,10 @@ def op7_exactdup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdup.exact_dups(table(spark, sf_dir, "documents"))
 
 
+#: Bits in which fingerprints of near copies may differ.
+RADIUS = 7
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and their edited texts; for every twentieth key also how many rows lie within the
     radius of its fingerprint."""
@@ -94,7 +98,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
     out = simhash.stash(out, "simhash")
     asked = out.filter(F.col("doc_id") % 20 == 0)
-    found = simhash.near_fingerprints(asked, out).groupBy("fingerprint").agg(F.sum("n_rows").alias("n"))
+    found = simhash.near_fingerprints(asked, out, radius=RADIUS).groupBy("fingerprint").agg(F.sum("n_rows").alias("n"))
     found = asked.select("doc_id", "fingerprint").join(found, "fingerprint").select("doc_id", (F.col("n") - 1).alias("n_near"))
     return out.join(found, "doc_id", "left")
 

@@ -7,7 +7,8 @@ least 0, an estimate of the cosine of their term vectors.
 
 Search: with radius r, bits are cut into r + `extra` blocks; two fingerprints within r agree on at least `extra` of them
 exactly. A table a choice of `extra` blocks, with those blocks permuted to the front as the key, finds every pair: an
-equi-join on a hash of table and key, then the distance of each candidate. Queries are a stated set of keys, all rows are searched.
+equi-join on a hash of table and key. The tables hold only that hash and a hash of the fingerprint; whole fingerprints
+are joined to the distinct candidates, whose distances are then exact. Ids that collide add candidates and lose none. Queries are a stated set of keys, all rows are searched.
 Rows with equal fingerprints are one entry with a count, so copies do not multiply candidates.
 
 Null text counts as empty; texts without words have the fingerprint of zeros. Repeated rows repeat; extra columns
@@ -89,18 +90,22 @@ def near_fingerprints(queries: DataFrame, rows: DataFrame, radius: int = 3, extr
     edges = [round(i * digits / count) for i in range(count + 1)]
     tables = list(combinations(range(count), extra))
 
+    def hashed(df, name):
+        return df.withColumn(f"{name}_id", F.xxhash64(name))
+
     def keyed(df, name):
         keys = [
             F.xxhash64(F.lit(t), *[F.substring(name, edges[i] + 1, edges[i + 1] - edges[i]) for i in chosen])
             for t, chosen in enumerate(tables)
         ]
-        return df.select("*", F.explode(F.array(*keys)).alias("block_key"))
+        return df.select(f"{name}_id", F.explode(F.array(*keys)).alias("block_key"))
 
     every = rows.groupBy("fingerprint").agg(F.count("*").alias("n_rows")).withColumnRenamed("fingerprint", "other")
-    asked = queries.select("fingerprint").distinct()
-    pairs = keyed(asked, "fingerprint").join(keyed(every, "other"), "block_key")
+    every, asked = hashed(every, "other"), hashed(queries.select("fingerprint").distinct(), "fingerprint")
+    pairs = keyed(asked, "fingerprint").join(keyed(every, "other"), "block_key").select("fingerprint_id", "other_id").distinct()
+    pairs = pairs.join(asked, "fingerprint_id").join(every, "other_id")
     pairs = pairs.withColumn("distance", _distance("fingerprint", "other", bits)).filter(F.col("distance") <= radius)
-    return pairs.select("fingerprint", "other", "n_rows", "distance").distinct()
+    return pairs.select("fingerprint", "other", "n_rows", "distance")
 
 
 def with_edited(docs: DataFrame, k: int = 2, bits: int = 128, span_bits: int = 10, key: str = "doc_id", text: str = "text") -> DataFrame:
