@@ -397,6 +397,16 @@ def test_line_dedup(spark, margin, monkeypatch):
     assert linedup.dedup_lines(docs(spark).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("gap", ["\n\n", "\n \t\n\n"])
+def test_boilerplate_between_blank_lines(spark, gap):
+    rows = [(i, gap.join((f"unique {i} a", "shared footer", f"unique {i} b")), f"s{i % 12}") for i in range(60)]
+    rows += [(100 + i, gap.join(("copied one", "copied two", "copied three")), f"s{i % 12}") for i in range(40)]
+    got = {r["doc_id"]: (r["text"], r["lines_removed"]) for r in linedup.dedup_lines(docs(spark, rows)).collect()}
+    for i, t, _ in rows:
+        want = "\n".join(x for x in t.split("\n") if x != "shared footer")
+        assert got[i] == (want, i < 60)
+
+
 # hashing helper
 def test_word_shingles_agree_with_python():
     texts = ["A b c d e f", "a B c d e f g", "", "one two", "ONE two", " \t", "é é é é é", "a\x0bb\x0cc d e"]

@@ -1,7 +1,7 @@
 """Line deduplication by distinct-site spread. Main path: DataFrame functions only.
 
 A line is boilerplate when it is on at least `sites` distinct sites and its distinct surroundings (the lines before and
-after) are at least `sites` too and at least `variety` times the distinct texts that hold it: a line that recurs between the same neighbours
+after, blank ones skipped) are at least `sites` too and at least `variety` times the distinct texts that hold it: a line that recurs between the same neighbours
 belongs to copies of one text, which are not the business of this operator. Each frequent line hash gets HyperLogLog
 sketches of its sites, texts and surroundings, which merge by aggregation; lines whose estimates lie near either
 threshold get exact distinct counts. Boilerplate goes from every document.
@@ -32,11 +32,11 @@ def line_rows(docs: DataFrame, text: str = "text", source: str = "source") -> Da
     keys = docs.select(
         F.xxhash64(text_of(text)).alias("t"),
         F.coalesce(F.col(source).cast("string"), F.lit("\0null")).alias("site"),
-        F.transform(F.split(text_of(text), "\n", -1), line_key).alias("k"),
+        F.filter(F.transform(F.split(text_of(text), "\n", -1), line_key), F.isnotnull).alias("k"),
     )
     at = lambda i: F.get(F.col("k"), i)
     each = F.transform("k", lambda x, i: F.struct(x.alias("line"), F.xxhash64(F.coalesce(at(i - 1), F.lit(0)), F.coalesce(at(i + 1), F.lit(0))).alias("around")))
-    rows = keys.select("t", "site", F.inline(each)).filter("line is not null")
+    rows = keys.select("t", "site", F.inline(each))
     return rows.withColumn("salt", F.pmod("t", F.lit(_SALTS)).cast("int"))
 
 
