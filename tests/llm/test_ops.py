@@ -329,6 +329,16 @@ def test_simhash_edits(spark):
     assert simhash.with_edited(docs(spark).limit(0)).count() == 0
 
 
+def test_simhash_keeps_rows_of_null_key(spark):
+    rows = [(1, "Alpha beta gamma", "s"), (None, "Alpha beta gamma", "s"), (None, None, "s"), (2, "one two", "s")]
+    got = simhash.with_edited(docs(spark, rows)).collect()
+    keyed = {r["doc_id"]: r for r in got if r["doc_id"] is not None}
+    loose = sorted((r for r in got if r["doc_id"] is None), key=lambda r: r["n_chars"])
+    assert len(got) == 4 and keyed[1]["edited"] == "Alpha beone two"
+    assert [(r["n_chars"], r["fingerprint"]) for r in loose] == [(0, "0" * 32), (16, keyed[1]["fingerprint"])]
+    assert all(r[c] is None for r in loose for c in ("edited", "edited_fingerprint", "near_edited", "near_next"))
+
+
 def test_block_tables_find_all_within_the_radius(spark):
     rng = np.random.default_rng(2)
     base = [int.from_bytes(rng.bytes(16)) for _ in range(30)]

@@ -61,16 +61,18 @@ def likeness(a: bytes, b: bytes) -> float:
     return max(0.0, float(np.cos(np.pi * far / bits)))
 
 
-def simhash(docs: DataFrame, k: int = 2, bits: int = 128, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, fingerprint string of hex digits) of every whole text."""
+def simhash(docs: DataFrame, k: int = 2, bits: int = 128, key: str = "doc_id", text: str = "text", sizes: bool = False) -> DataFrame:
+    """(key, fingerprint string of hex digits) of every whole text; with `sizes` also n_chars."""
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches):
         for b in batches:
             prints = [f.hex() for f in fingerprints(b.column(1), k, bits)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(prints, pa.string())], names=[key, "fingerprint"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(prints, pa.string()), *b.columns[2:]], names=[key, "fingerprint", *extra])
 
-    return docs.select(key, text_of(text).alias(text)).mapInArrow(run, f"{key} {kind}, fingerprint string")
+    extra = ["n_chars"] if sizes else []
+    rows = docs.select(key, text_of(text).alias(text), *[F.char_length(text_of(text)).cast("long").alias(n) for n in extra])
+    return rows.mapInArrow(run, ", ".join([f"{key} {kind}", "fingerprint string", *[f"{n} bigint" for n in extra]]))
 
 
 def _distance(a: str, b: str, bits: int):
@@ -112,8 +114,9 @@ def with_edited(docs: DataFrame, k: int = 2, bits: int = 128, span_bits: int = 1
     """Every document beside its edited text: the last half replaced by the start of the next document (by key).
 
     (key, n_chars, edited string, fingerprint, edited_fingerprint, near_edited, near_next). Documents meet in blocks of
-    2^span_bits consecutive keys; each block also gets the document that follows it. Keys must not be null; rows that
-    share a key all precede the next key, and that key's row with the least text follows.
+    2^span_bits consecutive keys; each block also gets the document that follows it. Rows that share a key
+    all precede the next key, and that key's row with the least text follows. Rows of null key have no next document and
+    follow none: they keep n_chars and fingerprint, and the other columns are null.
     """
     kind = docs.schema[key].dataType.simpleString()
     schema = f"{key} {kind}, n_chars bigint, edited string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -158,4 +161,6 @@ def with_edited(docs: DataFrame, k: int = 2, bits: int = 128, span_bits: int = 1
             }
         )
 
-    return both.groupBy("block").applyInArrow(edit, schema)
+    out = both.groupBy("block").applyInArrow(edit, schema)
+    loose = simhash(docs.filter(F.col(key).cast("long").isNull()), k, bits, key, text, sizes=True)
+    return out.unionByName(loose, allowMissingColumns=True)
