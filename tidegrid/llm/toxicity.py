@@ -1,17 +1,21 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-Terms: insult stems and words with weights learned from labelled texts (smoothed log odds of occurring in a toxic text,
-less one standard error); threat verbs, targets, negations and reported-speech verbs are closed lists. A text is
-lower-cased, and only clauses that hold an insult or threat are read. Per clause the transducers compose:
-
-* reported speech: after a speech verb or inside quotation marks the state is REPORTED until the clause ends;
-* negation: a negation opens a NEGATED window of `REACH` words;
-* target: a target within `REACH` words of a term makes it TARGETED;
-* insult and threat: a term emits its weight in the state that holds there (plain, negated, reported, targeted).
-
-The sums by state, the number of distinct terms and the greatest weight are combined by a logistic model fitted on the
-same labelled sample. The sample holds about `sample_rows` labelled rows at most, chosen by a hash of the key (the
-documented bound); scoring reads every whole text.
+A lexer turns a sentence into symbols: insult, threat, target, negation, speech verb, quotation mark, comma, contrast, other.
+Transducers run over the symbols, forwards or backwards, and are composed: each adds one bit to every symbol.
+
+* negation: a negation opens a window of `REACH` words, closed early by a contrast ("but");
+* reported speech: after a speech verb, inside quotation marks, or before a trailing "..., she said";
+* target: a target within `REACH` words before or behind.
+
+An insult emits its weight, a threat 1; the emission is multiplied by the factor of every bit that is set there (a threat without
+a target by `IDLE_THREAT`), so "he said you are not vile" is insult x target x negation x reported speech. Insults are
+learned from labelled texts: words, and stems of `MIN_STEM` letters or more that begin `MIN_FORMS` different words or more;
+the weight is the smoothed log odds of occurring in a toxic text, less one standard error. A word matches with a closed list of
+inflections, a stem with any ending, both after an apostrophe too. Threats, targets, negations, speech verbs and contrasts are
+closed lists. The sum of emissions, the greatest one, the threats and the distinct terms are combined by a logistic model. Factors and
+logistic weights start from stated priors and move as far as the labelled sample bears out; the sample holds about
+`sample_rows` labelled rows at most, chosen by a hash of the key (the documented bound), and the lexicon `max_terms` terms.
+Scoring reads every whole text, of any length, in one pass.
 
 Null or empty texts have no clause and get the model's score of no evidence. Labels with null key or value are ignored;
 repeated label rows of a key count once, as toxic if one is. Without labels of both kinds the score is 0.05. Rows
@@ -31,86 +35,211 @@ from pyspark.sql import DataFrame, functions as F
 from tidegrid.llm.common import stash, text_of
 
 REACH = 4
-MIN_STEM, MAX_STEM = 3, 8
+MIN_STEM, MAX_STEM, MIN_FORMS = 4, 10, 3
+#: What is left of a threat that has no target.
+IDLE_THREAT = 0.1
+#: Factors of the bits before any label is seen: negated, reported, targeted.
+PRIOR_FACTORS = (0.25, 0.4, 1.5)
+#: Logistic weights before any label is seen: constant, emissions, greatest, threats, distinct terms.
+PRIOR_WEIGHTS = (-4.0, 0.5, 0.5, 6.0, 0.5)
 #: fixed values: closed lists of the grammar (English, French, German, Spanish)
-NEGATIONS = frozenset("not no never n't without ne pas jamais sans nicht kein keine keinen nie ohne nunca jamás sin tampoco".split())
-TARGETS = frozenset("you your yours he she they them him her his their tu toi vous il elle ils du dich dir ihr er sie usted ustedes él ella".split())
-SPEECH = frozenset("said says saying wrote writes called quoted claimed dit écrit disait sagte schrieb sagt dijo dice escribió llamó".split())
-THREATS = frozenset("kill hurt beat destroy burn shoot stab tuer frapper détruire töten schlagen vernichten matar golpear destruir".split())
-_CLAUSE = re.compile(r"[.!?;\n]+")
-_WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
+NEGATIONS = frozenset("not no never without ne n pas jamais sans nicht kein keine keinen keiner nie ohne nunca jamás sin tampoco".split())
+CONTRASTS = frozenset("but mais aber sondern pero sino".split())
+TARGETS = frozenset("you your yours he she they them him her his their tu toi te vous il elle ils du dich dir ihr er sie usted ustedes él ella".split())
+SPEECH = frozenset("said says say saying wrote writes called calls quoted claimed claims dit dis écrit disait sagte sagt schrieb schreibt dijo dice decía escribió llamó".split())
+THREATS = frozenset("kill hurt beat destroy burn shoot stab tue tuer frapper détruire töten schlagen vernichten matar golpear destruir".split())
+#: fixed values: endings of an inflected insult, and of a threat's stem (the infinitive without its ending)
+INSULT_ENDINGS = frozenset(["", "s", "es", "e", "n", "en", "er", "x"])
+THREAT_ENDINGS = frozenset("s ed ing er es en e et te ten est ai as a ons ez ent erai eras era é ée és o an ar aré arás ará aron aste arte ir iré irá re ra".split()) | {""}
+_INFINITIVE = re.compile(r"(?:er|re|en|ar|ir)$")
+_BREAK = re.compile(r"[.!?;\n]+")
+_TOKEN = re.compile(r"[^\W_]+|[\"“”«»„]|,")
 _QUOTES = re.compile(r"[\"“”«»„]")
+_CONTRACTED = re.compile(r"n['’]t(?![^\W_])")
+
+INSULT, THREAT, TARGET, NEGATION, SPEECH_VERB, QUOTE, COMMA, CONTRAST, OTHER = "IKTNSQ,CO"
+NEGATED, REPORTED, TARGETED = 1, 2, 4
+
+
+class Transducer:
+    """A finite-state transducer: `step(state, symbol)` gives the next state; a symbol gets `bit` if `emits` the state in
+    which it is read. Backwards ones read the sentence from its end."""
+
+    def __init__(self, bit, start, step, emits, backwards=False):
+        self.bit, self.start, self.step, self.emits, self.backwards = bit, start, step, emits, backwards
+
+    def run(self, symbols, start=None) -> list[int]:
+        state, out = self.start if start is None else start, []
+        for s in reversed(symbols) if self.backwards else symbols:
+            out.append(self.bit if self.emits(state) else 0)
+            state = self.step(state, s)
+        return out[::-1] if self.backwards else out
+
+
+def _window(opens, closes=()):
+    """States are the words that the window still reaches; marks that are no words do not count."""
+    return lambda n, s: REACH if s in opens else 0 if s in closes else n if s in (QUOTE, COMMA) else max(n - 1, 0)
+
+
+def _reporting(state, s):
+    """States (inside quotation marks, after a speech verb)."""
+    quoted, after = state
+    return (not quoted, after) if s == QUOTE else (quoted, after or s == SPEECH_VERB)
+
+
+def _trailing(state, s):
+    """Backwards: a speech verb among the last three words, with a comma or quotation mark before it, reports all before.
+    States: words read before the verb (0 to 2), "v0" to "v2" words since it, "R" reported, "-" none."""
+    if state in ("R", "-"):
+        return state
+    if isinstance(state, int):
+        return "v0" if s == SPEECH_VERB else state if s == QUOTE and not state else state + 1 if s in (TARGET, OTHER) and state < 2 else "-"
+    return "R" if s in (COMMA, QUOTE) else f"v{int(state[1]) + 1}" if s in (TARGET, OTHER) and state != "v2" else "-"
+
+
+#: The grammar: bits of these are or-ed, so the transducers are composed.
+GRAMMAR = (
+    Transducer(NEGATED, 0, _window({NEGATION}, {CONTRAST}), bool),
+    Transducer(REPORTED, (False, False), _reporting, any),
+    Transducer(REPORTED, 0, _trailing, lambda s: s == "R", backwards=True),
+    Transducer(TARGETED, 0, _window({TARGET}), bool),
+    Transducer(TARGETED, 0, _window({TARGET}), bool, backwards=True),
+)
+
+
+def bits_of(symbols: list[str], quoted: bool = False) -> list[int]:
+    """The bits of every symbol of a sentence; `quoted`: it begins inside quotation marks."""
+    out = [0] * len(symbols)
+    for t in GRAMMAR:
+        start = (quoted, False) if t.step is _reporting else None
+        out = [a | b for a, b in zip(out, t.run(symbols, start), strict=True)]
+    return out
+
+
+_CLOSED = {
+    **dict.fromkeys(TARGETS, TARGET), **dict.fromkeys(NEGATIONS, NEGATION), **dict.fromkeys(SPEECH, SPEECH_VERB),
+    **dict.fromkeys(CONTRASTS, CONTRAST), **dict.fromkeys("\"“”«»„", QUOTE), ",": COMMA,
+}
 
 
 @dataclass
 class Model:
-    """Weights of stems (a trailing * in `terms` marks a stem) and of the logistic layer."""
+    """Weights of terms (a trailing * in `terms` marks a stem), factors of the bits, weights of the logistic layer."""
 
     terms: dict[str, float] = field(default_factory=dict)
+    factors: tuple[float, float, float] = PRIOR_FACTORS
     weights: list[float] | None = None
 
     def matcher(self):
+        """Automaton of all terms and threats: (term, whether any ending will do, endings, weight or None for a threat)."""
         import ahocorasick
 
         a = ahocorasick.Automaton()
+        entries: dict[str, list] = {}
         for t, w in self.terms.items():
-            a.add_word(t.rstrip("*"), (t.rstrip("*"), t.endswith("*"), w))
+            entries.setdefault(t.rstrip("*"), []).append((t, t.endswith("*"), INSULT_ENDINGS, w))
         for t in THREATS:
-            if t not in self.terms:
-                a.add_word(t, (t, False, -1.0))
+            for form in {t, _INFINITIVE.sub("", t)} if len(t) > 4 else {t}:
+                entries.setdefault(form, []).append((t, False, THREAT_ENDINGS, None))
+        for form, found in entries.items():
+            a.add_word(form, (len(form), found))
         a.make_automaton()
         return a
 
 
 def term_features(text: str) -> set[str]:
     """Whole words, and stems with a trailing *."""
-    words = set(_WORD.findall(text.lower()))
+    words = set(re.findall(r"[^\W_]+", text.lower()))
     return words | {w[:n] + "*" for w in words for n in range(MIN_STEM, min(MAX_STEM, len(w)) + 1)}
 
 
-def clause_features(text: str, automaton) -> list[float]:
-    """Sums by state: plain, negated, reported, targeted, threats; then distinct terms and the greatest weight."""
-    low = text.lower()
-    spots: dict[int, tuple[str, float]] = {}
-    for end, (term, stem, weight) in automaton.iter(low):
-        start = end - len(term) + 1
-        if start and (low[start - 1].isalnum()):
+def _spots(low: str, automaton) -> dict[int, tuple[str, float | None]]:
+    """The strongest term or threat at each word that has one."""
+    spots: dict[int, tuple[str, float | None]] = {}
+    for last, (n, found) in automaton.iter(low):
+        start = last - n + 1
+        if start and low[start - 1].isalnum():
             continue
-        if not stem and end + 1 < len(low) and low[end + 1].isalnum():
-            continue
-        if start not in spots or weight > spots[start][1]:
-            spots[start] = (term, weight)
-    sums, terms, most, done = [0.0] * 5, set(), 0.0, -1
+        end = last + 1
+        while end < len(low) and end - last <= MAX_STEM and low[end].isalnum():
+            end += 1
+        rest = low[last + 1 : end]
+        for term, any_end, endings, weight in found:
+            if not any_end and rest not in endings:
+                continue
+            held = spots.get(start)
+            if held is None or (weight is not None and (held[1] is None or weight > held[1])):
+                spots[start] = (term, weight)
+    return spots
+
+
+def clause_features(text: str, automaton) -> list[float]:
+    """By the eight sets of bits: summed weights of insults, greatest weight, distinct terms, threats (32 numbers)."""
+    low = _CONTRACTED.sub(" not", text.lower())
+    sums, most, threats = [0.0] * 8, [0.0] * 8, [0.0] * 8
+    terms: list[set] = [set() for _ in range(8)]
+    spots = _spots(low, automaton)
+    done, seen, quoted = -1, 0, False
     for at in sorted(spots):
         if at < done:
             continue
-        begin = max(low.rfind(c, 0, at) for c in ".!?;\n") + 1
-        stop = _CLAUSE.search(low, at)
+        begin = max(low.rfind(c, max(done, 0), at) for c in ".!?;\n") + 1 or max(done, 0)
+        stop = _BREAK.search(low, at)
         done = stop.start() if stop else len(low)
-        words = [(m.group(), m.start()) for m in _WORD.finditer(low, begin, done)]
-        targets = [i for i, (w, _) in enumerate(words) if w in TARGETS]
-        negated, reported = -1, len(_QUOTES.findall(low, begin, at)) % 2 == 1
-        for i, (w, s) in enumerate(words):
-            if w in SPEECH:
-                reported = True
-            elif w in NEGATIONS:
-                negated = i + REACH
-            elif s in spots:
+        # quotation marks pair up within a paragraph
+        line = low.rfind("\n", seen, begin)
+        quoted = (quoted and line < 0) ^ (len(_QUOTES.findall(low, line + 1 if line >= 0 else seen, begin)) % 2 == 1)
+        seen = begin
+        tokens = [(m.group(), m.start()) for m in _TOKEN.finditer(low, begin, done)]
+        symbols = [_CLOSED.get(w) or ((THREAT if spots[s][1] is None else INSULT) if s in spots else OTHER) for w, s in tokens]
+        for (_, s), symbol, b in zip(tokens, symbols, bits_of(symbols, quoted), strict=True):
+            if symbol == THREAT:
+                threats[b] += 1.0
+            elif symbol == INSULT:
                 term, weight = spots[s]
-                if weight < 0:
-                    sums[4] += 1.0
-                    continue
-                terms.add(term)
-                most = max(most, weight)
-                state = 2 if reported else 1 if i <= negated else 3 if any(abs(i - t) <= REACH for t in targets) else 0
-                sums[state] += weight
-    return [*sums, float(len(terms)), most]
+                sums[b] += weight
+                most[b] = max(most[b], weight)
+                terms[b].add(term)
+    return [*sums, *most, *map(float, map(len, terms)), *threats]
 
 
-def design(rows: np.ndarray) -> np.ndarray:
+def composed(factors) -> np.ndarray:
+    """The factor of each of the eight sets of bits."""
+    return np.array([np.prod([f for i, f in enumerate(factors) if b >> i & 1]) for b in range(8)])
+
+
+def design(rows, factors) -> np.ndarray:
     """Columns of the logistic layer."""
-    x = np.asarray(rows, float).reshape(-1, 7)
-    return np.column_stack([np.ones(len(x)), np.log1p(x[:, :5]), np.minimum(x[:, 5], 6.0), x[:, 6]])
+    x = np.asarray(rows, float).reshape(-1, 4, 8)
+    f = composed(factors)
+    threat = f * np.where(np.arange(8) & TARGETED, 1 / factors[2], IDLE_THREAT)
+    insult, most, terms, threats = x[:, 0] @ f, (x[:, 1] * f).max(1), x[:, 2] @ np.minimum(f, 1), x[:, 3] @ threat
+    return np.column_stack([np.ones(len(x)), np.log1p(insult), most, np.log1p(threats), np.log1p(terms)])
+
+
+def _fit(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+    """Logistic weights with a ridge towards the priors, and the penalised log likelihood."""
+    prior = np.array(PRIOR_WEIGHTS)
+    w, ridge = prior.copy(), np.diag([1e-2, *[1.0] * (x.shape[1] - 1)])
+    for _ in range(40):  # Newton steps
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge, x.T @ (y - p) - ridge @ (w - prior))
+        w = w + np.clip(step, -2, 2)
+    z = np.clip(x @ w, -30, 30)
+    return w, float((y * z - np.log1p(np.exp(z))).sum() - (w - prior) @ ridge @ (w - prior) / 2)
+
+
+def fit(rows: np.ndarray, y: np.ndarray) -> tuple[tuple[float, float, float], list[float]]:
+    """(factors, logistic weights): each factor is tried at half to double its place; leaving the prior costs 2 a doubling."""
+    factors, best = list(PRIOR_FACTORS), _fit(design(rows, PRIOR_FACTORS), y)
+    for i in range(3):
+        for power in (-2, -1, 1, 2):
+            tried = [*factors]
+            tried[i] = PRIOR_FACTORS[i] * 2.0**power
+            w, value = _fit(design(rows, tried), y)
+            if value - 2 * abs(power) > best[1]:
+                factors, best = tried, (w, value - 2 * abs(power))
+    return tuple(factors), best[0].tolist()
 
 
 def train_rows(docs: DataFrame, labels: DataFrame, sample_rows: int, key: str, text: str, label: str) -> DataFrame:
@@ -128,7 +257,7 @@ def learn(
     docs: DataFrame, labels: DataFrame, sample_rows: int = 16_000, max_terms: int = 5_000, least_weight: float = 3.0,
     key: str = "doc_id", text: str = "text", label: str = "toxic",
 ) -> Model:
-    """Learn the terms and the logistic layer. `labels` (key, label) must hold only rows that may be learned from."""
+    """Learn the terms, the factors and the logistic layer. `labels` (key, label) must hold only rows that may be learned from."""
     sample = train_rows(docs, labels, sample_rows, key, text, label)
 
     def count(side: int, among: frozenset | None):
@@ -152,27 +281,26 @@ def learn(
     odds = float(np.log(sizes[0] / sizes[1]))
     # without any clean text a term needs so many toxic ones to reach the least weight; the others need not be counted
     enough = next((n for n in range(1, 1000) if _weight(n, 0, odds) >= least_weight), 1000)
-    toxic = sample.mapInArrow(count(1, None), "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
-    pos = {r["term"]: r["n"] for r in toxic.filter(F.col("n") >= enough).collect()}  # bounded by the sample
+    toxic = stash(sample.mapInArrow(count(1, None), "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n")), "toxic-terms")
+    words = toxic.filter(~F.col("term").endswith("*"))
+    stems = words.select(F.explode(F.transform(F.sequence(F.lit(MIN_STEM), F.lit(MAX_STEM)), lambda n: F.when(F.char_length("term") >= n, F.concat(F.substring(F.col("term"), F.lit(1), n), F.lit("*"))))).alias("term"))
+    forms = stems.filter("term is not null").groupBy("term").agg(F.count("*").alias("forms"))
+    some = toxic.filter(F.col("n") >= enough).join(forms, "term", "left").filter(~F.col("term").endswith("*") | (F.col("forms") >= MIN_FORMS))
+    pos = {r["term"]: r["n"] for r in some.select("term", "n").collect()}  # bounded by the sample
     clean = sample.mapInArrow(count(0, frozenset(pos)), "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
     neg = {r["term"]: r["n"] for r in clean.collect()}
     weights = {t: w for t, n in pos.items() if (w := _weight(n, neg.get(t, 0), odds)) >= least_weight}
-    # the documented bound of the grammar's size
-    best = sorted(weights, key=lambda t: (-weights[t], t))[:max_terms]
+    # a stem that is as frequent as a longer one says no more than that one
+    longer = {(t[:-2] + "*", n) for t, n in pos.items() if t.endswith("*") and t in weights}
+    best = sorted((t for t in weights if (t, pos[t]) not in longer), key=lambda t: (-weights[t], t))[:max_terms]
     terms: dict[str, float] = {}
-    for t in sorted(best, key=lambda t: (len(t.rstrip("*")), not t.endswith("*"), t)):
+    for t in best:
         name = t.rstrip("*")
-        if not any(name[:n] + "*" in terms for n in range(MIN_STEM, len(name) + 1)):  # else a shorter stem holds it
+        if not any(name[:n] + "*" in terms for n in range(MIN_STEM, len(name) + 1)):  # else a heavier stem holds it
             terms[t] = weights[t]
     model = Model(terms)
     feats = sample.mapInArrow(_features_of(model, ["toxic"]), "toxic int, f array<double>").toPandas()  # sample_rows rows
-    x, y = design(np.stack(feats["f"].to_numpy())), feats["toxic"].to_numpy(float)
-    w = np.zeros(x.shape[1])
-    ridge = np.diag([1e-3] + [1.0] * (x.shape[1] - 1))
-    for _ in range(30):  # Newton steps
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        w += np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge, x.T @ (y - p) - ridge @ w)
-    model.weights = w.tolist()
+    model.factors, model.weights = fit(np.stack(feats["f"].to_numpy()), feats["toxic"].to_numpy(float))
     return model
 
 
@@ -182,20 +310,23 @@ def _weight(pos: int, neg: int, odds: float) -> float:
     return float(np.log(p / n) + odds - np.sqrt(1 / p + 1 / n))
 
 
+def scores(model: Model, features) -> np.ndarray:
+    """The score of each row of features."""
+    if model.weights is None:
+        return np.full(len(features), 0.05)
+    return 1 / (1 + np.exp(-np.clip(design(features, model.factors) @ np.array(model.weights), -30, 30)))
+
+
 def _features_of(model: Model, keep: list[str], score: bool = False):
     """A function of Arrow batches (text, *keep) to (*keep, features or score)."""
 
     def run(batches):
         automaton = model.matcher()
-        w = np.array(model.weights) if model.weights else None
         for b in batches:
             for i in range(0, b.num_rows, 512):
                 part = b.slice(i, 512)
                 f = [clause_features(t, automaton) for t in part.column("text").to_pylist()]
-                if not score:
-                    last = pa.array(f, pa.list_(pa.float64()))
-                else:
-                    last = pa.array(1 / (1 + np.exp(-np.clip(design(f) @ w, -30, 30))) if w is not None else np.full(len(f), 0.05))
+                last = pa.array(scores(model, f)) if score else pa.array(f, pa.list_(pa.float64()))
                 yield pa.RecordBatch.from_arrays([*[part.column(k) for k in keep], last], names=[*keep, "score" if score else "f"])
 
     return run
@@ -204,8 +335,8 @@ def _features_of(model: Model, keep: list[str], score: bool = False):
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, score double) of every whole text."""
     kind = docs.schema[key].dataType.simpleString()
-    rows = docs.select(text_of(text).alias("text"), key)
-    return rows.mapInArrow(_features_of(model, [key], True), f"{key} {kind}, score double")
+    rows = docs.select(text_of(text).alias("text"), F.col(key).alias("k"))
+    return rows.mapInArrow(_features_of(model, ["k"], True), f"k {kind}, score double").withColumnRenamed("k", key)
 
 
 def reject(docs: DataFrame, model: Model, threshold: float, text: str = "text") -> DataFrame:
@@ -214,12 +345,10 @@ def reject(docs: DataFrame, model: Model, threshold: float, text: str = "text")
 
     def run(batches):
         automaton = model.matcher()
-        w = np.array(model.weights) if model.weights else None
         for b in batches:
             texts = b.column(columns.index(text))
             for i in range(0, b.num_rows, 512):
                 f = [clause_features(t or "", automaton) for t in texts.slice(i, 512).to_pylist()]
-                s = 1 / (1 + np.exp(-np.clip(design(f) @ w, -30, 30))) if w is not None else np.full(len(f), 0.05)
-                yield b.slice(i, 512).filter(pa.array(s < threshold))
+                yield b.slice(i, 512).filter(pa.array(scores(model, f) < threshold))
 
     return docs.mapInArrow(run, docs.schema)
