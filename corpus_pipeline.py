@@ -42,7 +42,7 @@ def secret(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts are packed into sequences, mixed by source; a row per piece."""
-    return packing.pack_digests(docs, vocabulary("byte_bpe_50k.json"))
+    return packing.pack(docs, vocabulary("byte_bpe_50k.json"), digests=True)
 
 
 STAGES = [("toxicity", toxic), ("lines", lines), ("near", near), ("secrets", secret), ("packing", pack)]

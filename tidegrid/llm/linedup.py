@@ -1,15 +1,19 @@
 """Line deduplication by distinct-site spread. Main path: DataFrame functions only.
 
-A line is boilerplate when it is on at least `sites` distinct sites and its distinct surroundings (the lines before and
-after, blank ones skipped) are at least `sites` too and at least `variety` times the distinct texts that hold it: a line that recurs between the same neighbours
-belongs to copies of one text, which are not the business of this operator. Each frequent line hash gets HyperLogLog
-sketches of its sites, texts and surroundings, which merge by aggregation; lines whose estimates lie near either
-threshold get exact distinct counts. Boilerplate goes from every document.
-
-A hot line's rows are salted by text before they meet its sketch. A line: text between \\n; compared without white space
-at its ends; blank lines are never counted or removed. Sites: the source column; null is a site of its own. Null text
-stays null. A document all of whose lines are boilerplate keeps an empty text. Flags go by content, so repeated rows give
-repeated results and keys may be null. Extra columns stay as they are; an empty table gives an empty result.
+A line is boilerplate when it is on at least `sites` distinct sites in texts that are mostly their own. A text is its own when lines
+found on `sites` sites or more make up at most half of its lines, or of their characters; copies and near copies of one text spread
+over many sites are not, for nearly all their lines recur together, and so their lines stay. Any number of boilerplate
+lines may follow each other.
+
+Both counts are of distinct sites by line: HyperLogLog sketches per line hash merge by aggregation, and lines whose estimate lies
+near the threshold get exact distinct counts. Boilerplate goes from every document, its own or not.
+
+A hot line's rows are salted by text before they meet its sketch, and the copies of a hot text by a hash of their other columns
+before they meet its lines. A line: text between \\n; compared by a 64-bit hash without white space at its ends; blank lines are
+never counted or removed. Sites: the source column; null is a site of its own. Null text stays null. A document all of whose
+lines are boilerplate keeps an empty text. Flags go by content, so repeated rows give repeated results and keys may be null.
+Texts of any length are one row with an array of line hashes. Extra columns stay as they are, whatever their names; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,56 +32,75 @@ def line_key(line):
 
 
 def line_rows(docs: DataFrame, text: str = "text", source: str = "source") -> DataFrame:
-    """(t, site, line, around, salt) of every line that is not blank; t: hash of the text."""
+    """(t, site, line, size, salt) of every line that is not blank; t: hash of the text; size: its characters."""
     keys = docs.select(
         F.xxhash64(text_of(text)).alias("t"),
         F.coalesce(F.col(source).cast("string"), F.lit("\0null")).alias("site"),
-        F.filter(F.transform(F.split(text_of(text), "\n", -1), line_key), F.isnotnull).alias("k"),
+        F.explode(F.transform(F.split(text_of(text), "\n", -1), lambda x: F.struct(line_key(x).alias("line"), F.char_length(x).alias("size")))).alias("l"),
     )
-    at = lambda i: F.get(F.col("k"), i)
-    each = F.transform("k", lambda x, i: F.struct(x.alias("line"), F.xxhash64(F.coalesce(at(i - 1), F.lit(0)), F.coalesce(at(i + 1), F.lit(0))).alias("around")))
-    rows = keys.select("t", "site", F.inline(each))
+    rows = keys.select("t", "site", "l.line", "l.size").filter("line is not null")
     return rows.withColumn("salt", F.pmod("t", F.lit(_SALTS)).cast("int"))
 
 
-def _salted(lines: DataFrame) -> DataFrame:
-    return lines.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+def _salted(rows: DataFrame, name: str = "salt") -> DataFrame:
+    return rows.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
 
 
-def boilerplate(
-    rows: DataFrame, sites: int, variety: float = 0.6, site_margin: float = 0.3, variety_margin: float = 0.15, lg_k: int = 12
-) -> DataFrame:
-    """(line, n_sites, n_texts, n_around, exact) of boilerplate lines; counts are estimates where exact is false."""
+def spread(rows: DataFrame, sites: int, margin: float = 0.3, lg_k: int = 12) -> DataFrame:
+    """(line, n_sites, exact) of the lines on `sites` distinct sites or more; n_sites is an estimate where exact is false. `rows`:
+    (line, site, salt)."""
+    part = rows.groupBy("line", "salt").agg(F.hll_sketch_agg("site", F.lit(lg_k)).alias("sketch"))
+    whole = part.groupBy("line").agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("n_sites"))
+    whole = stash(whole.filter(F.col("n_sites") >= (1 - margin) * sites), "lines-estimates")
+    near = whole.filter(F.col("n_sites") <= (1 + margin) * sites).select("line")
+    pairs = rows.join(_salted(near), ["line", "salt"]).select("line", "site").distinct()
+    exact = pairs.groupBy("line").agg(F.count("*").alias("n_sites")).filter(F.col("n_sites") >= sites)
+    far = whole.filter(F.col("n_sites") > (1 + margin) * sites)
+    return far.withColumn("exact", F.lit(False)).unionByName(exact.withColumn("exact", F.lit(True)))
+
+
+def boilerplate(rows: DataFrame, sites: int, margin: float = 0.3) -> tuple[DataFrame, DataFrame]:
+    """(lines, widespread): (line, n_sites, exact) of boilerplate, counted over texts of their own, and (t, line) of all lines on
+    `sites` sites or more in any texts; written tables."""
     frequent = rows.groupBy("line").agg(F.count("*").alias("n")).filter(F.col("n") >= sites).select("line")
-    frequent = stash(frequent, "lines-frequent")
-    names = {"n_sites": "site", "n_texts": "t", "n_around": "around"}
-    part = rows.join(_salted(frequent), ["line", "salt"]).groupBy("line", "salt")
-    part = part.agg(*[F.hll_sketch_agg(c, F.lit(lg_k)).alias(n) for n, c in names.items()])
-    whole = part.groupBy("line").agg(*[F.hll_sketch_estimate(F.hll_union_agg(n)).alias(n) for n in names])
-    near_sites = F.abs(F.least("n_sites", "n_around") - sites) <= site_margin * sites
-    ratio = F.col("n_around") / F.col("n_texts")
-    maybe = F.least("n_sites", "n_around") >= (1 - site_margin) * sites
-    whole = whole.withColumn("near", maybe & (near_sites | (F.abs(ratio - variety) <= variety_margin)))
-    whole = stash(whole, "lines-estimates")
-    near = whole.filter("near").select("line")
-    kinds = F.array(*[F.struct(F.lit(n).alias("kind"), F.col(c).cast("string").alias("value")) for n, c in names.items()])
-    values = rows.join(_salted(near), ["line", "salt"]).select("line", F.inline(kinds)).distinct()
-    counts = values.groupBy("line").agg(*[F.count_if(F.col("kind") == n).alias(n) for n in names])
-    chosen = whole.filter("not near").select("line", *names, F.lit(False).alias("exact"))
-    chosen = chosen.unionByName(counts.withColumn("exact", F.lit(True)))
-    return chosen.filter((F.least("n_sites", "n_around") >= sites) & (F.col("n_around") >= variety * F.col("n_texts")))
-
-
-def dedup_lines(docs: DataFrame, sites: int = 10, variety: float = 0.6, text: str = "text", source: str = "source") -> DataFrame:
-    """`docs` with boilerplate lines gone from the text, and the columns lines_before, lines_removed (long)."""
+    wide = spread(rows.join(_salted(stash(frequent, "lines-frequent")), ["line", "salt"]), sites, margin).select("line")
+    wide = _salted(stash(wide, "lines-widespread")).withColumn("hit", F.lit(1))
+    marked = rows.join(wide, ["line", "salt"], "left")
+    hit = F.coalesce("hit", F.lit(0))
+    # copies of a text count alike above and below, so shares are those of one copy
+    texts = marked.groupBy("t").agg(
+        F.sum(hit).alias("hits"), F.count("*").alias("lines"), F.sum(hit * F.col("size")).alias("hit_size"), F.sum("size").alias("whole_size"),
+        F.collect_set(F.when(hit == 1, F.col("line"))).alias("found"),
+    ).filter("hits > 0")
+    own = (2 * F.col("hits") <= F.col("lines")) | (2 * F.col("hit_size") <= F.col("whole_size"))
+    texts = stash(texts.select("t", own.alias("own"), "found"), "lines-texts")
+    at = rows.select("t", "site").distinct()
+    evidence = texts.filter("own").select("t", F.explode("found").alias("line")).join(at, "t")
+    evidence = stash(evidence.withColumn("salt", F.pmod("t", F.lit(_SALTS)).cast("int")), "lines-evidence")
+    return stash(spread(evidence, sites, margin), "lines-boilerplate"), texts.select("t", F.explode("found").alias("line"))
+
+
+def dedup_lines(docs: DataFrame, sites: int = 10, margin: float = 0.3, text: str = "text", source: str = "source", report: bool = False) -> DataFrame:
+    """`docs` with boilerplate lines gone from the text; with `report`, instead (row struct of the columns so cleaned, lines_before,
+    lines_removed long)."""
     rows = stash(line_rows(docs, text, source), "lines")
-    lines = stash(boilerplate(rows, sites, variety), "lines-boilerplate")
-    hits = rows.select("t", "line").join(lines.select("line"), "line")
-    hits = hits.groupBy("t").agg(F.collect_set("line").alias("__gone")).withColumnRenamed("t", "__t")
-    out = docs.withColumn("__t", F.xxhash64(text_of(text))).join(hits, "__t", "left")
-    split = F.split(text_of(text), "\n", -1)
-    kept = F.filter(split, lambda x: F.coalesce(~F.array_contains("__gone", line_key(x)), F.lit(True)))
-    out = out.withColumn("__kept", F.when(F.col("__gone").isNull(), split).otherwise(kept))
-    out = out.withColumn("lines_before", F.size(split).cast("long")).withColumn("lines_removed", F.col("lines_before") - F.size("__kept"))
-    clean = F.when(F.col(text).isNull() | F.col("__gone").isNull(), F.col(text)).otherwise(F.array_join("__kept", "\n"))
-    return out.withColumn(text, clean).drop("__t", "__gone", "__kept")
+    lines, widespread = boilerplate(rows, sites, margin)
+    salted = widespread.withColumn("salt", F.pmod("t", F.lit(_SALTS)).cast("int")).join(_salted(lines.select("line")), ["line", "salt"])
+    gone = _salted(salted.groupBy("t").agg(F.collect_set("line").alias("gone")), "deal")
+    others = [F.col(f"`{c}`") for c, kind in docs.dtypes if c != text and "map<" not in kind and "variant" not in kind]
+    out = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        F.xxhash64(text_of(text)).alias("t"),
+        F.pmod(F.xxhash64(*others) if others else F.lit(0), F.lit(_SALTS)).cast("int").alias("deal"),
+    ).join(gone, ["t", "deal"], "left")
+    body = F.col("row")[text].cast("string")
+    split = F.split(F.coalesce(body, F.lit("")), "\n", -1)
+    kept = F.filter(split, lambda x: F.coalesce(~F.array_contains("gone", line_key(x)), F.lit(True)))
+    out = out.select("row", "gone", F.size(split).cast("long").alias("lines_before"), F.when(F.col("gone").isNotNull(), kept).alias("kept"))
+    body = F.col("row")[text]
+    clean = F.when(body.isNull() | F.col("gone").isNull(), body).otherwise(F.array_join("kept", "\n"))
+    columns = [clean.alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns]
+    if not report:
+        return out.select(*columns)
+    removed = F.coalesce(F.col("lines_before") - F.size("kept"), F.lit(0).cast("long"))
+    return out.select(F.struct(*columns).alias("row"), "lines_before", removed.alias("lines_removed"))

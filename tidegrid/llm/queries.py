@@ -20,7 +20,7 @@ def vocabulary(name: str) -> str:
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pack all documents; a row per piece."""
-    pieces = packing.pack_digests(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+    pieces = packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), digests=True)
     return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source", "round")
 
 
@@ -44,9 +44,9 @@ def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scan all documents against an empty ledger and join findings to every path."""
+    """Scan all documents into a new ledger and join what the ledger then holds to every path."""
     docs = table(spark, sf_dir, "documents")
-    findings, _ = secrets.scan(docs)
+    findings = secrets.scan_into(docs, secrets.new_ledger(spark))
     found = secrets.by_path(docs, findings)
     say = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     base = [r.kind for r in secrets.BASE_RULES]
@@ -116,10 +116,10 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_linedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without boilerplate lines."""
-    rows = linedup.dedup_lines(table(spark, sf_dir, "documents"))
-    clean = linedup.text_of()
+    rows = linedup.dedup_lines(table(spark, sf_dir, "documents"), report=True)
+    clean = F.coalesce("row.text", F.lit(""))
     return rows.select(
-        "doc_id", "lines_before", "lines_removed", F.char_length(clean).cast("long").alias("chars_kept"), F.sha2(clean, 256).alias("kept_sha256")
+        "row.doc_id", "lines_before", "lines_removed", F.char_length(clean).cast("long").alias("chars_kept"), F.sha2(clean, 256).alias("kept_sha256")
     )
 
 
@@ -165,11 +165,11 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_
 _OP10 = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(source, chr(1) || 'null') AS site, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 u AS (SELECT doc_id, text, site, unnest(ls) AS raw, generate_subscripts(ls, 1) AS i FROM d),
-t AS (SELECT *, nullif(trim(raw, ' ' || chr(9) || chr(11) || chr(12) || chr(13)), '') AS line FROM u),
-a AS (SELECT *, struct_pack(p := coalesce(lag(line) OVER w, ''), n := coalesce(lead(line) OVER w, '')) AS around
-      FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
-b AS (SELECT line FROM a WHERE line IS NOT NULL GROUP BY line
-      HAVING count(DISTINCT site) >= 10 AND count(DISTINCT around) >= 10 AND count(DISTINCT around) >= 0.6 * count(DISTINCT text)),
+a AS (SELECT *, nullif(trim(raw, ' ' || chr(9) || chr(11) || chr(12) || chr(13)), '') AS line FROM u),
+w AS (SELECT line FROM a WHERE line IS NOT NULL GROUP BY line HAVING count(DISTINCT site) >= 10),
+o AS (SELECT text FROM a LEFT JOIN w ON a.line = w.line WHERE a.line IS NOT NULL GROUP BY text
+      HAVING 2 * count(w.line) <= count(*) OR 2 * coalesce(sum(length(raw)) FILTER (w.line IS NOT NULL), 0) <= sum(length(raw))),
+b AS (SELECT a.line FROM a JOIN w ON a.line = w.line JOIN o ON a.text = o.text GROUP BY a.line HAVING count(DISTINCT site) >= 10),
 k AS (SELECT doc_id, count(*) AS lines_before, count(b.line) AS lines_removed,
       coalesce(string_agg(raw, chr(10) ORDER BY i) FILTER (b.line IS NULL), '') AS kept
       FROM a LEFT JOIN b ON a.line = b.line GROUP BY doc_id)
