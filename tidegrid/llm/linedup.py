@@ -1,7 +1,7 @@
 """Line deduplication by distinct-site spread. Main path: DataFrame functions only.
 
 A line is boilerplate when it is on at least `sites` distinct sites in texts that are mostly their own. A text is its own when lines
-found on `sites` sites or more make up at most half of its lines, or of their characters; copies and near copies of one text spread
+found on `sites` sites or more make up at most half of its lines; copies and near copies of one text spread
 over many sites are not, for nearly all their lines recur together, and so their lines stay. Any number of boilerplate
 lines may follow each other.
 
@@ -32,14 +32,13 @@ def line_key(line):
 
 
 def line_rows(docs: DataFrame, text: str = "text", source: str = "source") -> DataFrame:
-    """(t, site, line, size, salt) of every line that is not blank; t: hash of the text; size: its characters."""
+    """(t, site, line, salt) of every line that is not blank; t: hash of the text."""
     keys = docs.select(
         F.xxhash64(text_of(text)).alias("t"),
         F.coalesce(F.col(source).cast("string"), F.lit("\0null")).alias("site"),
-        F.explode(F.transform(F.split(text_of(text), "\n", -1), lambda x: F.struct(line_key(x).alias("line"), F.char_length(x).alias("size")))).alias("l"),
+        F.explode(F.filter(F.transform(F.split(text_of(text), "\n", -1), line_key), F.isnotnull)).alias("line"),
     )
-    rows = keys.select("t", "site", "l.line", "l.size").filter("line is not null")
-    return rows.withColumn("salt", F.pmod("t", F.lit(_SALTS)).cast("int"))
+    return keys.withColumn("salt", F.pmod("t", F.lit(_SALTS)).cast("int"))
 
 
 def _salted(rows: DataFrame, name: str = "salt") -> DataFrame:
@@ -69,11 +68,9 @@ def boilerplate(rows: DataFrame, sites: int, margin: float = 0.3) -> tuple[DataF
     hit = F.coalesce("hit", F.lit(0))
     # copies of a text count alike above and below, so shares are those of one copy
     texts = marked.groupBy("t").agg(
-        F.sum(hit).alias("hits"), F.count("*").alias("lines"), F.sum(hit * F.col("size")).alias("hit_size"), F.sum("size").alias("whole_size"),
-        F.collect_set(F.when(hit == 1, F.col("line"))).alias("found"),
+        F.sum(hit).alias("hits"), F.count("*").alias("lines"), F.collect_set(F.when(hit == 1, F.col("line"))).alias("found")
     ).filter("hits > 0")
-    own = (2 * F.col("hits") <= F.col("lines")) | (2 * F.col("hit_size") <= F.col("whole_size"))
-    texts = stash(texts.select("t", own.alias("own"), "found"), "lines-texts")
+    texts = stash(texts.select("t", (2 * F.col("hits") <= F.col("lines")).alias("own"), "found"), "lines-texts")
     at = rows.select("t", "site").distinct()
     evidence = texts.filter("own").select("t", F.explode("found").alias("line")).join(at, "t")
     evidence = stash(evidence.withColumn("salt", F.pmod("t", F.lit(_SALTS)).cast("int")), "lines-evidence")
