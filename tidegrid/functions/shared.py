@@ -4,32 +4,61 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir, or the folder given to setCheckpointDir.
+
+    Where neither is set, a local session (one JVM, as in tests) gets a temporary folder; a cluster has no folder that is
+    known to be shared, so there it is an error.
+    """
     sc = spark.sparkContext
-    place = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("tidegrid.scratch.dir", None)
+    place = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    place = place or spark.conf.get("tidegrid.scratch.dir", None)
     if not place:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         place = "file://" + tempfile.mkdtemp(prefix="tidegrid-")
         spark.conf.set("tidegrid.scratch.dir", place)
     return place.rstrip("/")
 
 
+_owners: list[list[str]] = []
+
+
+@contextmanager
+def written_tables(spark: SparkSession) -> Iterator[list[str]]:
+    """Owns the tables that `stash` writes inside: they are deleted at the end, so results must be used up by then."""
+    own: list[str] = []
+    _owners.append(own)
+    try:
+        yield own
+    finally:
+        _owners.remove(own)
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        for place in own:
+            path = jvm.org.apache.hadoop.fs.Path(place)
+            path.getFileSystem(conf).delete(path, True)
+
+
 def stash(df: DataFrame, label: str) -> DataFrame:
     """Write `df` once to the shared folder and read it back: lineage ends here and nothing is computed twice."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidegrid/{label}-{uuid.uuid4().hex}"
+    if _owners:
+        _owners[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def components(edges: DataFrame, label: str = "cc", max_rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame, label: str = "cc") -> DataFrame:
     """Connected components of `edges` (a, b long) as (id, component_id), the smallest id reachable.
 
-    Alternating large-star and small-star joins; each round is a written table. Ids without an edge do not
+    Alternating large-star and small-star joins until nothing changes; each round is a written table. Ids without an edge do not
     occur in the result. A star whose centre has many leaves is a skewed join, which AQE splits.
     """
 
@@ -40,7 +69,7 @@ def components(edges: DataFrame, label: str = "cc", max_rounds: int = 40) -> Dat
         edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), label
     )
     before = state(current)
-    for _ in range(max_rounds):
+    while True:
         both = current.union(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -54,7 +83,5 @@ def components(edges: DataFrame, label: str = "cc", max_rounds: int = 40) -> Dat
         if now == before:
             break
         before = now
-    else:
-        raise RuntimeError("components did not settle")
     leaves = current.select(F.col("a").alias("id"), F.col("b").alias("component_id"))
     return leaves.union(current.select(F.col("b").alias("id"), F.col("b").alias("component_id")).distinct())
