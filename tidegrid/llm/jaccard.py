@@ -7,22 +7,28 @@ the filters are intersected before sets are compared.
 1. Frequencies: documents are dealt to groups by a hash of their key; each group sends its distinct tokens with their
    counts, once, as sorted arrays by token range; each range sums the counts over all groups and sends every group its
    tokens' frequency classes back. So the frequencies cover all documents, and a token in every document costs
-   no more than one entry a group.
+   no more than one entry a group. A group has a fourth as many ranges as documents at most, so messages grow with the documents; beyond
+   group_docs^2 documents, groups and ranges both grow with the square root of their number.
 2. Prefixes, with the position of each token: rare tokens first, ties by token, by two other hashes for the other two orders. Tokens of one document
    link nothing and are left out; a document with no other token in its prefix has no partner and takes no further part.
-   Equal sets are one class with the least key as its representative.
+   Sets equal in size, sum of hashes and parity map (over 300 bits) are one class with the least key as its representative.
 3. Rounds of stars: in every token's list, members of another component than the list's head meet the head only; links
-   found join components at once, and the next round takes other heads. Then all pairs of a list in different components
-   are compared, so no link between components is lost; pairs inside a component need no comparison. A pair is met at its
-   first common token only, and passes only if sizes, positions and parity maps of the two sets allow the similarity.
-
-Null or empty texts, or texts without words, have no token and are alone. Rows that share a key are one node, whose links
+   found join components at once, and the next round takes other heads. Then the rest of each list is joined with itself, so no
+   link between components is lost; pairs inside a component need no comparison. The smaller set of a pair is joined only from
+   the first n - ceil(2 * t * n / (1 + t)) + 1 of its tokens, behind which no first common token can be, and with sets of its own
+   size band and the next; so a token that is frequent in unlike texts, which comes late in each, opens no list. A pair is met at
+   its first common token only, and passes only if sizes, positions and parity maps of the two sets allow the similarity.
+
+Null or empty texts, or texts without words, have no token and are alone. Keys are integers. Texts of any length are sets of
+all their shingles. Rows that share a key are one node, whose links
 are those of any of its texts; null keys are left out of links and get a null component. Extra columns are ignored; an
 empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -162,6 +168,28 @@ def _enough(percent: int):
     return sizes & ((100 + percent) * rest >= percent * (n + m)) & ((100 + percent) * differ <= (100 - percent) * (n + m))
 
 
+def rest_of_lists(lists: DataFrame, own: list[str], percent: int) -> DataFrame:
+    """Pairs of the lists' members (k, k_) in different components that may reach the similarity, the smaller set first."""
+    band = F.floor(F.log(F.col("n")) / math.log(100 / percent)).cast("int")
+    opens = (100 + percent) * (F.col("n") - F.col("pos")) >= 2 * percent * F.col("n")
+    small = stash(lists.filter(opens).withColumn("band", band), "jaccard-small")
+    # a list that no smaller set opens has no pair
+    tokens = stash(small.groupBy("tok").agg(F.min("band").alias("lo"), F.max("band").alias("hi")), "jaccard-open-tokens")
+    large = lists.join(tokens, "tok").withColumn("band", F.explode(F.array(band, band - 1))).filter("band between lo and hi")
+    large = large.select("tok", "band", *[F.col(x).alias(f"{x}_") for x in [*own, "before"]])
+    # where the token before is the same too, this is not the first common one, at which the pair is met
+    first = F.coalesce(F.col("before") != F.col("before_"), F.lit(True))
+    order = (F.col("n") < F.col("n_")) | ((F.col("n") == F.col("n_")) & (F.col("k") < F.col("k_")))
+    return small.join(stash(large, "jaccard-large"), ["tok", "band"]).filter((F.col("c") != F.col("c_")) & order & first & _enough(percent))
+
+
+def dealing(size: int, group_docs: int) -> tuple[int, int]:
+    """(groups, bits of a token range) for `size` documents: at most a message for every fourth document."""
+    group_docs = max(group_docs, math.isqrt(size))
+    groups = max(1, -(-size // group_docs))
+    return groups, max(0, min((groups // 4).bit_length() + 1, (group_docs // 4).bit_length() - 1))
+
+
 def verify(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose prefixes also meet under the second and third order, and whose sets reach the similarity."""
     side = lambda x: reps.select(F.col("k").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("p2", "p3", "tokens")])
@@ -187,19 +215,19 @@ def jaccard_components(
     """One row per input row: (key, n_shingles, component_id), the least key reachable by links."""
     rows = docs.select(F.col(key).cast("long").alias("k"), text_of(text).alias("text"))
     size = max(1, docs.count())
-    groups = max(1, -(-size // group_docs))
-    bits = max(0, (groups // 4).bit_length() + 1)
+    groups, bits = dealing(size, group_docs)
     grouped = rows.select(F.pmod(F.xxhash64("k", F.xxhash64("text")), F.lit(groups)).alias("grp"), "k", "text")
     codes = stash(frequency_classes(grouped, k, bits), "jaccard-classes")
     every = stash(prefixes(grouped, codes, k, percent, bits), "jaccard-prefixes")
     # equal sets: one class
-    some = every.filter("n > 0 and k is not null").select("k", "sig", "n")
-    least = some.groupBy("sig", "n").agg(F.min("k").alias("rep"), F.count("*").alias("copies"))
+    alike = ["sig", "n", *_BITS]
+    some = every.filter("n > 0 and k is not null").select("k", *alike)
+    least = some.groupBy(*alike).agg(F.min("k").alias("rep"), F.count("*").alias("copies"))
     # written tables: a join with an aggregate in its own stage could not split a hot key
     least = stash(least, "jaccard-least")
-    same = some.join(least.filter("copies > 1").select("sig", "n", "rep"), ["sig", "n"]).select(F.col("k").alias("a"), F.col("rep").alias("b")).filter("a <> b").distinct()
-    reps = every.filter(F.size("p1") > 0).join(least.select(F.col("rep").alias("k"), "sig", "n"), ["k", "sig", "n"])
-    reps = stash(reps.dropDuplicates(["k", "sig"]), "jaccard-reps")
+    same = some.join(least.filter("copies > 1").select(*alike, "rep"), alike).select(F.col("k").alias("a"), F.col("rep").alias("b")).filter("a <> b").distinct()
+    reps = every.filter(F.size("p1") > 0).join(least.select(F.col("rep").alias("k"), *alike), ["k", *alike])
+    reps = stash(reps.dropDuplicates(["k", *alike]), "jaccard-reps")
     each = F.transform("p1", lambda x, i: F.struct((i + F.col("lone")).alias("pos"), x.alias("tok"), F.get("p1", i - 1).alias("before")))
     lists = reps.select("k", "n", *_BITS, F.inline(each))
     several = lists.groupBy("tok").agg(F.count("*").alias("m")).filter("m > 1").select("tok")
@@ -225,10 +253,7 @@ def jaccard_components(
             heads = stash(heads, "jaccard-heads")
             pairs = now.join(heads, "tok").filter((F.col("c") != F.col("c_")) & _enough(percent))
         else:
-            other = now.select("tok", *[F.col(x).alias(f"{x}_") for x in [*own, "before"]])
-            # where the token before is the same too, this is not the first common one, at which the pair is met
-            first = F.coalesce(F.col("before") != F.col("before_"), F.lit(True))
-            pairs = now.join(other, "tok").filter((F.col("c") < F.col("c_")) & first & _enough(percent))
+            pairs = rest_of_lists(now, own, percent)
         pairs = pairs.select(F.least("k", "k_").alias("a"), F.greatest("k", "k_").alias("b")).filter("a <> b").distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
