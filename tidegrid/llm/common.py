@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+import math
 
-from tidegrid.functions.shared import components, shared_dir, stash  # noqa: F401
+from pyspark.sql import DataFrame, Window, functions as F
+
+from tidegrid.functions.shared import components, shared_dir, stash, written_tables  # noqa: F401
 
 
 def text_of(column: str = "text"):
@@ -19,32 +21,33 @@ def ascii_lower(column):
     )
 
 
-def with_next_key(keys: DataFrame, key: str, span_bits: int = 12) -> DataFrame:
-    """Distinct integer keys with the next larger one (after the last: the first) as `next_key`.
+def with_next_key(keys: DataFrame, key: str) -> DataFrame:
+    """Distinct integer keys with the next larger one (after the last: the first) as `next_key`, and their `rank` from 0; a
+    written table.
 
-    Windows run inside blocks of 2^span_bits consecutive values; a block's last key takes the first key of the next
-    block that has one, found the same way over blocks, so that no window ever holds the whole table.
+    Keys are dealt by range, whatever their values. Windows run inside a range; a range's last key takes the first key of the next
+    range that has one. Only the ranges' edges, as many as spark.sql.shuffle.partitions, meet in one window.
     """
-    from pyspark.sql import Window
-
-    keys = keys.select(F.col(key).cast("long").alias("k")).distinct()
-    ends = keys.agg(F.min("k").alias("lo"), F.max("k").alias("hi"))
-    blocks = keys.groupBy(F.shiftright("k", span_bits).alias("blk")).agg(F.min("k").alias("first"))
-    upper = F.shiftright("blk", span_bits)
-    supers = blocks.groupBy(upper.alias("sup")).agg(F.min_by("first", "blk").alias("sup_first"))
-    supers = supers.withColumn("next_first", F.lead("sup_first").over(Window.orderBy("sup")))
-    in_sup = Window.partitionBy("sup").orderBy("blk")
-    blocks = (
-        blocks.withColumn("sup", upper)
-        .withColumn("following", F.lead("first").over(in_sup))
-        .join(supers.select("sup", "next_first"), "sup")
-        .select("blk", F.coalesce("following", "next_first").alias("next_blk_first"))
-    )
-    in_blk = Window.partitionBy("blk").orderBy("k")
-    return (
-        keys.withColumn("blk", F.shiftright("k", span_bits))
-        .withColumn("following", F.lead("k").over(in_blk))
-        .join(blocks, "blk", "left")
-        .crossJoin(F.broadcast(ends))  # one row
-        .select(F.col("k").alias(key), F.coalesce("following", "next_blk_first", "lo").alias("next_key"))
+    spark = keys.sparkSession
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    distinct = keys.select(F.col(key).cast("long").alias("k")).filter("k is not null").distinct()
+    dealt = stash(distinct.repartitionByRange(ranges, "k").select("k", F.spark_partition_id().alias("part")), "keys")
+    edges = dealt.groupBy("part").agg(F.min("k").alias("first"), F.count("*").alias("n"))
+    order = Window.orderBy("part")
+    edges = edges.select(
+        "part",
+        F.coalesce(F.lead("first").over(order), F.min("first").over(order)).alias("after"),
+        F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"),
     )
+    inside = Window.partitionBy("part").orderBy("k")
+    found = dealt.select("k", "part", F.lead("k").over(inside).alias("following"), F.row_number().over(inside).alias("n"))
+    found = found.join(edges, "part").select(F.col("k").alias(key), F.coalesce("following", "after").alias("next_key"), (F.col("base") + F.col("n") - 1).alias("rank"))
+    return stash(found, "next-keys")
+
+
+def span_of(ranked: DataFrame, key: str, rows: int) -> int:
+    """Bits of a block of consecutive key values that holds 2 * `rows` of the distinct keys at most. `ranked`: (key, rank)."""
+    first = ranked.groupBy(F.floor(F.col("rank") / rows).alias("b")).agg(F.min(key).cast("double").alias("first"))
+    after = first.select((F.col("b") - 1).alias("b"), F.col("first").alias("then"))
+    gap = first.join(after, "b").agg(F.min(F.col("then") - F.col("first"))).first()[0]
+    return 62 if gap is None else min(62, max(0, int(math.floor(math.log2(gap)))))

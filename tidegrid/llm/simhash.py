@@ -11,8 +11,8 @@ equi-join on a hash of table and key. The tables hold only that hash and a hash
 are joined to the distinct candidates, whose distances are then exact. Ids that collide add candidates and lose none. Queries are a stated set of keys, all rows are searched.
 Rows with equal fingerprints are one entry with a count, so copies do not multiply candidates.
 
-Null text counts as empty; texts without words have the fingerprint of zeros. Repeated rows repeat; extra columns
-are ignored; an empty table gives an empty result.
+Null text counts as empty; texts without words have the fingerprint of zeros. Keys are integers. Repeated rows repeat; texts of any
+length are hashed whole, a batch of votes at a time; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidegrid.llm.common import stash, text_of, with_next_key
+from tidegrid.llm.common import span_of, stash, text_of, with_next_key
 from tidegrid.llm.wordhash import blocks, mix, shingles
 
 
@@ -110,11 +110,11 @@ def near_fingerprints(queries: DataFrame, rows: DataFrame, radius: int = 3, extr
     return pairs.select("fingerprint", "other", "n_rows", "distance")
 
 
-def with_edited(docs: DataFrame, k: int = 2, bits: int = 128, span_bits: int = 10, key: str = "doc_id", text: str = "text") -> DataFrame:
+def with_edited(docs: DataFrame, k: int = 2, bits: int = 128, group_keys: int = 1024, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Every document beside its edited text: the last half replaced by the start of the next document (by key).
 
     (key, n_chars, edited string, fingerprint, edited_fingerprint, near_edited, near_next). Documents meet in blocks of
-    2^span_bits consecutive keys; each block also gets the document that follows it. Rows that share a key
+    consecutive key values, as wide as lets none hold more than 2 * group_keys keys; each block also gets the document that follows it. Rows that share a key
     all precede the next key, and that key's row with the least text follows. Rows of null key have no next document and
     follow none: they keep n_chars and fingerprint, and the other columns are null.
     """
@@ -122,7 +122,7 @@ def with_edited(docs: DataFrame, k: int = 2, bits: int = 128, span_bits: int = 1
     schema = f"{key} {kind}, n_chars bigint, edited string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     rows = docs.select(F.col(key).cast("long").alias("k"), text_of(text).alias("text")).filter("k is not null")
     after = with_next_key(rows, "k")
-    block = F.shiftright("k", span_bits)
+    block = F.shiftright("k", span_of(after, "k", group_keys))
     # the keys that follow a block's last key, with the block that needs them
     last = after.groupBy(block.alias("block")).agg(F.max_by("next_key", "k").alias("k"))
     last = stash(last, "simhash-lent")  # its size is known then: a small one is broadcast and texts need not move
