@@ -3,12 +3,15 @@
 import base64
 import hashlib
 import io
+import math
+import os
 import re
 import zipfile
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -149,15 +152,26 @@ def test_chat_layouts(spark):
         (4, '{"prompt":"a","response":"b","id":9}', "prompt"),
         (5, '{"question":"a","answer":{"text":"b"}}', "question"),
         (6, '{"nothing":1}', None), (7, "no json", None), (8, None, None), (9, '{"messages":[]}', "messages"),
+        (10, '{"messages":["hi"]}', None), (11, '{"messages":[{"role":"user","content":"a"},null]}', None), (12, '{"messages":[{"role":3,"content":"a"}]}', None),
+        (13, '{"messages":[{"role":"user","content":[{"type":"text","text":"a"}]},{"role":"assistant","content":["b"]}]}', "messages"),
+        (14, '{"messages":{"role":"user","content":"a"}}', None), (15, '{"prompt":{"a":1},"response":"b"}', None), (16, "[1]", None), (17, '"x"', None), (18, "[" * 100_000, None),
+        (19, '{"messages":[{"role":"user","content":[{"type":"image","url":"u"}]}]}', None),
     ]
     got = chat.canonical_turns(spark.createDataFrame([r[:2] for r in records], "id long, record string"), "id").toPandas().set_index("id")
     for i, _, layout in records:
         assert got["layout"][i] == layout
-        if layout and i < 9:
+        if layout and i != 9:
             assert [tuple(t) for t in got["turns"][i]] == [("user", "a"), ("assistant", "b")]
     assert got["fingerprint"][1] != got["fingerprint"][2]
 
 
+def test_chat_very_long_text(spark):
+    text = "a[/INST]</s> \\" * 100_000
+    rows = spark.createDataFrame([(1, 0, "user", text), (1, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    back = chat.read_back(chat.format_chats(chat.canonical_turns(chat.records_of_rows(rows), "conv_id"), "conv_id"), "conv_id").first()
+    assert [t["text"] for t in back["turns"]] == [text, text] and back["loss_text"] == text
+
+
 def test_chat_rows_with_nulls_and_ties(spark):
     rows = spark.createDataFrame([(1, 0, "user", None), (1, 1, None, "x"), (1, 1, None, "x"), (1, None, "system", "s")], "conv_id long, turn long, role string, text string")
     canonical = chat.canonical_turns(chat.records_of_rows(rows), "conv_id")
@@ -396,9 +410,42 @@ def test_components_of_a_long_chain(spark):
 
 
 def test_next_keys(spark):
-    keys = [-9000, -1, 0, 1, 2, 4096, 5_000_000, 1 << 40]
-    got = {r["k"]: r["next_key"] for r in common.with_next_key(spark.createDataFrame([(k,) for k in keys * 2], "k long"), "k").collect()}
-    assert got == dict(zip(keys, [*keys[1:], keys[0]], strict=True))
+    keys = [-9000, -1, 0, 1, 2, 4096, 5_000_000, 1 << 40, -(1 << 62), (1 << 63) - 1, *(int(x) for x in np.random.default_rng(1).integers(-(1 << 62), 1 << 62, 3000))]
+    ranked = common.with_next_key(spark.createDataFrame([(k,) for k in [*keys * 2, None]], "k long"), "k")
+    got = {r["k"]: (r["next_key"], r["rank"]) for r in ranked.collect()}
+    keys = sorted(set(keys))
+    assert got == {k: (n, i) for i, (k, n) in enumerate(zip(keys, [*keys[1:], keys[0]], strict=True))}
+    held = Counter(k >> common.span_of(ranked, "k", 100) for k in keys)
+    assert max(held.values()) <= 200 and len(held) < 150
+
+
+def test_jaccard_messages_grow_with_documents(spark):
+    rows = spark.createDataFrame([(i, " ".join(f"w{i}x{j % 30}" for j in range(80))) for i in range(1000)], "k long, text string")
+    sent = {}
+    for n in (64, 256, 1000):
+        groups, bits = jaccard.dealing(n, 16)
+        grouped = rows.filter(F.col("k") < n).select((F.col("k") % groups).alias("grp"), "k", "text")
+        sent[n] = jaccard.frequency_classes(grouped, 5, bits).count()
+        assert sent[n] <= n
+    assert sent[1000] < 1.5 * 1000 / 256 * sent[256]
+    for n in (10**6, 10**9, 10**11):
+        groups, bits = jaccard.dealing(n, 1024)
+        assert groups << bits <= n
+
+
+def test_jaccard_of_many_unlike_texts_with_one_template(spark):
+    """Two thirds of every text are one template; similarity stays under the threshold, and no list of its tokens is squared."""
+    template = " ".join(f"t{i}" for i in range(80))
+    d = docs(spark, [(i, template + " " + " ".join(f"own{i}x{j}" for j in range(24 + i % 9)), "s") for i in range(600)])
+    seen = []
+    real = jaccard.rest_of_lists
+    try:
+        jaccard.rest_of_lists = lambda lists, own, percent: seen.append((lists.count(), real(lists, own, percent).count())) or real(lists, own, percent)
+        got = jaccard.jaccard_components(d, group_docs=64)
+        assert got.filter("doc_id <> component_id").count() == 0
+    finally:
+        jaccard.rest_of_lists = real
+    assert all(pairs <= entries for entries, pairs in seen)
 
 
 # WARC
@@ -489,18 +536,44 @@ def test_colliding_hashes_are_told_apart_by_bytes(spark, monkeypatch):
 
 
 # SimHash
-def test_simhash_edits(spark):
-    rows = [(i, t, s) for i, t, s in ODD if i not in (7, 9)] + [(9, "many words here to be halved and hashed", "s")]
-    got = {r["doc_id"]: r for r in simhash.with_edited(docs(spark, rows), span_bits=1).collect()}
+@pytest.mark.parametrize("wide", [1, (1 << 59) + 7])
+def test_simhash_edits(spark, wide):
+    """Keys may be dense or far apart; row 7 repeats, text 9 is long."""
+    rows = [(i * wide, t, s) for i, t, s in ODD]
+    all_rows = simhash.with_edited(docs(spark, rows), group_keys=2).collect()
+    assert sorted(r["doc_id"] for r in all_rows) == sorted(i for i, *_ in rows)
+    got = {r["doc_id"]: r for r in all_rows}
     ids, text = sorted(text_by_id(rows)), text_by_id(rows)
     for i, j in zip(ids, [*ids[1:], ids[0]], strict=True):
         half = len(text[i]) // 2
         assert got[i]["edited"] == text[i][: len(text[i]) - half] + text[j][:half]
         assert got[i]["n_chars"] == len(text[i]) and 0 <= got[i]["near_edited"] <= 1
-    assert got[1]["fingerprint"] == got[2]["fingerprint"]
+        assert got[i]["near_edited"] == pytest.approx(plain_likeness(text[i], got[i]["edited"]))
+        assert got[i]["near_next"] == pytest.approx(plain_likeness(text[i], text[j]))
+        assert got[i]["fingerprint"] == f"{plain_fingerprint(text[i]):032x}"
+    assert got[wide]["fingerprint"] == got[2 * wide]["fingerprint"]
     assert simhash.with_edited(docs(spark).limit(0)).count() == 0
 
 
+def plain_fingerprint(text, k=2, bits=128):
+    """SimHash in plain Python: only the hash of a term is the library's."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), text))
+    terms = [" ".join(words[j : j + k]) for j in range(len(words) - k + 1)] if len(words) >= k else [" ".join(words)] if words else []
+    votes = [0.0] * bits
+    for term, n in Counter(terms).items():
+        h = next(iter(wordhash.shingle_sets(pa.array([term]), k)))
+        for j in range(bits // 64):
+            with np.errstate(over="ignore"):
+                raw = wordhash.mix(h + np.uint64((j + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)).tobytes()
+            for b in range(64):
+                votes[64 * j + b] += (1 + math.log(n)) * (1 if raw[b // 8] >> (7 - b % 8) & 1 else -1)
+    return int("".join("1" if v > 0 else "0" for v in votes), 2)
+
+
+def plain_likeness(a, b):
+    return max(0.0, math.cos(math.pi * (plain_fingerprint(a) ^ plain_fingerprint(b)).bit_count() / 128))
+
+
 def test_simhash_keeps_rows_of_null_key(spark):
     rows = [(1, "Alpha beta gamma", "s"), (None, "Alpha beta gamma", "s"), (None, None, "s"), (2, "one two", "s")]
     got = simhash.with_edited(docs(spark, rows)).collect()
@@ -621,7 +694,42 @@ def test_word_shingles_agree_with_python():
             assert len(set(sets[i]) & set(sets[j])) == len(want[i] & want[j])
 
 
+# the registered queries
+@pytest.fixture(scope="module")
+def duck():
+    import duckdb
+
+    c = duckdb.connect()
+    for t in ("documents", "pages", "conversations", "labels"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.001/{t}.parquet'")
+    return c
+
+
+@pytest.mark.parametrize("name", sorted(queries.queries()))
+def test_registered_query(spark, duck, name):
+    got = queries.queries()[name](spark, "/root/testdata/sf0.001").toPandas()
+    sql = queries.oracle_sql().get(name)
+    key = {"op2_chat": "conversations", "op6_warc": "pages"}.get(name, "documents")
+    n = duck.execute(f"SELECT count(*) FROM {key}").fetchone()[0]
+    if sql:
+        want = duck.execute(sql).df()
+        assert sorted(got.columns) == sorted(want.columns)
+        rows = lambda f: sorted(repr([None if pd.isna(v) else v if isinstance(v, str) else int(v) for v in r]) for r in f[sorted(f.columns)].astype(object).itertuples(index=False, name=None))
+        assert rows(got) == rows(want)
+    assert len(got) == n if name not in ("op1_packing", "op2_chat") else len(got) >= n or name == "op2_chat"
+
+
 # pipeline
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    for t in ("documents", "labels"):
+        queries.table(spark, "/root/testdata/sf0.001", t).limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
+    with common.written_tables(spark) as written:
+        assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    assert written and not any(os.path.exists(p.removeprefix("file://")) for p in written)
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 

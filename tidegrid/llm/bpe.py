@@ -44,6 +44,10 @@ class BatchBPE:
         model = spec["model"]
         if model["type"] != "BPE" or model.get("dropout") or model.get("byte_fallback") or model.get("ignore_merges"):
             raise ValueError("only plain BPE models are supported")
+        if spec.get("decoder") or any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in spec["added_tokens"]):
+            raise ValueError("only files without a decoder and with plain added tokens are supported")
+        if [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])] != ["NFC", "Replace", "Lowercase"]:
+            raise ValueError("only files that compose, squeeze white space and lower case are supported")
         self.vocab: dict[str, int] = model["vocab"]
         self.suffix: str = model.get("end_of_word_suffix") or ""
         self.strings = {i: s for s, i in self.vocab.items()}
@@ -86,7 +90,8 @@ class BatchBPE:
             hit = (self.keys[at] == key) & (word[:-1] == word[1:])
             rank = np.where(hit, self.ranks[at], none)
             least = np.full(int(word[-1]) + 1, none)
-            np.minimum.at(least, word[:-1], rank)
+            starts = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+            least[word[starts]] = np.minimum.reduceat(np.append(rank, none), starts)
             stop = least[word] == none
             if stop.any():
                 done.append((word[stop], symbol[stop]))

@@ -4,8 +4,9 @@ Records are JSON objects of any layout. A record's fingerprint is a hash of its
 array adds `[]` and every leaf its path; so equal layouts share a fingerprint whatever their values. A `Mapping` names the
 paths of its layout and how they become turns: fixed fields with a role each (prompt and response, instruction, input
 and output), or a list of messages with a role field and a text field, and role names to translate. The mapping is chosen
-once a fingerprint, from the small table of fingerprints that occur; layouts that no mapping covers get null turns and
-their fingerprint, so that they can be listed.
+once a fingerprint, from the small table of fingerprints that occur; layouts that no mapping covers, and records whose
+values do not fit their mapping (no JSON, a message that is no object, a role or text of another kind than a string, a number, or for
+texts a list of parts), get null turns and their fingerprint, so that they can be listed.
 
 Template: `<s>[INST]` role `[/INST]` text `</s>` a turn. Inside roles and texts a backslash is put into every control
 string after its first character (one more if some are there), which is undone on reading; so no control string can
@@ -52,14 +53,33 @@ class Mapping:
         """All needed paths occur (an empty list shows only its own path)."""
         if self.items and f"{self.items}[]" in paths and not self.fields:
             return True
-        return self.paths() - self.optional <= paths
+        heads = {p.split("[]")[0] + "[]" for p in paths if p.startswith(f"{self.items}[].{self.text}[]")} if self.items else set()
+        held = paths | {f"{self.items}[].{self.text}" for _ in heads}  # a list of parts stands for its text
+        return self.paths() - self.optional <= held
 
     def turns(self, record: dict) -> list[tuple[str, str]]:
         out = [(role, v) for path, role in self.fields if (v := _at(record, path)) is not None and (v != "" or path not in self.optional)]
-        for item in (_at(record, self.items) or []) if self.items else []:
+        items = (_at(record, self.items) if self.items else None) or []
+        if not isinstance(items, list) or not all(isinstance(x, dict) for x in items):
+            raise TypeError("messages must be a list of objects")
+        for item in items:
             role = item.get(self.role)
+            if role is not None and not isinstance(role, str):
+                raise TypeError("a role must be a string")
             out.append((self.roles.get(role, role) or "", item.get(self.text)))
-        return [(r, "" if t is None else t if isinstance(t, str) else json.dumps(t, ensure_ascii=False)) for r, t in out]
+        return [(r, _text(t)) for r, t in out]
+
+
+def _text(value) -> str:
+    """A text, or the joined texts of a list of parts; numbers as they are written in JSON."""
+    if isinstance(value, list):
+        parts = [p.get("text", p.get("content")) if isinstance(p, dict) else p for p in value]
+        if not all(isinstance(p, str) for p in parts):
+            raise TypeError("a part of a text must be a string")
+        return "".join(parts)
+    if isinstance(value, dict):
+        raise TypeError("a text must be a string")
+    return "" if value is None else value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
 
 
 #: fixed values: layouts in the order in which they are tried
@@ -116,14 +136,18 @@ def canonical_turns(records: DataFrame, key: str, record: str = "record", mappin
             for raw in b.column(1).to_pylist():
                 try:
                     value = json.loads(raw) if raw else {}
-                except ValueError:
+                except (ValueError, RecursionError):
                     value = {}
                 paths = frozenset(field_paths(value))
                 f = fingerprint(paths)
                 if f not in chosen:
                     chosen[f] = choose(paths, mappings)
-                m = chosen[f]
-                out.append((m.name if m else None, f, [{"role": r, "text": t} for r, t in m.turns(value)] if m else None))
+                m, turns = chosen[f], None
+                try:
+                    turns = m.turns(value) if m else None
+                except TypeError:  # the values do not fit the mapping
+                    m = None
+                out.append((m.name if m else None, f, [{"role": r, "text": t} for r, t in turns] if m else None))
             names, prints, turns = (list(x) for x in zip(*out, strict=True)) if out else ([], [], [])
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(names, pa.string()), pa.array(prints, pa.string()), pa.array(turns, turn)],

@@ -10,7 +10,8 @@ Reading: the end record is found from the archive's tail, with the ZIP64 locator
 directory (or the ZIP64 extra fields) gives each member's place; the index member is read by range, and then each record
 by its own range. Folders are reached by pyarrow's file systems, so any of their URIs will do.
 
-Null html is an empty payload. Repeated keys make a record each. A page with a null url gets an empty target URI; extra
+Null html is an empty payload. Repeated keys make a record each: all rows that share the smallest key of a payload are responses.
+A row of null key is a response that nothing refers to. Payloads of any length are one record, held whole by its task. A page with a null url gets an empty target URI; extra
 columns are ignored; an empty table gives no archive and an empty result.
 """
 
@@ -139,13 +140,14 @@ def warc_record(key, url: str, payload: bytes, digest: str, refers_to) -> bytes:
     """One WARC/1.1 record: a response, or a revisit without payload."""
     kind = "response" if refers_to is None else "revisit"
     body = payload if refers_to is None else b""
-    own = uuid.uuid5(uuid.NAMESPACE_OID, f"page:{key}:{digest}:{url}")
+    name = lambda k: f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'page:{k}:{digest}')}>"
     head = [
-        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{own}>", "WARC-Date: 1970-01-01T00:00:00Z",
+        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {name(key)}", "WARC-Date: 1970-01-01T00:00:00Z",
         f"WARC-Target-URI: {' '.join((url or '').split())}", f"X-Page-Id: {key}", f"WARC-Payload-Digest: sha1:{digest}",
         f"X-Payload-Bytes: {len(payload)}", "Content-Type: text/html", f"Content-Length: {len(body)}",
     ]
     if refers_to is not None:
+        head.append(f"WARC-Refers-To: {name(refers_to)}")
         head.append(f"X-Refers-To-Page-Id: {refers_to}")
         head.append("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
     return "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
@@ -167,10 +169,13 @@ def originals(pages: DataFrame, key: str = "page_id", html: str = "html", least:
     payloads do not move. A large one is joined by a shuffle.
     """
     rows = pages.select(F.col(key).alias("k"), F.col("url").cast("string").alias("url"), text_of(html).alias("html")).withColumn("sha1", F.sha1("html"))
-    prints = rows.filter(F.octet_length("html") >= least).select("k", "sha1")
-    first = prints.groupBy("sha1").agg(F.min("k").alias("first"), F.count("*").alias("n")).filter("n > 1")
-    revisits = prints.join(first, "sha1").filter("k <> first").select("k", "sha1", F.col("first").alias("refers_to")).distinct()
-    return rows.join(stash(revisits, "revisits"), ["k", "sha1"], "left")
+    # payloads made to collide under SHA-1 still differ in length or in the other hash
+    same = ["sha1", "size", "other"]
+    rows = rows.withColumn("size", F.octet_length("html")).withColumn("other", F.xxhash64("html"))
+    prints = rows.filter(F.col("size") >= least).select("k", *same)
+    first = prints.groupBy(*same).agg(F.min("k").alias("first"), F.count("*").alias("n")).filter("n > 1")
+    revisits = prints.join(first, same).filter("k <> first").select("k", *same, F.col("first").alias("refers_to")).distinct()
+    return rows.join(stash(revisits, "revisits"), ["k", *same], "left").drop("size", "other")
 
 
 def write_archives(records: DataFrame, folder: str, archive_bytes: int) -> DataFrame:
