@@ -488,7 +488,7 @@ def test_exact_duplicates(spark):
     for i, t, _ in ODD:
         groups[(t or "").translate(lower)].append(i)
     want = sorted((i, max(g), len(g), i == max(g)) for g in groups.values() for i in g)
-    for step in (1, 12):
+    for step in (3, 12):
         got = sorted((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exactdup.exact_dups(docs(spark), capacity=1, step=step).collect())
         assert got == want
     assert exactdup.exact_dups(docs(spark).limit(0)).count() == 0

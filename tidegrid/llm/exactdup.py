@@ -7,9 +7,8 @@ A round counts only the hashes of buckets that are still overfull, and writes a
 (depth, prefix) that each leads to. A lookup finds its slot in the pages, and with it the bucket whose file rows hold its chain.
 
 Owner tasks process buckets, that is ranges of the hash: they chain the entries of equal hash, a link for each distinct
-text. Every entry looks up its link through the directory; without its page it finds none. Of each link, the row with the
-largest key is the head, and every other member's bytes are compared with the head's. Members that differ from their head
-(a collision of both hashes) are grouped by their bytes. A hot text is a skewed equi-join of written tables, which AQE splits;
+text. Every entry looks up its link through the directory; without its page it finds none. The members' bytes are compared
+within each link, and members of a link that holds different ones (a collision of both hashes) are grouped by their bytes. A hot text is a skewed equi-join of written tables, which AQE splits;
 counts are aggregated before they move, and nothing gathers a group.
 
 Null text counts as empty. Texts are equal when identical after lower-casing A-Z. Repeated rows (same key and text) are
@@ -103,18 +102,18 @@ def exact_dups(docs: DataFrame, key: str = "doc_id", text: str = "text", capacit
     known = stash(entries(docs, key, text), "hash-entries")
     index, pages = build_index(known, capacity, step)
     both = ["hash", "text_sha256"]
-    several = index.filter("n > 1").select(*both, "head", "links")
+    several = index.filter("n > 1").select(*both, "links")
     # the second digest is worked out again only where a chain has several links
     same = (F.col("links") == 1) | (F.sha2("norm", 256) == F.col("text_sha256"))
     members = stash(normalised(docs, key, text).join(several, "hash").filter(same).drop("links"), "hash-members")
-    heads = members.filter(F.col("k").eqNullSafe(F.col("head"))).groupBy(*both).agg(F.min("norm").alias("head_norm"))
-    differ = members.join(heads, both).filter("norm <> head_norm").select(*both)
+    # all members of a link have the same bytes if the least and the greatest have; a hot link is compared in part before it moves
+    ends = members.groupBy(*both).agg(F.min("norm").alias("least"), F.max("norm").alias("greatest"))
+    split = stash(ends.filter("least <> greatest").select(*both), "hash-collisions")
     out = lookup(known, index, pages)
-    split = stash(differ.distinct(), "hash-collisions")
     if not split.isEmpty():
         again = members.join(split, both)
         groups = again.groupBy(*both, "norm").agg(F.max("k").alias("keep_id"), F.count("*").alias("group_size"))
-        fixed = again.drop("head").join(groups, [*both, "norm"]).drop("norm")
+        fixed = again.join(groups, [*both, "norm"]).drop("norm")
         out = out.join(split, both, "left_anti").unionByName(fixed)
     return out.select(
         F.col("k").alias(key), "keep_id", "group_size", F.col("k").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
