@@ -136,3 +136,78 @@ def test_streamed_ingest(spark, tmp_path):
 def test_xyz_writer(spark, tmp_path):
     readers.write_xyz(points(spark, (1, 2, 3)), str(tmp_path / "out"), 2)
     assert spark.read.text(str(tmp_path / "out")).first()[0] == "1.00 2.00 3.00 1.00 0.00"
+
+
+def test_points_of_no_dataset_stay(spark):
+    p = points(spark, (0, 0, 1), (0, 0, 2), (0, 0, 1), (0, 0, 90)).withColumn("dataset_id", F.when(F.col("seq") > 9, "a"))
+    assert classes(filters.outlierz(p, 1.5)) == {0: 0, 1: 0, 2: 0, 3: 7}
+    assert classes(filters.outlierz(p, 1.5, scope=())) == {0: 0, 1: 0, 2: 0, 3: 7}
+
+
+def test_void_cells_stay_among_flats(spark):
+    cells = spark.createDataFrame([(0, 0, 1.0), (0, 1, 1.0), (0, 2, None), (0, 3, 4.0)], "row int, col int, z double")
+    assert sorted((r["col"], r["z"]) for r in rasters.flats_filter(cells, 1).collect()) == [(0, None), (1, None), (2, None), (3, 4.0)]
+    assert rasters.flats_filter(cells).count() == 4
+
+
+@pytest.mark.parametrize("n", [63, 64])
+def test_provenance_of_many_modules(spark, n):
+    p = spark.createDataFrame([(i, f"d{i}", 0.5, 0.5, 1.0, 1.0, 0.0, 0) for i in range(n)], POINT)
+    known = spark.createDataFrame([(f"d{i}", f"m{i}", i) for i in range(n)], "dataset_id string, module string, ingest_order int")
+    if n == 63:
+        assert stacks.provenance(p, known, GRID).first()["mask"] == (1 << 63) - 1
+    else:
+        with pytest.raises(Exception, match="63 modules"):
+            stacks.provenance(p, known, GRID).collect()
+
+
+def test_a_dataset_in_two_batches_is_whole(spark, tmp_path):
+    folder = str(tmp_path / "sums")
+    p = points(spark, (0.5, 0.5, 2), (0.5, 0.5, 4), (0.5, 0.5, 9))
+    for part in (0, 1, 1, 2):
+        incremental.ingest_batch(p.filter(F.col("seq") == part), GRID, folder, f"b{part}")
+    known = spark.createDataFrame([("a", 0)], "dataset_id string, ingest_order int")
+    whole = stacks.multi_stack(p, known, GRID).first()
+    got = incremental.current(spark, folder, known).first()
+    assert got["count"] == 3 and tuple(got) == pytest.approx(tuple(whole))
+
+
+def test_a_polygon_of_ten_thousand_sides(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    t = np.arange(10_000) * 2 * np.pi / 10_000
+    r = 3 + np.sin(50 * t) + rng.random(10_000) * 0.2
+    ring = np.column_stack([r * np.cos(t), r * np.sin(t)])
+    xy = rng.uniform(-5, 5, (300, 2))
+    after = np.roll(ring, -1, axis=0)
+    inside = []
+    for x, y in xy:
+        spans = (ring[:, 1] > y) != (after[:, 1] > y)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            at = (after[:, 0] - ring[:, 0]) * (y - ring[:, 1]) / (after[:, 1] - ring[:, 1]) + ring[:, 0]
+        inside.append(int((spans & (x < at)).sum() % 2))
+    got = classes(filters.vector_mask(points(spark, *[(x, y, 0) for x, y in xy]), [[[tuple(map(float, v)) for v in ring]]]))
+    assert [got[i] for i in range(300)] == [7 * k for k in inside]
+    assert 30 < sum(inside) < 270
+    assert set(classes(filters.vector_mask(points(spark, (0, 0, 1)), [])).values()) == {0}
+
+
+def test_bounding_polygon(spark):
+    got = stacks.stream_inf(points(spark, (0.5, 1, 2), (3, -4.25, 9))).select(stacks.bounds_wkt()).first()[0]
+    assert got == "POLYGON ((0.5 -4.25, 0.5 1, 3 1, 3 -4.25, 0.5 -4.25))"
+
+
+def test_thinning_keeps_columns(spark):
+    p = points(spark, (1, 1, 5), (1.2, 1, 3), (9, 9, 1)).withColumn("_x0", F.lit("mine"))
+    assert filters.block_thin(p.drop("_x0"), 5.0).columns == p.drop("_x0").columns
+    assert sorted(r["seq"] for r in filters.block_thin(p.drop("_x0"), 5.0, soft=False).collect()) == [1, 2]
+
+
+def test_geojson_fields(spark, tmp_path):
+    f = tmp_path / "a.geojsonl"
+    nested = {"type": "GeometryCollection", "geometries": [{"type": "GeometryCollection", "geometries": [{"type": "Point", "coordinates": [5, 6]}]}]}
+    rows = [({"type": "Point", "coordinates": [1, 2]}, {"DEPTH": "4", "q": 3, "layer": "SOUNDG"}), (nested, {"depth": 1, "layer": "SOUNDG"}), (nested, {"depth": 1, "layer": "M_COVR"})]
+    f.write_text("\n".join(json.dumps({"geometry": g, "properties": p}) for g, p in rows))
+    got = sorted(tuple(r) for r in readers.read_points(spark, str(f), "charts_000", weight_field="q").select("x", "y", "z", "w").collect())
+    assert got == [(1.0, 2.0, -4.0, 3.0), (5.0, 6.0, -1.0, 1.0)]

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from tidegrid import catalog_io
 from tidegrid.functions.grid import age_weight, beam_uncertainty, ensure_schema
 from tidegrid.operators import filters, rasters, stacks, surfaces
 from tidegrid.plans import chains
@@ -138,7 +139,7 @@ _add(
 )
 _add(
     "clean_percent",
-    lambda spark, sf: _rounded(beams(spark, sf).agg((F.count_if(F.col("beamflag") != 0) * 100 / F.count("*")).alias("removed"))),
+    lambda spark, sf: _rounded(stacks.clean_percent(beams(spark, sf)).select((100 - F.col("percent")).alias("removed"))),
     with_sql("b", "SELECT round(count(*) FILTER (beamflag <> 0) * 100 / count(*), 6) AS removed FROM b"),
 )
 
@@ -408,8 +409,8 @@ _add(
 
 
 def queries() -> dict:
-    return dict(_QUERIES)
+    return _QUERIES | catalog_io.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql.replace(") , ", "), ") for name, sql in _SQL.items()}
+    return {name: sql.replace(") , ", "), ") for name, sql in (_SQL | catalog_io.oracle_sql(_SQL)).items()}

@@ -117,6 +117,14 @@ def mercator(x: str = "x", y: str = "y") -> tuple[Column, Column]:
     return F.radians(x) * r, F.log(F.tan(F.radians(F.col(y)) / 2 + F.lit(0.7853981633974483))) * r
 
 
+def projected(points: DataFrame, to: str, source: str = "geographic") -> DataFrame:
+    """`points` with x and y in another system: "geographic" degrees or "mercator" metres."""
+    if to == source:
+        return points
+    x, y = {"mercator": mercator, "geographic": geographic}[to]()
+    return points.withColumns({"x": x, "y": y})
+
+
 def geographic(x: str = "x", y: str = "y") -> tuple[Column, Column]:
     """Spherical Mercator metres to degrees."""
     r = 6378137.0

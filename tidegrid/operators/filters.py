@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidegrid.functions.grid import GridSpec, Region
+from tidegrid.functions.grid import GridSpec, Region, projected
 
 
 def relabel(points: DataFrame, flagged: Column, set_class: int = 7, exclude=(), invert: bool = False) -> DataFrame:
@@ -43,13 +43,17 @@ def spatial_crop(points: DataFrame, region: Region, soft: bool = False, **more)
 def outlierz(points: DataFrame, threshold: float = 3.0, scope=("dataset_id",), **more) -> DataFrame:
     """Flag |z - mean| over `threshold` population deviations of its dataset; groups under 3 points or flat ones pass.
 
-    The statistics are an aggregation joined back, so that no dataset has to fit one task.
+    The statistics are an aggregation joined back, so that no dataset has to fit one task. Points of null dataset are one dataset,
+    and no point is lost.
     """
-    keys = list(scope)
+    keys = [F.col(k).alias(f"_k{i}") for i, k in enumerate(scope)]
     stats = points.groupBy(*keys).agg(F.avg("z").alias("_m"), F.stddev_pop("z").alias("_s"), F.count("*").alias("_n"))
-    joined = points.join(stats, keys)
+    same = F.lit(True)
+    for i, k in enumerate(scope):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    joined = points.join(stats, same, "left") if scope else points.crossJoin(F.broadcast(stats))  # one row without a scope
     flag = (F.col("_n") >= 3) & (F.col("_s") > 0) & (F.abs(F.col("z") - F.col("_m")) > threshold * F.col("_s"))
-    return relabel(joined, flag, **more).drop("_m", "_s", "_n")
+    return relabel(joined, flag, **more).drop("_m", "_s", "_n", *[f"_k{i}" for i in range(len(scope))])
 
 
 def _best(mode: str, seq: str):
@@ -59,36 +63,46 @@ def _best(mode: str, seq: str):
 
 def block_minmax(points: DataFrame, res: float = 10.0, mode: str = "min", soft: bool = True, seq: str = "seq", origin=(0.0, 0.0), **more) -> DataFrame:
     """One point a block, by least or greatest z (else the first); soft: the others are flagged. Blocks start at `origin`."""
+    return _best_of_blocks(points, list(points.columns), res, mode, soft, seq, origin, **more)
+
+
+def _best_of_blocks(points: DataFrame, columns: list[str], res: float, mode: str, soft: bool, seq: str, origin, **more) -> DataFrame:
     bx = F.floor((F.col("x") - origin[0]) / res).cast("long")
     by = F.floor((F.col("y") - origin[1]) / res).cast("long")
     keyed = points.withColumn("_bx", bx).withColumn("_by", by)
     if not soft:
-        whole = F.min_by(F.struct(*points.columns), _best(mode, seq))
+        whole = F.min_by(F.struct(*columns), _best(mode, seq))
         return keyed.groupBy("_bx", "_by").agg(whole.alias("p")).select("p.*")
     rank = F.row_number().over(Window.partitionBy("_bx", "_by").orderBy(_best(mode, seq)))
-    return relabel(keyed.withColumn("_r", rank), F.col("_r") > 1, **more).drop("_bx", "_by", "_r")
+    out = relabel(keyed.withColumn("_r", rank), F.col("_r") > 1, **more)
+    return out.select(*columns, *[c for c in out.columns if c == "classification" and c not in columns])
 
 
 def block_thin(points: DataFrame, res: float = 10.0, mode: str = "min", soft: bool = True, seq: str = "seq", **more) -> DataFrame:
     """As block_minmax, with blocks anchored at the least x and y of all points."""
-    low = points.agg(F.min("x"), F.min("y")).first()
-    return block_minmax(points, res, mode, soft, seq, (low[0] or 0.0, low[1] or 0.0), **more)
+    low = points.agg(F.min("x").alias("_x0"), F.min("y").alias("_y0"))  # one row
+    anchored = points.crossJoin(F.broadcast(low))
+    return _best_of_blocks(anchored, list(points.columns), res, mode, soft, seq, (F.col("_x0"), F.col("_y0")), **more)
 
 
 def coplanarz(points: DataFrame, radius: float, threshold: float, min_neighbors: int = 3, seq: str = "seq", **more) -> DataFrame:
     """Flag points off the least-squares plane of the neighbours within `radius` (itself included), or with too few.
 
-    Neighbours meet in square buckets of side `radius`: a point is sent to its own bucket and the eight around it. The plane is
-    fitted about the point, so its height there is one determinant over another; a degenerate fit flags nothing.
+    Neighbours meet in square buckets of side `radius`: a point is sent to its own bucket and to four of the eight around it, so that
+    every pair of points is met once, and counts for both. The plane is fitted about the point, so its height there is one
+    determinant over another; a degenerate fit flags nothing.
     """
-    own = points.select(F.col(seq).alias("_s"), F.col("x").alias("_x"), F.col("y").alias("_y"))
-    step = F.explode(F.array(*[F.lit(i) for i in (-1, 0, 1)]))
-    near = own.withColumn("_i", step).withColumn("_j", step)
     bucket = lambda c: F.floor(F.col(c) / radius).cast("long")
-    near = near.select("_s", "_x", "_y", (bucket("_x") + F.col("_i")).alias("_bx"), (bucket("_y") + F.col("_j")).alias("_by"))
-    other = points.select("x", "y", "z", bucket("x").alias("_bx"), bucket("y").alias("_by"))
-    met = near.join(other, ["_bx", "_by"]).withColumn("dx", F.col("x") - F.col("_x")).withColumn("dy", F.col("y") - F.col("_y"))
-    met = met.filter(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy") <= radius * radius)
+    own = points.select(F.col(seq).alias("_s"), F.col("x").alias("_x"), F.col("y").alias("_y"), F.col("z").alias("_z"))
+    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ((0, 0), (1, -1), (1, 0), (1, 1), (0, 1))])
+    near = own.withColumn("_step", F.explode(steps))
+    near = near.select("_s", "_x", "_y", "_z", (bucket("_x") + F.col("_step.i")).alias("_bx"), (bucket("_y") + F.col("_step.j")).alias("_by"), (F.col("_step.i") * 2 + F.col("_step.j") == 0).alias("_home"))
+    other = points.select(F.col(seq).alias("_t"), F.col("x").alias("_u"), F.col("y").alias("_v"), F.col("z").alias("_w"), bucket("x").alias("_bx"), bucket("y").alias("_by"))
+    dx, dy = F.col("_u") - F.col("_x"), F.col("_v") - F.col("_y")
+    met = near.join(other, ["_bx", "_by"]).filter((~F.col("_home") | (F.col("_s") <= F.col("_t"))) & (dx * dx + dy * dy <= radius * radius))
+    there = F.struct(F.col("_s"), dx.alias("dx"), dy.alias("dy"), F.col("_w").alias("z"))
+    back = F.when(F.col("_s") != F.col("_t"), F.struct(F.col("_t").alias("_s"), (-dx).alias("dx"), (-dy).alias("dy"), F.col("_z").alias("z")))
+    met = met.select(F.explode(F.array(there, back)).alias("p")).filter("p IS NOT NULL").select("p.*")
     terms = {"sx": "dx", "sy": "dy", "sz": "z", "sxx": "dx*dx", "sxy": "dx*dy", "syy": "dy*dy", "sxz": "dx*z", "syz": "dy*z"}
     sums = met.groupBy("_s").agg(F.count("*").alias("n"), *[F.sum(F.expr(e)).alias(k) for k, e in terms.items()])
     det = F.expr("n*(sxx*syy-sxy*sxy) - sx*(sx*syy-sxy*sy) + sy*(sx*sxy-sxx*sy)")
@@ -131,7 +145,8 @@ def rq(points: DataFrame, cells: DataFrame, grid: GridSpec, value: str, threshol
 
 
 def in_polygon(rings: list[list[tuple[float, float]]], x: str = "x", y: str = "y") -> Column:
-    """Even-odd rule over all rings, so holes are outside."""
+    """Even-odd rule over all rings, so holes are outside. An expression as long as the rings: for a few dozen edges; `vector_mask`
+    takes any number."""
     crossings = F.lit(0)
     for ring in rings:
         for (x1, y1), (x2, y2) in zip(ring, [*ring[1:], ring[0]], strict=True):
@@ -142,12 +157,36 @@ def in_polygon(rings: list[list[tuple[float, float]]], x: str = "x", y: str = "y
     return crossings % 2 == 1
 
 
-def vector_mask(points: DataFrame, polygons: list, invert: bool = False, **more) -> DataFrame:
-    """Flag points inside any polygon (a list of rings each), or with `invert` outside all."""
-    inside = F.lit(False)
-    for rings in polygons:
-        inside = inside | in_polygon(rings)
-    return relabel(points, inside, invert=invert, **more)
+def vector_mask(points: DataFrame, polygons: list | DataFrame, invert: bool = False, seq: str = "seq", **more) -> DataFrame:
+    """Flag points inside any polygon (a list of rings each), or with `invert` outside all. `polygons` may also be a table of edges
+    (poly, x1, y1, x2, y2)."""
+    edges = polygons if isinstance(polygons, DataFrame) else polygon_edges(points.sparkSession, polygons)
+    marked = points.join(inside_polygons(points, edges, seq).withColumn("_in", F.lit(True)), seq, "left")
+    return relabel(marked, F.coalesce("_in", F.lit(False)), invert=invert, **more).drop("_in")
+
+
+def polygon_edges(spark, polygons: list) -> DataFrame:
+    """The edges (poly, x1, y1, x2, y2) of polygons, a list of rings each."""
+    rows = [(i, *map(float, (*a, *b))) for i, rings in enumerate(polygons) for ring in rings for a, b in zip(ring, [*ring[1:], ring[0]], strict=True)]
+    return spark.createDataFrame(rows, "poly long, x1 double, y1 double, x2 double, y2 double")
+
+
+def inside_polygons(points: DataFrame, edges: DataFrame, seq: str = "seq") -> DataFrame:
+    """(seq) of the points inside any polygon, by the even-odd rule over its edges.
+
+    Points and edges meet in bands of y, about one for every edge, so a point is compared only with edges at its height. Of the edges
+    that span it, those to its right are counted by polygon; an odd count is inside. Crossings are aggregated before they move.
+    """
+    level = edges.filter("y1 <> y2").withColumn("_lo", F.least("y1", "y2")).withColumn("_hi", F.greatest("y1", "y2"))
+    shape = level.agg(F.min("_lo").alias("_y0"), (F.max("_hi") - F.min("_lo")).alias("_high"), F.count("*").alias("_bands"))  # one row
+    band = lambda y: F.floor((F.col(y) - F.col("_y0")) / F.col("_high") * F.col("_bands")).cast("long")
+    level = level.crossJoin(F.broadcast(shape)).select("poly", "x1", "y1", "x2", "y2", F.explode(F.sequence(band("_lo"), band("_hi"))).alias("_band"))
+    own = points.select(F.col(seq).alias("_s"), F.col("x").alias("_px"), F.col("y").alias("_py")).crossJoin(F.broadcast(shape))
+    met = own.withColumn("_band", band("_py")).join(level, "_band")
+    spans = (F.col("y1") > F.col("_py")) != (F.col("y2") > F.col("_py"))
+    left = F.col("_px") < (F.col("x2") - F.col("x1")) * (F.col("_py") - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1")
+    odd = met.filter(spans & left).groupBy("_s", "poly").agg(F.count("*").alias("_n")).filter("_n % 2 = 1")
+    return odd.select(F.col("_s").alias(seq)).distinct()
 
 
 def beam_quality(beams: DataFrame) -> DataFrame:
@@ -155,6 +194,16 @@ def beam_quality(beams: DataFrame) -> DataFrame:
     return beams.filter("beamflag = 0 AND speed > 2 AND abs(roll) < 10 AND abs(seafloor_grazing_angle) > 20 AND abs(crosstrack_slope) < 50")
 
 
+def reproject(points: DataFrame, to: str, source: str = "geographic", shift: DataFrame | None = None, grid: GridSpec | None = None, value: str = "shift", seq: str = "seq") -> DataFrame:
+    """`points` in another horizontal system. With a table `shift` of cells of `grid` in degrees, z is raised by its bilinear value at the
+    point's degrees; points without one there keep no z (null)."""
+    degrees = projected(points, "geographic", source)
+    if shift is not None:
+        by = sample_bilinear(degrees, shift, grid, value, "_shift", seq)
+        degrees = degrees.join(by, seq, "left").withColumn("z", F.col("z") + F.col("_shift")).drop("_shift")
+    return projected(degrees, to, "geographic")
+
+
 def sample_bilinear(points: DataFrame, cells: DataFrame, grid: GridSpec, value: str, name: str = "ref", seq: str = "seq") -> DataFrame:
     """(seq, name): bilinear between the centres of the four cells around each point; null where one of them is missing."""
     fx = (F.col("x") - grid.region.w) / grid.xinc - 0.5
@@ -164,7 +213,7 @@ def sample_bilinear(points: DataFrame, cells: DataFrame, grid: GridSpec, value:
         (F.col("_r") + dr).cast("int").alias("_row"), (F.col("_c") + dc).cast("int").alias("_col"),
         ((F.col("_b") if dr else 1 - F.col("_b")) * (F.col("_a") if dc else 1 - F.col("_a"))).alias("_w"),
     )
-    four = at.select(seq, F.inline(F.array(corner(0, 0), corner(0, 1), corner(1, 0), corner(1, 1)))).filter("_w > 0")
+    four = at.select(seq, F.inline(F.array(corner(0, 0), corner(0, 1), corner(1, 0), corner(1, 1)))).filter("_w > 1e-7")
     ref = cells.select(F.col("row").alias("_row"), F.col("col").alias("_col"), F.col(value).alias("_v"))
     met = four.join(ref, ["_row", "_col"], "left").groupBy(seq)
     whole = F.count("_v") == F.count("*")

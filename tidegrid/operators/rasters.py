@@ -79,14 +79,15 @@ def zscore_filter(cells: DataFrame, rows: int, cols: int, threshold: float = 3.0
 
 def flats_filter(cells: DataFrame, size: int | None = None) -> DataFrame:
     """z, null where more than `size` cells share its value; without a size the upper fence of frequencies (99th percentile
-    and 1.5 ranges)."""
-    counts = cells.groupBy("z").agg(F.count("*").alias("_n"))
+    and 1.5 ranges). Void cells stay void. Only values above the size are joined back: at most cells / size of them."""
+    counts = cells.filter("z is not null").groupBy("z").agg(F.count("*").alias("_n"))
     if size is None:
         q = counts.agg(F.percentile("_n", F.lit(0.01)).alias("lo"), F.percentile("_n", F.lit(0.99)).alias("hi"))
         counts = counts.crossJoin(F.broadcast(q.select((F.col("hi") + 1.5 * (F.col("hi") - F.col("lo"))).alias("_size"))))
     else:
         counts = counts.withColumn("_size", F.lit(size))
-    return cells.join(counts, "z").select(*_CELL, F.when(F.col("_n") <= F.col("_size"), F.col("z")).alias("z"))
+    flat = counts.filter("_n > _size").select(F.col("z").alias("_flat"))
+    return cells.join(flat, F.col("z") == F.col("_flat"), "left").select(*_CELL, F.when(F.col("_flat").isNull(), F.col("z")).alias("z"))
 
 
 def _extreme(cells: DataFrame, f, h: int) -> DataFrame:

@@ -46,6 +46,20 @@ def partial_stack(points: DataFrame, grid: GridSpec, seq: str = "seq") -> DataFr
         F.count("*").alias("n"), F.sum("w").alias("sw"), w("z").alias("sz"), w("x").alias("sx"), w("y").alias("sy"),
         (F.pow(F.min_by("u", seq), F.lit(2)) + F.pow(F.stddev_pop("z"), F.lit(2))).alias("suc2"),
         F.min("z").alias("zmin"), F.max("z").alias("zmax"), F.avg("x").alias("xm"), F.avg("y").alias("ym"),
+        F.min_by("u", seq).alias("u0"), F.min(seq).cast("long").alias("seq0"), F.avg("z").alias("zm"), F.var_pop("z").alias("zv"),
+    )
+
+
+def merge_partials(partials: DataFrame) -> DataFrame:
+    """Partial sums of a dataset that came in several batches as if it had come in one."""
+    n = F.sum("n")
+    mean = lambda c: (F.sum(F.col("n") * F.col(c)) / n).alias(c)
+    # the variance is that within the batches and that of their means
+    within, square, level = F.sum(F.col("n") * F.col("zv")) / n, F.sum(F.col("n") * F.col("zm") * F.col("zm")) / n, F.sum(F.col("n") * F.col("zm")) / n
+    variance = F.greatest(within + square - level * level, F.lit(0.0))
+    return partials.groupBy(*_CELL, "dataset_id").agg(
+        n.alias("n"), *[F.sum(c).alias(c) for c in ("sw", "sz", "sx", "sy")], (F.pow(F.min_by("u0", "seq0"), F.lit(2)) + variance).alias("suc2"),
+        F.min("zmin").alias("zmin"), F.max("zmax").alias("zmax"), mean("xm"), mean("ym"),
     )
 
 
@@ -83,25 +97,48 @@ def multi_stack(points: DataFrame, datasets: DataFrame, grid: GridSpec, mode: st
 
 
 def provenance(points: DataFrame, datasets: DataFrame, grid: GridSpec) -> DataFrame:
-    """(row, col, mask): bit k is set where the module of rank k by first ingest has points. At most 62 modules."""
-    modules = datasets.groupBy("module").agg(F.min("ingest_order").alias("first"))
-    modules = modules.withColumn("bit", F.row_number().over(Window.orderBy("first", "module")) - 1)  # a row per module
+    """(row, col, mask): bit k is set where the module of rank k by first ingest has points. A mask has 63 bits; a catalog of more
+    modules is an error."""
+    modules = provenance_legend(datasets).select("module", "bit")
     bits = datasets.select("dataset_id", "module").join(modules, "module").select("dataset_id", "bit")
     present = grid.index(points).select("dataset_id", *_CELL).distinct().join(bits, "dataset_id")
     return present.groupBy(*_CELL).agg(F.expr("bit_or(shiftleft(1L, bit))").alias("mask"))
 
 
+def provenance_legend(datasets: DataFrame) -> DataFrame:
+    """(module, bit, value): the bit of each module's mask, by first ingest."""
+    modules = datasets.groupBy("module").agg(F.min("ingest_order").alias("first"))
+    rank = F.row_number().over(Window.orderBy("first", "module")) - 1  # a row per module
+    bit = F.when(rank > 62, F.raise_error(F.lit("more than 63 modules do not fit a mask")).cast("int")).otherwise(rank)
+    return modules.select("module", bit.alias("bit")).withColumn("value", F.expr("shiftleft(1L, bit)"))
+
+
 def source_masks(points: DataFrame, grid: GridSpec) -> DataFrame:
     """(dataset_id, row, col) of every cell that a dataset has points in."""
     return grid.index(points).select("dataset_id", *_CELL).distinct()
 
 
 def stream_inf(points: DataFrame) -> DataFrame:
-    """Count, bounds and bounding polygon of every dataset."""
+    """Count and bounds of every dataset; `bounds_wkt` makes a polygon of them."""
     ends = [f(c).alias(f"{c}{n}") for c in "xyz" for f, n in ((F.min, "min"), (F.max, "max"))]
     return points.groupBy("dataset_id").agg(F.count("*").alias("numpts"), *ends)
 
 
+def bounds_wkt(w: str = "xmin", e: str = "xmax", s: str = "ymin", n: str = "ymax"):
+    """The bounding polygon of four columns as well-known text, from the south-west corner and back; null where one is null."""
+    number = lambda c: F.call_function("format_number", F.col(c), F.lit("0.######"))
+    corner = lambda x, y: F.concat(number(x), F.lit(" "), number(y))
+    ring = [corner(w, s), corner(w, n), corner(e, n), corner(e, s), corner(w, s)]
+    return F.concat(F.lit("POLYGON (("), F.concat(*[x for c in ring for x in (F.lit(", "), c)][1:]), F.lit("))"))
+
+
+def clean_percent(beams: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Soundings, good ones, and their percentage; `by`: keys, a row for each."""
+    good = F.count_if(F.col("beamflag") == 0)
+    counts = beams.groupBy(*by).agg(F.count("*").alias("beams"), good.alias("good"))
+    return counts.withColumn("percent", F.try_divide(100.0 * F.col("good"), F.col("beams")))
+
+
 def footprints(points: DataFrame, region: Region) -> DataFrame:
     """West, east, south, north of every dataset, the region's where it has no points with coordinates."""
     b = points.groupBy("dataset_id").agg(F.min("x").alias("w"), F.max("x").alias("e"), F.min("y").alias("s"), F.max("y").alias("n"))

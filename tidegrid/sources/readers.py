@@ -15,15 +15,18 @@ PROFILES = {
     "nos_xyz": {"delimiter": ",", "skiprows": 1, "xpos": 2, "ypos": 1, "zpos": 3, "z_scale": -1.0},
     "csb_csv": {"delimiter": ",", "skiprows": 1, "xpos": 0, "ypos": 1, "zpos": 2},
 }
+#: fixed values: option presets of vector data types
+VECTOR_PROFILES = {"charts_000": {"z_scale": -1.0, "layers": ("SOUNDG",)}}
 #: fixed values: reader by file extension
 EXTENSIONS = {
-    "xyz": "xyz", "txt": "xyz", "csv": "xyz", "dat": "xyz", "json": "geojson", "geojson": "geojson", "las": "las", "gtpc": "columnar", "parquet": "columnar",
+    "xyz": "xyz", "txt": "xyz", "csv": "xyz", "dat": "xyz", "json": "geojson", "geojson": "geojson", "geojsonl": "geojson", "las": "las", "gtpc": "columnar", "parquet": "columnar",
 }
 
 
 def read_xyz(
     spark: SparkSession, path, xpos: int = 0, ypos: int = 1, zpos: int = 2, wpos: int | None = None, upos: int | None = None,
     skiprows: int = 0, delimiter: str | None = None, z_scale: float = 1.0, x_offset: float = 0.0, y_offset: float = 0.0,
+    x_scale: float = 1.0, y_scale: float = 1.0,
 ) -> DataFrame:
     """ASCII points. Lines that begin with # and lines whose coordinates are no numbers are left out; without a delimiter
     commas, semicolons, bars and white space part fields. Files are split among tasks, also with one row to skip, which is
@@ -39,15 +42,26 @@ def read_xyz(
     at = lambda i: F.get(fields, F.lit(i)).try_cast("double")
     rows = text.filter((F.length(line) > 0) & ~line.startswith("#"))
     out = rows.select(
-        (at(xpos) + x_offset).alias("x"), (at(ypos) + y_offset).alias("y"), (at(zpos) * z_scale).alias("z"),
+        (at(xpos) * x_scale + x_offset).alias("x"), (at(ypos) * y_scale + y_offset).alias("y"), (at(zpos) * z_scale).alias("z"),
         (at(wpos) if wpos is not None else F.lit(1.0)).alias("w"), (at(upos) if upos is not None else F.lit(0.0)).alias("u"),
     )
     return out.filter("x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL")
 
 
-def vertices(features: DataFrame, elevation: float | None = None, z_field: str = "elevation") -> DataFrame:
-    """Vertices of GeoJSON geometries (columns geometry and properties as JSON strings): z of the vertex, else of the
-    feature, else the constant; vertices with none are left out. Coordinates may be nested to any of the standard depths."""
+#: fixed values: property names that hold an elevation, in the order in which they are tried
+Z_FIELDS = ("elevation", "elev", "z", "height", "depth", "depth_m", "value")
+
+
+def vertices(
+    features: DataFrame, elevation: float | None = None, z_field: str | None = None, weight_field: str | None = None,
+    uncertainty_field: str | None = None, z_scale: float = 1.0,
+) -> DataFrame:
+    """Vertices of GeoJSON geometries (columns geometry and properties as JSON strings): z of the vertex, else of the feature's
+    `z_field` (if None: the first of `Z_FIELDS`, in any case of letters, that is a number), else the constant, times `z_scale`; vertices with
+    none are left out. w and u are the feature's fields, else 1 and 0. Coordinates may be nested to any of the standard depths."""
+    held = F.from_json("properties", "map<string,string>")
+    held = F.transform_keys(held, lambda k, _: F.lower(k))
+    field = lambda name: F.try_element_at(held, F.lit(name.lower())).try_cast("double")
     depth = {"Point": 0, "MultiPoint": 1, "LineString": 1, "MultiLineString": 2, "Polygon": 2, "MultiPolygon": 3}
     kind = F.get_json_object("geometry", "$.type")
     coords = F.get_json_object("geometry", "$.coordinates")
@@ -58,20 +72,30 @@ def vertices(features: DataFrame, elevation: float | None = None, z_field: str =
             value = F.flatten(value)
         value = F.array(value) if d == 0 else value
         parts.append(F.when(kind == name, value))
-    z = F.get_json_object("properties", f"$.{z_field}").try_cast("double")
-    out = features.select(F.explode(F.coalesce(*parts)).alias("v"), z.alias("fz"))
-    out = out.select(F.col("v")[0].alias("x"), F.col("v")[1].alias("y"), F.coalesce(F.get("v", F.lit(2)), "fz", F.lit(elevation).cast("double")).alias("z"))
-    return out.filter("z IS NOT NULL").withColumn("w", F.lit(1.0)).withColumn("u", F.lit(0.0))
-
-
-def read_geojson(spark: SparkSession, path, **options) -> DataFrame:
-    """Vertices of the features of GeoJSON files; geometry collections are opened."""
-    whole = spark.read.text(path, wholetext=True)
-    feature = F.from_json(F.get_json_object("value", "$.features"), "array<struct<geometry:string,properties:string>>")
-    rows = whole.select(F.inline(feature))
+    z = F.coalesce(*[field(n) for n in ([z_field] if z_field else Z_FIELDS)])
+    w = F.coalesce(field(weight_field), F.lit(1.0)) if weight_field else F.lit(1.0)
+    u = F.coalesce(field(uncertainty_field), F.lit(0.0)) if uncertainty_field else F.lit(0.0)
+    out = features.select(F.explode(F.coalesce(*parts)).alias("v"), z.alias("fz"), w.alias("w"), u.alias("u"))
+    height = F.coalesce(F.get("v", F.lit(2)), "fz", F.lit(elevation).cast("double")) * z_scale
+    return out.select(F.col("v")[0].alias("x"), F.col("v")[1].alias("y"), height.alias("z"), "w", "u").filter("z IS NOT NULL")
+
+
+def read_geojson(spark: SparkSession, path, layers=(), nesting: int = 4, **options) -> DataFrame:
+    """Vertices of the features of GeoJSON files; geometry collections are opened, up to `nesting` of them in one another. `layers`: only
+    features whose property "layer" is listed. A file may be one collection, which goes to one task, or (.geojsonl) a feature a line, which
+    is split among tasks."""
+    if str(path).endswith(("geojsonl", "geojsons")):
+        rows = spark.read.text(path).select(F.get_json_object("value", "$.geometry").alias("geometry"), F.get_json_object("value", "$.properties").alias("properties"))
+    else:
+        whole = spark.read.text(path, wholetext=True)
+        rows = whole.select(F.inline(F.from_json(F.get_json_object("value", "$.features"), "array<struct<geometry:string,properties:string>>")))
+    if layers:
+        rows = rows.filter(F.get_json_object("properties", "$.layer").isin(list(layers)))
     inner = F.from_json(F.get_json_object("geometry", "$.geometries"), "array<string>")
     single = F.when(F.get_json_object("geometry", "$.type") == "GeometryCollection", inner).otherwise(F.array("geometry"))
-    return vertices(rows.select(F.explode(single).alias("geometry"), "properties"), **options)
+    for _ in range(nesting):
+        rows = rows.select(F.explode(single).alias("geometry"), "properties")
+    return vertices(rows, **options)
 
 
 def read_las(spark: SparkSession, path, classes: str = "2/29/40") -> DataFrame:
@@ -123,6 +147,8 @@ def read_points(spark: SparkSession, path: str, data_type: str | None = None, we
     """Points of any supported file in the standard schema, by data type or else extension."""
     if data_type in PROFILES:
         return ensure_schema(read_xyz(spark, path, **PROFILES[data_type] | options), weight, uncertainty)
+    if data_type in VECTOR_PROFILES:
+        return ensure_schema(read_geojson(spark, path, **VECTOR_PROFILES[data_type] | options), weight, uncertainty)
     kind = EXTENSIONS.get(data_type or path.rsplit(".", 1)[-1].lower())
     reader = {"xyz": read_xyz, "geojson": read_geojson, "las": read_las, "columnar": read_columnar}.get(kind)
     if reader is None:
@@ -130,12 +156,29 @@ def read_points(spark: SparkSession, path: str, data_type: str | None = None, we
     return ensure_schema(reader(spark, path, **options), weight, uncertainty)
 
 
-def write_xyz(points: DataFrame, path: str, places: int = 6) -> None:
-    """ASCII lines of x y z w u."""
-    text = F.format_string(" ".join([f"%.{places}f"] * 5), "x", "y", "z", "w", "u")
+def write_xyz(points: DataFrame, path: str, places: int = 6, delimiter: str = " ", columns=("x", "y", "z", "w", "u")) -> None:
+    """ASCII lines of x y z w u, or of other columns, as row col z of binned points."""
+    kinds = dict(points.dtypes)
+    text = F.format_string(delimiter.join(f"%.{places}f" if kinds[c] in ("double", "float") else "%d" for c in columns), *columns)
     points.select(text.alias("value")).write.text(path)
 
 
+def write_columnar(points: DataFrame, path: str, grid: GridSpec | None = None, mode: str = "mean", compression: str = "gzip", seq: str = "seq") -> DataFrame:
+    """Write points to a columnar file, with a grid as one point a cell (x, y, z, w, u); gives the points back as they were."""
+    out = points
+    if grid is not None:
+        from tidegrid.operators.stacks import point_pixels
+
+        out = point_pixels(points, grid, mode, seq=seq).select("x", "y", "z", F.col("weight").alias("w"), F.col("uncertainty").alias("u"))
+    out.write.parquet(path, compression=compression)
+    return points
+
+
+def write_sidecars(datasets: DataFrame, path: str) -> None:
+    """A JSON line for every dataset (the columns of `stream_inf`, a bounding polygon, or any others)."""
+    datasets.write.json(path)
+
+
 def reject_bag(spark: SparkSession, path) -> DataFrame:
     """(path, valid) by the magic number of HDF5; nothing is deleted."""
     files = spark.read.format("binaryFile").load(path)

@@ -1,35 +1,45 @@
-"""Incremental stacks: new datasets are folded into a table of partial sums, each once."""
+"""Incremental stacks: batches of points are folded into a table of partial sums, each once."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
 from tidegrid.functions.grid import GridSpec
-from tidegrid.operators.stacks import finish_stack, partial_stack
+from tidegrid.operators.stacks import finish_stack, merge_partials, partial_stack
 
 
 def ingest(points: DataFrame, grid: GridSpec, folder: str) -> None:
-    """Append the partial sums of datasets that `folder` does not have yet. The sums carry the dataset, so one write is both the
-    data and the registry: a run that fails leaves neither."""
-    spark = points.sparkSession
+    """Append the partial sums of whole datasets that `folder` does not have yet. The sums carry the dataset, so one write is both the
+    data and the registry: a run that fails leaves neither. For datasets that come in parts see `ingest_batch`."""
     empty = partial_stack(points.limit(0), grid)
-    empty.write.mode("append").parquet(folder)
-    known = spark.read.schema(empty.schema).parquet(folder).select("dataset_id").distinct()
-    fresh = points.join(known, "dataset_id", "left_anti")
-    partial_stack(fresh, grid).write.mode("append").parquet(folder)
+    empty.write.mode("append").parquet(f"{folder}/batch=whole")
+    known = points.sparkSession.read.schema(empty.schema).parquet(f"{folder}/batch=*").select("dataset_id").distinct()
+    partial_stack(points.join(known, "dataset_id", "left_anti"), grid).write.mode("append").parquet(f"{folder}/batch=whole")
 
 
-def ingest_stream(stream: DataFrame, grid: GridSpec, folder: str, checkpoint: str):
-    """A streaming query that folds every micro-batch of points into `folder`; runs over all that is there and ends."""
-    return (
-        stream.writeStream.foreachBatch(lambda batch, _: ingest(batch, grid, folder))
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+def ingest_batch(points: DataFrame, grid: GridSpec, folder: str, batch: str) -> None:
+    """Fold one batch in, whatever datasets its points belong to. A batch is written to a place of its own name, so that a batch that
+    is run again replaces itself, and no other."""
+    partial_stack(points, grid).write.mode("overwrite").parquet(f"{folder}/batch={batch}")
+
+
+def ingest_stream(stream: DataFrame, grid: GridSpec, folder: str, checkpoint: str, name: str = "stream", seconds: int | None = None, taps=()):
+    """A streaming query that folds every micro-batch of points into `folder`. It runs over all that is there and ends, or every
+    `seconds` and goes on. `taps`: further functions of (batch, batch id) that see each micro-batch before it is folded in."""
+
+    def fold(batch: DataFrame, number: int) -> None:
+        held = batch.persist() if taps else batch
+        for tap in taps:
+            tap(held, number)
+        ingest_batch(held, grid, folder, f"{name}-{number}")
+        if taps:
+            held.unpersist()
+
+    writer = stream.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=f"{seconds} seconds") if seconds else writer.trigger(availableNow=True)).start()
 
 
 def current(spark, folder: str, datasets: DataFrame, mode: str = "mean", thresholds=(1.0,)) -> DataFrame:
     """The statistical stack of all that was folded in."""
-    partials = spark.read.parquet(folder).join(datasets.select("dataset_id", "ingest_order"), "dataset_id")
-    return finish_stack(partials, mode, thresholds)
+    partials = merge_partials(spark.read.parquet(f"{folder}/batch=*"))
+    return finish_stack(partials.join(datasets.select("dataset_id", "ingest_order"), "dataset_id"), mode, thresholds)
