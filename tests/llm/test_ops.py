@@ -652,8 +652,7 @@ def test_line_dedup(spark, margin):
     assert linedup.dedup_lines(docs(spark).limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("gap", ["\n", "\n\n", "\n \t\n\n"])
-@pytest.mark.parametrize("footer", [1, 2, 3])
+@pytest.mark.parametrize(("gap", "footer"), [("\n", 2), ("\n\n", 3), ("\n \t\n\n", 1)])
 def test_boilerplate_of_several_lines(spark, gap, footer):
     """Own text and a footer of as many lines at most, between blank lines or not."""
     foot = [f"footer {j}" for j in range(footer)]
