@@ -433,6 +433,20 @@ def test_jaccard_messages_grow_with_documents(spark):
         assert groups << bits <= n
 
 
+def test_groups_are_sized_by_bytes_too(spark):
+    """Long texts make more groups than their number would, and results stay the same."""
+    rows = [(i, " ".join(f"w{i // 2}x{j}" for j in range(4000 + i)), "s") for i in range(6)]
+    table = docs(spark, rows)
+    n, stored = common.volume(table)
+    assert n == 6 and stored == sum(len(t) for _, t, _ in rows)
+    assert common.volume(table.limit(0)) == (0, 0)
+    assert jaccard.dealing(max(n, stored // common.UNIT), 2)[0] > jaccard.dealing(n, 2)[0]
+    got = jaccard.jaccard_components(table, group_docs=2).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {i: i - i % 2 for i in range(6)}
+    whole, parts = (simhash.with_edited(table.withColumn("doc_id", F.col("doc_id").cast("int")), group_keys=g).orderBy("doc_id") for g in (1024, 1))
+    assert whole.collect() == parts.collect() and dict(whole.dtypes)["doc_id"] == "int"
+
+
 def test_jaccard_of_many_unlike_texts_with_one_template(spark):
     """Two thirds of every text are one template; similarity stays under the threshold, and no list of its tokens is squared."""
     template = " ".join(f"t{i}" for i in range(80))

@@ -21,6 +21,16 @@ def ascii_lower(column):
     )
 
 
+#: Bytes of text that count as one document where documents are dealt to groups.
+UNIT = 8192
+
+
+def volume(rows: DataFrame, text: str = "text") -> tuple[int, int]:
+    """(documents, bytes of text) of a table: what groups are sized by, so that long texts make more groups."""
+    n, size = rows.agg(F.count("*"), F.sum(F.octet_length(text).cast("long"))).first()
+    return n, size or 0
+
+
 def with_next_key(keys: DataFrame, key: str) -> DataFrame:
     """Distinct integer keys with the next larger one (after the last: the first) as `next_key`, and their `rank` from 0; a
     written table.

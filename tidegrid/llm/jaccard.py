@@ -7,8 +7,9 @@ the filters are intersected before sets are compared.
 1. Frequencies: documents are dealt to groups by a hash of their key; each group sends its distinct tokens with their
    counts, once, as sorted arrays by token range; each range sums the counts over all groups and sends every group its
    tokens' frequency classes back. So the frequencies cover all documents, and a token in every document costs
-   no more than one entry a group. A group has a fourth as many ranges as documents at most, so messages grow with the documents; beyond
-   group_docs^2 documents, groups and ranges both grow with the square root of their number.
+   no more than one entry a group. A group has no more ranges than documents, so messages grow with the documents; beyond group_docs^2
+   documents, groups and ranges both grow with the square root of their number. `UNIT` bytes of text count as a document: groups
+   are as bounded in bytes as in documents, but for a single longer text.
 2. Prefixes, with the position of each token: rare tokens first, ties by token, by two other hashes for the other two orders. Tokens of one document
    link nothing and are left out; a document with no other token in its prefix has no partner and takes no further part.
    Sets equal in size, sum of hashes and parity map (over 300 bits) are one class with the least key as its representative.
@@ -33,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidegrid.llm.common import components, stash, text_of
+from tidegrid.llm.common import UNIT, components, stash, text_of, volume
 from tidegrid.llm.wordhash import mix, shingle_sets
 
 #: Words of 64 bits in a set's parity map.
@@ -184,10 +185,10 @@ def rest_of_lists(lists: DataFrame, own: list[str], percent: int) -> DataFrame:
 
 
 def dealing(size: int, group_docs: int) -> tuple[int, int]:
-    """(groups, bits of a token range) for `size` documents: at most a message for every fourth document."""
+    """(groups, bits of a token range) for `size` documents: at most as many messages as documents, and one group's."""
     group_docs = max(group_docs, math.isqrt(size))
     groups = max(1, -(-size // group_docs))
-    return groups, max(0, min((groups // 4).bit_length() + 1, (group_docs // 4).bit_length() - 1))
+    return groups, max(0, min((groups // 4).bit_length() + 1, group_docs.bit_length() - 1))
 
 
 def verify(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
@@ -214,7 +215,8 @@ def jaccard_components(
 ) -> DataFrame:
     """One row per input row: (key, n_shingles, component_id), the least key reachable by links."""
     rows = docs.select(F.col(key).cast("long").alias("k"), text_of(text).alias("text"))
-    size = max(1, docs.count())
+    n, stored = volume(rows)
+    size = max(1, n, stored // UNIT)
     groups, bits = dealing(size, group_docs)
     grouped = rows.select(F.pmod(F.xxhash64("k", F.xxhash64("text")), F.lit(groups)).alias("grp"), "k", "text")
     codes = stash(frequency_classes(grouped, k, bits), "jaccard-classes")

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidegrid.llm.common import span_of, stash, text_of, with_next_key
+from tidegrid.llm.common import UNIT, span_of, stash, text_of, volume, with_next_key
 from tidegrid.llm.wordhash import blocks, mix, shingles
 
 
@@ -114,13 +114,16 @@ def with_edited(docs: DataFrame, k: int = 2, bits: int = 128, group_keys: int =
     """Every document beside its edited text: the last half replaced by the start of the next document (by key).
 
     (key, n_chars, edited string, fingerprint, edited_fingerprint, near_edited, near_next). Documents meet in blocks of
-    consecutive key values, as wide as lets none hold more than 2 * group_keys keys; each block also gets the document that follows it. Rows that share a key
+    consecutive key values, as wide as lets none hold more than 2 * group_keys keys, or fewer where texts have more than `UNIT` bytes
+    on average; each block also gets the document that follows it. Rows that share a key
     all precede the next key, and that key's row with the least text follows. Rows of null key have no next document and
     follow none: they keep n_chars and fingerprint, and the other columns are null.
     """
     kind = docs.schema[key].dataType.simpleString()
-    schema = f"{key} {kind}, n_chars bigint, edited string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    schema = f"{key} bigint, n_chars bigint, edited string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     rows = docs.select(F.col(key).cast("long").alias("k"), text_of(text).alias("text")).filter("k is not null")
+    n, stored = volume(rows)
+    group_keys = max(1, min(group_keys, group_keys * UNIT * n // max(stored, 1)))
     after = with_next_key(rows, "k")
     block = F.shiftright("k", span_of(after, "k", group_keys))
     # the keys that follow a block's last key, with the block that needs them
@@ -161,6 +164,6 @@ def with_edited(docs: DataFrame, k: int = 2, bits: int = 128, group_keys: int =
             }
         )
 
-    out = both.groupBy("block").applyInArrow(edit, schema)
+    out = both.groupBy("block").applyInArrow(edit, schema).withColumn(key, F.col(key).cast(kind))
     loose = simhash(docs.filter(F.col(key).cast("long").isNull()), k, bits, key, text, sizes=True)
     return out.unionByName(loose, allowMissingColumns=True)
