@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from tidegrid import catalog_io
-from tidegrid.functions.grid import age_weight, beam_uncertainty, ensure_schema
+from tidegrid import catalog_io, registry
+from tidegrid.functions.grid import GridSpec, age_weight, beam_uncertainty, ensure_schema
 from tidegrid.operators import filters, rasters, stacks, surfaces
 from tidegrid.plans import chains
 from tidegrid.plans.fixtures import GRID, REGION, beams, datasets, points, raster, reference, with_sql
@@ -174,10 +174,19 @@ _add(
     ),
     with_sql("p g", "SELECT row, col, round(sum(z*w)/sum(w), 6) AS z FROM g WHERE x BETWEEN 2 AND 10 AND y BETWEEN 3 AND 12 AND z BETWEEN -150 AND 150 AND classification <> 7 GROUP BY row, col"),
 )
+_STEPS = [
+    ("spatial_crop", {"region": _SMALL}), ("range_z", {"min_z": -150, "max_z": 150}), ("drop_class", {"classes": "7"}), ("simple_stack", {"grid": GRID}),
+]
+_add("operator_chain", lambda spark, sf: _rounded(registry.chain(points(spark, sf), _STEPS)), _SQL["flagship_pipeline"])
+_add(
+    "chain_sources",
+    lambda spark, sf: _rounded(chains.source_surface([points(spark, sf).filter(F.col("seq") % 2 == i) for i in (0, 1)], GRID, [1.0, 3.0])),
+    with_sql("p g", "SELECT row, col, round(sum(z*w*(1 + seq % 2 * 2))/sum(w*(1 + seq % 2 * 2)), 6) AS z FROM g GROUP BY row, col"),
+)
 _PARTS = """, s AS (SELECT row, col, dataset_id, count(*) AS n, sum(w) AS sw, sum(z*w) AS sz, sum(x*w) AS sx, sum(y*w) AS sy,
   pow(min_by(u, seq), 2) + pow(stddev_pop(z), 2) AS suc2, min(z) AS zmin, max(z) AS zmax FROM g GROUP BY row, col, dataset_id),
 k AS (SELECT s.*, ingest_order, sw/n AS wavg FROM s JOIN ds USING (dataset_id)) """
-_FINISH = """SELECT row, col, round(sum(sz)/sum(sw), 6) AS z, CAST(sum(n) AS BIGINT) AS count, round(sum(sw), 6) AS weights, round(sqrt(sum(suc2))/sum(n), 6) AS uncertainty,
+_FINISH = """SELECT row, col, round({}, 6) AS z, CAST(sum(n) AS BIGINT) AS count, round(sum(sw), 6) AS weights, round(sqrt(sum(suc2))/sum(n), 6) AS uncertainty,
   CAST(0 AS DOUBLE) AS src_uncertainty, round(sum(sx)/sum(sw), 6) AS x, round(sum(sy)/sum(sw), 6) AS y FROM {} GROUP BY row, col"""
 _TIER = "(SELECT *, CAST(wavg >= 2.25 AS INT) + CAST(wavg >= 2.5 AS INT) AS tier FROM k)"
 _FROM = {
@@ -186,7 +195,7 @@ _FROM = {
     "mixed": f"(SELECT * FROM (SELECT *, max(tier) OVER (PARTITION BY row, col) AS top FROM {_TIER}) WHERE tier = top)",
 }
 for _mode in ("mean", "supercede", "mixed", "min", "max"):
-    _body = _FINISH.format(_FROM[_mode]) if _mode in _FROM else f"SELECT row, col, round({_mode}(z{_mode}), 6) AS z, CAST(sum(n) AS BIGINT) AS count, round(sum(sw), 6) AS weights FROM k GROUP BY row, col"
+    _body = _FINISH.format("sum(sz)/sum(sw)", _FROM[_mode]) if _mode in _FROM else _FINISH.format(f"{_mode}(z{_mode})", "k")
     _add(
         f"multi_stack_{_mode}",
         lambda spark, sf, mode=_mode: _rounded(stacks.multi_stack(points(spark, sf), datasets(spark), GRID, mode, (2.25, 2.5))),
@@ -217,6 +226,11 @@ _add(
         SELECT row, col, round(vote, 6) AS vote, CAST(vote > 0 AS INT) AS land FROM t""",
     ),
 )
+_add(
+    "chain_coast",
+    lambda spark, sf: _rounded(chains.coast({d: points(spark, sf).filter(F.col("dataset_id") == d) for d in "FOP"}, GRID, _VOTES)),
+    _SQL["coastline_vote"],
+)
 _add(
     "registry_skip",
     lambda spark, sf: stacks.unseen(points(spark, sf), datasets(spark).filter("dataset_id = 'O'")).groupBy("dataset_id").agg(F.count("*").alias("n")),
@@ -304,7 +318,76 @@ _NEAR = """, n AS (SELECT a.row, a.col, b.row AS r, b.col AS c, b.z, (a.row-b.ro
   e AS (SELECT row, col, {} AS f FROM n WHERE d2 <= 9 GROUP BY row, col) SELECT row, col, round(coalesce(z, f), 6) AS z FROM rv LEFT JOIN e USING (row, col)"""
 _add("fill_idw", lambda spark, sf: _rounded(rasters.fill_idw(raster(spark, sf, voids=True), 3)), with_sql("rv", _NEAR.format("sum(z/d2)/sum(1/d2)")))
 _add("interp_nearest", lambda spark, sf: _rounded(rasters.interp_nearest(raster(spark, sf, voids=True), 3)), with_sql("rv", _NEAR.format("arg_min(z, {d: d2, r: r, c: c})").replace("{{", "{")))
-_add("ms_cudem_step", lambda spark, sf: _rounded(rasters.ms_cudem_step(_stacked(spark, sf), 4, 0.5)))
+
+
+def _idw_sql(src: str, out: str, reach: int, more: str = "") -> str:
+    """Tables that end in `out`: `src` with voids from the cells with data within `reach`; `more`: what two cells must meet too."""
+    return f""", {out}n AS (SELECT a.row, a.col, sum(b.z/(dr*dr + dc*dc))/sum(1/(dr*dr + dc*dc)) AS f FROM {src} a, range(-{reach}, {reach + 1}) s(dr), range(-{reach}, {reach + 1}) t(dc), {src} b
+      WHERE a.z IS NULL AND b.z IS NOT NULL AND dr*dr + dc*dc BETWEEN 1 AND {reach * reach} AND b.row = a.row + dr AND b.col = a.col + dc{more} GROUP BY a.row, a.col),
+    {out} AS (SELECT row, col, coalesce(z, f) AS z FROM {src} LEFT JOIN {out}n USING (row, col))"""
+
+
+def _patched_sql(fine: str, coarse: str, out: str, k: int, weight: float) -> str:
+    """Tables that end in `out`: `fine` with voids from the surface `coarse`, k times as coarse."""
+    filled = "f.z IS NULL AND c.z IS NOT NULL"
+    return f""", {out} AS (SELECT f.row, f.col, coalesce(f.z, c.z) AS z, CASE WHEN {filled} THEN 1 ELSE count END AS count, CASE WHEN {filled} THEN {weight} ELSE weights END AS weights
+      FROM {fine} f LEFT JOIN {coarse} c ON CAST(floor(f.row/{k}) AS INT) = c.row AND CAST(floor(f.col/{k}) AS INT) = c.col)"""
+
+
+def _cudem_sql(factors=(9, 3, 1), weights=(0.25, 0.5, 1.0), reach: int = 4, side: str | None = None) -> str:
+    """Tables that end in s1: the multi-resolution fill of k; `side`: what tells a cell of a level apart, from its centre x and y."""
+    steps, before = "", None
+    for k, w in zip(factors, weights, strict=True):
+        steps += f", d{k} AS (SELECT CAST(floor(row/{k}) AS INT) AS row, CAST(floor(col/{k}) AS INT) AS col, avg(z) AS z, ceil(avg(count)) AS count, avg(weights) AS weights FROM k GROUP BY 1, 2)"
+        level = f"d{k}"
+        if before:
+            steps += _patched_sql(level, f"s{before}", f"b{k}", before // k, w)
+            level = f"b{k}"
+        steps += f", m{k} AS (SELECT row, col, CASE WHEN count > 0 AND weights >= {w} THEN z END AS z FROM {level})"
+        centre = lambda t: side.replace("x", f"(({t}.col + 0.5)*{k})").replace("y", f"(16 - ({t}.row + 0.5)*{k})")  # noqa: B023, E731
+        steps += _idw_sql(f"m{k}", f"s{k}", reach, f" AND ({centre('a')}) = ({centre('b')})" if side and k != factors[-1] else "")
+        before = k
+    return steps
+
+
+_add(
+    "ms_cudem_step",
+    lambda spark, sf: _rounded(rasters.ms_cudem_step(_stacked(spark, sf), 4, 0.5)),
+    with_sql(
+        "rv",
+        _STACKED.rstrip() + ", d AS (" + _DEC.format("avg(z) AS z", "rv") + ")" + _idw_sql("d", "e", 4) + _patched_sql("k", "e", "b", 4, 0.5)
+        + " SELECT row, col, round(z, 6) AS z, CAST(count AS BIGINT) AS count, round(weights, 6) AS weights FROM b",
+    ),
+)
+#: A barrier across the rasters, as a polygon and as a condition on x and y.
+_WALL = [[(10.3, 3.2), (40.3, 3.2), (40.3, -60.8), (10.3, -60.8)]]
+_IN_WALL = "x > 10.3 AND x < 40.3 AND y < 3.2 AND y > -60.8"
+_add(
+    "barrier_split",
+    lambda spark, sf: _rounded(rasters.by_side(raster(spark, sf, voids=True), GRID, [_WALL], lambda c: rasters.fill_idw(c, 3))),
+    with_sql(
+        "rv",
+        _idw_sql("rv", "t", 3, " AND " + " = ".join("(" + _IN_WALL.replace("x", f"({t}.col + 0.5)").replace("y", f"(16 - ({t}.row + 0.5))") + ")" for t in "ab"))
+        + " SELECT row, col, round(z, 6) AS z FROM t",
+    ),
+)
+_HALF = GridSpec(REGION, 2.0, 2.0)
+_add(
+    "raster_diff_aligned",
+    lambda spark, sf: _rounded(rasters.raster_diff(raster(spark, sf), rasters.decimate(raster(spark, sf), 2), "difference", grid=GRID, other_grid=_HALF)),
+    with_sql(
+        "r",
+        ", d AS (" + _DEC.replace("/4", "/2").format("avg(z) AS z", "r") + """), a AS (SELECT row, col, z, (row + 0.5)/2 - 0.5 AS fr, (col + 0.5)/2 - 0.5 AS fc FROM r),
+        t AS (SELECT a.row, a.col, any_value(a.z) AS z, CASE WHEN count(d.z) = 4 THEN sum(d.z*(1 - abs(fr - d.row))*(1 - abs(fc - d.col))) END AS o
+          FROM a LEFT JOIN d ON d.row IN (floor(fr), floor(fr) + 1) AND d.col IN (floor(fc), floor(fc) + 1) GROUP BY a.row, a.col)
+        SELECT row, col, round(z - o, 6) AS z FROM t""",
+    ),
+)
+_add(
+    "raster_diff_nearest",
+    lambda spark, sf: _rounded(rasters.raster_diff(raster(spark, sf), rasters.decimate(raster(spark, sf), 2), "difference", grid=GRID, other_grid=_HALF, method="nearest")),
+    with_sql("r", "SELECT row, col, round(z - avg(z) OVER (PARTITION BY row // 2, col // 2), 6) AS z FROM r"),
+)
 _add(
     "raster_points",
     lambda spark, sf: _rounded(cells_to_points(raster(spark, sf, voids=True), GRID)),
@@ -362,8 +445,35 @@ _add(
     with_sql("r", _taxi_sql("r", "t", "z > 0.3", "distance") + " SELECT row, col, distance FROM t"),
 )
 _add("interp_linear", lambda spark, sf: _rounded(surfaces.interp(raster(spark, sf, voids=True))), with_sql("rv", _lines_sql("rv", "t", "z") + " SELECT row, col, round(z_new, 6) AS z FROM t"))
-_add("interp_cubic", lambda spark, sf: _rounded(surfaces.interp(raster(spark, sf, voids=True), "cubic")))
-_add("ms_cudem", lambda spark, sf: _rounded(surfaces.ms_cudem(_stacked(spark, sf))))
+
+
+def _cubic_sql() -> str:
+    """Voids of rv by the cubics through the two knots on either side along row and column, or the line through one on either side."""
+    knots, ends, found = "", "", []
+    for line, order in (("row", "col"), ("col", "row")):
+        w = f"OVER (PARTITION BY {line} ORDER BY {order})"
+        sides = ", ".join(f"{{'p': {order}, 'v': z, 'pp': {f}({order}) {w}, 'pv': {f}(z) {w}}} AS {line}_{f}" for f in ("lag", "lead"))
+        knots += f", knots_{line} AS (SELECT row, col, {sides} FROM rv WHERE z IS NOT NULL)"
+        ends += f", last_value({line}_lag IGNORE NULLS) {w} AS {line}_a, last_value({line}_lead IGNORE NULLS) OVER (PARTITION BY {line} ORDER BY {order} DESC) AS {line}_b"
+        a, b = f"{line}_a", f"{line}_b"
+        at = [f"{a}.pp", f"{a}.p", f"{b}.p", f"{b}.pp"]
+        value = [f"{a}.pv", f"{a}.v", f"{b}.v", f"{b}.pv"]
+        cubic = " + ".join(f"{value[i]}" + "".join(f"*({order} - {at[j]})/({at[i]} - {at[j]})" for j in range(4) if j != i) for i in range(4))
+        found.append(f"CASE WHEN z IS NULL THEN coalesce({cubic}, {a}.v + ({b}.v - {a}.v)*({order} - {a}.p)/({b}.p - {a}.p)) END AS {line}_z, {b}.p - {a}.p AS {line}_gap")
+    return (
+        knots + f", ends AS (SELECT row, col, z{ends} FROM rv LEFT JOIN knots_row USING (row, col) LEFT JOIN knots_col USING (row, col)), found AS (SELECT row, col, z, {', '.join(found)} FROM ends)"
+        " SELECT row, col, round(coalesce(z, CASE WHEN row_z IS NULL THEN col_z WHEN col_z IS NULL THEN row_z ELSE (row_z*col_gap + col_z*row_gap)/(row_gap + col_gap) END), 6) AS z FROM found"
+    )
+
+
+_add("interp_cubic", lambda spark, sf: _rounded(surfaces.interp(raster(spark, sf, voids=True), "cubic")), with_sql("rv", _cubic_sql()))
+_NO_SIGN = " SELECT row, col, round(z, 6) + 0.0 AS z FROM s1"  # no negative zero
+_add("ms_cudem", lambda spark, sf: _rounded(surfaces.ms_cudem(_stacked(spark, sf))).withColumn("z", F.col("z") + 0.0), with_sql("rv", _STACKED.rstrip() + _cudem_sql() + _NO_SIGN))
+_add(
+    "ms_cudem_barrier",
+    lambda spark, sf: _rounded(surfaces.ms_cudem(_stacked(spark, sf), barrier=[_WALL], grid=GRID)).withColumn("z", F.col("z") + 0.0),
+    with_sql("rv", _STACKED.rstrip() + _cudem_sql(side=_IN_WALL) + _NO_SIGN),
+)
 _add(
     "ms_blend",
     lambda spark, sf: _rounded(surfaces.ms_blend(_stacked(spark, sf), 1.25, 2, random_scale=0)),
@@ -408,6 +518,24 @@ _add(
 )
 
 
+_RING = [(13.2, 8.1, 8.1, 13.3), (8.1, 13.3, 2.9, 8.1), (2.9, 8.1, 8.1, 2.8), (8.1, 2.8, 13.2, 8.1)]
+_add(
+    "coast_patches",
+    lambda spark, sf: surfaces.coast_patches(spark.createDataFrame(_RING, "x1 double, y1 double, x2 double, y2 double"), GRID),
+    f"""WITH RECURSIVE l(x1, y1, x2, y2) AS (VALUES {", ".join(map(str, _RING))}),
+      u AS (SELECT x1::DOUBLE AS u1, 16 - y1::DOUBLE AS v1, x2::DOUBLE AS u2, 16 - y2::DOUBLE AS v2 FROM l), s AS (SELECT *, ceil(greatest(abs(u2 - u1), abs(v2 - v1))*2) AS n FROM u),
+      wall AS (SELECT DISTINCT CAST(floor(v1 + (v2 - v1)*i/n) AS INT) AS row, CAST(floor(u1 + (u2 - u1)*i/n) AS INT) AS col FROM s, range(100) t(i) WHERE i <= n),
+      land AS (SELECT CAST(i // 16 AS INT) AS row, CAST(i % 16 AS INT) AS col FROM range(256) t(i) EXCEPT SELECT row, col FROM wall),
+      touch AS (SELECT a.row*100 + a.col AS a, b.row*100 + b.col AS b FROM land a JOIN land b ON abs(a.row - b.row) + abs(a.col - b.col) = 1),
+      reach(x, y) AS (SELECT a, b FROM touch UNION SELECT x, b FROM reach JOIN touch ON y = a),
+      best AS (SELECT row, col, coalesce((SELECT min(y) FROM reach WHERE x = row*100 + col), row*100 + col) AS root FROM land),
+      vote AS (SELECT k > 0 AS on_left, CAST(floor((v1 + v2)/2 - k*2*(u2 - u1)/m) AS INT) AS row, CAST(floor((u1 + u2)/2 + k*2*(v2 - v1)/m) AS INT) AS col
+        FROM (SELECT *, sqrt((u2 - u1)*(u2 - u1) + (v2 - v1)*(v2 - v1)) AS m FROM u), (VALUES (1), (-1)) t(k)),
+      told AS (SELECT root, avg(CAST(on_left AS INT)) > 0.5 AS land FROM vote JOIN best USING (row, col) GROUP BY root)
+      SELECT row, col, CAST(root // 100 AS BIGINT) * 4294967296 + root % 100 AS label, told.land FROM best LEFT JOIN told USING (root)""",
+)
+
+
 def queries() -> dict:
     return _QUERIES | catalog_io.queries()
 

@@ -8,10 +8,11 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tidegrid.functions.grid import Region
 from tidegrid.functions.shared import shared_dir
 from tidegrid.operators import filters, stacks
 from tidegrid.plans.fixtures import GRID, datasets, points, reference, with_sql
-from tidegrid.sources import readers
+from tidegrid.sources import readers, surveys
 from tidegrid.streaming import incremental
 
 
@@ -68,6 +69,22 @@ def binned_lines(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.schema("row int, col int, z double").csv(place).select("row", "col", F.round("z", 3).alias("z"))
 
 
+_PART = Region(3.5, 20.0, 2.0, 9.5)
+
+
+def cells_window(spark: SparkSession, sf: str) -> DataFrame:
+    """The cells of a columnar grid that a region meets."""
+    place = _place(spark, "cells.parquet")
+    stacks.simple_stack(points(spark, sf), GRID).write.parquet(place)
+    return _rounded(readers.read_cells(spark, place, GRID, _PART))
+
+
+def survey_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Files of gridded surveys by their names."""
+    datum = F.when(F.col("seq") % 3 == 0, "Ellipsoid").otherwise("MLLW")
+    return surveys.gridded_surveys(points(spark, sf).select("seq", F.format_string("%s_%d_%s_2of5.bag", F.col("dataset_id"), F.col("seq"), datum).alias("path")))
+
+
 def incremental_batches(spark: SparkSession, sf: str) -> DataFrame:
     """A stack of three batches that share datasets, one of which is run twice."""
     place, p = _place(spark, "sums"), points(spark, sf)
@@ -130,7 +147,7 @@ _POINT = "SELECT round(x, 6) AS x, round(y, 6) AS y, round({z}, 6) AS z, {w} AS
 def queries() -> dict:
     own = (
         xyz_round_trip, xyz_profile, columnar_binned, geojson_fields, sidecar_round_trip, binned_lines, incremental_batches, streamed_stack,
-        reproject_mercator, reproject_shifted, provenance_legend, vector_mask_coast,
+        reproject_mercator, reproject_shifted, provenance_legend, vector_mask_coast, cells_window, survey_files,
     )
     return {f.__name__: f for f in own}
 
@@ -145,6 +162,8 @@ def oracle_sql(known: dict[str, str]) -> dict[str, str]:
         "geojson_fields": with_sql("p", _POINT.format(z="-z", w="w", u="u")),
         "sidecar_round_trip": with_sql("p", "SELECT dataset_id, count(*) AS numpts, min(x) AS xmin, max(x) AS xmax, min(y) AS ymin, max(y) AS ymax, true AS has_polygon FROM p GROUP BY 1"),
         "binned_lines": with_sql("p g", "SELECT row, col, round(round(sum(z * w) / sum(w), 4), 3) AS z FROM g GROUP BY row, col"),
+        "cells_window": with_sql("p g", "SELECT row, col, round(sum(z*w)/sum(w), 6) AS z FROM g WHERE row BETWEEN 6 AND 13 AND col BETWEEN 3 AND 15 GROUP BY row, col"),
+        "survey_files": with_sql("p", "SELECT seq, dataset_id || '_' || seq || '_MLLW_2of5.bag' AS path FROM p WHERE seq % 3 <> 0"),
         "incremental_batches": mean,
         "streamed_stack": f"SELECT m.*, s.points_seen FROM ({mean}) m, (SELECT count(*) AS points_seen FROM orders) s",
         "reproject_mercator": with_sql("p", "SELECT seq, round(radians(x) * 6378137.0, 3) + 0.0 AS x, round(ln(tan(radians(y) / 2 + pi() / 4)) * 6378137.0, 3) + 0.0 AS y FROM p"),

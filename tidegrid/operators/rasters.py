@@ -6,13 +6,52 @@ holds more than one line of the grid a window.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window, functions as F
 
+from tidegrid.functions.grid import GridSpec
+from tidegrid.functions.shared import stash
+from tidegrid.operators.filters import inside_polygons, polygon_edges, sample, sample_bilinear
+
 _CELL = ["row", "col"]
 
 
-def raster_diff(cells: DataFrame, other: DataFrame, mode: str = "filter", threshold: float = 0.0) -> DataFrame:
-    """difference: z less the other's; filter: z, null where the difference exceeds the threshold."""
+def _centred(cells: DataFrame, grid: GridSpec) -> DataFrame:
+    """(row, col, x, y, _cell): the cells with their centres and one key for each."""
+    return grid.centres(cells.select(*_CELL)).withColumn("_cell", F.shiftleft(F.col("row").cast("long"), 32) + F.col("col"))
+
+
+def align(cells: DataFrame, grid: GridSpec, other: DataFrame, other_grid: GridSpec, method: str = "bilinear") -> DataFrame:
+    """(row, col, z) of `other` at the centres of `cells`; null where it has nothing there. bilinear, or nearest: of the cell around it."""
+    at = _centred(cells, grid)
+    if method == "nearest":
+        return sample(at, other, other_grid, "z", "z").select(*_CELL, "z")
+    return at.join(sample_bilinear(at, other, other_grid, "z", "z", "_cell"), "_cell").select(*_CELL, "z")
+
+
+def by_side(cells: DataFrame, grid: GridSpec, barrier: list | DataFrame, op: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """`op` on either side of a barrier by itself: on the cells whose centre lies in one of the polygons, and on the others. `barrier`: polygons, a list
+    of rings each, or a table of edges. `op` gets the whole grid with the other side void, and keeps row and col."""
+    edges = barrier if isinstance(barrier, DataFrame) else polygon_edges(cells.sparkSession, barrier)
+    at = _centred(cells, grid)
+    inside = at.join(inside_polygons(at, edges, "_cell"), "_cell").select(*_CELL)
+    marked = stash(cells.join(inside.withColumn("_in", F.lit(True)), _CELL, "left").withColumn("_in", F.coalesce("_in", F.lit(False))), "sides")
+    parts = []
+    for side in (True, False):
+        own = marked.filter(F.col("_in") == side).select(*_CELL)
+        seen = marked.withColumn("z", F.when(F.col("_in") == side, F.col("z"))).drop("_in")
+        parts.append(op(seen).join(own, _CELL, "left_semi"))
+    return parts[0].unionByName(parts[1])
+
+
+def raster_diff(
+    cells: DataFrame, other: DataFrame, mode: str = "filter", threshold: float = 0.0, grid: GridSpec | None = None, other_grid: GridSpec | None = None,
+    method: str = "bilinear",
+) -> DataFrame:
+    """difference: z less the other's; filter: z, null where the difference exceeds the threshold. With both grids the other is aligned first."""
+    if grid is not None and other_grid is not None:
+        other = align(cells, grid, other, other_grid, method)
     both = cells.join(other.select(*_CELL, F.col("z").alias("_o")), _CELL, "left")
     d = F.col("z") - F.col("_o")
     z = d if mode == "difference" else F.when(F.coalesce(F.abs(d) <= threshold, F.lit(True)), F.col("z"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tidegrid.functions.grid import GridSpec, Region
+from tidegrid.functions.shared import stash
 
 _CELL = ["row", "col"]
 
@@ -67,7 +68,8 @@ def finish_stack(partials: DataFrame, mode: str = "mean", thresholds=(1.0,), ord
     """Stage 2: (row, col, z, count, weights, uncertainty, src_uncertainty, x, y).
 
     mean adds all datasets; supercede keeps the one of greatest mean weight, the earliest of equals; mixed adds those of the
-    highest weight tier in the cell; min and max take extremes of z. `partials` has a column `order`.
+    highest weight tier in the cell; min and max take the extremes of z of all points, the other columns being those of mean.
+    `partials` has a column `order`.
     """
     avg = F.col("sw") / F.col("n")
     if mode == "supercede":
@@ -78,14 +80,13 @@ def finish_stack(partials: DataFrame, mode: str = "mean", thresholds=(1.0,), ord
         for t in sorted(thresholds):
             tier = tier + (avg >= t).cast("int")
         partials = partials.withColumn("tier", tier).withColumn("top", F.max("tier").over(Window.partitionBy(*_CELL))).filter("tier = top")
-    cells = partials.groupBy(*_CELL)
-    if mode in ("min", "max"):
-        pick = F.min("zmin") if mode == "min" else F.max("zmax")
-        return cells.agg(pick.alias("z"), F.sum("n").alias("count"), F.sum("sw").alias("weights"))
-    sums = cells.agg(*[F.sum(c).alias(c) for c in ("n", "sw", "sz", "sx", "sy", "suc2")])
+    sums = partials.groupBy(*_CELL).agg(
+        *[F.sum(c).alias(c) for c in ("n", "sw", "sz", "sx", "sy", "suc2")], F.min("zmin").alias("zmin"), F.max("zmax").alias("zmax")
+    )
     part = lambda c: F.try_divide(F.col(c), F.col("sw"))
+    z = F.col(f"z{mode}") if mode in ("min", "max") else part("sz")
     return sums.select(
-        *_CELL, part("sz").alias("z"), F.col("n").alias("count"), F.col("sw").alias("weights"),
+        *_CELL, z.alias("z"), F.col("n").alias("count"), F.col("sw").alias("weights"),
         (F.sqrt("suc2") / F.col("n")).alias("uncertainty"), F.lit(0.0).alias("src_uncertainty"), part("sx").alias("x"), part("sy").alias("y"),
     )
 
@@ -164,9 +165,32 @@ def unseen(points: DataFrame, registry: DataFrame) -> DataFrame:
     return points.join(registry.select("dataset_id").distinct(), "dataset_id", "left_anti")
 
 
+def quantiles(rows: DataFrame, column: str, at: dict[str, float]) -> DataFrame:
+    """One row with the exact quantiles `at` by name, between the two nearest ranks; null where the column has no value.
+
+    Equal values are counted before they move; the distinct ones are dealt by range and ranked inside their range, so no task holds
+    the column. Only the totals of the ranges, as many as spark.sql.shuffle.partitions, meet in one window.
+    """
+    ranges = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = rows.select(F.col(column).cast("double").alias("v")).filter("v is not null").groupBy("v").agg(F.count("*").alias("n"))
+    dealt = stash(counts.repartitionByRange(ranges, "v").select("v", "n", F.spark_partition_id().alias("part")), "values")
+    totals = dealt.groupBy("part").agg(F.sum("n").alias("m"))
+    totals = totals.select("part", (F.sum("m").over(Window.orderBy("part")) - F.col("m")).alias("base"), F.sum("m").over(Window.partitionBy()).alias("size"))
+    inside = Window.partitionBy("part").orderBy("v")
+    # a value has the ranks from `end` - n to `end` - 1
+    ranked = dealt.withColumn("end", F.sum("n").over(inside)).join(F.broadcast(totals), "part").withColumn("end", F.col("end") + F.col("base"))
+    found = []
+    for name, share in at.items():
+        rank = F.lit(float(share)) * (F.col("size") - 1)
+        held = lambda r: F.max(F.when((r >= F.col("end") - F.col("n")) & (r < F.col("end")), F.col("v")))
+        low, high = held(F.floor(rank)), held(F.ceil(rank))
+        found.append((low + (high - low) * F.max(rank - F.floor(rank))).alias(name))
+    return ranked.agg(*found)
+
+
 def iqr_fences(rows: DataFrame, column: str = "z", percentile: float = 0.75, k: float = 1.5) -> DataFrame:
     """(lower, upper) outlier fences of a column."""
-    q = rows.agg(F.percentile(column, F.lit(1 - percentile)).alias("lo"), F.percentile(column, F.lit(percentile)).alias("hi"))
+    q = quantiles(rows, column, {"lo": 1 - percentile, "hi": percentile})
     return q.select((F.col("lo") - k * (F.col("hi") - F.col("lo"))).alias("lower"), (F.col("hi") + k * (F.col("hi") - F.col("lo"))).alias("upper"))
 
 

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidegrid.functions.grid import GridSpec
 from tidegrid.functions.shared import components, stash
-from tidegrid.operators.rasters import auto_stack_mask, blend_background, decimate, fill_idw, interp_nearest, slope
+from tidegrid.operators.filters import polygon_edges
+from tidegrid.operators.rasters import auto_stack_mask, blend_background, by_side, decimate, fill_idw, interp_nearest, slope
 
 _CELL = ["row", "col"]
 _AXES = (("row", "col"), ("col", "row"))
@@ -155,16 +156,28 @@ def raster_blend(
     return grid.select(*_CELL, F.when(F.col("_zone"), mixed).otherwise(F.col("z")).alias("z"))
 
 
-def ms_cudem(cells: DataFrame, factors=(9, 3, 1), weights=(0.25, 0.5, 1.0), method: str = "idw", reach: int = 4) -> DataFrame:
+def ms_cudem(
+    cells: DataFrame, factors=(9, 3, 1), weights=(0.25, 0.5, 1.0), method: str = "idw", reach: int = 4, barrier: list | DataFrame | None = None,
+    grid: GridSpec | None = None,
+) -> DataFrame:
     """Multi-resolution fill of a stack (row, col, z, count, weights): from the coarsest factor to the finest, average the
-    stack, patch its voids from the surface before, and interpolate what has the level's weight."""
+    stack, patch its voids from the surface before, and interpolate what has the level's weight. With a `barrier` (see `by_side`) and the
+    cells' `grid`, all levels but the finest are interpolated on either side by itself."""
     surface, before = None, None
+    if barrier is not None and not isinstance(barrier, DataFrame):
+        barrier = polygon_edges(cells.sparkSession, barrier)
     for k, weight in zip(factors, weights, strict=True):
         level = decimate(cells, k, ("z", "count", "weights"))
         if surface is not None:
             level = blend_background(level.withColumn("count", F.ceil("count")), surface, before // k, weight)
+        level = auto_stack_mask(level, weight)
+        if barrier is None or k == factors[-1]:
+            level = interp(level, method, reach)
+        else:
+            coarse = GridSpec(grid.region, grid.xinc * k, grid.yinc * k)
+            level = by_side(level, coarse, barrier, lambda c: interp(c, method, reach))
         # a level is read several times by the next
-        surface, before = stash(interp(auto_stack_mask(level, weight), method, reach), "cudem"), k
+        surface, before = stash(level, "cudem"), k
     return surface
 
 
@@ -195,6 +208,31 @@ def polygons(cells: DataFrame, mask: Column, grid: GridSpec) -> DataFrame:
     )
 
 
+def coast_patches(lines: DataFrame, grid: GridSpec, off: float = 2.0) -> DataFrame:
+    """(row, col, label, land): the cells of a grid that no coast line (x1, y1, x2, y2, with the land on its left) runs through, by 4-connected patch.
+
+    Points `off` cells to either side of the middles of the lines vote in the patch they lie in: it is land where more than half of them are on
+    a line's left, and null where there are none.
+    """
+    u, v = (lambda c: (F.col(c) - grid.region.w) / grid.xinc), (lambda c: (F.lit(grid.region.n) - F.col(c)) / grid.yinc)
+    at = lines.select(u("x1").alias("u1"), v("y1").alias("v1"), u("x2").alias("u2"), v("y2").alias("v2"))
+    du, dv = F.col("u2") - F.col("u1"), F.col("v2") - F.col("v1")
+    # by half cells, so that a line's cells leave no gap for a side to pass through
+    n = F.greatest(F.lit(1), F.ceil(F.greatest(F.abs(du), F.abs(dv)) * 2))
+    walk = at.withColumn("n", n).withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n").cast("bigint"))))
+    along = lambda a, d: F.floor(F.col(a) + d * F.col("i") / F.col("n")).cast("int")
+    wall = walk.select(along("v1", dv).alias("row"), along("u1", du).alias("col")).distinct()
+    cells = lines.sparkSession.range(grid.rows * grid.cols).select(F.floor(F.col("id") / grid.cols).cast("int").alias("row"), (F.col("id") % grid.cols).cast("int").alias("col"))
+    patches = label_cells(cells.join(wall, _CELL, "left_anti"), F.lit(True)).drop("sides")
+    length = F.sqrt(du * du + dv * dv)
+    side = lambda k: F.struct(
+        F.floor((F.col("v1") + F.col("v2")) / 2 - k * off * du / length).cast("int").alias("row"),
+        F.floor((F.col("u1") + F.col("u2")) / 2 + k * off * dv / length).cast("int").alias("col"), F.lit(float(k > 0)).alias("left"),
+    )
+    votes = at.filter(length > 0).select(F.inline(F.array(side(1), side(-1)))).join(patches, _CELL).groupBy("label").agg((F.avg("left") > 0.5).alias("land"))
+    return patches.join(votes, "label", "left").select(*_CELL, "label", "land")
+
+
 def outlines(cells: DataFrame, mask: Column, grid: GridSpec) -> DataFrame:
     """(label, x1, y1, x2, y2): the cell sides on the outline of each patch, with the patch on their left."""
     p = label_cells(cells, mask).filter("sides > 0").select(*_CELL, "label")

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import struct
+import math
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidegrid.functions.grid import GridSpec, ensure_schema
+from tidegrid.functions.grid import GridSpec, Region, ensure_schema
+from tidegrid.sources.las import HEADER, Layout, reference_system
 
 #: fixed values: option presets by data type
 PROFILES = {
@@ -99,25 +100,18 @@ def read_geojson(spark: SparkSession, path, layers=(), nesting: int = 4, **optio
 
 
 def read_las(spark: SparkSession, path, classes: str = "2/29/40") -> DataFrame:
-    """Points of uncompressed LAS files whose class is listed (any, if empty); w is 1 and u is 0."""
+    """Points of uncompressed LAS files whose class is listed (any, if empty); w is 1 and u is 0. A file goes to one task; `las.LasRecords` splits
+    files by records, where all executors mount their folder."""
     wanted = [int(c) for c in classes.split("/") if c]
 
     def run(batches):
         for b in batches:
             for raw in b.column(0).to_pylist():
-                if raw[:4] != b"LASF":
+                layout = Layout.of(raw[:HEADER])
+                if layout is None:
                     continue
-                (start,) = struct.unpack_from("<I", raw, 96)
-                kind, size, n = struct.unpack_from("<BHI", raw, 104)
-                if raw[25] >= 4 and not n:
-                    (n,) = struct.unpack_from("<Q", raw, 247)
-                scale, offset = struct.unpack_from("<3d", raw, 131), struct.unpack_from("<3d", raw, 155)
-                wide = kind & 0x3F >= 6
-                record = np.dtype({"names": ["xyz", "class"], "formats": ["(3,)<i4", "u1"], "offsets": [0, 16 if wide else 15], "itemsize": size})
-                rows = np.frombuffer(raw, record, n, start)
-                klass = rows["class"] if wide else rows["class"] & 0x1F
-                keep = np.isin(klass, wanted) if wanted else np.ones(n, bool)
-                xyz = rows["xyz"][keep] * np.array(scale) + np.array(offset)
+                xyz, klass = layout.points(raw, layout.count, layout.start)
+                xyz = xyz[np.isin(klass, wanted)] if wanted else xyz
                 for i in range(0, len(xyz), 100_000):
                     x, y, z = xyz[i : i + 100_000].T
                     yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in (x, y, z)], names=["x", "y", "z"])
@@ -126,6 +120,18 @@ def read_las(spark: SparkSession, path, classes: str = "2/29/40") -> DataFrame:
     return files.mapInArrow(run, "x double, y double, z double").withColumn("w", F.lit(1.0)).withColumn("u", F.lit(0.0))
 
 
+def las_srs(spark: SparkSession, path) -> DataFrame:
+    """(path, srs) of LAS files: the reference system that each names, null where it names none."""
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([reference_system(raw) for raw in b.column(1).to_pylist()], pa.string())], names=["path", "srs"])
+
+    # variable records end before the points
+    files = spark.read.format("binaryFile").load(path).select("path", F.substring("content", 1, 1 << 20).alias("content"))
+    return files.mapInArrow(run, "path string, srs string")
+
+
 def cells_to_points(cells: DataFrame, grid: GridSpec, weight: str | None = None, uncertainty: str | None = None, mask: str | None = None) -> DataFrame:
     """Points at the centres of the cells with data; a mask of 0 leaves a cell out."""
     out = cells.filter(F.col("z").isNotNull() & ~F.isnan("z"))
@@ -135,6 +141,25 @@ def cells_to_points(cells: DataFrame, grid: GridSpec, weight: str | None = None,
     return grid.centres(out).select("x", "y", "z", w.alias("w"), u.alias("u"))
 
 
+def window_of(grid: GridSpec, region: Region) -> tuple[tuple[int, int], tuple[int, int]]:
+    """The first and last row, and the first and last column, of the cells whose inside a region meets, cut to the grid."""
+
+    def ends(low: float, high: float, inc: float, n: int) -> tuple[int, int]:
+        return max(0, math.floor(low / inc)), min(n, math.ceil(high / inc)) - 1
+
+    r = grid.region
+    return ends(r.n - region.n, r.n - region.s, grid.yinc, grid.rows), ends(region.w - r.w, region.e - r.w, grid.xinc, grid.cols)
+
+
+def read_cells(spark: SparkSession, path, grid: GridSpec, region: Region | None = None) -> DataFrame:
+    """A columnar table of cells; of a region only the cells that it meets, by filters that reach the scan."""
+    cells = spark.read.parquet(path)
+    if region is None:
+        return cells
+    rows, cols = window_of(grid, region)
+    return cells.filter(F.col("row").between(*rows) & F.col("col").between(*cols))
+
+
 def read_columnar(spark: SparkSession, path) -> DataFrame:
     """A columnar point file; x is mandatory."""
     rows = spark.read.parquet(path)

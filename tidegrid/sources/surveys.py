@@ -56,6 +56,11 @@ def crawl(spark: SparkSession, folder: str, extension: str) -> DataFrame:
     return files.select("path", "length", F.col("modificationTime").alias("modified"))
 
 
+def gridded_surveys(files: DataFrame, path: str = "path") -> DataFrame:
+    """Of listed files of gridded surveys those whose heights are not above the ellipsoid, by their names."""
+    return files.filter(~F.col(path).contains("_Ellipsoid_"))
+
+
 def bounds_meet(region: Region, w: str = "w", e: str = "e", s: str = "s", n: str = "n") -> Column:
     """Whether a dataset's bounds touch a region."""
     return (F.col(e) >= region.w) & (F.col(w) <= region.e) & (F.col(n) >= region.s) & (F.col(s) <= region.n)
