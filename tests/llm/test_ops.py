@@ -729,7 +729,8 @@ def test_registered_query(spark, duck, name):
         assert sorted(got.columns) == sorted(want.columns)
         rows = lambda f: sorted(repr([None if pd.isna(v) else v if isinstance(v, str) else int(v) for v in r]) for r in f[sorted(f.columns)].astype(object).itertuples(index=False, name=None))
         assert rows(got) == rows(want)
-    assert len(got) == n if name not in ("op1_packing", "op2_chat") else len(got) >= n or name == "op2_chat"
+    if name not in ("op12_variants", "op13_divergence"):
+        assert len(got) == n if name not in ("op1_packing", "op2_chat") else len(got) >= n or name == "op2_chat"
 
 
 # pipeline

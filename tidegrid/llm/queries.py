@@ -1,10 +1,10 @@
-"""The registered queries of the ten operators, each over its whole table, and the SQL of those that SQL can express."""
+"""The registered queries of the operators, each over its whole table, and the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidegrid.llm import bpe, chat, exactdup, jaccard, linedup, packing, secrets, simhash, toxicity, warc
+from tidegrid.llm import bpe, chat, divergence, exactdup, jaccard, langid, linedup, packing, secrets, simhash, toxicity, variants, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -123,8 +123,30 @@ def op10_linedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents by models of the rows that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    away = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
+    model = langid.learn(docs.filter(~away).select("text", "lang"))
+    out = langid.identify(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", away.alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
+
+
+def op12_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spelling variants among the words of all documents."""
+    return variants.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divergence between the sources of each language, over all documents."""
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    own = (op1_packing, op2_chat, op3_secrets, op4_toxicity, op5_jaccard, op6_warc, op7_exactdup, op8_simhash, op9_bpe, op10_linedup)
+    own = (
+        op1_packing, op2_chat, op3_secrets, op4_toxicity, op5_jaccard, op6_warc, op7_exactdup, op8_simhash, op9_bpe, op10_linedup, op11_langid, op12_variants,
+        op13_divergence,
+    )
     return {f.__name__: f for f in own}
 
 
@@ -177,6 +199,26 @@ SELECT doc_id, lines_before, lines_removed, length(kept) AS chars_kept, sha256(k
 """
 
 
+_OP13 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+u AS (SELECT r, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS raw FROM d),
+w AS (SELECT r, lang, source, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM u),
+k AS (SELECT lang, term, count(*) AS whole FROM w GROUP BY lang, term HAVING count(DISTINCT r) >= 3),
+c AS (SELECT lang, source, term, count(*) AS n FROM w GROUP BY ALL),
+g AS (SELECT DISTINCT lang, source FROM d),
+s AS (SELECT g.lang, g.source, k.term, whole, coalesce(n, 0) AS n FROM g JOIN k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+t AS (SELECT *, sum(n) OVER (PARTITION BY lang, source) AS ns, sum(whole) OVER (PARTITION BY lang, source) AS nl, count(*) OVER (PARTITION BY lang, source) AS v FROM s),
+p AS (SELECT lang, source, term, n, 1 + (1000000000::HUGEINT * (n + 1)) // (ns + v)::HUGEINT AS p, 1 + (1000000000::HUGEINT * (whole + 1)) // (nl + v)::HUGEINT AS q FROM t),
+f AS (SELECT a.lang, a.source, b.source AS item, CAST(sum((a.p - b.p) * (a.p - b.p) // b.p) AS BIGINT) AS value
+      FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+o AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+      FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+      UNION ALL SELECT lang, source, 'term', term, CAST((p - q) * (p - q) // q AS BIGINT) FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, CAST(rank AS INT) AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM o) WHERE part = 'pair' OR rank <= 200
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the queries that SQL can express; the others are tested against brute force."""
-    return {"op2_chat": _OP2, "op6_warc": _OP6, "op7_exactdup": _OP7, "op10_linedup": _OP10}
+    return {"op2_chat": _OP2, "op6_warc": _OP6, "op7_exactdup": _OP7, "op10_linedup": _OP10, "op13_divergence": _OP13}
