@@ -1,7 +1,8 @@
 """Source divergence audit: how far the terms of each source lie from those of the other sources of its language, by sorted runs.
 
 1. Tasks count the terms of their documents and pass on a row for each language, term and source: documents and occurrences. So a term that
-   all documents have comes as a few rows a task.
+   all documents have comes as a few rows a task. Language and term are one string, parted by a zero byte that no term has, so that a sort compares
+   their first bytes at once.
 2. The rows are dealt by (language, term, source) and sorted; a scan sums each run.
 3. The sums are dealt by (language, term) and sorted by source. A scan of each term's run gives its document frequency, and keeps it or not.
 4. With the totals of each group joined, the kept rows are dealt and scanned once more: a term's run gives a partial value for each pair of
@@ -27,7 +28,7 @@ from tidegrid.llm.common import stash
 
 SCALE = 1_000_000_000
 #: Distinct terms of a task that are counted before they are passed on, and sources of a block of pairs.
-KEPT_TERMS, BLOCK = 200_000, 1024
+KEPT_TERMS, BLOCK = 400_000, 1024
 _TERMS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 0x80 else 32 for c in range(256))
 
 
@@ -37,16 +38,14 @@ def terms(text: str | None) -> list[bytes]:
 
 
 def _count(batches):
-    """(lang, source, text) to (lang, term, source, docs, n) of as many documents as a task can hold terms of."""
+    """(lang, source, text) to (key, source, docs, n) of as many documents as a task can hold terms of."""
 
     def emit(held: dict):
         for (lang, source), (docs, n) in held.items():
-            names = list(n)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(n), pa.string()), pa.array([t.decode() for t in names], pa.string()), pa.array([source] * len(n), pa.string()),
-                 pa.array([docs[t] for t in names], pa.int64()), pa.array(list(n.values()), pa.int64())],
-                names=["lang", "term", "source", "docs", "n"],
-            )
+                [pa.array([f"{lang}\0{t.decode()}" for t in n], pa.string()), pa.array([source] * len(n), pa.string()), pa.array([docs[t] for t in n], pa.int64()), pa.array(list(n.values()), pa.int64())],
+                names=["key", "source", "docs", "n"],
+            )
 
     held, size = {}, 0
     for b in batches:
@@ -92,21 +91,20 @@ def _by_run(names: list[str], work):
 
 
 def _sum_runs(table: pa.Table, starts: np.ndarray):
-    """Documents and occurrences of each (lang, term, source)."""
+    """Documents and occurrences of each (key, source)."""
     sums = [pa.array(np.add.reduceat(table.column(c).to_numpy(), starts)) for c in ("docs", "n")]
-    first = table.take(pa.array(starts))
-    for b in pa.table([first.column("lang"), first.column("term"), first.column("source"), *sums], names=["lang", "term", "source", "docs", "n"]).to_batches():
-        yield b
+    first = table.select(["key", "source"]).take(pa.array(starts))
+    yield from pa.table([*first.columns, *sums], names=["key", "source", "docs", "n"]).to_batches()
 
 
 def _keep_runs(least: int):
-    """(lang, term, source, n, whole) of the terms of at least `least` documents of their language; whole: occurrences in it."""
+    """(key, source, n, whole) of the terms of at least `least` documents of their language; whole: occurrences in it."""
 
     def work(table: pa.Table, starts: np.ndarray):
         size = np.diff(np.append(starts, table.num_rows))
         df, whole = (np.add.reduceat(table.column(c).to_numpy(), starts) for c in ("docs", "n"))
         keep = pa.array(np.repeat(df >= least, size))
-        out = table.append_column("whole", pa.array(np.repeat(whole, size))).select(["lang", "term", "source", "n", "whole"])
+        out = table.append_column("whole", pa.array(np.repeat(whole, size))).select(["key", "source", "n", "whole"])
         yield from out.filter(keep).to_batches()
 
     return work
@@ -187,10 +185,12 @@ def divergence(docs: DataFrame, least: int = 3, top: int = 200, text: str = "tex
     """(lang, source, part, item, value, rank): for every group its other sources by divergence, and its `top` terms over its language's share."""
     plain = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     rows = docs.select(plain(lang).alias("lang"), plain(source).alias("source"), plain(text).alias("text"))
-    schema = "lang string, term string, source string, docs bigint, n bigint"
-    counted = rows.mapInArrow(_count, schema).repartition("lang", "term", "source").sortWithinPartitions("lang", "term", "source")
-    summed = counted.mapInArrow(_by_run(["lang", "term", "source"], _sum_runs), schema).repartition("lang", "term").sortWithinPartitions("lang", "term", "source")
-    kept = stash(summed.mapInArrow(_by_run(["lang", "term"], _keep_runs(least)), "lang string, term string, source string, n bigint, whole bigint"), "divergence-kept")
+    schema = "key string, source string, docs bigint, n bigint"
+    counted = rows.mapInArrow(_count, schema).repartition("key", "source").sortWithinPartitions("key", "source")
+    summed = counted.mapInArrow(_by_run(["key", "source"], _sum_runs), schema).repartition("key").sortWithinPartitions("key", "source")
+    kept = summed.mapInArrow(_by_run(["key"], _keep_runs(least)), "key string, source string, n bigint, whole bigint")
+    lang_of = [F.expr(e) for e in ("substring_index(key, '\\0', -1) AS term", "substring(key, 1, char_length(key) - char_length(substring_index(key, '\\0', -1)) - 1) AS lang")]
+    kept = stash(kept.select(*lang_of, "source", "n", "whole"), "divergence-kept")
     # totals, a row for each group; groups without terms count too
     size = kept.groupBy("lang", "source").agg(F.sum("n").alias("n_source"))
     words = kept.select("lang", "term", "whole").distinct().groupBy("lang").agg(F.count("*").alias("v"), F.sum("whole").alias("n_lang"))
