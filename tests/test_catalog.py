@@ -6,7 +6,7 @@ import pytest
 from tidegrid import catalog
 
 SF = "/root/testdata/sf0.001"
-TABLES = ("orders", "lineitem", "embeddings")
+TABLES = ("orders", "lineitem", "embeddings", "customer", "supplier")
 
 
 @pytest.fixture(scope="module")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from tidegrid import catalog_io, registry
+from tidegrid import catalog_io, catalog_shapes, registry
 from tidegrid.functions.grid import GridSpec, age_weight, beam_uncertainty, ensure_schema
 from tidegrid.operators import filters, rasters, stacks, surfaces
 from tidegrid.plans import chains
@@ -537,8 +537,8 @@ _add(
 
 
 def queries() -> dict:
-    return _QUERIES | catalog_io.queries()
+    return _QUERIES | catalog_io.queries() | catalog_shapes.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql.replace(") , ", "), ") for name, sql in (_SQL | catalog_io.oracle_sql(_SQL)).items()}
+    return {name: sql.replace(") , ", "), ") for name, sql in (_SQL | catalog_io.oracle_sql(_SQL) | catalog_shapes.oracle_sql()).items()}

@@ -171,22 +171,36 @@ def polygon_edges(spark, polygons: list) -> DataFrame:
     return spark.createDataFrame(rows, "poly long, x1 double, y1 double, x2 double, y2 double")
 
 
-def inside_polygons(points: DataFrame, edges: DataFrame, seq: str = "seq") -> DataFrame:
-    """(seq) of the points inside any polygon, by the even-odd rule over its edges.
+#: Points of a band from which on they are dealt among so many tasks.
+_BUSY, _PARTS = 100_000, 16
+
+
+def crossings(points: DataFrame, edges: DataFrame, seq: str = "seq") -> DataFrame:
+    """(seq, poly, n): how many edges of each polygon lie to the right of a point at its height, where there are any.
 
-    Points and edges meet in bands of y, about one for every edge, so a point is compared only with edges at its height. Of the edges
-    that span it, those to its right are counted by polygon; an odd count is inside. Crossings are aggregated before they move.
+    Points and edges meet in bands of y, so a point is compared only with edges at its height. There are as many bands as make the edges' spans twice
+    their number at most, so tall edges do not multiply; a band of many points is dealt among `_PARTS` tasks. Crossings are aggregated before they move.
     """
     level = edges.filter("y1 <> y2").withColumn("_lo", F.least("y1", "y2")).withColumn("_hi", F.greatest("y1", "y2"))
-    shape = level.agg(F.min("_lo").alias("_y0"), (F.max("_hi") - F.min("_lo")).alias("_high"), F.count("*").alias("_bands"))  # one row
+    high = F.max("_hi") - F.min("_lo")
+    bands = F.greatest(F.lit(1), F.floor(F.count("*") * high / F.sum(F.col("_hi") - F.col("_lo"))))
+    shape = level.agg(F.min("_lo").alias("_y0"), high.alias("_high"), bands.cast("long").alias("_bands"))  # one row
     band = lambda y: F.floor((F.col(y) - F.col("_y0")) / F.col("_high") * F.col("_bands")).cast("long")
     level = level.crossJoin(F.broadcast(shape)).select("poly", "x1", "y1", "x2", "y2", F.explode(F.sequence(band("_lo"), band("_hi"))).alias("_band"))
-    own = points.select(F.col(seq).alias("_s"), F.col("x").alias("_px"), F.col("y").alias("_py")).crossJoin(F.broadcast(shape))
-    met = own.withColumn("_band", band("_py")).join(level, "_band")
+    own = points.select(F.col(seq).alias("_s"), F.col("x").alias("_px"), F.col("y").alias("_py")).crossJoin(F.broadcast(shape)).withColumn("_band", band("_py"))
+    busy = own.groupBy("_band").agg(F.count("*").alias("_n")).filter(F.col("_n") > _BUSY).select("_band", F.lit(_PARTS).alias("_parts"))
+    parts = lambda df: df.join(busy, "_band", "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
+    own = parts(own).withColumn("_part", F.pmod(F.xxhash64("_s", "_px"), F.col("_parts")).cast("int"))
+    level = parts(level).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    met = own.select("_s", "_px", "_py", "_band", "_part").join(level.drop("_parts"), ["_band", "_part"])
     spans = (F.col("y1") > F.col("_py")) != (F.col("y2") > F.col("_py"))
     left = F.col("_px") < (F.col("x2") - F.col("x1")) * (F.col("_py") - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1")
-    odd = met.filter(spans & left).groupBy("_s", "poly").agg(F.count("*").alias("_n")).filter("_n % 2 = 1")
-    return odd.select(F.col("_s").alias(seq)).distinct()
+    return met.filter(spans & left).groupBy(F.col("_s").alias(seq), "poly").agg(F.count("*").alias("n"))
+
+
+def inside_polygons(points: DataFrame, edges: DataFrame, seq: str = "seq") -> DataFrame:
+    """(seq) of the points inside any polygon, by the even-odd rule over its edges: an odd number of them to the right is inside."""
+    return crossings(points, edges, seq).filter("n % 2 = 1").select(seq).distinct()
 
 
 def beam_quality(beams: DataFrame) -> DataFrame:
