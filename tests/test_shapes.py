@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidegrid.functions.grid import GridSpec, Region
-from tidegrid.operators import overlay, rings, triangles
+from tidegrid.operators import coastlines, overlay, rings, surfaces, triangles
 from tidegrid.operators.filters import crossings, inside_polygons, polygon_edges
 
 
@@ -226,3 +226,53 @@ def test_tall_edges_do_not_multiply(spark):
     edges = spark.createDataFrame([(0, float(i), 0.0, i + 0.5, 100.0) for i in range(n)], "poly long, x1 double, y1 double, x2 double, y2 double")
     pts = spark.createDataFrame([(0, -1.0, 50.0), (1, 99.9, 50.0), (2, 300.0, 50.0), (3, -1.0, 100.0)], "seq long, x double, y double")
     assert {r["seq"]: r["n"] for r in crossings(pts, edges).collect()} == {0: n, 1: n - 100}
+
+
+# coast lines
+def segments(spark, *lines):
+    return spark.createDataFrame([(*map(float, (*a, *b)),) for line in lines for a, b in zip(line, line[1:])], "x1 double, y1 double, x2 double, y2 double")
+
+
+BAY = Region(0, 10, 0, 10)
+
+
+def land(spark, *lines):
+    return sorted((round(r["area"], 6), r["holes"]) for r in coastlines.land_polygons(segments(spark, *lines), BAY).collect())
+
+
+def test_open_lines_close_along_the_border(spark):
+    # land to the left of the way north is the west; of the way south the east
+    assert land(spark, [(4, -1), (4, 5), (4, 11)]) == [(40, 0)]
+    assert land(spark, [(4, 11), (4, 5), (4, -1)]) == [(60, 0)]
+    # two lines: a strip of land between them, and then two lands on either side of water
+    assert land(spark, [(6, -1), (6, 11)], [(4, 11), (4, -1)]) == [(20, 0)]
+    assert land(spark, [(6, 11), (6, -1)], [(4, -1), (4, 11)]) == [(40, 0), (40, 0)]
+    # a corner cut off, an island, a lake in land
+    assert land(spark, [(3, -1), (3, 3), (-1, 3)]) == [(9, 0)]
+    assert land(spark, [(-1, 3), (3, 3), (3, -1)]) == [(91, 0)]
+    island = [(5, 5), (6, 5), (6, 6), (5, 6), (5, 5)]
+    assert land(spark, island) == [(1, 0)] and land(spark, island[::-1]) == [(99, 1)]
+    assert land(spark, [(4, -1), (4, 11)], island, [(1, 1), (1, 2), (2, 2), (2, 1), (1, 1)]) == [(1, 0), (39, 1)]
+    # a line that ends inside is left out, and so is all where there is no line
+    assert land(spark, [(4, -1), (4, 5)], island) == [(1, 0)] and land(spark) == []
+    # in and out by one side, over a corner, several times
+    assert land(spark, [(11, 2), (8, 2), (8, 4), (11, 4)], [(11, 6), (9, 6), (9, 8), (11, 8)]) == [(94, 0)]
+    assert land(spark, [(11, 4), (8, 4), (8, 2), (11, 2)]) == [(4, 0)]
+
+
+def test_land_agrees_with_patches_of_cells(spark):
+    turn = [2 * math.pi * i / 60 for i in range(60)]
+    ring = [(5 + (4 + 2 * math.cos(5 * t)) * math.cos(t), 5 + (4 + 2 * math.cos(5 * t)) * math.sin(t)) for t in turn]
+    lines = segments(spark, [*ring, ring[0]])
+    border = coastlines.land_border(lines, BAY)
+    assert border.filter(f"x1 = {BAY.e}").count() > 0
+    grid = GridSpec(BAY, 0.125, 0.125)
+    cells = grid.centres(surfaces.coast_patches(lines, grid, 1.0)).filter("land IS NOT NULL").withColumn("seq", F.col("row") * 1000 + F.col("col"))
+    inside = {r["seq"] for r in crossings(cells, border.withColumn("poly", F.lit(0))).filter("n % 2 = 1").collect()}
+    got = cells.select("seq", "land").collect()
+    assert len(got) > 5000 and all((r["seq"] in inside) == r["land"] for r in got)
+
+
+def test_a_long_open_line_takes_few_rounds(spark):
+    line = [(i / 1000, 5 + (i % 2) / 10) for i in range(-1, 2000)]
+    assert land(spark, line) == []

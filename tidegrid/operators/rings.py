@@ -55,14 +55,16 @@ def ranked(links: DataFrame, label: str = "ring") -> DataFrame:
 
 
 def _closed(links: DataFrame) -> DataFrame:
-    """The links that are on closed chains: an edge that none leads to, or that leads nowhere, is not."""
-    links = stash(links, "links")
+    """The links that are on closed chains. Of several that lead to one edge the least id's counts. What leads to an end is found by doubling
+    too, so that long open lines take no more rounds than rings."""
+    links = stash(links.groupBy("next").agg(F.min("id").alias("id")).select("id", "next"), "links")
+    state = links.select("id", F.col("next").alias("to"))
     while True:
-        led = links.select(F.col("next").alias("id")).distinct()
-        kept = stash(links.join(led, "id", "left_semi").join(links.select(F.col("id").alias("next")), "next", "left_semi").select("id", "next"), "links")
-        if kept.count() == links.count():
-            return kept
-        links = kept
+        there = state.select(F.col("id").alias("to"), F.col("to").alias("far"))
+        moved = stash(state.filter("to IS NOT NULL").join(there, "to", "left").select("id", F.col("far").alias("to"), F.col("far").isNull().alias("ended")), "ends")
+        if moved.filter("ended").isEmpty():
+            return links.join(moved.select("id"), "id", "left_semi")
+        state = moved.filter("NOT ended").select("id", "to")
 
 
 def link(edges: DataFrame, within: str | None = None) -> DataFrame:
