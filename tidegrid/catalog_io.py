@@ -38,6 +38,28 @@ def xyz_profile(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(readers.read_points(spark, place, "nos_xyz").select("x", "y", "z", "w", "u"))
 
 
+def xyz_scaled(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines after three rows of heading, moved and scaled."""
+    place = _place(spark, "scaled.xyz")
+    lines = points(spark, sf).select(F.concat_ws(";", F.round("x", 6), F.round("y", 6), F.round("z", 6)).alias("value"))
+    heading = spark.createDataFrame([("9;9;9",), ("8;8;8",), ("7;7;7",)], "value string")
+    heading.unionByName(lines).coalesce(1).write.text(place)
+    rows = readers.read_points(spark, place, "xyz", skiprows=3, delimiter=";", x_offset=2.0, x_scale=10.0, y_offset=-1.0, y_scale=0.5, z_scale=-2.0)
+    return _rounded(rows.select("x", "y", "z", "w", "u"))
+
+
+def ogr_layers(spark: SparkSession, sf: str) -> DataFrame:
+    """Features of several layers, of which the first known one is read, with heights in a property of a known name and nested collections."""
+    place = _place(spark, "layers.geojsonl")
+    name = F.when(F.col("seq") % 3 == 0, "SurveyPoint").when(F.col("seq") % 3 == 1, "Mass_Point").otherwise("LNDARE")
+    inner = F.format_string('{"type": "Point", "coordinates": [%s, %s]}', F.col("x").cast("string"), F.col("y").cast("string"))
+    for _ in range(5):
+        inner = F.concat(F.lit('{"type": "GeometryCollection", "geometries": ['), inner, F.lit("]}"))
+    feature = F.concat(F.lit('{"type": "Feature", "geometry": '), inner, F.lit(', "properties": '), F.to_json(F.struct(name.alias("layer"), F.round("z", 6).alias("surveyPointElev"))), F.lit("}"))
+    points(spark, sf).select(feature.alias("value")).write.text(place)
+    return _rounded(readers.read_points(spark, place).select("x", "y", "z"))
+
+
 def columnar_binned(spark: SparkSession, sf: str) -> DataFrame:
     """A columnar file of one point a cell."""
     place = _place(spark, "points.gtpc")
@@ -146,7 +168,7 @@ _POINT = "SELECT round(x, 6) AS x, round(y, 6) AS y, round({z}, 6) AS z, {w} AS
 
 def queries() -> dict:
     own = (
-        xyz_round_trip, xyz_profile, columnar_binned, geojson_fields, sidecar_round_trip, binned_lines, incremental_batches, streamed_stack,
+        xyz_round_trip, xyz_profile, xyz_scaled, ogr_layers, columnar_binned, geojson_fields, sidecar_round_trip, binned_lines, incremental_batches, streamed_stack,
         reproject_mercator, reproject_shifted, provenance_legend, vector_mask_coast, cells_window, survey_files,
     )
     return {f.__name__: f for f in own}
@@ -158,6 +180,8 @@ def oracle_sql(known: dict[str, str]) -> dict[str, str]:
     return {
         "xyz_round_trip": with_sql("p", _POINT.format(z="z", w="w * 2", u="sqrt(u * u + 0.25)")),
         "xyz_profile": with_sql("p", _POINT.format(z="-z", w="1.0::DOUBLE", u="0.0::DOUBLE")),
+        "xyz_scaled": with_sql("p", "SELECT round((round(x, 6) + 2) * 10, 6) AS x, round((round(y, 6) - 1) * 0.5, 6) AS y, round(round(z, 6) * -2, 6) AS z, 1.0::DOUBLE AS w, 0.0::DOUBLE AS u FROM p"),
+        "ogr_layers": with_sql("p", "SELECT x, y, round(z, 6) AS z FROM p WHERE seq % 3 = 0"),
         "columnar_binned": with_sql("p g", "SELECT round(avg(x), 6) AS x, round(avg(y), 6) AS y, round(avg(z), 6) AS z, round(min_by(w, seq) * count(*), 6) AS weight, round(sqrt(pow(min_by(u, seq), 2) + pow(stddev_pop(z), 2)), 6) AS uncertainty FROM g GROUP BY row, col"),
         "geojson_fields": with_sql("p", _POINT.format(z="-z", w="w", u="u")),
         "sidecar_round_trip": with_sql("p", "SELECT dataset_id, count(*) AS numpts, min(x) AS xmin, max(x) AS xmax, min(y) AS ymin, max(y) AS ymax, true AS has_polygon FROM p GROUP BY 1"),

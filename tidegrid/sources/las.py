@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import glob
+import io
 import os
 import struct
 from collections.abc import Iterator
@@ -45,28 +46,48 @@ class Layout:
         return rows["xyz"] * np.array(self.scale) + np.array(self.offset), rows["class"] if self.wide else rows["class"] & 0x1F
 
 
-def reference_system(raw: bytes) -> str | None:
-    """The reference system that a file's variable records name: well-known text, else EPSG:code of a projected or geographic system; None without
-    one. `raw`: the file up to its point records."""
-    if raw[:4] != b"LASF":
+def _records(f, at: int, count: int, wide: bool):
+    """(owner, number, body) of variable records, read one by one; `wide`: those after the points, with longer headers."""
+    head = 60 if wide else 54
+    for _ in range(count):
+        f.seek(at)
+        raw = f.read(head)
+        if len(raw) < head:
+            return
+        owner, number, length = raw[2:18].rstrip(b"\0"), *struct.unpack_from("<HQ" if wide else "<HH", raw, 18)
+        # bodies of other owners are passed over
+        yield owner, number, f.read(length) if owner == b"LASF_Projection" else b""
+        at += head + length
+
+
+def reference_system_of(f) -> str | None:
+    """The reference system that the variable records of an opened file name, before or after its points: well-known text, else EPSG:code of a projected or
+    geographic system; None without one."""
+    head = f.read(HEADER)
+    if head[:4] != b"LASF":
         return None
-    (at,), (n,) = struct.unpack_from("<H", raw, 94), struct.unpack_from("<I", raw, 100)
+    (start,), (n,) = struct.unpack_from("<H", head, 94), struct.unpack_from("<I", head, 100)
+    ranges = [(start, n, False)]
+    if head[25] >= 4 and start >= HEADER:
+        ranges.append((*struct.unpack_from("<QI", head, 235), True))
     codes = {}
-    for _ in range(n):
-        if at + 54 > len(raw):
-            break
-        owner, number, length = raw[at + 2 : at + 18].rstrip(b"\0"), *struct.unpack_from("<HH", raw, at + 18)
-        body, at = raw[at + 54 : at + 54 + length], at + 54 + length
-        if owner == b"LASF_Projection" and number == 2112:
-            return body.rstrip(b"\0").decode("utf-8", "replace")
-        if owner == b"LASF_Projection" and number == 34735:
-            keys = np.frombuffer(body, "<u2", len(body) // 8 * 4).reshape(-1, 4)[1:]
-            # a key whose second field is 0 holds its value
-            codes |= {int(k): int(v) for k, place, _, v in keys if place == 0}
+    for at, count, wide in ranges:
+        for owner, number, body in _records(f, at, count, wide):
+            if owner == b"LASF_Projection" and number == 2112:
+                return body.rstrip(b"\0").decode("utf-8", "replace")
+            if owner == b"LASF_Projection" and number == 34735:
+                keys = np.frombuffer(body, "<u2", len(body) // 8 * 4).reshape(-1, 4)[1:]
+                # a key whose second field is 0 holds its value
+                codes |= {int(k): int(v) for k, place, _, v in keys if place == 0}
     code = codes.get(3072) or codes.get(2048)
     return f"EPSG:{code}" if code else None
 
 
+def reference_system(raw: bytes) -> str | None:
+    """The same of a whole file in memory."""
+    return reference_system_of(io.BytesIO(raw))
+
+
 @dataclass
 class Records(InputPartition):
     """Records `first` to `first + count` of a file."""
@@ -78,7 +99,8 @@ class Records(InputPartition):
 
 class LasRecords(DataSource):
     """x, y, z and classification of LAS files, a task for every `records` of them (2,000,000 if not given). Tasks read their own bytes of a file, so
-    `path`, a file or pattern, must be in a folder that driver and executors mount; `readers.read_las` takes any folder of Spark's, a file a task.
+    `path`, a file or pattern, must be in a folder that driver and executors mount; `readers.read_las` takes any folder of Spark's, a file a task. A file
+    without all its records is an error.
 
     spark.dataSource.register(LasRecords); spark.read.format("las_records").option("path", ..).load()
     """
@@ -104,8 +126,9 @@ class LasRecordsReader(DataSourceReader):
             with open(path, "rb") as f:
                 layout = Layout.of(f.read(HEADER))
             if layout:
-                whole = min(layout.count, max(0, os.path.getsize(path) - layout.start) // layout.size)
-                found += [Records(path, i, min(self.records, whole - i)) for i in range(0, whole, self.records)]
+                if os.path.getsize(path) < layout.start + layout.count * layout.size:
+                    raise ValueError(f"{path}: shorter than its header says")
+                found += [Records(path, i, min(self.records, layout.count - i)) for i in range(0, layout.count, self.records)]
         return found
 
     def read(self, part: Records) -> Iterator[pa.RecordBatch]:

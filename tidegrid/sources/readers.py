@@ -6,10 +6,11 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tidegrid.functions.grid import GridSpec, Region, ensure_schema
-from tidegrid.sources.las import HEADER, Layout, reference_system
+from tidegrid.sources.files import opened
+from tidegrid.sources.las import HEADER, Layout, reference_system_of
 
 #: fixed values: option presets by data type
 PROFILES = {
@@ -29,28 +30,33 @@ def read_xyz(
     skiprows: int = 0, delimiter: str | None = None, z_scale: float = 1.0, x_offset: float = 0.0, y_offset: float = 0.0,
     x_scale: float = 1.0, y_scale: float = 1.0,
 ) -> DataFrame:
-    """ASCII points. Lines that begin with # and lines whose coordinates are no numbers are left out; without a delimiter
-    commas, semicolons, bars and white space part fields. Files are split among tasks, also with one row to skip, which is
-    read as a header; with more, a file goes to one task."""
+    """ASCII points; x and y are moved by their offsets, then scaled. Lines that begin with # and lines whose coordinates are no numbers are left
+    out; without a delimiter commas, semicolons, bars and white space part fields. Files are split among tasks, whatever is skipped: one row is
+    read as a header, and of more the last one's number within the first block of each file is looked up."""
     text = spark.read.text(path)
     if skiprows == 1:
         # a separator that no line has, and no quotes: a line is one value
         text = spark.read.csv(path, schema="value string", header=True, sep="\x01", quote="", enforceSchema=True).filter("value IS NOT NULL")
     elif skiprows:
-        text = spark.read.text(path, wholetext=True).select(F.explode(F.slice(F.split("value", "\r?\n"), skiprows + 1, 1 << 30)).alias("value"))
+        placed = text.select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_line"))
+        head = placed.filter("_block = 0").withColumn("_n", F.row_number().over(Window.partitionBy("_file").orderBy("_line"))).filter(F.col("_n") <= skiprows)
+        head = head.groupBy("_file").agg(F.max("_line").alias("_last"))  # a row for each file
+        text = placed.join(head, "_file", "left").filter("_block > 0 OR _line > _last").select("value")
     line = F.trim("value")
     fields = F.split(line, r"[,;|\s]+" if delimiter is None else "\\" + delimiter if delimiter in "|.+*?^$()[]{}\\" else delimiter)
     at = lambda i: F.get(fields, F.lit(i)).try_cast("double")
     rows = text.filter((F.length(line) > 0) & ~line.startswith("#"))
     out = rows.select(
-        (at(xpos) * x_scale + x_offset).alias("x"), (at(ypos) * y_scale + y_offset).alias("y"), (at(zpos) * z_scale).alias("z"),
+        ((at(xpos) + x_offset) * x_scale).alias("x"), ((at(ypos) + y_offset) * y_scale).alias("y"), (at(zpos) * z_scale).alias("z"),
         (at(wpos) if wpos is not None else F.lit(1.0)).alias("w"), (at(upos) if upos is not None else F.lit(0.0)).alias("u"),
     )
     return out.filter("x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL")
 
 
 #: fixed values: property names that hold an elevation, in the order in which they are tried
-Z_FIELDS = ("elevation", "elev", "z", "height", "depth", "depth_m", "value")
+Z_FIELDS = ("Elevation", "elev", "z", "height", "depth", "val", "value", "topography", "surveyPointElev", "Z_depth", "Z_height")
+#: fixed values: names of layers that hold soundings, in the order in which they are tried
+LAYERS = ("SOUNDG", "SurveyPoint_HD", "SurveyPoint", "Mass_Point", "Spot_Elevation")
 
 
 def vertices(
@@ -81,22 +87,33 @@ def vertices(
     return out.select(F.col("v")[0].alias("x"), F.col("v")[1].alias("y"), height.alias("z"), "w", "u").filter("z IS NOT NULL")
 
 
-def read_geojson(spark: SparkSession, path, layers=(), nesting: int = 4, **options) -> DataFrame:
-    """Vertices of the features of GeoJSON files; geometry collections are opened, up to `nesting` of them in one another. `layers`: only
-    features whose property "layer" is listed. A file may be one collection, which goes to one task, or (.geojsonl) a feature a line, which
-    is split among tasks."""
+def _known_layer(features: DataFrame) -> DataFrame:
+    """The features of the first of `LAYERS` that any of them belongs to by their property "layer"; all of them, if none does."""
+    rank = F.coalesce(*[F.when(F.get_json_object("properties", "$.layer") == name, i) for i, name in enumerate(LAYERS)])
+    ranked = features.withColumn("_rank", rank)
+    best = ranked.agg(F.min("_rank").alias("_best"))  # one row
+    return ranked.crossJoin(F.broadcast(best)).filter("_best IS NULL OR _rank = _best").drop("_rank", "_best")
+
+
+def read_geojson(spark: SparkSession, path, layers=None, nesting: int = 8, **options) -> DataFrame:
+    """Vertices of the features of GeoJSON files; geometry collections are opened, up to `nesting` of them in one another, and a deeper one is an error.
+    `layers`: only features whose property "layer" is listed (any, if empty); if None, those of a known layer. A file may be one collection, which goes to one
+    task, or (.geojsonl) a feature a line, which is split among tasks."""
     if str(path).endswith(("geojsonl", "geojsons")):
         rows = spark.read.text(path).select(F.get_json_object("value", "$.geometry").alias("geometry"), F.get_json_object("value", "$.properties").alias("properties"))
     else:
         whole = spark.read.text(path, wholetext=True)
         rows = whole.select(F.inline(F.from_json(F.get_json_object("value", "$.features"), "array<struct<geometry:string,properties:string>>")))
-    if layers:
+    if layers is None:
+        rows = _known_layer(rows)
+    elif layers:
         rows = rows.filter(F.get_json_object("properties", "$.layer").isin(list(layers)))
     inner = F.from_json(F.get_json_object("geometry", "$.geometries"), "array<string>")
-    single = F.when(F.get_json_object("geometry", "$.type") == "GeometryCollection", inner).otherwise(F.array("geometry"))
+    collection = F.coalesce(F.get_json_object("geometry", "$.type") == "GeometryCollection", F.lit(False))
     for _ in range(nesting):
-        rows = rows.select(F.explode(single).alias("geometry"), "properties")
-    return vertices(rows, **options)
+        rows = rows.select(F.explode(F.when(collection, inner).otherwise(F.array("geometry"))).alias("geometry"), "properties")
+    deep = F.raise_error(F.lit(f"{path}: collections nested deeper than {nesting}")).cast("string")
+    return vertices(rows.select(F.when(collection, deep).otherwise(F.col("geometry")).alias("geometry"), "properties"), **options)
 
 
 def read_las(spark: SparkSession, path, classes: str = "2/29/40") -> DataFrame:
@@ -120,16 +137,24 @@ def read_las(spark: SparkSession, path, classes: str = "2/29/40") -> DataFrame:
     return files.mapInArrow(run, "x double, y double, z double").withColumn("w", F.lit(1.0)).withColumn("u", F.lit(0.0))
 
 
-def las_srs(spark: SparkSession, path) -> DataFrame:
-    """(path, srs) of LAS files: the reference system that each names, null where it names none."""
+def _by_file(spark: SparkSession, path, look, kind: str, name: str) -> DataFrame:
+    """(path, name) of files: what `look` finds in each, an opened file. Contents are not loaded; a task reads what it asks for."""
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([reference_system(raw) for raw in b.column(1).to_pylist()], pa.string())], names=["path", "srs"])
+            found = []
+            for uri in b.column(0).to_pylist():
+                with opened(uri) as f:
+                    found.append(look(f))
+            yield pa.RecordBatch.from_pydict({"path": b.column(0), name: pa.array(found, pa.string() if kind == "string" else pa.bool_())})
 
-    # variable records end before the points
-    files = spark.read.format("binaryFile").load(path).select("path", F.substring("content", 1, 1 << 20).alias("content"))
-    return files.mapInArrow(run, "path string, srs string")
+    return spark.read.format("binaryFile").load(path).select("path").mapInArrow(run, f"path string, {name} {kind}")
+
+
+def las_srs(spark: SparkSession, path) -> DataFrame:
+    """(path, srs) of LAS files: the reference system that each names in the records before or after its points, null where it names none. Only
+    those records are read, whatever their size."""
+    return _by_file(spark, path, reference_system_of, "string", "srs")
 
 
 def cells_to_points(cells: DataFrame, grid: GridSpec, weight: str | None = None, uncertainty: str | None = None, mask: str | None = None) -> DataFrame:
@@ -205,6 +230,5 @@ def write_sidecars(datasets: DataFrame, path: str) -> None:
 
 
 def reject_bag(spark: SparkSession, path) -> DataFrame:
-    """(path, valid) by the magic number of HDF5; nothing is deleted."""
-    files = spark.read.format("binaryFile").load(path)
-    return files.select("path", (F.substring("content", 1, 4) == F.lit(b"\x89HDF")).alias("valid"))
+    """(path, valid) by the magic number of HDF5, the only bytes that are read; nothing is deleted."""
+    return _by_file(spark, path, lambda f: f.read(4) == b"\x89HDF", "boolean", "valid")

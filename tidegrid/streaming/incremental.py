@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, functions as F
 
 from tidegrid.functions.grid import GridSpec
@@ -23,15 +25,23 @@ def ingest_batch(points: DataFrame, grid: GridSpec, folder: str, batch: str) ->
     partial_stack(points, grid).write.mode("overwrite").parquet(f"{folder}/batch={batch}")
 
 
+def _query_id(spark, checkpoint: str) -> str:
+    """The id of the streaming query that runs with this checkpoint; a new checkpoint is a new query."""
+    return json.loads(spark.read.text(f"{checkpoint}/metadata", wholetext=True).first()[0])["id"]
+
+
 def ingest_stream(stream: DataFrame, grid: GridSpec, folder: str, checkpoint: str, name: str = "stream", seconds: int | None = None, taps=()):
     """A streaming query that folds every micro-batch of points into `folder`. It runs over all that is there and ends, or every
-    `seconds` and goes on. `taps`: further functions of (batch, batch id) that see each micro-batch before it is folded in."""
+    `seconds` and goes on. `taps`: further functions of (batch, batch id) that see each micro-batch before it is folded in.
+
+    A batch is kept under the name, the query's id, which its checkpoint holds, and its number: a query that goes on after a loss
+    replaces what it had begun, and other queries into the same folder, of the same name too, have places of their own."""
 
     def fold(batch: DataFrame, number: int) -> None:
         held = batch.persist() if taps else batch
         for tap in taps:
             tap(held, number)
-        ingest_batch(held, grid, folder, f"{name}-{number}")
+        ingest_batch(held, grid, folder, f"{name}-{_query_id(batch.sparkSession, checkpoint)}-{number}")
         if taps:
             held.unpersist()
 
