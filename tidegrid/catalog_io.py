@@ -44,7 +44,7 @@ def xyz_scaled(spark: SparkSession, sf: str) -> DataFrame:
     lines = points(spark, sf).select(F.concat_ws(";", F.round("x", 6), F.round("y", 6), F.round("z", 6)).alias("value"))
     heading = spark.createDataFrame([("9;9;9",), ("8;8;8",), ("7;7;7",)], "value string")
     heading.unionByName(lines).coalesce(1).write.text(place)
-    rows = readers.read_points(spark, place, "xyz", skiprows=3, delimiter=";", x_offset=2.0, x_scale=10.0, y_offset=-1.0, y_scale=0.5, z_scale=-2.0)
+    rows = readers.read_points(spark, place, "xyz", skiprows=3, delimiter=";", x_offset=2.0, x_scale=10.0, y_offset=-1.0, y_scale=2.0, z_scale=-2.0)
     return _rounded(rows.select("x", "y", "z", "w", "u"))
 
 
@@ -180,7 +180,7 @@ def oracle_sql(known: dict[str, str]) -> dict[str, str]:
     return {
         "xyz_round_trip": with_sql("p", _POINT.format(z="z", w="w * 2", u="sqrt(u * u + 0.25)")),
         "xyz_profile": with_sql("p", _POINT.format(z="-z", w="1.0::DOUBLE", u="0.0::DOUBLE")),
-        "xyz_scaled": with_sql("p", "SELECT round((round(x, 6) + 2) * 10, 6) AS x, round((round(y, 6) - 1) * 0.5, 6) AS y, round(round(z, 6) * -2, 6) AS z, 1.0::DOUBLE AS w, 0.0::DOUBLE AS u FROM p"),
+        "xyz_scaled": with_sql("p", "SELECT round((round(x, 6) + 2) * 10, 6) AS x, round((round(y, 6) - 1) * 2, 6) AS y, round(round(z, 6) * -2, 6) AS z, 1.0::DOUBLE AS w, 0.0::DOUBLE AS u FROM p"),
         "ogr_layers": with_sql("p", "SELECT x, y, round(z, 6) AS z FROM p WHERE seq % 3 = 0"),
         "columnar_binned": with_sql("p g", "SELECT round(avg(x), 6) AS x, round(avg(y), 6) AS y, round(avg(z), 6) AS z, round(min_by(w, seq) * count(*), 6) AS weight, round(sqrt(pow(min_by(u, seq), 2) + pow(stddev_pop(z), 2)), 6) AS uncertainty FROM g GROUP BY row, col"),
         "geojson_fields": with_sql("p", _POINT.format(z="-z", w="w", u="u")),
