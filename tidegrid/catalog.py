@@ -334,14 +334,33 @@ def _patched_sql(fine: str, coarse: str, out: str, k: int, weight: float) -> str
       FROM {fine} f LEFT JOIN {coarse} c ON CAST(floor(f.row/{k}) AS INT) = c.row AND CAST(floor(f.col/{k}) AS INT) = c.col)"""
 
 
-def _cudem_sql(factors=(9, 3, 1), weights=(0.25, 0.5, 1.0), reach: int = 4, side: str | None = None) -> str:
+def _kernel_sql(t: str) -> str:
+    """The cubic convolution kernel at |t| < 2."""
+    return f"CASE WHEN abs({t}) <= 1 THEN 1.5*pow(abs({t}), 3) - 2.5*pow(abs({t}), 2) + 1 ELSE -0.5*pow(abs({t}), 3) + 2.5*pow(abs({t}), 2) - 4*abs({t}) + 2 END"
+
+
+def _convolved_sql(fine: str, coarse: str, out: str, k: int) -> str:
+    """The table `out`: cells of `fine` with the value `c` of the cubic convolution of `coarse`, k times as coarse."""
+    w = f"({_kernel_sql('fr - c.row')}) * ({_kernel_sql('fc - c.col')})"
+    return f""", {out} AS (SELECT f.row, f.col, CASE WHEN sum({w}) >= 0.5 THEN sum({w} * c.z)/sum({w}) END AS c FROM (SELECT row, col, (row + 0.5)/{k} - 0.5 AS fr, (col + 0.5)/{k} - 0.5 AS fc FROM {fine}) f
+      JOIN (SELECT * FROM {coarse} WHERE z IS NOT NULL) c ON c.row BETWEEN floor(fr) - 1 AND floor(fr) + 2 AND c.col BETWEEN floor(fc) - 1 AND floor(fc) + 2 GROUP BY f.row, f.col)"""
+
+
+def _patched_cubic_sql(fine: str, coarse: str, out: str, k: int, weight: float) -> str:
+    """As `_patched_sql`, by cubic convolution."""
+    filled = "f.z IS NULL AND c IS NOT NULL"
+    return _convolved_sql(fine, coarse, f"{out}c", k) + f""", {out} AS (SELECT f.row, f.col, coalesce(f.z, c) AS z, CASE WHEN {filled} THEN 1 ELSE count END AS count, CASE WHEN {filled} THEN {weight} ELSE weights END AS weights
+      FROM {fine} f LEFT JOIN {out}c USING (row, col))"""
+
+
+def _cudem_sql(factors=(9, 3, 1), weights=(0.25, 0.5, 1.0), reach: int = 4, side: str | None = None, patched=_patched_sql) -> str:
     """Tables that end in s1: the multi-resolution fill of k; `side`: what tells a cell of a level apart, from its centre x and y."""
     steps, before = "", None
     for k, w in zip(factors, weights, strict=True):
         steps += f", d{k} AS (SELECT CAST(floor(row/{k}) AS INT) AS row, CAST(floor(col/{k}) AS INT) AS col, avg(z) AS z, ceil(avg(count)) AS count, avg(weights) AS weights FROM k GROUP BY 1, 2)"
         level = f"d{k}"
         if before:
-            steps += _patched_sql(level, f"s{before}", f"b{k}", before // k, w)
+            steps += patched(level, f"s{before}", f"b{k}", before // k, w)
             level = f"b{k}"
         steps += f", m{k} AS (SELECT row, col, CASE WHEN count > 0 AND weights >= {w} THEN z END AS z FROM {level})"
         centre = lambda t: side.replace("x", f"(({t}.col + 0.5)*{k})").replace("y", f"(16 - ({t}.row + 0.5)*{k})")  # noqa: B023, E731
@@ -383,6 +402,16 @@ _add(
         SELECT row, col, round(z - o, 6) AS z FROM t""",
     ),
 )
+_add(
+    "raster_diff_cubic",
+    lambda spark, sf: _rounded(rasters.raster_diff(raster(spark, sf), rasters.decimate(raster(spark, sf, voids=True), 3), "difference", grid=GRID, other_grid=GridSpec(REGION, 3.0, 3.0), method="cubic")),
+    with_sql("r rv", ", d AS (" + _DEC.replace("/4", "/3").format("avg(z) AS z", "rv") + ")" + _convolved_sql("r", "d", "t", 3) + " SELECT row, col, round(z - c, 6) AS z FROM r LEFT JOIN t USING (row, col)"),
+)
+_add(
+    "blend_background_cubic",
+    lambda spark, sf: _rounded(rasters.blend_background(_stacked(spark, sf), rasters.decimate(raster(spark, sf, voids=True), 4), 4, 0.5, "cubic")),
+    with_sql("rv", _STACKED.rstrip() + ", d AS (" + _DEC.format("avg(z) AS z", "rv") + ")" + _patched_cubic_sql("k", "d", "b", 4, 0.5) + " SELECT row, col, round(z, 6) AS z, CAST(count AS BIGINT) AS count, round(weights, 6) AS weights FROM b"),
+)
 _add(
     "raster_diff_nearest",
     lambda spark, sf: _rounded(rasters.raster_diff(raster(spark, sf), rasters.decimate(raster(spark, sf), 2), "difference", grid=GRID, other_grid=_HALF, method="nearest")),
@@ -469,6 +498,11 @@ def _cubic_sql() -> str:
 _add("interp_cubic", lambda spark, sf: _rounded(surfaces.interp(raster(spark, sf, voids=True), "cubic")), with_sql("rv", _cubic_sql()))
 _NO_SIGN = " SELECT row, col, round(z, 6) + 0.0 AS z FROM s1"  # no negative zero
 _add("ms_cudem", lambda spark, sf: _rounded(surfaces.ms_cudem(_stacked(spark, sf))).withColumn("z", F.col("z") + 0.0), with_sql("rv", _STACKED.rstrip() + _cudem_sql() + _NO_SIGN))
+_add(
+    "ms_cudem_cubic",
+    lambda spark, sf: _rounded(surfaces.ms_cudem(_stacked(spark, sf), **surfaces.cudem_levels(3, (0.75, 0.5), (1, 2)), background="cubic")).withColumn("z", F.col("z") + 0.0),
+    with_sql("rv", _STACKED.rstrip() + _cudem_sql((18, 6, 2, 1), (0.125, 0.25, 0.5, 0.75), patched=_patched_cubic_sql) + _NO_SIGN),
+)
 _add(
     "ms_cudem_barrier",
     lambda spark, sf: _rounded(surfaces.ms_cudem(_stacked(spark, sf), barrier=[_WALL], grid=GRID)).withColumn("z", F.col("z") + 0.0),

@@ -228,3 +228,24 @@ def sample_bilinear(points: DataFrame, cells: DataFrame, grid: GridSpec, value:
     met = four.join(ref, ["_row", "_col"], "left").groupBy(seq)
     whole = F.count("_v") == F.count("*")
     return met.agg(F.when(whole, F.sum(F.col("_w") * F.col("_v"))).alias(name))
+
+
+def cubic_weight(t: Column) -> Column:
+    """The cubic convolution kernel at a distance of t cells: 1 at 0, 0 at other whole numbers and from 2 on; its weights sum to 1."""
+    t = F.abs(t)
+    near, far = (t * 1.5 - 2.5) * t * t + 1, ((t * -0.5 + 2.5) * t - 4) * t + 2
+    return F.when(t <= 1, near).when(t < 2, far).otherwise(F.lit(0.0))
+
+
+def sample_cubic(points: DataFrame, cells: DataFrame, grid: GridSpec, value: str, name: str = "ref", seq: str = "seq", least: float = 0.5) -> DataFrame:
+    """(seq, name): cubic convolution over the four by four cells around each point, of a grid of any cell size. Beside voids and edges the weights of the
+    cells with data are renewed to sum to 1; null where they sum to less than `least` before. Weights are one product of row and column, summed where cells meet."""
+    fx = (F.col("x") - grid.region.w) / grid.xinc - 0.5
+    fy = (F.lit(grid.region.n) - F.col("y")) / grid.yinc - 0.5
+    at = points.select(seq, fx.alias("_fx"), fy.alias("_fy"))
+    around = lambda c: F.transform(F.sequence(F.lit(-1), F.lit(2)), lambda d: (F.floor(c) + d).cast("int"))
+    at = at.withColumn("_row", F.explode(around(F.col("_fy")))).withColumn("_col", F.explode(around(F.col("_fx"))))
+    at = at.withColumn("_w", cubic_weight(F.col("_fy") - F.col("_row")) * cubic_weight(F.col("_fx") - F.col("_col"))).filter("_w <> 0")
+    ref = cells.filter(F.col(value).isNotNull()).select(F.col("row").alias("_row"), F.col("col").alias("_col"), F.col(value).alias("_v"))
+    sums = at.join(ref, ["_row", "_col"]).groupBy(seq).agg(F.sum("_w").alias("_sum"), F.sum(F.col("_w") * F.col("_v")).alias("_top"))
+    return points.select(seq).join(sums, seq, "left").select(seq, F.when(F.col("_sum") >= least, F.col("_top") / F.col("_sum")).alias(name))

@@ -10,9 +10,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tidegrid.functions.grid import GridSpec
+from tidegrid.functions.grid import GridSpec, Region
 from tidegrid.functions.shared import stash
-from tidegrid.operators.filters import inside_polygons, polygon_edges, sample, sample_bilinear
+from tidegrid.operators.filters import inside_polygons, polygon_edges, sample, sample_bilinear, sample_cubic
 
 _CELL = ["row", "col"]
 
@@ -23,11 +23,13 @@ def _centred(cells: DataFrame, grid: GridSpec) -> DataFrame:
 
 
 def align(cells: DataFrame, grid: GridSpec, other: DataFrame, other_grid: GridSpec, method: str = "bilinear") -> DataFrame:
-    """(row, col, z) of `other` at the centres of `cells`; null where it has nothing there. bilinear, or nearest: of the cell around it."""
+    """(row, col, z) of `other` at the centres of `cells`; null where it has nothing there. bilinear, cubic (see
+    `sample_cubic`), or nearest: of the cell around it."""
     at = _centred(cells, grid)
     if method == "nearest":
         return sample(at, other, other_grid, "z", "z").select(*_CELL, "z")
-    return at.join(sample_bilinear(at, other, other_grid, "z", "z", "_cell"), "_cell").select(*_CELL, "z")
+    how = {"bilinear": sample_bilinear, "cubic": sample_cubic}[method]
+    return at.join(how(at, other, other_grid, "z", "z", "_cell"), "_cell").select(*_CELL, "z")
 
 
 def by_side(cells: DataFrame, grid: GridSpec, barrier: list | DataFrame, op: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -150,11 +152,17 @@ def decimate(cells: DataFrame, k: int, bands=("z",)) -> DataFrame:
     return cells.groupBy(*down).agg(*[F.avg(b).alias(b) for b in bands])
 
 
-def blend_background(fine: DataFrame, coarse: DataFrame, k: int, weight: float) -> DataFrame:
-    """Voids of `fine` (row, col, z, count, weights) from the coarser surface: they get count 1 and `weight`."""
-    up = fine.withColumn("_r", F.floor(F.col("row") / k).cast("int")).withColumn("_c", F.floor(F.col("col") / k).cast("int"))
-    bg = coarse.select(F.col("row").alias("_r"), F.col("col").alias("_c"), F.col("z").alias("_b"))
-    both = up.join(bg, ["_r", "_c"], "left")
+def blend_background(fine: DataFrame, coarse: DataFrame, k: int, weight: float, method: str = "cell") -> DataFrame:
+    """Voids of `fine` (row, col, z, count, weights) from the surface `coarse`, k times as coarse: they get count 1 and `weight`. cell: the value of the
+    coarse cell they lie in; cubic: by cubic convolution, for the voids only."""
+    if method == "cubic":
+        unit, wide = (GridSpec(Region(0.0, 1.0, -1.0, 0.0), float(i), float(i)) for i in (1, k))
+        up, keys = fine, _CELL
+        bg = align(fine.filter("z IS NULL"), unit, coarse, wide, "cubic").withColumnRenamed("z", "_b")
+    else:
+        up = fine.withColumn("_r", F.floor(F.col("row") / k).cast("int")).withColumn("_c", F.floor(F.col("col") / k).cast("int"))
+        keys, bg = ["_r", "_c"], coarse.select(F.col("row").alias("_r"), F.col("col").alias("_c"), F.col("z").alias("_b"))
+    both = up.join(bg, keys, "left")
     fill = F.col("z").isNull() & F.col("_b").isNotNull()
     return both.select(
         *_CELL, F.coalesce("z", "_b").alias("z"),

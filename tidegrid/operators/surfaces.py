@@ -12,6 +12,7 @@ from tidegrid.functions.grid import GridSpec
 from tidegrid.functions.shared import components, stash
 from tidegrid.operators.filters import polygon_edges
 from tidegrid.operators.rasters import auto_stack_mask, blend_background, by_side, decimate, fill_idw, interp_nearest, slope
+from tidegrid.operators.triangles import interp_triangles
 
 _CELL = ["row", "col"]
 _AXES = (("row", "col"), ("col", "row"))
@@ -85,7 +86,10 @@ def interp_lines(cells: DataFrame, method: str = "linear", z: str = "z") -> Data
 
 
 def interp(cells: DataFrame, method: str = "linear", reach: int = 4) -> DataFrame:
-    """(row, col, z) with voids filled: linear or cubic along lines, nearest or inverse distances within `reach`."""
+    """(row, col, z) with voids filled: linear or cubic along lines, nearest or inverse distances (idw) within `reach`, and over the triangles of the data
+    delaunay (linear) or clough_tocher (cubic)."""
+    if method in ("delaunay", "clough_tocher"):
+        return interp_triangles(cells, "linear" if method == "delaunay" else "cubic")
     if method == "nearest":
         return interp_nearest(cells, reach)
     return fill_idw(cells, reach) if method == "idw" else interp_lines(cells, method).select(*_CELL, "z")
@@ -156,12 +160,24 @@ def raster_blend(
     return grid.select(*_CELL, F.when(F.col("_zone"), mixed).otherwise(F.col("z")).alias("z"))
 
 
+def cudem_levels(steps: int = 2, weights=(1.0, 0.5), factors=(1, 3)) -> dict[str, tuple]:
+    """Factors and weights of `ms_cudem` from lists that begin at the finest level and go on by themselves: each further weight is half the last, each
+    further factor three times it."""
+    weights, factors = [*weights][: steps + 1], [*factors][: steps + 1]
+    while len(weights) <= steps:
+        weights.append(weights[-1] / 2)
+    while len(factors) <= steps:
+        factors.append(factors[-1] * 3)
+    return {"factors": tuple(factors[::-1]), "weights": tuple(weights[::-1])}
+
+
 def ms_cudem(
     cells: DataFrame, factors=(9, 3, 1), weights=(0.25, 0.5, 1.0), method: str = "idw", reach: int = 4, barrier: list | DataFrame | None = None,
-    grid: GridSpec | None = None,
+    grid: GridSpec | None = None, background: str = "cell",
 ) -> DataFrame:
     """Multi-resolution fill of a stack (row, col, z, count, weights): from the coarsest factor to the finest, average the
-    stack, patch its voids from the surface before, and interpolate what has the level's weight. With a `barrier` (see `by_side`) and the
+    stack, patch its voids from the surface before (`background`: cell or cubic, see `blend_background`), and interpolate what has the level's weight by
+    `method` (see `interp`). With a `barrier` (see `by_side`) and the
     cells' `grid`, all levels but the finest are interpolated on either side by itself."""
     surface, before = None, None
     if barrier is not None and not isinstance(barrier, DataFrame):
@@ -169,7 +185,7 @@ def ms_cudem(
     for k, weight in zip(factors, weights, strict=True):
         level = decimate(cells, k, ("z", "count", "weights"))
         if surface is not None:
-            level = blend_background(level.withColumn("count", F.ceil("count")), surface, before // k, weight)
+            level = blend_background(level.withColumn("count", F.ceil("count")), surface, before // k, weight, background)
         level = auto_stack_mask(level, weight)
         if barrier is None or k == factors[-1]:
             level = interp(level, method, reach)
