@@ -678,6 +678,24 @@ def test_boilerplate_of_several_lines(spark, gap, footer):
         assert got[i] == (want, footer * (i < 60))
 
 
+@pytest.mark.parametrize("own", [1, 2, 3, 4, 5, 8])
+def test_header_goes_whatever_its_share(spark, own):
+    """A header of five lines over pages with few or many lines of their own; copies and near copies of one text stay."""
+    head = [f"header {j}" for j in range(5)]
+    rows = [(i, "\n".join([*head, *(f"own {i} {j}" for j in range(own))]), f"s{i % 20}") for i in range(400)]
+    rows += [(1000 + i, "\n".join(f"copied {j}" for j in range(6)), f"s{i % 20}") for i in range(40)]
+    # near copies with a tenth of their own, at the end, or in place of any line
+    rows += [(2000 + i, "\n".join([*(f"near {j}" for j in range(9)), f"edit {i}"]), f"s{i % 20}") for i in range(40)]
+    rows += [(3000 + i, "\n".join(f"edit {i}" if j == i % 20 else f"other {j}" for j in range(20)), f"s{i % 20}") for i in range(200)]
+    # pages that differ in widespread lines only are one surrounding
+    rows += [(4000 + i, "\n".join(["mast", f"header {i % 5}", "same body one", "same body two"]), f"s{i % 7}") for i in range(30)]
+    rows += [(5000 + i, f"mast\nowned {i}", f"t{i}") for i in range(8)]
+    got = {r["row"]["doc_id"]: (r["row"]["text"], r["lines_removed"]) for r in linedup.dedup_lines(docs(spark, rows), report=True).collect()}
+    for i, t, _ in rows:
+        kept = [x for x in t.split("\n") if not x.startswith("header")]
+        assert got[i] == ("\n".join(kept), t.count("header"))
+
+
 def test_line_dedup_keeps_clashing_columns_and_rows(spark):
     names = ["t", "line", "lines_before", "gone", "deal", "row", "salt"]
     d = docs(spark, line_rows()).select("doc_id", "text", "source", *[F.lit(n).alias(n) for n in names])

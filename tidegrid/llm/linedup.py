@@ -1,12 +1,13 @@
 """Line deduplication by distinct-site spread. Main path: DataFrame functions only.
 
-A line is boilerplate when it is on at least `sites` distinct sites in texts that are mostly their own. A text is its own when lines
-found on `sites` sites or more make up at most half of its lines; copies and near copies of one text spread
-over many sites are not, for nearly all their lines recur together, and so their lines stay. Any number of boilerplate
-lines may follow each other.
+A line is boilerplate when it is on at least `sites` distinct sites and in at least `sites` distinct surroundings. Lines on `sites` sites or more are
+widespread; what a text has besides them, as a set, is its residue. Exact copies and texts that differ in widespread lines only have one residue and count
+once; a header counts with whatever content stands below it, be that a line among ten. Texts nearly all of whose lines are
+widespread (a residue of `near` or less of their lines) are no evidence: they are copies and near copies of one text, or have too little of their own to
+tell. So the lines of a text that is copied to many sites stay, with an edited line or not.
 
-Both counts are of distinct sites by line: HyperLogLog sketches per line hash merge by aggregation, and lines whose estimate lies
-near the threshold get exact distinct counts. Boilerplate goes from every document, its own or not.
+Sites and residues are counted alike: HyperLogLog sketches per line hash merge by aggregation, and lines whose estimate lies
+near the threshold get exact distinct counts. Boilerplate goes from every document, whatever its residue.
 
 A hot line's rows are salted by text before they meet its sketch, and the copies of a hot text by a hash of their other columns
 before they meet its lines. A line: text between \\n; compared by a 64-bit hash without white space at its ends; blank lines are
@@ -58,8 +59,8 @@ def spread(rows: DataFrame, sites: int, margin: float = 0.3, lg_k: int = 12) ->
     return far.withColumn("exact", F.lit(False)).unionByName(exact.withColumn("exact", F.lit(True)))
 
 
-def boilerplate(rows: DataFrame, sites: int, margin: float = 0.3) -> tuple[DataFrame, DataFrame]:
-    """(lines, widespread): (line, n_sites, exact) of boilerplate, counted over texts of their own, and (t, line) of all lines on
+def boilerplate(rows: DataFrame, sites: int, margin: float = 0.3, near: float = 0.125) -> tuple[DataFrame, DataFrame]:
+    """(lines, widespread): (line, n_sites, exact) of boilerplate, counted over texts with more than `near` of their own, and (t, line) of all lines on
     `sites` sites or more in any texts; written tables."""
     frequent = rows.groupBy("line").agg(F.count("*").alias("n")).filter(F.col("n") >= sites).select("line")
     wide = spread(rows.join(_salted(stash(frequent, "lines-frequent")), ["line", "salt"]), sites, margin).select("line")
@@ -68,20 +69,25 @@ def boilerplate(rows: DataFrame, sites: int, margin: float = 0.3) -> tuple[DataF
     hit = F.coalesce("hit", F.lit(0))
     # copies of a text count alike above and below, so shares are those of one copy
     texts = marked.groupBy("t").agg(
-        F.sum(hit).alias("hits"), F.count("*").alias("lines"), F.collect_set(F.when(hit == 1, F.col("line"))).alias("found")
+        F.sum(hit).alias("hits"), F.count("*").alias("lines"), F.collect_set(F.when(hit == 1, F.col("line"))).alias("found"), F.collect_set(F.when(hit == 0, F.col("line"))).alias("rest")
     ).filter("hits > 0")
-    texts = stash(texts.select("t", (2 * F.col("hits") <= F.col("lines")).alias("own"), "found"), "lines-texts")
+    own = F.col("lines") - F.col("hits") > F.col("lines") * near
+    texts = stash(texts.select("t", own.alias("own"), F.xxhash64(F.sort_array("rest")).alias("residue"), "found"), "lines-texts")
     at = rows.select("t", "site").distinct()
-    evidence = texts.filter("own").select("t", F.explode("found").alias("line")).join(at, "t")
+    evidence = texts.filter("own").select("t", "residue", F.explode("found").alias("line")).join(at, "t")
     evidence = stash(evidence.withColumn("salt", F.pmod("t", F.lit(_SALTS)).cast("int")), "lines-evidence")
-    return stash(spread(evidence, sites, margin), "lines-boilerplate"), texts.select("t", F.explode("found").alias("line"))
+    varied = spread(evidence.select("line", F.col("residue").cast("string").alias("site"), "salt"), sites, margin).select("line")
+    lines = spread(evidence.select("line", "site", "salt"), sites, margin).join(varied, "line", "left_semi")
+    return stash(lines, "lines-boilerplate"), texts.select("t", F.explode("found").alias("line"))
 
 
-def dedup_lines(docs: DataFrame, sites: int = 10, margin: float = 0.3, text: str = "text", source: str = "source", report: bool = False) -> DataFrame:
+def dedup_lines(
+    docs: DataFrame, sites: int = 10, margin: float = 0.3, text: str = "text", source: str = "source", report: bool = False, near: float = 0.125,
+) -> DataFrame:
     """`docs` with boilerplate lines gone from the text; with `report`, instead (row struct of the columns so cleaned, lines_before,
     lines_removed long)."""
     rows = stash(line_rows(docs, text, source), "lines")
-    lines, widespread = boilerplate(rows, sites, margin)
+    lines, widespread = boilerplate(rows, sites, margin, near)
     salted = widespread.withColumn("salt", F.pmod("t", F.lit(_SALTS)).cast("int")).join(_salted(lines.select("line")), ["line", "salt"])
     gone = _salted(salted.groupBy("t").agg(F.collect_set("line").alias("gone")), "deal")
     others = [F.col(f"`{c}`") for c, kind in docs.dtypes if c != text and "map<" not in kind and "variant" not in kind]

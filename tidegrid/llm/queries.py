@@ -189,9 +189,9 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(source, chr(1) ||
 u AS (SELECT doc_id, text, site, unnest(ls) AS raw, generate_subscripts(ls, 1) AS i FROM d),
 a AS (SELECT *, nullif(trim(raw, ' ' || chr(9) || chr(11) || chr(12) || chr(13)), '') AS line FROM u),
 w AS (SELECT line FROM a WHERE line IS NOT NULL GROUP BY line HAVING count(DISTINCT site) >= 10),
-o AS (SELECT text FROM a LEFT JOIN w ON a.line = w.line WHERE a.line IS NOT NULL GROUP BY text
-      HAVING 2 * count(w.line) <= count(*)),
-b AS (SELECT a.line FROM a JOIN w ON a.line = w.line JOIN o ON a.text = o.text GROUP BY a.line HAVING count(DISTINCT site) >= 10),
+o AS (SELECT text, coalesce(string_agg(DISTINCT a.line, chr(10) ORDER BY a.line) FILTER (w.line IS NULL), '') AS residue FROM a LEFT JOIN w ON a.line = w.line
+      WHERE a.line IS NOT NULL GROUP BY text HAVING 8 * (count(*) - count(w.line)) > count(*)),
+b AS (SELECT a.line FROM a JOIN w ON a.line = w.line JOIN o ON a.text = o.text GROUP BY a.line HAVING count(DISTINCT site) >= 10 AND count(DISTINCT residue) >= 10),
 k AS (SELECT doc_id, count(*) AS lines_before, count(b.line) AS lines_removed,
       coalesce(string_agg(raw, chr(10) ORDER BY i) FILTER (b.line IS NULL), '') AS kept
       FROM a LEFT JOIN b ON a.line = b.line GROUP BY doc_id)
