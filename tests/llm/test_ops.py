@@ -6,6 +6,7 @@ import io
 import math
 import os
 import re
+import time
 import zipfile
 import zlib
 from collections import Counter, defaultdict
@@ -666,6 +667,32 @@ def test_line_dedup(spark, margin):
     assert linedup.dedup_lines(docs(spark).limit(0)).count() == 0
 
 
+def test_chat_records_that_are_no_text(spark):
+    """Half a surrogate pair in a text, role or name, and nesting too deep to walk, have no mapping; other rows are not touched."""
+    deep = '{"messages":' + "[" * 3000 + "]" * 3000 + "}"
+    deeper = '{"messages":' + "[" * 200_000 + "]" * 200_000 + "}"
+    bad = ['{"prompt":"\\ud800","response":"a"}', '{"\\ud800":1}', '{"messages":[{"role":"\\udc00","content":"x"}]}', deep, deeper]
+    rows = [(i, r) for i, r in enumerate([*bad, '{"prompt":"q","response":"\\ud83d\\ude00"}'])]
+    got = {r["id"]: r for r in chat.canonical_turns(spark.createDataFrame(rows, "id long, record string"), "id").collect()}
+    assert all(got[i]["layout"] is None and got[i]["turns"] is None and got[i]["fingerprint"] for i in range(len(bad)))
+    assert [tuple(t) for t in got[len(bad)]["turns"]] == [("user", "q"), ("assistant", "\U0001f600")]
+
+
+def test_chat_of_a_very_long_text_and_clashing_columns(spark):
+    rows = [(1, 0, "user", "[INST] " * 100_000, "x", "y"), (1, 1, "assistant", "a</s>" * 100_000, "x", "y")]
+    d = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string, turns string, layout string")
+    back = chat.read_back(chat.format_chats(chat.canonical_turns(chat.records_of_rows(d), "conv_id"), "conv_id"), "conv_id").first()
+    assert [tuple(t) for t in back["turns"]] == [(r, t) for _, _, r, t, _, _ in rows] and back["loss_text"] == rows[1][3]
+
+
+def test_redaction_of_many_findings_is_linear(spark):
+    text = "".join(f"\u00fcn\u00ef {i} password=abcdefgh{i:06d} \u6f22\U0001f44d " for i in range(50_000))
+    began = time.perf_counter()
+    got = {r["doc_id"]: r["text"] for r in secrets.redact(docs(spark, [(1, text, "s"), (2, None, "s"), (3, "password=abcdefghij", "s"), (4, "plain", "s")])).collect()}
+    assert got == {1: "".join(f"\u00fcn\u00ef {i} [secret] \u6f22\U0001f44d " for i in range(50_000)), 2: None, 3: "[secret]", 4: "plain"}
+    assert time.perf_counter() - began < 60
+
+
 @pytest.mark.parametrize(("gap", "footer"), [("\n", 2), ("\n\n", 3), ("\n \t\n\n", 1)])
 def test_boilerplate_of_several_lines(spark, gap, footer):
     """Own text and a footer of as many lines at most, between blank lines or not."""

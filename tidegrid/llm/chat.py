@@ -6,15 +6,15 @@ paths of its layout and how they become turns: fixed fields with a role each (pr
 and output), or a list of messages with a role field and a text field, and role names to translate. The mapping is chosen
 once a fingerprint, from the small table of fingerprints that occur; layouts that no mapping covers, and records whose
 values do not fit their mapping (no JSON, a message that is no object, a role or text of another kind than a string, a number, or for
-texts a list of parts), get null turns and their fingerprint, so that they can be listed.
+texts a list of parts; half a surrogate pair, or nesting too deep to walk), get null turns and their fingerprint, so that they can be listed.
 
 Template: `<s>[INST]` role `[/INST]` text `</s>` a turn. Inside roles and texts a backslash is put into every control
 string after its first character (one more if some are there), which is undone on reading; so no control string can
 occur inside a text and `parse` gives back the very turns. Loss spans are the texts of assistant turns.
 
 Null texts and roles count as empty. Turns are ordered by turn number, ties by role and text; repeated rows are turns
-of their own; a null turn number comes first. A conversation without turns formats to an empty text. Extra columns are
-ignored; an empty table gives an empty result.
+of their own; a null turn number comes first. A conversation without turns formats to an empty text. Texts may have any length: a
+conversation is one value, as its format is. Extra columns are ignored, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -114,7 +114,7 @@ def field_paths(value, prefix: str = "") -> set[str]:
 def fingerprint(paths) -> str:
     import hashlib
 
-    return hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()[:16]
+    return hashlib.sha256("\n".join(sorted(paths)).encode("utf-8", "surrogatepass")).hexdigest()[:16]
 
 
 def choose(paths: frozenset[str], mappings=MAPPINGS) -> Mapping | None:
@@ -136,16 +136,17 @@ def canonical_turns(records: DataFrame, key: str, record: str = "record", mappin
             for raw in b.column(1).to_pylist():
                 try:
                     value = json.loads(raw) if raw else {}
-                except (ValueError, RecursionError):
-                    value = {}
-                paths = frozenset(field_paths(value))
+                    paths = frozenset(field_paths(value))
+                except (ValueError, RecursionError):  # no JSON, or nested too deep to walk
+                    value, paths = {}, frozenset(field_paths({}))
                 f = fingerprint(paths)
                 if f not in chosen:
                     chosen[f] = choose(paths, mappings)
                 m, turns = chosen[f], None
                 try:
                     turns = m.turns(value) if m else None
-                except TypeError:  # the values do not fit the mapping
+                    "".join(x for t in turns or () for x in t).encode()
+                except (TypeError, UnicodeEncodeError, RecursionError):  # the values do not fit the mapping, or are no text, as half a surrogate pair
                     m = None
                 out.append((m.name if m else None, f, [{"role": r, "text": t} for r, t in turns] if m else None))
             names, prints, turns = (list(x) for x in zip(*out, strict=True)) if out else ([], [], [])
