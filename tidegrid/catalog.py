@@ -89,6 +89,46 @@ _sampled(
     "rq_percent", lambda p, r: filters.rq(p, r, GRID, "ref_z", 80.0, "percent"),
     "coalesce(CASE WHEN ref_z = 0 THEN z <> 0 ELSE abs(z - ref_z)/nullif(abs(ref_z), 0)*100 > 80 END, false)",
 )
+
+
+def _unlike_grids(spark: SparkSession, sf: str):
+    """Grids of cells of 1, 2 and 4, of which the second has an offset and the first two do not reach all of the region."""
+    p = points(spark, sf)
+    two, four = GridSpec(Region(0.5, 10.5, 0.5, 14.5), 2.0, 2.0), GridSpec(REGION, 4.0, 4.0)
+    mean = lambda g: g.index(p).groupBy("row", "col").agg(F.avg("z").alias("z"))
+    first = reference(spark, sf).filter("row < 9").select("row", "col", F.col("ref_z").alias("z"))
+    return [(first, GRID), (mean(two), two), (mean(four).filter("row + col < 5"), four)]
+
+
+def _mosaic(spark: SparkSession, sf: str, **more):
+    return rasters.mosaic(_unlike_grids(spark, sf), GridSpec(Region(1.0, 15.0, 2.0, 16.0), 0.5, 0.5), buffer=0.7, **more)
+
+
+def _at_centres_sql(source: str, out: str, w: float, n: float, inc: float) -> str:
+    """The table `out`: bilinear values of `source` at the places x, y of the table m."""
+    return f""", {out} AS (SELECT m.row, m.col, CASE WHEN count(z) = count(*) THEN sum(z * wt) END AS z FROM (SELECT row, col, floor(fy) + i AS r, floor(fx) + j AS c,
+      (CASE i WHEN 1 THEN fy - floor(fy) ELSE 1 - fy + floor(fy) END) * (CASE j WHEN 1 THEN fx - floor(fx) ELSE 1 - fx + floor(fx) END) AS wt
+      FROM (SELECT row, col, (x - {w})/{inc} - 0.5 AS fx, ({n} - y)/{inc} - 0.5 AS fy FROM m), (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) t(i, j)) m
+      LEFT JOIN {source} b ON b.row = r AND b.col = c WHERE wt > 1e-7 GROUP BY m.row, m.col)"""
+
+
+_MOSAIC = (
+    """, m AS (SELECT i // 32 AS row, i % 32 AS col, 0.0 + (i % 32 + 0.5) * 0.5 AS x, 17.0 - (i // 32 + 0.5) * 0.5 AS y FROM range(1024) t(i)),
+    g1 AS (SELECT row, col, ref_z AS z FROM ref WHERE row < 9),
+    g2 AS (SELECT CAST(floor((14.5 - y)/2) AS INT) AS row, CAST(floor((x - 0.5)/2) AS INT) AS col, avg(z) AS z FROM p WHERE x >= 0.5 AND x < 10.5 AND y > 0.5 AND y <= 14.5 GROUP BY 1, 2),
+    g4 AS (SELECT CAST(floor((16 - y)/4) AS INT) AS row, CAST(floor(x/4) AS INT) AS col, avg(z) AS z FROM p WHERE y > 0 GROUP BY 1, 2 HAVING row + col < 5)"""
+    + _at_centres_sql("g1", "a1", 0, 16, 1) + _at_centres_sql("g2", "a2", 0.5, 14.5, 2) + _at_centres_sql("g4", "a4", 0, 16, 4)
+    + """, mo AS (SELECT CAST(m.row AS INT) AS row, CAST(m.col AS INT) AS col, coalesce(CASE WHEN y >= 0 AND y <= 16 AND x <= 16 THEN a1.z END, CASE WHEN x BETWEEN 0.5 AND 10.5 AND y BETWEEN 0.5 AND 14.5 THEN a2.z END, CASE WHEN y >= 0 AND y <= 16 AND x <= 16 THEN a4.z END) AS z
+      FROM m LEFT JOIN a1 USING (row, col) LEFT JOIN a2 USING (row, col) LEFT JOIN a4 USING (row, col))"""
+)
+_add("mosaic", lambda spark, sf: _rounded(_mosaic(spark, sf)[0]), with_sql("p ref", _MOSAIC + " SELECT row, col, round(z, 6) AS z FROM mo"))
+
+
+def _rq_mosaic(spark: SparkSession, sf: str) -> DataFrame:
+    surface, grid = _mosaic(spark, sf, fill=lambda c: rasters.fill_idw(c, 3))
+    return filters.rq(points(spark, sf), surface, grid, "z", 60.0).select("seq", "classification")
+
+
 _BOX = [[(3.5, 2.5), (9.5, 2.5), (9.5, 11.5), (3.5, 11.5)], [(5.5, 5.5), (6.5, 5.5), (6.5, 7.5), (5.5, 7.5)]]
 _IN_BOX = "(x >= 3.5 AND x < 9.5 AND y >= 2.5 AND y < 11.5 AND NOT (x >= 5.5 AND x < 6.5 AND y >= 5.5 AND y < 7.5))"
 _on_points("vector_mask", lambda p: filters.vector_mask(p, [_BOX]), "p", _class(_IN_BOX))
@@ -320,6 +360,28 @@ _add("fill_idw", lambda spark, sf: _rounded(rasters.fill_idw(raster(spark, sf, v
 _add("interp_nearest", lambda spark, sf: _rounded(rasters.interp_nearest(raster(spark, sf, voids=True), 3)), with_sql("rv", _NEAR.format("arg_min(z, {d: d2, r: r, c: c})").replace("{{", "{")))
 
 
+_QUADRANTS = """, h AS (SELECT row, col, CASE WHEN z IS NOT NULL AND (row * 5 + col * 3) % 11 < 3 THEN z END AS z FROM rv),
+  q AS (SELECT a.row, a.col, s, t, arg_min(b.z, {d: (a.row-b.row)*(a.row-b.row) + (a.col-b.col)*(a.col-b.col), r: b.row, c: b.col}) AS v, min((a.row-b.row)*(a.row-b.row) + (a.col-b.col)*(a.col-b.col)) AS d2
+    FROM h a JOIN h b ON b.row BETWEEN a.row - 6 AND a.row + 6 AND b.col BETWEEN a.col - 6 AND a.col + 6, (VALUES (1), (-1)) s(s), (VALUES (1), (-1)) t(t)
+    WHERE a.z IS NULL AND b.z IS NOT NULL AND (b.row - a.row)*s >= 0 AND (b.col - a.col)*t >= 0 AND (a.row-b.row)*(a.row-b.row) + (a.col-b.col)*(a.col-b.col) <= 42.25 GROUP BY ALL),
+  f AS (SELECT row, col, sum(v/sqrt(d2))/sum(1/sqrt(d2)) AS f FROM q GROUP BY row, col), p0 AS (SELECT h.row, h.col, coalesce(z, f) AS z, z IS NULL AND f IS NOT NULL AS fresh FROM h LEFT JOIN f USING (row, col))"""
+_PASS = """, p{i} AS (SELECT a.row, a.col, any_value(a.fresh) AS fresh, CASE WHEN any_value(a.fresh) THEN avg(b.z) ELSE any_value(a.z) END AS z
+  FROM p{j} a JOIN p{j} b ON b.row BETWEEN a.row - 1 AND a.row + 1 AND b.col BETWEEN a.col - 1 AND a.col + 1 GROUP BY a.row, a.col)"""
+
+
+def _sparse(spark: SparkSession, sf: str) -> DataFrame:
+    keep = F.expr("z IS NOT NULL AND (row * 5 + col * 3) % 11 < 3")
+    return raster(spark, sf, voids=True).withColumn("z", F.when(keep, F.col("z")))
+
+
+for _n in (0, 2):
+    _add(
+        f"fill_quadrants_{_n}",
+        lambda spark, sf, n=_n: _rounded(rasters.fill_quadrants(_sparse(spark, sf), 6.5, n)).withColumn("z", F.col("z") + 0.0),
+        with_sql("rv", _QUADRANTS + "".join(_PASS.format(i=i + 1, j=i) for i in range(_n)) + f" SELECT row, col, round(z, 6) + 0.0 AS z FROM p{_n}"),
+    )
+
+
 def _idw_sql(src: str, out: str, reach: int, more: str = "") -> str:
     """Tables that end in `out`: `src` with voids from the cells with data within `reach`; `more`: what two cells must meet too."""
     return f""", {out}n AS (SELECT a.row, a.col, sum(b.z/(dr*dr + dc*dc))/sum(1/(dr*dr + dc*dc)) AS f FROM {src} a, range(-{reach}, {reach + 1}) s(dr), range(-{reach}, {reach + 1}) t(dc), {src} b
@@ -369,6 +431,15 @@ def _cudem_sql(factors=(9, 3, 1), weights=(0.25, 0.5, 1.0), reach: int = 4, side
     return steps
 
 
+_add(
+    "rq_mosaic",
+    _rq_mosaic,
+    with_sql(
+        "p ref",
+        _MOSAIC + _idw_sql("mo", "mf", 3) + """ SELECT seq, CASE WHEN coalesce(abs(p.z - mf.z) > 60, false) THEN 7 ELSE classification END AS classification
+        FROM p LEFT JOIN mf ON mf.col = CAST(floor(x/0.5) AS INT) AND mf.row = CAST(floor((17 - y)/0.5) AS INT)""",
+    ),
+)
 _add(
     "ms_cudem_step",
     lambda spark, sf: _rounded(rasters.ms_cudem_step(_stacked(spark, sf), 4, 0.5)),

@@ -12,7 +12,7 @@ from tidegrid.functions.grid import Region
 from tidegrid.functions.shared import shared_dir
 from tidegrid.operators import filters, stacks
 from tidegrid.plans.fixtures import GRID, datasets, points, reference, with_sql
-from tidegrid.sources import readers, surveys
+from tidegrid.sources import manifest, readers, surveys
 from tidegrid.streaming import incremental
 
 
@@ -60,6 +60,18 @@ def ogr_layers(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(readers.read_points(spark, place).select("x", "y", "z"))
 
 
+def folder_region(spark: SparkSession, sf: str) -> DataFrame:
+    """The points of those files of a folder whose bounds touch a region, and how many files that are: a file a tile, and no other is opened."""
+    place = _place(spark, "folder")
+    tile = F.concat_ws("_", F.floor(F.col("x") / 2).cast("int"), F.floor(F.col("y") / 2).cast("int")).alias("tile")
+    line = F.concat_ws(" ", *[F.round(c, 6) for c in "xyz"]).alias("value")
+    points(spark, sf).select(line, tile).repartition("tile").write.partitionBy("tile").text(place)
+    files = manifest.build(spark, place, "txt", f"{place}-manifest", "xyz")
+    rows = manifest.read_folder(files, Region(5.1, 7.9, 3.3, 8.2), "xyz")
+    n = rows.agg(F.count_distinct("path").alias("files"))  # one row
+    return _rounded(rows.select("x", "y", "z").crossJoin(F.broadcast(n)))
+
+
 def columnar_binned(spark: SparkSession, sf: str) -> DataFrame:
     """A columnar file of one point a cell."""
     place = _place(spark, "points.gtpc")
@@ -168,7 +180,7 @@ _POINT = "SELECT round(x, 6) AS x, round(y, 6) AS y, round({z}, 6) AS z, {w} AS
 
 def queries() -> dict:
     own = (
-        xyz_round_trip, xyz_profile, xyz_scaled, ogr_layers, columnar_binned, geojson_fields, sidecar_round_trip, binned_lines, incremental_batches, streamed_stack,
+        xyz_round_trip, xyz_profile, xyz_scaled, ogr_layers, folder_region, columnar_binned, geojson_fields, sidecar_round_trip, binned_lines, incremental_batches, streamed_stack,
         reproject_mercator, reproject_shifted, provenance_legend, vector_mask_coast, cells_window, survey_files,
     )
     return {f.__name__: f for f in own}
@@ -182,6 +194,12 @@ def oracle_sql(known: dict[str, str]) -> dict[str, str]:
         "xyz_profile": with_sql("p", _POINT.format(z="-z", w="1.0::DOUBLE", u="0.0::DOUBLE")),
         "xyz_scaled": with_sql("p", "SELECT round((round(x, 6) + 2) * 10, 6) AS x, round((round(y, 6) - 1) * 2, 6) AS y, round(round(z, 6) * -2, 6) AS z, 1.0::DOUBLE AS w, 0.0::DOUBLE AS u FROM p"),
         "ogr_layers": with_sql("p", "SELECT x, y, round(z, 6) AS z FROM p WHERE seq % 3 = 0"),
+        "folder_region": with_sql(
+            "p",
+            """, t AS (SELECT round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z, floor(x / 2) AS i, floor(y / 2) AS j FROM p),
+            b AS (SELECT i, j FROM t GROUP BY i, j HAVING max(x) >= 5.1 AND min(x) <= 7.9 AND max(y) >= 3.3 AND min(y) <= 8.2)
+            SELECT x, y, z, (SELECT count(*) FROM b) AS files FROM t JOIN b USING (i, j)""",
+        ),
         "columnar_binned": with_sql("p g", "SELECT round(avg(x), 6) AS x, round(avg(y), 6) AS y, round(avg(z), 6) AS z, round(min_by(w, seq) * count(*), 6) AS weight, round(sqrt(pow(min_by(u, seq), 2) + pow(stddev_pop(z), 2)), 6) AS uncertainty FROM g GROUP BY row, col"),
         "geojson_fields": with_sql("p", _POINT.format(z="-z", w="w", u="u")),
         "sidecar_round_trip": with_sql("p", "SELECT dataset_id, count(*) AS numpts, min(x) AS xmin, max(x) AS xmax, min(y) AS ymin, max(y) AS ymax, true AS has_polygon FROM p GROUP BY 1"),

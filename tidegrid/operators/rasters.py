@@ -6,6 +6,7 @@ holds more than one line of the grid a window.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window, functions as F
@@ -199,6 +200,71 @@ def interp_nearest(cells: DataFrame, reach: int = 4) -> DataFrame:
     return cells.join(near, _CELL, "left").select(*_CELL, F.coalesce("z", "_f").alias("z"))
 
 
+def smooth(cells: DataFrame, where: str, passes: int = 1) -> DataFrame:
+    """`cells` with z of the rows where the column `where` holds replaced, `passes` times, by the mean of the cells with data in the three by three around."""
+    for _ in range(passes):
+        cells = cells.withColumn("_s", F.coalesce("z", F.lit(0.0))).withColumn("_n", F.col("z").isNotNull().cast("int"))
+        for line, order in (("row", "col"), ("col", "row")):
+            w = Window.partitionBy(line).orderBy(order).rangeBetween(-1, 1)
+            cells = cells.withColumn("_s", F.sum("_s").over(w)).withColumn("_n", F.sum("_n").over(w))
+        cells = cells.withColumn("z", F.when(F.col(where), F.col("_s") / F.col("_n")).otherwise(F.col("z"))).drop("_s", "_n")
+    return cells
+
+
+def fill_quadrants(cells: DataFrame, max_dist: float = 100.0, smoothing: int = 0) -> DataFrame:
+    """Voids from the nearest cell with data in each of the four quadrants around, within `max_dist` cells, weighted by the inverse distance; then
+    `smoothing` passes over the filled cells only.
+
+    Two sweeps: along columns each cell learns the nearest data above and below it, along rows a void looks at what the cells of its row
+    learned, up to `max_dist` to either side. So a void costs its reach, not the square of it. A cell on an axis is in both quadrants beside it; of equally near
+    ones the first by row and column counts.
+    """
+    reach = int(max_dist)
+    out = cells.select(*_CELL, "z")
+    data = F.when(F.col("z").isNotNull(), F.struct(F.col("row").alias("r"), F.col("z").alias("v")))
+    for name, order in (("_up", F.asc("row")), ("_down", F.desc("row"))):
+        seen = F.last(data, True).over(Window.partitionBy("col").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+        out = out.withColumn(name, F.when(F.abs(seen["r"] - F.col("row")) <= reach, seen))
+    around = F.struct(F.col("col").alias("c"), F.col("_up").alias("up"), F.col("_down").alias("down"))
+    for name, span in (("_west", (-reach, 0)), ("_east", (0, reach))):
+        out = out.withColumn(name, F.collect_list(around).over(Window.partitionBy("row").orderBy("col").rangeBetween(*span)))
+    voids = out.filter("z IS NULL")
+
+    def nearest(side: str, way: str):
+        def one(x):
+            d2 = (x["c"] - F.col("col")) * (x["c"] - F.col("col")) + (x[way]["r"] - F.col("row")) * (x[way]["r"] - F.col("row"))
+            return F.when(d2 <= max_dist * max_dist, F.struct(d2.alias("d2"), x[way]["r"].alias("r"), x["c"].alias("c"), x[way]["v"].alias("v")))
+
+        return F.array_min(F.filter(F.transform(side, one), F.isnotnull))
+
+    quads = F.filter(F.array(*[nearest(side, way) for side in ("_west", "_east") for way in ("up", "down")]), F.isnotnull)
+    total = lambda q, f: F.aggregate(q, F.lit(0.0), lambda a, x: a + f(x))
+    near = voids.select(*_CELL, quads.alias("q"))
+    fill = F.try_divide(total(F.col("q"), lambda x: x["v"] / F.sqrt(x["d2"])), total(F.col("q"), lambda x: 1 / F.sqrt(x["d2"])))
+    both = cells.select(*_CELL, "z").join(near.select(*_CELL, fill.alias("_f")), _CELL, "left")
+    both = both.select(*_CELL, F.coalesce("z", "_f").alias("z"), (F.col("z").isNull() & F.col("_f").isNotNull()).alias("_filled"))
+    return smooth(stash(both, "filled"), "_filled", smoothing).select(*_CELL, "z") if smoothing else both.select(*_CELL, "z")
+
+
+def mosaic(sources: list[tuple[DataFrame, GridSpec]], target: GridSpec, buffer: float = 0.0, method: str = "bilinear", fill: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, GridSpec]:
+    """((row, col, z), grid): one grid out of several of any cell size and offset. A cell takes the value of the first source that has one at its centre (see
+    `align`); `buffer` widens the target by that much, in whole cells, and `fill` closes gaps, as `fill_idw`. Sources are only asked for the cells of
+    their own region, and meet in one aggregation."""
+    spark = sources[0][0].sparkSession
+    more_x, more_y = (math.ceil(buffer / inc - 1e-9) * inc for inc in (target.xinc, target.yinc))
+    r = target.region
+    grid = GridSpec(Region(r.w - more_x, r.e + more_x, r.s - more_y, r.n + more_y), target.xinc, target.yinc)
+    cells = spark.range(grid.rows * grid.cols).select(F.floor(F.col("id") / grid.cols).cast("int").alias("row"), (F.col("id") % grid.cols).cast("int").alias("col"))
+    found = None
+    for i, (source, own) in enumerate(sources):
+        within = grid.centres(cells).filter(own.region.contains()).select(*_CELL)
+        part = align(within, grid, source, own, method).filter("z IS NOT NULL").withColumn("_order", F.lit(i))
+        found = part if found is None else found.unionByName(part)
+    best = found.groupBy(*_CELL).agg(F.min_by("z", "_order").alias("z"))
+    out = cells.join(best, _CELL, "left").select(*_CELL, "z")
+    return (fill(stash(out, "mosaic")) if fill else out), grid
+
+
 def ms_cudem_step(cells: DataFrame, k: int, weight: float, reach: int = 4) -> DataFrame:
     """One step of the multi-resolution fill: decimate, fill the coarse surface, and patch the fine voids from it."""
     coarse = fill_idw(decimate(cells, k), reach)

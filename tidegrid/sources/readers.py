@@ -193,13 +193,13 @@ def read_columnar(spark: SparkSession, path) -> DataFrame:
     return rows
 
 
-def read_points(spark: SparkSession, path: str, data_type: str | None = None, weight: float = 1.0, uncertainty: float = 0.0, **options) -> DataFrame:
-    """Points of any supported file in the standard schema, by data type or else extension."""
+def read_points(spark: SparkSession, path: str | list[str], data_type: str | None = None, weight: float = 1.0, uncertainty: float = 0.0, **options) -> DataFrame:
+    """Points of any supported file in the standard schema, by data type or else extension; ASCII, LAS and columnar files may be a list of paths."""
     if data_type in PROFILES:
         return ensure_schema(read_xyz(spark, path, **PROFILES[data_type] | options), weight, uncertainty)
     if data_type in VECTOR_PROFILES:
         return ensure_schema(read_geojson(spark, path, **VECTOR_PROFILES[data_type] | options), weight, uncertainty)
-    kind = EXTENSIONS.get(data_type or path.rsplit(".", 1)[-1].lower())
+    kind = EXTENSIONS.get(data_type or str(path).rsplit(".", 1)[-1].lower())
     reader = {"xyz": read_xyz, "geojson": read_geojson, "las": read_las, "columnar": read_columnar}.get(kind)
     if reader is None:
         raise ValueError(f"{path}: no reader for this kind of file")
