@@ -404,7 +404,7 @@ def _kernel_sql(t: str) -> str:
 def _convolved_sql(fine: str, coarse: str, out: str, k: int) -> str:
     """The table `out`: cells of `fine` with the value `c` of the cubic convolution of `coarse`, k times as coarse."""
     w = f"({_kernel_sql('fr - c.row')}) * ({_kernel_sql('fc - c.col')})"
-    return f""", {out} AS (SELECT f.row, f.col, CASE WHEN sum({w}) >= 0.5 THEN sum({w} * c.z)/sum({w}) END AS c FROM (SELECT row, col, (row + 0.5)/{k} - 0.5 AS fr, (col + 0.5)/{k} - 0.5 AS fc FROM {fine}) f
+    return f""", {out} AS (SELECT f.row, f.col, CASE WHEN sum({w}) >= 0.25 THEN sum({w} * c.z)/sum({w}) END AS c FROM (SELECT row, col, (row + 0.5)/{k} - 0.5 AS fr, (col + 0.5)/{k} - 0.5 AS fc FROM {fine}) f
       JOIN (SELECT * FROM {coarse} WHERE z IS NOT NULL) c ON c.row BETWEEN floor(fr) - 1 AND floor(fr) + 2 AND c.col BETWEEN floor(fc) - 1 AND floor(fc) + 2 GROUP BY f.row, f.col)"""
 
 

@@ -145,6 +145,18 @@ def reproject_mercator(spark: SparkSession, sf: str) -> DataFrame:
     return moved.select("seq", *[(F.round(c, 3) + 0.0).alias(c) for c in "xy"])  # no negative zero
 
 
+def reproject_utm(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines of degrees, read into zone 32 of UTM; back in degrees no point has moved."""
+    place = _place(spark, "degrees.xyz")
+    p = points(spark, sf).select("x", "y", F.col("seq").cast("double").alias("z"))
+    readers.write_xyz(p, place, 9, columns=("x", "y", "z"))
+    moved = readers.read_points(spark, place, src_srs="EPSG:4326", dst_srs="EPSG:32632")
+    back = filters.reproject(moved.withColumns({"px": F.col("x"), "py": F.col("y")}), "geographic", "EPSG:32632")
+    near = back.join(p.select("z", F.col("x").alias("ox"), F.col("y").alias("oy")), "z")
+    still = (F.abs(F.col("x") - F.col("ox")) < 1e-8) & (F.abs(F.col("y") - F.col("oy")) < 1e-8)
+    return near.select(F.col("z").cast("long").alias("seq"), F.round("px", 2).alias("x"), F.round("py", 2).alias("y"), still.alias("still"))
+
+
 def reproject_shifted(spark: SparkSession, sf: str) -> DataFrame:
     """Degrees to metres, with heights moved by a grid; back to degrees no point has moved by more than a millionth."""
     moved = filters.reproject(points(spark, sf), "mercator", shift=reference(spark, sf), grid=GRID, value="ref_z")
@@ -175,13 +187,22 @@ _COAST = f""", v AS (SELECT r.r AS ring, i, 8 + (r.r + cos(40 * t)) * cos(t) AS
   c AS (SELECT seq, count(*) AS n FROM p JOIN e ON (y1 > p.y) <> (y2 > p.y) AND p.x < (x2 - x1) * (p.y - y1) / (y2 - y1) + x1 GROUP BY seq)
 SELECT p.seq, CASE WHEN coalesce(n, 0) % 2 = 1 THEN 7 ELSE classification END AS classification FROM p LEFT JOIN c USING (seq)"""
 
+_N = 1 / 298.257223563 / (2 - 1 / 298.257223563)
+#: Zone 32 by Kruger's series to the fourth order.
+_UTM = f""", c AS (SELECT {_N} AS n, 2*sqrt({_N})/(1 + {_N}) AS e),
+  k AS (SELECT e, 6378137.0/(1 + n)*(1 + n**2/4 + n**4/64) AS a, n/2 - 2*n**2/3 + 5*n**3/16 + 41*n**4/180 AS a1, 13*n**2/48 - 3*n**3/5 + 557*n**4/1440 AS a2, 61*n**3/240 - 103*n**4/140 AS a3, 49561*n**4/161280 AS a4 FROM c),
+  t AS (SELECT seq, radians(x - 9) AS l, sinh(atanh(sin(radians(y))) - e*atanh(e*sin(radians(y)))) AS t, k.* FROM p, k),
+  u AS (SELECT *, atan2(t, cos(l)) AS xi, atanh(sin(l)/sqrt(1 + t*t)) AS eta FROM t)
+  SELECT seq, round(500000 + 0.9996*a*(eta + a1*cos(2*xi)*sinh(2*eta) + a2*cos(4*xi)*sinh(4*eta) + a3*cos(6*xi)*sinh(6*eta) + a4*cos(8*xi)*sinh(8*eta)), 2) AS x,
+    round(0.9996*a*(xi + a1*sin(2*xi)*cosh(2*eta) + a2*sin(4*xi)*cosh(4*eta) + a3*sin(6*xi)*cosh(6*eta) + a4*sin(8*xi)*cosh(8*eta)), 2) AS y, true AS still FROM u"""
+
 _POINT = "SELECT round(x, 6) AS x, round(y, 6) AS y, round({z}, 6) AS z, {w} AS w, round({u}, 6) AS u FROM p"
 
 
 def queries() -> dict:
     own = (
         xyz_round_trip, xyz_profile, xyz_scaled, ogr_layers, folder_region, columnar_binned, geojson_fields, sidecar_round_trip, binned_lines, incremental_batches, streamed_stack,
-        reproject_mercator, reproject_shifted, provenance_legend, vector_mask_coast, cells_window, survey_files,
+        reproject_mercator, reproject_utm, reproject_shifted, provenance_legend, vector_mask_coast, cells_window, survey_files,
     )
     return {f.__name__: f for f in own}
 
@@ -209,6 +230,7 @@ def oracle_sql(known: dict[str, str]) -> dict[str, str]:
         "incremental_batches": mean,
         "streamed_stack": f"SELECT m.*, s.points_seen FROM ({mean}) m, (SELECT count(*) AS points_seen FROM orders) s",
         "reproject_mercator": with_sql("p", "SELECT seq, round(radians(x) * 6378137.0, 3) + 0.0 AS x, round(ln(tan(radians(y) / 2 + pi() / 4)) * 6378137.0, 3) + 0.0 AS y FROM p"),
+        "reproject_utm": with_sql("p", _UTM),
         "reproject_shifted": with_sql(
             "p ref",
             """, a AS (SELECT seq, floor(x - 0.5) AS c, floor(16 - y - 0.5) AS r, x - 0.5 - floor(x - 0.5) AS a, 16 - y - 0.5 - floor(16 - y - 0.5) AS b FROM p),

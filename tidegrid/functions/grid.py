@@ -117,12 +117,17 @@ def mercator(x: str = "x", y: str = "y") -> tuple[Column, Column]:
     return F.radians(x) * r, F.log(F.tan(F.radians(F.col(y)) / 2 + F.lit(0.7853981633974483))) * r
 
 
-def projected(points: DataFrame, to: str, source: str = "geographic") -> DataFrame:
-    """`points` with x and y in another system: "geographic" degrees or "mercator" metres."""
+def projected(points: DataFrame, to: str | int, source: str | int = "geographic") -> DataFrame:
+    """`points` with x and y in another system: "geographic" degrees, "mercator" metres, or any that `projections.system` knows."""
     if to == source:
         return points
-    x, y = {"mercator": mercator, "geographic": geographic}[to]()
-    return points.withColumns({"x": x, "y": y})
+    plain = {"mercator": mercator, "geographic": geographic}
+    if to in plain and source in plain:
+        x, y = plain[to]()
+        return points.withColumns({"x": x, "y": y})
+    from tidegrid.functions.projections import moved
+
+    return moved(points, to, source)
 
 
 def geographic(x: str = "x", y: str = "y") -> tuple[Column, Column]:

@@ -237,9 +237,10 @@ def cubic_weight(t: Column) -> Column:
     return F.when(t <= 1, near).when(t < 2, far).otherwise(F.lit(0.0))
 
 
-def sample_cubic(points: DataFrame, cells: DataFrame, grid: GridSpec, value: str, name: str = "ref", seq: str = "seq", least: float = 0.5) -> DataFrame:
+def sample_cubic(points: DataFrame, cells: DataFrame, grid: GridSpec, value: str, name: str = "ref", seq: str = "seq", least: float = 0.25) -> DataFrame:
     """(seq, name): cubic convolution over the four by four cells around each point, of a grid of any cell size. Beside voids and edges the weights of the
-    cells with data are renewed to sum to 1; null where they sum to less than `least` before. Weights are one product of row and column, summed where cells meet."""
+    cells with data are renewed to sum to 1; null where they sum to less than `least` before, so never in a cell with data
+    that has data around. Weights are one product of row and column, summed where cells meet."""
     fx = (F.col("x") - grid.region.w) / grid.xinc - 0.5
     fy = (F.lit(grid.region.n) - F.col("y")) / grid.yinc - 0.5
     at = points.select(seq, fx.alias("_fx"), fy.alias("_fy"))

@@ -12,6 +12,7 @@ from tidegrid.functions.grid import GridSpec
 from tidegrid.functions.shared import components, stash
 from tidegrid.operators.filters import polygon_edges
 from tidegrid.operators.rasters import auto_stack_mask, blend_background, by_side, decimate, fill_idw, interp_nearest, slope
+from tidegrid.operators.splines import interp_spline
 from tidegrid.operators.triangles import interp_triangles
 
 _CELL = ["row", "col"]
@@ -87,7 +88,9 @@ def interp_lines(cells: DataFrame, method: str = "linear", z: str = "z") -> Data
 
 def interp(cells: DataFrame, method: str = "linear", reach: int = 4) -> DataFrame:
     """(row, col, z) with voids filled: linear or cubic along lines, nearest or inverse distances (idw) within `reach`, and over the triangles of the data
-    delaunay (linear) or clough_tocher (cubic)."""
+    delaunay (linear) or clough_tocher (cubic); spline: a spline in tension, which leaves no void."""
+    if method == "spline":
+        return interp_spline(cells)
     if method in ("delaunay", "clough_tocher"):
         return interp_triangles(cells, "linear" if method == "delaunay" else "cubic")
     if method == "nearest":

@@ -236,7 +236,7 @@ def gradients(points: DataFrame, cells: DataFrame, reach: int = 2) -> DataFrame:
 def _solve(corners: np.ndarray, heights: np.ndarray, tile: int, halo: int, cubic: bool):
     """A function of a tile's voids and points to the values of the voids; `sure` where the triangle's circle lies within what the tile has seen."""
 
-    def run(key, voids: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, voids: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
         names = [c.split()[0] for c in _FOUND.split(", ")]
         if not len(voids):
             return pd.DataFrame({n: [] for n in names})

@@ -11,12 +11,12 @@ from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame
 
-from tidegrid.operators import filters, rasters, stacks, surfaces
+from tidegrid.operators import coastlines, filters, rasters, rings, splines, stacks, surfaces, triangles
 from tidegrid.plans import chains
-from tidegrid.sources import readers, surveys
+from tidegrid.sources import manifest, readers, surveys, tiff
 
 #: What the first parameter of an operator, and of a source, is called.
-_FIRST = {"points": "operator", "cells": "operator", "beams": "operator", "spark": "source"}
+_FIRST = {"points": "operator", "cells": "operator", "beams": "operator", "lines": "operator", "spark": "source"}
 _KNOWN: dict[str, tuple[str, Callable, dict]] = {}
 
 
@@ -49,7 +49,7 @@ def chain(df: DataFrame, steps: Iterable[tuple[str, dict]]) -> DataFrame:
     return df
 
 
-for _module in (filters, rasters, stacks, surfaces, chains, readers, surveys):
+for _module in (filters, rasters, stacks, surfaces, triangles, splines, rings, coastlines, chains, readers, surveys, manifest, tiff):
     for _name, _function in inspect.getmembers(_module, inspect.isfunction):
         _kind = _FIRST.get(next(iter(inspect.signature(_function).parameters), ""))
         if _kind and _function.__module__ == _module.__name__ and not _name.startswith("_"):

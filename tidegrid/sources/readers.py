@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from tidegrid.functions.grid import GridSpec, Region, ensure_schema
+from tidegrid.functions.grid import GridSpec, Region, ensure_schema, projected
 from tidegrid.sources.files import opened
 from tidegrid.sources.las import HEADER, Layout, reference_system_of
 
@@ -193,17 +193,22 @@ def read_columnar(spark: SparkSession, path) -> DataFrame:
     return rows
 
 
-def read_points(spark: SparkSession, path: str | list[str], data_type: str | None = None, weight: float = 1.0, uncertainty: float = 0.0, **options) -> DataFrame:
-    """Points of any supported file in the standard schema, by data type or else extension; ASCII, LAS and columnar files may be a list of paths."""
+def read_points(
+    spark: SparkSession, path: str | list[str], data_type: str | None = None, weight: float = 1.0, uncertainty: float = 0.0, src_srs: str | int | None = None, dst_srs: str | int = "geographic", **options,
+) -> DataFrame:
+    """Points of any supported file in the standard schema, by data type or else extension; ASCII, LAS and columnar files may be a list of paths. `src_srs`:
+    the system that the file's coordinates are in, which then come in `dst_srs`."""
     if data_type in PROFILES:
-        return ensure_schema(read_xyz(spark, path, **PROFILES[data_type] | options), weight, uncertainty)
-    if data_type in VECTOR_PROFILES:
-        return ensure_schema(read_geojson(spark, path, **VECTOR_PROFILES[data_type] | options), weight, uncertainty)
-    kind = EXTENSIONS.get(data_type or str(path).rsplit(".", 1)[-1].lower())
-    reader = {"xyz": read_xyz, "geojson": read_geojson, "las": read_las, "columnar": read_columnar}.get(kind)
-    if reader is None:
-        raise ValueError(f"{path}: no reader for this kind of file")
-    return ensure_schema(reader(spark, path, **options), weight, uncertainty)
+        rows = read_xyz(spark, path, **PROFILES[data_type] | options)
+    elif data_type in VECTOR_PROFILES:
+        rows = read_geojson(spark, path, **VECTOR_PROFILES[data_type] | options)
+    else:
+        kind = EXTENSIONS.get(data_type or str(path).rsplit(".", 1)[-1].lower())
+        reader = {"xyz": read_xyz, "geojson": read_geojson, "las": read_las, "columnar": read_columnar}.get(kind)
+        if reader is None:
+            raise ValueError(f"{path}: no reader for this kind of file")
+        rows = reader(spark, path, **options)
+    return ensure_schema(rows if src_srs is None else projected(rows, dst_srs, src_srs), weight, uncertainty)
 
 
 def write_xyz(points: DataFrame, path: str, places: int = 6, delimiter: str = " ", columns=("x", "y", "z", "w", "u")) -> None:
