@@ -646,6 +646,24 @@ def test_bpe_round_trip(spark):
     assert bpe.encode(docs(spark).limit(0), path).count() == 0
 
 
+def test_bpe_of_very_long_words(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = vocabulary("word_bpe_49k.json")
+    slow, rng = Tokenizer.from_file(path), np.random.default_rng(2)
+    texts = ["".join(rng.choice(list("etaoinshrdlu"), n)) for n in (1500, 20_000)] + ["a" * 5001, "ab" * 3000, "na" * 777 + "banana" * 500, "\u00e9\u6f22" * 2000, "the" * 4000]
+    own = bpe.BatchBPE(path)
+    for t, words in zip(texts, own.encode_batch(texts), strict=True):
+        assert [x for w in words for x in w] == slow.encode(t, add_special_tokens=False).ids
+    # the same rounds for short words
+    monkeypatch.setattr(bpe, "LONG_WORD", 2)
+    short = ["".join(rng.choice(list("etaoinshrdlu"), int(n))) for n in rng.integers(1, 30, 300)]
+    assert bpe.BatchBPE(path).encode_batch(short) == own.encode_batch(short)
+    began = time.perf_counter()
+    ids = own.encode_batch(["".join(rng.choice(list("etaoinshrdlu"), 1_000_000))])[0]
+    assert sum(map(len, ids)) > 100_000 and time.perf_counter() - began < 60
+
+
 # line deduplication
 def line_rows():
     rows = [(i, f"unique {i} a\nshared footer\nunique {i} b\n\nrare {i % 4}\nunique {i} c", f"s{i % 12}") for i in range(60)]

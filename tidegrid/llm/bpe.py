@@ -3,15 +3,17 @@
 All new words of a batch lie in one flat array of symbols. A round looks up every neighbouring pair by binary
 search over the sorted pair keys, finds each word's lowest rank, and merges that pair's occurrences from left to
 right in all words at once; words leave the array when they have no pair left. A word's ids are kept in a bounded
-dictionary of the Python worker, so that frequent words are merged once.
+dictionary of the Python worker, so that frequent words are merged once. A very long word is merged by itself, in rounds that look only at the places of
+their rank, so that a megabyte without a break takes seconds.
 
 Follows the file of a `tokenizers` BPE model: NFC, white space to one space, lower case, the split pattern, bytes as
 characters, an end-of-word suffix, added tokens found in the raw text. Null texts count as empty; an empty text has no
-ids and decodes to ''. Extra columns are dropped; rows are independent, so repeated rows give repeated results.
+ids and decodes to ''. Extra columns are dropped, whatever their names; rows are independent, so repeated rows give repeated results.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
 import unicodedata
 from collections.abc import Iterator
@@ -24,6 +26,8 @@ from tidegrid.llm.common import text_of
 
 #: Words that a worker keeps; beyond it the dictionary starts anew.
 KEPT_WORDS = 400_000
+#: Characters from which on a word is merged by itself.
+LONG_WORD = 1_000
 
 
 def byte_characters() -> list[str]:
@@ -73,8 +77,70 @@ class BatchBPE:
         text = self.space.sub(" ", unicodedata.normalize("NFC", text))
         return self.split.findall("".join(map(lower_one, text)) if "İ" in text or "Σ" in text else text.lower())
 
+    def merge_long(self, raw: bytes) -> list[int]:
+        """Ids of one long word. Pairs wait by rank, so a round looks at the places of its rank and what lies beside them, not at the whole word."""
+        flat = np.frombuffer(raw, np.uint8)
+        n = len(flat)
+        symbol = self.first[flat]
+        symbol[-1] = self.last[flat[-1]]
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)  # n: the end
+        rank, at = np.full(n + 1, -1, np.int64), np.zeros(n + 1, np.int64)
+        waiting: dict[int, list[np.ndarray]] = {}
+        order: list[int] = []
+
+        def look(places: np.ndarray) -> None:
+            """Rank the pairs that begin at these places anew, and let them wait."""
+            places = places[after[places] < n]
+            key = symbol[places] << 32 | symbol[after[places]]
+            found = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            hit = self.keys[found] == key
+            rank[places] = np.where(hit, self.ranks[found], -1)
+            at[places] = found
+            places = places[hit]
+            if not len(places):
+                return
+            places = places[np.argsort(rank[places], kind="stable")]
+            ranks, start = np.unique(rank[places], return_index=True)
+            for r, part in zip(ranks.tolist(), np.split(places, start[1:]), strict=True):
+                if r not in waiting:
+                    waiting[r] = []
+                    heapq.heappush(order, r)
+                waiting[r].append(part)
+
+        look(np.arange(n - 1))
+        while order:
+            r = heapq.heappop(order)
+            where = np.unique(np.concatenate(waiting.pop(r)))
+            where = where[rank[where] == r]
+            if not len(where):
+                continue
+            # of overlapping occurrences (a a a) every second one counts from the left
+            run = np.concatenate(([0], np.cumsum(after[where[:-1]] != where[1:])))
+            place = np.arange(len(where))
+            where = where[(place - place[np.searchsorted(run, run)]) % 2 == 0]
+            gone = after[where]
+            symbol[where] = self.merged[at[where]]
+            rank[where] = rank[gone] = -1
+            further = after[gone]
+            after[where] = further
+            inner = further < n
+            before[further[inner]] = where[inner]
+            left = before[where]
+            # a neighbour that was merged too has its new place; what ends in a merged symbol begins at the last place before it
+            look(np.unique(np.concatenate((where, left[left >= 0]))))
+        kept, i = [], 0
+        hop = after.tolist()
+        while i < n:
+            kept.append(i)
+            i = hop[i]
+        return symbol[kept].tolist()
+
     def merge(self, words: list[str]) -> list[list[int]]:
-        """Ids of each word: merge rounds over one flat array of symbols."""
+        """Ids of each word: merge rounds over one flat array of symbols; long words by themselves."""
+        long = {i for i, w in enumerate(words) if len(w) >= LONG_WORD}
+        if long:
+            rest = iter(self.merge([w for i, w in enumerate(words) if i not in long]))
+            return [self.merge_long(w.encode()) if i in long else next(rest) for i, w in enumerate(words)]
         raw = [w.encode() for w in words]
         size = np.array([len(r) for r in raw], np.int64)
         flat = np.frombuffer(b"".join(raw), np.uint8)
