@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tidegrid.functions.grid import Region
 from tidegrid.functions.shared import shared_dir
 from tidegrid.operators import filters, stacks
-from tidegrid.plans.fixtures import GRID, datasets, points, reference, with_sql
-from tidegrid.sources import manifest, readers, surveys
+from tidegrid.plans.fixtures import GRID, beams, datasets, points, reference, with_sql
+from tidegrid.sources import manifest, readers, surveys, tiff
 from tidegrid.streaming import incremental
 
 
@@ -72,6 +72,90 @@ def folder_region(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(rows.select("x", "y", "z").crossJoin(F.broadcast(n)))
 
 
+def profile_csb(spark: SparkSession, sf: str) -> DataFrame:
+    """Comma-separated soundings with a header, longitude first."""
+    place = _place(spark, "crowd.csv")
+    points(spark, sf).select(*[F.round(c, 6).alias(c) for c in "xyz"]).write.csv(place, header=True)
+    return _rounded(readers.read_points(spark, place, "csb_csv").select("x", "y", "z", "w", "u"))
+
+
+def profile_charts(spark: SparkSession, sf: str) -> DataFrame:
+    """The sounding layer of a chart, depths down."""
+    place = _place(spark, "chart.geojsonl")
+    name = F.when(F.col("seq") % 4 == 0, "LNDARE").otherwise("SOUNDG")
+    geometry = F.struct(F.lit("Point").alias("type"), F.array("x", "y", F.round("z", 6)).alias("coordinates")).alias("geometry")
+    points(spark, sf).select(F.to_json(F.struct(F.lit("Feature").alias("type"), geometry, F.struct(name.alias("layer")).alias("properties"))).alias("value")).write.text(place)
+    return _rounded(readers.read_points(spark, place, "charts_000").select("x", "y", "z", "w", "u"))
+
+
+def tiff_bands(spark: SparkSession, sf: str) -> DataFrame:
+    """Points of a grid file by its bands of mask, weight and uncertainty."""
+    place = _place(spark, "bands")
+    cells = GRID.index(points(spark, sf)).groupBy("row", "col").agg(
+        F.max("z").alias("z"), (F.max("seq") % 3).cast("double").alias("mask"), F.max("w").alias("weight"), F.max("u").alias("unc")
+    )
+    bands = ("z", "mask", "weight", "unc")
+    tiff.write_grid(cells, place, GRID, bands, block=32, tile=16)
+    return _rounded(readers.cells_to_points(tiff.read_grid(spark, place, bands, GRID), GRID, "weight", "unc", "mask"))
+
+
+def footprint_features(spark: SparkSession, sf: str) -> DataFrame:
+    """Bounds of every dataset as features, read back corner by corner."""
+    place = _place(spark, "footprints.geojsonl")
+    readers.write_footprints(stacks.footprints(points(spark, sf), Region(0, 16, 0, 16)), place, ("dataset_id",))
+    rows = spark.read.text(place).select(F.get_json_object("value", "$.properties.dataset_id").alias("dataset_id"), F.from_json(F.get_json_object("value", "$.geometry.coordinates"), "array<array<array<double>>>").alias("c"))
+    return rows.select("dataset_id", F.posexplode(F.col("c")[0]).alias("corner", "p")).select("dataset_id", "corner", F.col("p")[0].alias("x"), F.col("p")[1].alias("y"))
+
+
+def sidecar_polygon(spark: SparkSession, sf: str) -> DataFrame:
+    """The bounding polygon of every dataset as text, whole."""
+    return stacks.stream_inf(points(spark, sf)).select("dataset_id", stacks.bounds_wkt().alias("wkt"))
+
+
+def dataset_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """Identities of datasets by checksum, remote address, or name and size."""
+    kind = F.col("seq") % 4
+    rows = points(spark, sf).select(
+        "seq", F.when(kind == 0, F.concat(F.lit("sum"), "seq")).alias("checksum"), F.when(kind == 1, F.concat(F.lit("https://x/"), "seq")).when(kind == 2, F.concat(F.lit("file:///x/"), "seq")).alias("url"),
+        F.concat(F.lit("n"), "seq").alias("name"), F.when(kind == 2, F.col("seq") * 10).alias("size"),
+    )
+    return rows.select("seq", surveys.dataset_id().alias("id"))
+
+
+def gridded_weights(spark: SparkSession, sf: str) -> DataFrame:
+    """Weights of gridded surveys by their cell size."""
+    return points(spark, sf).select("seq", F.round(surveys.gridded_weight(F.col("w") * 2 - 2 + F.col("u"), 0.75), 6).alias("weight"))
+
+
+def survey_beams(spark: SparkSession, sf: str) -> DataFrame:
+    """Soundings of the lists whose metadata name a late enough year, within a region, with weights by age."""
+    place = _place(spark, "beams")
+    b = beams(spark, sf).withColumn("x", (F.col("l_orderkey") % 997).cast("double")).withColumn("y", F.col("l_linenumber").cast("double"))
+    b = b.withColumn("year", (F.col("l_orderkey") % 8 * 5 + 1985).cast("int"))
+    line = F.concat_ws("\t", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).cast("string") if c in b.columns else F.lit("0.0") for c in surveys.BEAM_COLUMNS])
+    b.select(line.alias("value"), "year").repartition("year").write.partitionBy("year").text(f"{place}/lists")
+    files = spark.read.text(f"{place}/lists").select(F.input_file_name().alias("path")).distinct()
+    lines = F.concat(F.lit("MBIO Data Format ID:  58\nTime:  06 11 "), F.regexp_extract("path", r"year=(\d+)", 1), F.lit(" 10:00\nNumber of Good Beams:  900  90.50%\n"))
+    files.select("path", lines.alias("text")).mapInArrow(_beside, "n int").count()
+    chosen = surveys.select_surveys(surveys.read_beam_metadata(spark, f"{place}/lists/*/*.inf"), min_year=2000)
+    rows = surveys.read_surveys(spark, chosen, region=Region(100, 700, 1, 3))
+    return rows.select(F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"), "z", F.round("u", 6).alias("u"), F.round("w", 6).alias("w"))
+
+
+def _beside(batches):
+    """Write a file of metadata beside each list (path, text)."""
+    import pyarrow as pa
+
+    from tidegrid.sources.files import located
+
+    for b in batches:
+        for row in b.to_pylist():
+            system, path = located(row["path"].removesuffix(".txt") + ".inf")
+            with system.open_output_stream(path) as out:
+                out.write(row["text"].encode())
+        yield pa.RecordBatch.from_pydict({"n": pa.array([b.num_rows], pa.int32())})
+
+
 def columnar_binned(spark: SparkSession, sf: str) -> DataFrame:
     """A columnar file of one point a cell."""
     place = _place(spark, "points.gtpc")
@@ -201,7 +285,8 @@ _POINT = "SELECT round(x, 6) AS x, round(y, 6) AS y, round({z}, 6) AS z, {w} AS
 
 def queries() -> dict:
     own = (
-        xyz_round_trip, xyz_profile, xyz_scaled, ogr_layers, folder_region, columnar_binned, geojson_fields, sidecar_round_trip, binned_lines, incremental_batches, streamed_stack,
+        xyz_round_trip, xyz_profile, xyz_scaled, ogr_layers, folder_region, profile_csb, profile_charts, tiff_bands, footprint_features, sidecar_polygon,
+        dataset_ids, gridded_weights, survey_beams, columnar_binned, geojson_fields, sidecar_round_trip, binned_lines, incremental_batches, streamed_stack,
         reproject_mercator, reproject_utm, reproject_shifted, provenance_legend, vector_mask_coast, cells_window, survey_files,
     )
     return {f.__name__: f for f in own}
@@ -221,6 +306,20 @@ def oracle_sql(known: dict[str, str]) -> dict[str, str]:
             b AS (SELECT i, j FROM t GROUP BY i, j HAVING max(x) >= 5.1 AND min(x) <= 7.9 AND max(y) >= 3.3 AND min(y) <= 8.2)
             SELECT x, y, z, (SELECT count(*) FROM b) AS files FROM t JOIN b USING (i, j)""",
         ),
+        "profile_csb": with_sql("p", _POINT.format(z="z", w="1.0::DOUBLE", u="0.0::DOUBLE")),
+        "profile_charts": with_sql("p", _POINT.format(z="-z", w="1.0::DOUBLE", u="0.0::DOUBLE") + " WHERE seq % 4 <> 0"),
+        "tiff_bands": with_sql("p g", "SELECT col + 0.5::DOUBLE AS x, 15.5::DOUBLE - row AS y, round(max(z), 6) AS z, max(w) AS w, max(u) AS u FROM g GROUP BY row, col HAVING max(seq) % 3 <> 0"),
+        "footprint_features": with_sql("p", """, b AS (SELECT dataset_id, min(x) AS w, max(x) AS e, min(y) AS s, max(y) AS n FROM p GROUP BY dataset_id)
+          SELECT dataset_id, CAST(k AS INT) AS corner, CASE WHEN k IN (1, 2) THEN e ELSE w END AS x, CASE WHEN k IN (2, 3) THEN n ELSE s END AS y FROM b, range(5) t(k)"""),
+        "sidecar_polygon": with_sql("p", """, b AS (SELECT dataset_id, min(x) AS w, max(x) AS e, min(y) AS s, max(y) AS n FROM p GROUP BY dataset_id),
+          t AS (SELECT dataset_id, list_transform([w, e, s, n], lambda v: regexp_replace(regexp_replace(printf('%.6f', v), '0+$', ''), '\\.$', '')) AS v FROM b)
+          SELECT dataset_id, 'POLYGON ((' || v[1] || ' ' || v[3] || ', ' || v[1] || ' ' || v[4] || ', ' || v[2] || ' ' || v[4] || ', ' || v[2] || ' ' || v[3] || ', ' || v[1] || ' ' || v[3] || '))' AS wkt FROM t"""),
+        "dataset_ids": with_sql("p", "SELECT seq, CASE seq % 4 WHEN 0 THEN 'sum' || seq WHEN 1 THEN 'https://x/' || seq WHEN 2 THEN 'n' || seq || '|' || seq*10 || 'B' ELSE 'n' || seq END AS id FROM p"),
+        "gridded_weights": with_sql("p", "SELECT seq, round(CASE WHEN r = 0 THEN 1 ELSE greatest(3 * CASE WHEN r <= 3 THEN 10 ELSE 1 END / r, 0.75) END, 6) AS weight FROM (SELECT seq, w * 2 - 2 + u AS r FROM p)"),
+        "survey_beams": with_sql("b", """, q AS (SELECT *, l_orderkey % 997 AS px, l_linenumber AS py, l_orderkey % 8 * 5 + 1985 AS year,
+            sqrt(pow(0.51*(0.25 + 0.02*abs(z)), 2) + pow(0.005*abs(crosstrack_distance), 2) + pow(0.51*least(14.0, abs(speed - 14)), 2)) AS v FROM b)
+          SELECT CAST(px AS INT) AS x, CAST(py AS INT) AS y, z, round(v, 6) AS u, round(1/v * least(0.99, greatest(0.01, 1 - (2024 - year)/44)), 6) AS w
+          FROM q WHERE year >= 2000 AND px BETWEEN 100 AND 700 AND py BETWEEN 1 AND 3"""),
         "columnar_binned": with_sql("p g", "SELECT round(avg(x), 6) AS x, round(avg(y), 6) AS y, round(avg(z), 6) AS z, round(min_by(w, seq) * count(*), 6) AS weight, round(sqrt(pow(min_by(u, seq), 2) + pow(stddev_pop(z), 2)), 6) AS uncertainty FROM g GROUP BY row, col"),
         "geojson_fields": with_sql("p", _POINT.format(z="-z", w="w", u="u")),
         "sidecar_round_trip": with_sql("p", "SELECT dataset_id, count(*) AS numpts, min(x) AS xmin, max(x) AS xmax, min(y) AS ymin, max(y) AS ymax, true AS has_polygon FROM p GROUP BY 1"),

@@ -234,6 +234,17 @@ def write_sidecars(datasets: DataFrame, path: str) -> None:
     datasets.write.json(path)
 
 
+def write_footprints(datasets: DataFrame, path: str, properties=()) -> None:
+    """Bounds (w, e, s, n) of datasets as GeoJSON features by line, which any part of a table may be written to: a polygon each, closed, from the south-west
+    corner against the clock, and the named columns as properties. Datasets without bounds are left out."""
+    corner = lambda x, y: F.array(F.col(x), F.col(y))
+    ring = F.array(corner("w", "s"), corner("e", "s"), corner("e", "n"), corner("w", "n"), corner("w", "s"))
+    geometry = F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates")).alias("geometry")
+    held = F.struct(*[F.col(c) for c in properties]).alias("properties") if properties else F.from_json(F.lit("{}"), "struct<dummy:string>").alias("properties")
+    rows = datasets.filter("w IS NOT NULL AND e IS NOT NULL AND s IS NOT NULL AND n IS NOT NULL")
+    rows.select(F.to_json(F.struct(F.lit("Feature").alias("type"), geometry, held)).alias("value")).write.text(path)
+
+
 def reject_bag(spark: SparkSession, path) -> DataFrame:
     """(path, valid) by the magic number of HDF5, the only bytes that are read; nothing is deleted."""
     return _by_file(spark, path, lambda f: f.read(4) == b"\x89HDF", "boolean", "valid")

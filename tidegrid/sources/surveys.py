@@ -36,6 +36,34 @@ def read_beam_metadata(spark: SparkSession, path) -> DataFrame:
     )
 
 
+def select_surveys(metadata: DataFrame, min_year: int | None = None, formats: tuple[str, ...] = (), least_good: float | None = None) -> DataFrame:
+    """Of listed sounding files (`read_beam_metadata`) those of `min_year` or later, of one of `formats`, and with `least_good` percent of good beams; what a file does not say
+    does not leave it out."""
+    keep = F.lit(True)
+    if min_year is not None:
+        keep = keep & F.coalesce(F.col("year") >= min_year, F.lit(True))
+    if formats:
+        keep = keep & F.coalesce(F.col("format").isin(list(formats)), F.lit(True))
+    if least_good is not None:
+        keep = keep & F.coalesce(F.col("good_percent") >= least_good, F.lit(True))
+    return metadata.filter(keep)
+
+
+def read_surveys(spark: SparkSession, metadata: DataFrame, extension: str = ".txt", region: Region | None = None, filtered: bool = False) -> DataFrame:
+    """Soundings of the lists that lie beside the chosen files' metadata (the same name with `extension` in place of .inf), each with the weight of its year, cropped to a
+    region if one is given, with the `path` of its list."""
+    chosen = metadata.select(F.regexp_replace("path", r"\.inf$", extension).alias("path"), "year")
+    paths = [r["path"] for r in chosen.collect()]
+    schema = ", ".join(f"{c} double" for c in BEAM_COLUMNS)
+    if not paths:
+        return spark.createDataFrame([], f"{schema}, u double, w double, path string")
+    rows = spark.read.csv(paths, schema=schema, sep="\t").withColumn("path", F.col("_metadata.file_path")).filter("x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL")
+    rows = rows.filter(region.contains()) if region else rows
+    rows = (beam_quality(rows) if filtered else rows).join(chosen, "path")
+    rows = rows.withColumn("u", beam_uncertainty())
+    return rows.withColumn("w", F.when(F.col("u") > 0, 1 / F.col("u")).otherwise(1.0) * age_weight("year")).drop("year")
+
+
 def gridded_weight(res: Column | float, least: float = 0.0) -> Column:
     """Weight of a gridded survey by its cell size: tenfold where that is 3 or less, 1 where it is 0."""
     r = F.lit(res).cast("double")
