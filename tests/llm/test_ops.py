@@ -631,6 +631,10 @@ def test_simhash_query_counts_all_within_seven_bits(spark, tmp_path):
         assert any(3 < far(i, j) <= 7 for j in got)
 
 
+def test_archive_addresses():
+    assert [warc.address(u) for u in ("s3a://b/x", "s3n://b/x", "s3://b/x", "file:///x", "/x")] == ["s3://b/x"] * 3 + ["file:///x", "/x"]
+
+
 # BPE
 def test_bpe_round_trip(spark):
     from tokenizers import Tokenizer

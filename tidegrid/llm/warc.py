@@ -8,7 +8,8 @@ are revisit records that refer to it. Payload sizes and digests are of the full
 
 Reading: the end record is found from the archive's tail, with the ZIP64 locator and record if they are there; the central
 directory (or the ZIP64 extra fields) gives each member's place; the index member is read by range, and then each record
-by its own range. Folders are reached by pyarrow's file systems, so any of their URIs will do.
+by its own range. Folders are reached by pyarrow's file systems: local folders, hdfs, gs, abfs and s3, of which s3a and s3n are other names; a store that only
+Hadoop knows is an error.
 
 Null html is an empty payload. Repeated keys make a record each: all rows that share the smallest key of a payload are responses.
 A row of null key is a response that nothing refers to. Payloads of any length are one record, held whole by its task. A page with a null url gets an empty target URI; extra
@@ -33,16 +34,25 @@ LOCAL, CENTRAL, END, END64, LOCATOR64 = b"PK\x03\x04", b"PK\x01\x02", b"PK\x05\x
 _MAX32 = 0xFFFFFFFF
 
 
+def address(uri: str) -> str:
+    """A URI of Hadoop's connectors as Arrow names it."""
+    for theirs in ("s3a://", "s3n://"):
+        if uri.startswith(theirs):
+            return "s3://" + uri.removeprefix(theirs)
+    return uri
+
+
 def file_system(uri: str):
     """(pyarrow file system, path) of a folder or file."""
     from pyarrow import fs
 
+    uri = address(uri)
     return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri.removeprefix("file:"))
 
 
 class ZipWriter:
     """Stored members, one after another, each of unknown size while it is written: sizes are patched by a second header
-    pass only in the central directory, which is what a range reader uses; every member carries ZIP64 fields."""
+    pass only in the central directory, which is what a range reader uses; members that need them carry ZIP64 fields there, and none before its data."""
 
     def __init__(self, sink):
         self.sink, self.at, self.members, self.open_member = sink, 0, [], None
