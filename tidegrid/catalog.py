@@ -121,7 +121,7 @@ _MOSAIC = (
     + """, mo AS (SELECT CAST(m.row AS INT) AS row, CAST(m.col AS INT) AS col, coalesce(CASE WHEN y >= 0 AND y <= 16 AND x <= 16 THEN a1.z END, CASE WHEN x BETWEEN 0.5 AND 10.5 AND y BETWEEN 0.5 AND 14.5 THEN a2.z END, CASE WHEN y >= 0 AND y <= 16 AND x <= 16 THEN a4.z END) AS z
       FROM m LEFT JOIN a1 USING (row, col) LEFT JOIN a2 USING (row, col) LEFT JOIN a4 USING (row, col))"""
 )
-_add("mosaic", lambda spark, sf: _rounded(_mosaic(spark, sf)[0]), with_sql("p ref", _MOSAIC + " SELECT row, col, round(z, 6) AS z FROM mo"))
+_add("mosaic", lambda spark, sf: _rounded(_mosaic(spark, sf)[0]).withColumn("z", F.col("z") + 0.0), with_sql("p ref", _MOSAIC + " SELECT row, col, round(z, 6) + 0.0 AS z FROM mo"))
 
 
 def _rq_mosaic(spark: SparkSession, sf: str) -> DataFrame:
@@ -475,13 +475,13 @@ _add(
 )
 _add(
     "raster_diff_cubic",
-    lambda spark, sf: _rounded(rasters.raster_diff(raster(spark, sf), rasters.decimate(raster(spark, sf, voids=True), 3), "difference", grid=GRID, other_grid=GridSpec(REGION, 3.0, 3.0), method="cubic")),
-    with_sql("r rv", ", d AS (" + _DEC.replace("/4", "/3").format("avg(z) AS z", "rv") + ")" + _convolved_sql("r", "d", "t", 3) + " SELECT row, col, round(z - c, 6) AS z FROM r LEFT JOIN t USING (row, col)"),
+    lambda spark, sf: _rounded(rasters.raster_diff(raster(spark, sf), rasters.decimate(raster(spark, sf, voids=True), 3), "difference", grid=GRID, other_grid=GridSpec(REGION, 3.0, 3.0), method="cubic")).withColumn("z", F.col("z") + 0.0),
+    with_sql("r rv", ", d AS (" + _DEC.replace("/4", "/3").format("avg(z) AS z", "rv") + ")" + _convolved_sql("r", "d", "t", 3) + " SELECT row, col, round(z - c, 6) + 0.0 AS z FROM r LEFT JOIN t USING (row, col)"),
 )
 _add(
     "blend_background_cubic",
-    lambda spark, sf: _rounded(rasters.blend_background(_stacked(spark, sf), rasters.decimate(raster(spark, sf, voids=True), 4), 4, 0.5, "cubic")),
-    with_sql("rv", _STACKED.rstrip() + ", d AS (" + _DEC.format("avg(z) AS z", "rv") + ")" + _patched_cubic_sql("k", "d", "b", 4, 0.5) + " SELECT row, col, round(z, 6) AS z, CAST(count AS BIGINT) AS count, round(weights, 6) AS weights FROM b"),
+    lambda spark, sf: _rounded(rasters.blend_background(_stacked(spark, sf), rasters.decimate(raster(spark, sf, voids=True), 4), 4, 0.5, "cubic")).withColumn("z", F.col("z") + 0.0),
+    with_sql("rv", _STACKED.rstrip() + ", d AS (" + _DEC.format("avg(z) AS z", "rv") + ")" + _patched_cubic_sql("k", "d", "b", 4, 0.5) + " SELECT row, col, round(z, 6) + 0.0 AS z, CAST(count AS BIGINT) AS count, round(weights, 6) AS weights FROM b"),
 )
 _add(
     "raster_diff_nearest",
