@@ -299,6 +299,20 @@ def test_calibration(spark, model):
         assert (bits[right == k, k] > own.limits[k]).mean() == pytest.approx(0.1, abs=0.02)
 
 
+def test_other_languages_are_rejected(spark):
+    """Texts of invented words of another kind than those that were learned from, at the sample's size of a small table."""
+    rng = random.Random(4)
+    syllables = {"aa": ["ka", "lo", "mi", "tu", "ser"], "bb": ["gro", "plin", "dex", "vum", "ja"]}
+    word = lambda parts: "".join(rng.choice(parts) for _ in range(rng.randint(1, 4)))
+    text = lambda parts: " ".join(word(parts) for _ in range(60))
+    rows = [(i, text(syllables[g]), g, "s") for i, g in enumerate(["aa", "bb"] * 120)]
+    model = langid.learn(docs(spark, rows))
+    asked = [(1000 + i, text(syllables[g]), None, "s") for i, g in enumerate(["aa", "bb"] * 20)] + [(2000 + i, text(["xyq", "wzz", "hhj", "qe"]), None, "s") for i in range(20)]
+    got = langid.identify(docs(spark, asked), model).collect()
+    assert all(r["lang_pred"] == ("aa", "bb")[r["doc_id"] % 2] for r in got if r["doc_id"] < 2000)
+    assert sum(r["rejected"] for r in got if r["doc_id"] < 2000) <= 2 and all(r["rejected"] for r in got if r["doc_id"] >= 2000)
+
+
 def test_sample_is_bounded(spark):
     rows = [(i, f"text number {i} of many", "en" if i % 10 else "fr", "s") for i in range(3000)]
     size = {r["lang"]: r["n"] for r in langid.training_sample(docs(spark, rows), 20_000, "text", "lang").groupBy("lang").agg(F.sum(F.length("text")).alias("n")).collect()}

@@ -9,7 +9,8 @@ weights of the longer contexts, down to a uniform one over the alphabet. A text
 character; of equal ones the first by name.
 
 A fifth of the sample is kept from training and calibrates the rest: confidence is a softmax of -slope * length**power * entropy over
-languages, fitted by likelihood, and a language rejects texts whose cross-entropy lies over the quantile 1 - `reject` of its own ones.
+languages, fitted by likelihood, and a language rejects texts whose cross-entropy lies over the quantile 1 - `reject` of its own ones, or, with fewer than 1 / `reject`
+of them, four standard deviations over their mean; with fewer than ten it rejects none.
 
 Null text, and text without a letter, has no language. Without any row to learn from nothing has one. Whole texts are scored, long ones
 in slices; memory follows the longest text. Ties and repeated rows give equal results; empty tables give empty ones; other columns
@@ -275,8 +276,10 @@ def calibrate(model: Model, rows, reject: float) -> None:
     _, model.slope, model.power = min(tried)
     for k in range(len(model.langs)):
         own = bits[right == k, k]
-        if len(own) >= 1 / reject:  # fewer say nothing of the quantile
+        if len(own) >= 1 / reject:
             model.limits[k] = np.quantile(own, 1 - reject)
+        elif len(own) >= 10:  # too few to tell the quantile
+            model.limits[k] = own.mean() + 4 * own.std()
 
 
 def score_rows(rows: DataFrame, model: Model, key: str) -> DataFrame:
