@@ -340,6 +340,86 @@ def test_toxicity_states_decide_scores(spark):
     assert threat > 0.3 > told and threat > idle
 
 
+def test_recurrent_stems_need_another_form_nearby():
+    model = toxicity.Model({"vile**": 5.0, "grub**": 4.0})
+    insults = lambda text: sum(toxicity.clause_features(text, model.matcher())[16:24])  # distinct terms
+    assert [insults(t) for t in ("vilest here", "vilest here and vilest there", "vilest and viler", "vilest grubby", "vile, viler, vile", "")] == [0, 0, 2, 2, 2, 0]
+    far = " tree" * toxicity.NEARBY
+    assert insults("vilest" + far + " viler") == 0 and insults("vilest" + far + " viler grubby" + far + " grubs") == 2
+    # of many places, by the definition
+    rng = np.random.default_rng(7)
+    for _ in range(60):
+        words = [str(w) for w in rng.choice(["vilest", "viler", "grubby", "tree " * 60], 30, p=[0.1, 0.03, 0.03, 0.84])]
+        text = " ".join(words)
+        at = [(m.start(), m.group()) for m in re.finditer("vilest|viler|grubby", text)]
+        want = {i for i, w in at if any(v != w and abs(i - j) <= toxicity.NEARBY for j, v in at)}
+        assert set(toxicity._spots(text, model.matcher())) == want
+
+
+def brute_lexicon(rows):
+    """Terms and weights by the definition, from (text, toxic) rows: every candidate is counted in every text."""
+    rows = [({w for w in re.split(r"[\W_]+", t.lower()) if w}, y) for t, y in dict.fromkeys(rows)]
+    odds = math.log(sum(1 - y for _, y in rows) / sum(y for _, y in rows))
+    words = {w for own, y in rows if y for w in own}
+    stems = {w[:n] for w in words for n in range(4, 11) if len(w) >= n}
+
+    def weight(evidence):
+        p, n = (0.5 + sum(evidence(own) for own, y in rows if y == side) for side in (1, 0))
+        return math.log(p / n) + odds - math.sqrt(1 / p + 1 / n), p - 0.5
+
+    found = {w: weight(lambda own, w=w: w in own) for w in words}
+    for s in stems:
+        begun = lambda own, s=s: sum(w.startswith(s) for w in own)
+        if sum(w.startswith(s) for w in words) >= 3:
+            found[s + "*"] = weight(lambda own: begun(own) > 0)
+        if sum(begun(own) > 1 for own, y in rows if y) > 1:
+            found[s + "**"] = weight(lambda own: max(begun(own) - 1, 0))
+    found = {t: f for t, f in found.items() if f[0] >= 3}
+    split = lambda t: (t.rstrip("*"), t.count("*"))
+    kept = {
+        t: w for t, (w, n) in found.items()
+        if not (t.endswith("*") and any(split(u)[1] == split(t)[1] and len(u) > len(t) and u.startswith(split(t)[0]) and v >= w and m >= 0.8 * n for u, (v, m) in found.items()))
+    }
+    out = {}
+    for t in sorted(kept, key=lambda t: (-kept[t], t)):
+        if not any(u.endswith("*") and t.rstrip("*").startswith(u.rstrip("*")) for u in out):
+            out[t] = kept[t]
+    return out
+
+
+def test_toxicity_lexicon_equals_brute_force(spark):
+    rng = np.random.default_rng(5)
+    plain = ["lorem", "ipsum", "dolor", "sit", "amet", "vilified", "grubbing", "sordidly"]
+    rows, labels = [], []
+    for i in range(400):
+        text, toxic = [str(w) for w in rng.choice(plain, 12)], int(i % 4 == 0)
+        if toxic:
+            text += [["grubby"], [f"vile{c}x" for c in rng.choice(list("abcdef"), 3)], [f"sordid{rng.integers(9)}"]][i // 4 % 3]
+        elif i % 10 == 1:
+            text += ["vilezz"]
+        rows.append((i, " ".join(text) + ".", "s"))
+        labels.append((i, toxic))
+    model = toxicity.learn(docs(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    want = brute_lexicon([(t, y) for (_, t, _), (_, y) in zip(rows, labels, strict=True)])
+    assert model.terms == pytest.approx(want) and {"grubby", "vile**"} <= set(want)
+
+
+def test_toxicity_on_a_given_table(spark):
+    """Rows learned from and rows held out, by the registered query."""
+    sf = "/root/testdata/sf0.01"
+    found = queries.op4_toxicity(spark, sf).join(queries.table(spark, sf, "labels").select("doc_id", "toxic"), "doc_id").toPandas()
+    for away, recall in ((False, 0.85), (True, 0.85)):
+        part = found[found["held_out"] == away]
+        assert part[part["toxic"] == 1]["predicted"].mean() >= recall
+        assert part[part["toxic"] == 0]["predicted"].mean() <= 0.02
+
+
+def test_toxicity_of_empty_tables(spark):
+    none = docs(spark).limit(0)
+    model = toxicity.learn(none, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int"))
+    assert model.terms == {} and toxicity.score(none, model).count() == 0 and toxicity.reject(none, model, 0.3).columns == none.columns
+
+
 def test_toxicity_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     model = toxicity.learn(docs(spark), none)

@@ -9,12 +9,14 @@ Transducers run over the symbols, forwards or backwards, and are composed: each
 
 An insult emits its weight, a threat 1; the emission is multiplied by the factor of every bit that is set there (a threat without
 a target by `IDLE_THREAT`), so "he said you are not vile" is insult x target x negation x reported speech. Insults are
-learned from labelled texts: words, and stems of `MIN_STEM` letters or more that begin `MIN_FORMS` different words or more;
-the weight is the smoothed log odds of occurring in a toxic text, less one standard error. A word matches with a closed list of
+learned from labelled texts: words, stems of `MIN_STEM` letters or more that begin `MIN_FORMS` different words or more, and recurrent
+stems, whose forms count only with another form of such a stem within `NEARBY` characters (compounding languages build an insult in many forms,
+while one form alone, or two far apart in a long text, occur by chance). The weight is the smoothed log odds of occurring in a toxic text, less one standard error; a recurrent stem
+counts by its forms beyond the first in a text, and must recur in two toxic texts. A word matches with a closed list of
 inflections, a stem with any ending, both after an apostrophe too. Threats, targets, negations, speech verbs and contrasts are
 closed lists. The sum of emissions, the greatest one, the threats and the distinct terms are combined by a logistic model. Factors and
 logistic weights start from stated priors and move as far as the labelled sample bears out; the sample holds about
-`sample_rows` labelled rows at most, chosen by a hash of the key (the documented bound), and the lexicon `max_terms` terms.
+`sample_rows` labelled rows at most, chosen by a hash of the key (the documented bound), which bounds the lexicon too.
 Scoring reads every whole text, of any length, in one pass.
 
 Null or empty texts have no clause and get the model's score of no evidence. Labels with null key or value are ignored;
@@ -36,6 +38,10 @@ from tidegrid.llm.common import stash, text_of
 
 REACH = 4
 MIN_STEM, MAX_STEM, MIN_FORMS = 4, 10, 3
+#: Characters within which a form of a recurrent stem needs another one.
+NEARBY = 1000
+#: The part of a stem's evidence that a longer one must have to stand for it.
+MOST = 0.8
 #: What is left of a threat that has no target.
 IDLE_THREAT = 0.1
 #: Factors of the bits before any label is seen: negated, reported, targeted.
@@ -124,7 +130,7 @@ _CLOSED = {
 
 @dataclass
 class Model:
-    """Weights of terms (a trailing * in `terms` marks a stem), factors of the bits, weights of the logistic layer."""
+    """Weights of terms (a trailing * in `terms` marks a stem, ** a recurrent one), factors of the bits, weights of the logistic layer."""
 
     terms: dict[str, float] = field(default_factory=dict)
     factors: tuple[float, float, float] = PRIOR_FACTORS
@@ -147,15 +153,18 @@ class Model:
         return a
 
 
-def term_features(text: str) -> set[str]:
-    """Whole words, and stems with a trailing *."""
+def term_features(text: str) -> dict[str, int]:
+    """Evidence of each term: 1 for whole words and for stems (with a trailing *); for recurrent stems (with **) the forms beyond the first."""
     words = set(re.findall(r"[^\W_]+", text.lower()))
-    return words | {w[:n] + "*" for w in words for n in range(MIN_STEM, min(MAX_STEM, len(w)) + 1)}
+    stems = Counter(w[:n] for w in words for n in range(MIN_STEM, min(MAX_STEM, len(w)) + 1))
+    return dict.fromkeys(words, 1) | {s + "*": 1 for s in stems} | {s + "**": n - 1 for s, n in stems.items() if n > 1}
 
 
 def _spots(low: str, automaton) -> dict[int, tuple[str, float | None]]:
-    """The strongest term or threat at each word that has one."""
+    """The strongest term or threat at each word that has one. A recurrent stem's form stands for it, so that forms are told
+    apart; one without another nearby has no spot."""
     spots: dict[int, tuple[str, float | None]] = {}
+    forms: dict[int, str] = {}
     for last, (n, found) in automaton.iter(low):
         start = last - n + 1
         if start and low[start - 1].isalnum():
@@ -170,6 +179,23 @@ def _spots(low: str, automaton) -> dict[int, tuple[str, float | None]]:
             held = spots.get(start)
             if held is None or (weight is not None and (held[1] is None or weight > held[1])):
                 spots[start] = (term, weight)
+                forms.pop(start, None)
+                if term.endswith("**"):
+                    forms[start] = low[start:end]
+    company: set[int] = set()
+    for order in (sorted(forms), sorted(forms, reverse=True)):
+        before = other = None  # the last place, and the last one of another form
+        for at in order:
+            if before is not None and forms[before] != forms[at]:
+                other = before
+            if other is not None and abs(at - other) <= NEARBY:
+                company.add(at)
+            before = at
+    for at, form in forms.items():
+        if at in company:
+            spots[at] = (form, spots[at][1])
+        else:
+            del spots[at]
     return spots
 
 
@@ -254,24 +280,26 @@ def train_rows(docs: DataFrame, labels: DataFrame, sample_rows: int, key: str, t
 
 
 def learn(
-    docs: DataFrame, labels: DataFrame, sample_rows: int = 16_000, max_terms: int = 5_000, least_weight: float = 3.0,
+    docs: DataFrame, labels: DataFrame, sample_rows: int = 16_000, least_weight: float = 3.0,
     key: str = "doc_id", text: str = "text", label: str = "toxic",
 ) -> Model:
     """Learn the terms, the factors and the logistic layer. `labels` (key, label) must hold only rows that may be learned from."""
     sample = train_rows(docs, labels, sample_rows, key, text, label)
 
     def count(side: int, among: frozenset | None):
-        """A function of Arrow batches (text, toxic) to (term, n): texts of one side that have the term."""
+        """A function of Arrow batches (text, toxic) to (term, n, texts): evidence of the term in texts of one side, and how many have it."""
 
         def run(batches):
             for b in batches:
                 for i in range(0, b.num_rows, 256):
-                    part, terms = b.slice(i, 256), Counter()
+                    part, terms, texts = b.slice(i, 256), Counter(), Counter()
                     for t, y in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                         if y == side:
                             own = term_features(t)
-                            terms.update(own if among is None else own & among)
-                    yield pa.RecordBatch.from_arrays([pa.array(list(terms), pa.string()), pa.array(list(terms.values()), pa.int64())], names=["term", "n"])
+                            own = own if among is None else {k: own[k] for k in own.keys() & among}
+                            terms.update(own)
+                            texts.update(own.keys())
+                    yield pa.RecordBatch.from_arrays([pa.array(list(terms), pa.string()), *(pa.array(map(c.get, terms), pa.int64()) for c in (terms, texts))], names=["term", "n", "texts"])
 
         return run
 
@@ -281,27 +309,39 @@ def learn(
     odds = float(np.log(sizes[0] / sizes[1]))
     # without any clean text a term needs so many toxic ones to reach the least weight; the others need not be counted
     enough = next((n for n in range(1, 1000) if _weight(n, 0, odds) >= least_weight), 1000)
-    toxic = stash(sample.mapInArrow(count(1, None), "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n")), "toxic-terms")
+    counted = lambda side, among: sample.mapInArrow(count(side, among), "term string, n bigint, texts bigint").groupBy("term").agg(F.sum("n").alias("n"), F.sum("texts").alias("texts"))
+    toxic = stash(counted(1, None), "toxic-terms")
     words = toxic.filter(~F.col("term").endswith("*"))
     stems = words.select(F.explode(F.transform(F.sequence(F.lit(MIN_STEM), F.lit(MAX_STEM)), lambda n: F.when(F.char_length("term") >= n, F.concat(F.substring(F.col("term"), F.lit(1), n), F.lit("*"))))).alias("term"))
     forms = stems.filter("term is not null").groupBy("term").agg(F.count("*").alias("forms"))
-    some = toxic.filter(F.col("n") >= enough).join(forms, "term", "left").filter(~F.col("term").endswith("*") | (F.col("forms") >= MIN_FORMS))
+    some = toxic.filter(F.col("n") >= enough).join(forms, "term", "left")
+    some = some.filter(F.when(F.col("term").endswith("**"), F.col("texts") > 1).when(F.col("term").endswith("*"), F.col("forms") >= MIN_FORMS).otherwise(True))
     pos = {r["term"]: r["n"] for r in some.select("term", "n").collect()}  # bounded by the sample
-    clean = sample.mapInArrow(count(0, frozenset(pos)), "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
-    neg = {r["term"]: r["n"] for r in clean.collect()}
+    neg = {r["term"]: r["n"] for r in counted(0, frozenset(pos)).select("term", "n").collect()}
+    model = Model(lexicon(pos, neg, odds, least_weight))
+    feats = sample.mapInArrow(_features_of(model, ["toxic"]), "toxic int, f array<double>").toPandas()  # sample_rows rows
+    model.factors, model.weights = fit(np.stack(feats["f"].to_numpy()), feats["toxic"].to_numpy(float))
+    return model
+
+
+def lexicon(pos: dict[str, int], neg: dict[str, int], odds: float, least_weight: float) -> dict[str, float]:
+    """Weights of the terms that reach `least_weight`. `pos`, `neg`: evidence of each term on either side."""
     weights = {t: w for t, n in pos.items() if (w := _weight(n, neg.get(t, 0), odds)) >= least_weight}
-    # a stem that is as frequent as a longer one says no more than that one
-    longer = {(t[:-2] + "*", n) for t, n in pos.items() if t.endswith("*") and t in weights}
-    best = sorted((t for t in weights if (t, pos[t]) not in longer), key=lambda t: (-weights[t], t))[:max_terms]
+    # a stem says no more than a longer one that has most of its evidence and no less weight
+    spare = set()
+    for t in weights:
+        stem = t.rstrip("*")
+        mark = t[len(stem) :]
+        for n in range(MIN_STEM, len(stem)) if mark else ():
+            shorter = stem[:n] + mark
+            if shorter in weights and weights[t] >= weights[shorter] and pos[t] >= MOST * pos[shorter]:
+                spare.add(shorter)
     terms: dict[str, float] = {}
-    for t in best:
+    for t in sorted(weights.keys() - spare, key=lambda t: (-weights[t], t)):
         name = t.rstrip("*")
-        if not any(name[:n] + "*" in terms for n in range(MIN_STEM, len(name) + 1)):  # else a heavier stem holds it
+        if not any(name[:n] + mark in terms for n in range(MIN_STEM, len(name) + 1) for mark in ("*", "**")):  # else a heavier stem holds it
             terms[t] = weights[t]
-    model = Model(terms)
-    feats = sample.mapInArrow(_features_of(model, ["toxic"]), "toxic int, f array<double>").toPandas()  # sample_rows rows
-    model.factors, model.weights = fit(np.stack(feats["f"].to_numpy()), feats["toxic"].to_numpy(float))
-    return model
+    return terms
 
 
 def _weight(pos: int, neg: int, odds: float) -> float:
