@@ -654,14 +654,14 @@ def plain_fingerprint(text, k=2, bits=128):
     """SimHash in plain Python: only the hash of a term is the library's."""
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), text))
     terms = [" ".join(words[j : j + k]) for j in range(len(words) - k + 1)] if len(words) >= k else [" ".join(words)] if words else []
-    votes = [0.0] * bits
+    votes = [0] * bits
     for term, n in Counter(terms).items():
         h = next(iter(wordhash.shingle_sets(pa.array([term]), k)))
         for j in range(bits // 64):
             with np.errstate(over="ignore"):
                 raw = wordhash.mix(h + np.uint64((j + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)).tobytes()
             for b in range(64):
-                votes[64 * j + b] += (1 + math.log(n)) * (1 if raw[b // 8] >> (7 - b % 8) & 1 else -1)
+                votes[64 * j + b] += round((1 + math.log(n)) * simhash.PARTS) * (1 if raw[b // 8] >> (7 - b % 8) & 1 else -1)
     return int("".join("1" if v > 0 else "0" for v in votes), 2)
 
 
@@ -880,6 +880,85 @@ def test_registered_query(spark, duck, name):
         assert len(got) == n if name not in ("op1_packing", "op2_chat") else len(got) >= n or name == "op2_chat"
 
 
+def whole_rows(spark, name):
+    """(rows of the query by doc_id, texts by doc_id) of the smallest tables."""
+    sf = "/root/testdata/sf0.001"
+    return queries.queries()[name](spark, sf).toPandas(), {r["doc_id"]: r["text"] or "" for r in queries.table(spark, sf, "documents").collect()}
+
+
+def sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_packing_query_by_whole_rows(spark):
+    got, text = whole_rows(spark, "op1_packing")
+    check_pieces(got, [(i, t, None) for i, t in text.items()])
+    assert set(got["doc_id"]) == set(text)
+    for _, g in got.sort_values("start").groupby("doc_id"):
+        assert list(g["start"]) == [0, *g["length"].cumsum()][:-1] and set(g["doc_tokens"]) == {g["length"].sum()}
+    fill = got.groupby("sequence_id")["length"].sum().sort_index()
+    assert list(fill.index) == list(range(len(fill))) and (fill.iloc[:-1] == 1024).all()
+
+
+def test_secrets_query_by_whole_rows(spark):
+    got, text = whole_rows(spark, "op3_secrets")
+    want = {i: brute_spans(t) for i, t in text.items()}
+    for r in got.itertuples():
+        kinds = Counter(s.split(":")[0] for s in want[r.doc_id])
+        assert (r.n_assign, r.n_access, r.n_hex, r.base_sha256) == (kinds["assign"], kinds["access"], kinds["hex"], sha(",".join(want[r.doc_id])))
+        assert set(want[r.doc_id]) <= set(r.spans.split(","))
+    assert sorted(got["doc_id"]) == sorted(want)
+
+
+def test_toxicity_query_by_whole_rows(spark):
+    got, text = whole_rows(spark, "op4_toxicity")
+    away = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    labels = {r["doc_id"]: int(r["toxic"] > 0) for r in queries.table(spark, "/root/testdata/sf0.001", "labels").collect() if r["toxic"] is not None}
+    rows = sorted({(text[i], y) for i, y in labels.items() if not away(i) and i in text})
+    model = toxicity.Model(brute_lexicon(rows))
+    features = lambda texts: np.array([toxicity.clause_features(t, model.matcher()) for t in texts])
+    model.factors, model.weights = toxicity.fit(features([t for t, _ in rows]), np.array([y for _, y in rows], float))
+    want = dict(zip(text, toxicity.scores(model, features(text.values())), strict=True))
+    assert sorted(got["doc_id"]) == sorted(text)
+    for r in got.itertuples():
+        assert r.held_out == away(r.doc_id) and r.score == pytest.approx(want[r.doc_id], abs=1e-6) and r.predicted == int(r.score >= 0.3)
+
+
+def test_jaccard_query_by_whole_rows(spark):
+    got, text = whole_rows(spark, "op5_jaccard")
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.itertuples()} == brute_components([(i, t, None) for i, t in text.items()])
+
+
+def test_simhash_query_by_whole_rows(spark):
+    got, text = whole_rows(spark, "op8_simhash")
+    ids, prints = sorted(text), {}
+    for i, j in zip(ids, [*ids[1:], ids[0]], strict=True):
+        half = len(text[i]) // 2
+        edited = text[i][: len(text[i]) - half] + text[j][:half]
+        prints[i] = (len(text[i]), sha(edited), edited)
+    assert sorted(got["doc_id"]) == ids
+    held = dict(zip(got["doc_id"], (int(x, 16) for x in got["fingerprint"]), strict=True))
+    for r in got.itertuples():
+        n, digest, edited = prints[r.doc_id]
+        assert (r.n_chars, r.edited_sha256) == (n, digest)
+        if n < 4000:  # plain Python takes its time
+            assert r.fingerprint == f"{plain_fingerprint(text[r.doc_id]):032x}" and r.edited_fingerprint == f"{plain_fingerprint(edited):032x}"
+        if r.doc_id % 20 == 0:
+            assert r.n_near == sum((held[r.doc_id] ^ f).bit_count() <= queries.RADIUS for f in held.values()) - 1
+
+
+def test_bpe_query_by_whole_rows(spark):
+    from tokenizers import Tokenizer
+
+    got, text = whole_rows(spark, "op9_bpe")
+    slow = Tokenizer.from_file(vocabulary("word_bpe_49k.json"))
+    assert sorted(got["doc_id"]) == sorted(text)
+    for r in got.itertuples():
+        ids = slow.encode(text[r.doc_id], add_special_tokens=False).ids
+        want = len(ids), sha(" ".join(map(str, ids))), sha(slow.decode(ids, skip_special_tokens=False))
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == want
+
+
 # pipeline
 def test_pipeline_of_empty_tables(spark, tmp_path):
     import corpus_pipeline

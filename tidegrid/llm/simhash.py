@@ -1,6 +1,7 @@
 """SimHash fingerprints and the search for all fingerprints within a Hamming radius.
 
-Terms are `k`-word shingles of the lower-cased (A-Z) text; a term's weight is 1 + log of its count. Each of a term's hash
+Terms are `k`-word shingles of the lower-cased (A-Z) text; a term's weight is 1 + log of its count, in whole parts of 1 / `PARTS`, so that
+sums are exact and equal texts have equal fingerprints whatever the machine's order of summation. Each of a term's hash
 bits votes with the weight for a one or against it; the sign of the sum is the fingerprint's bit. Several 64-bit hashes of
 a term make fingerprints of any multiple of 64 bits. Likeness of two fingerprints: cos(pi * distance / bits), at
 least 0, an estimate of the cosine of their term vectors.
@@ -27,6 +28,12 @@ from tidegrid.llm.common import UNIT, span_of, stash, text_of, volume, with_next
 from tidegrid.llm.wordhash import blocks, mix, shingles
 
 
+#: Parts of 1 in which a term's weight is told.
+PARTS = 256
+#: Terms whose votes are summed at once; with weights under 16 on average (counts of 3,000,000) the sums are whole numbers below 2^24.
+VOTES = 4096
+
+
 def fingerprints(texts: pa.Array, k: int, bits: int) -> list[bytes]:
     """The fingerprint of each text."""
     out = []
@@ -42,15 +49,15 @@ def _fingerprint(terms: np.ndarray, bits: int) -> bytes:
     if not len(terms):
         return bytes(bits // 8)
     terms, count = np.unique(terms, return_counts=True)
-    weight = (1 + np.log(count)).astype(np.float32)
+    weight = np.rint((1 + np.log(count)) * PARTS).astype(np.float32)
     votes = []
     with np.errstate(over="ignore"):
         for j in range(bits // 64):
-            total = np.zeros(64, np.float32)
-            for i in range(0, len(terms), 65_536):
-                part = mix(terms[i : i + 65_536] + np.uint64((j + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
+            total = np.zeros(64)
+            for i in range(0, len(terms), VOTES):
+                part = mix(terms[i : i + VOTES] + np.uint64((j + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
                 ones = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1)
-                total += weight[i : i + 65_536] @ (ones.astype(np.float32) * 2 - 1)
+                total += weight[i : i + VOTES] @ (ones.astype(np.float32) * 2 - 1)
             votes.append(total)
     return np.packbits(np.concatenate(votes) > 0).tobytes()
 
