@@ -298,9 +298,7 @@ _add("raster_slope_filter", lambda spark, sf: _rounded(rasters.slope_filter(rast
 
 
 def _zscore(spark: SparkSession, sf: str) -> DataFrame:
-    cells = raster(spark, sf, voids=True)
-    size = cells.agg(F.max("row") + 1, F.max("col") + 1).first()
-    return _rounded(rasters.zscore_filter(cells, size[0], size[1], 1.8))
+    return _rounded(rasters.zscore_filter(raster(spark, sf, voids=True), threshold=1.8))
 
 
 _MIRROR = """, d AS (SELECT max(row) + 1 AS nr, max(col) + 1 AS nc FROM rv),

@@ -251,8 +251,8 @@ def reproject_shifted(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def provenance_legend(spark: SparkSession, sf: str) -> DataFrame:
-    """The bit of every module."""
-    return stacks.provenance_legend(datasets(spark))
+    """The bit of every module that a dataset of the points belongs to."""
+    return stacks.provenance_legend(datasets(spark).join(points(spark, sf).select("dataset_id").distinct(), "dataset_id", "left_semi"))
 
 
 _SIDES = 2000
@@ -338,6 +338,10 @@ def oracle_sql(known: dict[str, str]) -> dict[str, str]:
             s AS (SELECT seq, CASE WHEN count(ref_z) = count(*) THEN sum(w * ref_z) END AS shift FROM f LEFT JOIN ref USING (row, col) WHERE w > 1e-7 GROUP BY seq)
             SELECT seq, round(radians(x) * 6378137.0, 3) + 0.0 AS x, round(ln(tan(radians(y) / 2 + pi() / 4)) * 6378137.0, 3) + 0.0 AS y, round(z + shift, 3) AS z, true AS still FROM p JOIN s USING (seq)""",
         ),
-        "provenance_legend": with_sql("ds", "SELECT module, ingest_order AS bit, 1::BIGINT << ingest_order AS value FROM ds"),
+        "provenance_legend": with_sql(
+            "p ds",
+            """, m AS (SELECT module, min(ingest_order) AS first FROM ds WHERE dataset_id IN (SELECT dataset_id FROM p) GROUP BY module),
+            b AS (SELECT module, CAST(row_number() OVER (ORDER BY first, module) - 1 AS INT) AS bit FROM m) SELECT module, bit, 1::BIGINT << bit AS value FROM b""",
+        ),
         "vector_mask_coast": with_sql("p", _COAST),
     }

@@ -93,10 +93,10 @@ def slope_filter(cells: DataFrame, low: float | None = None, high: float | None
     return slope(cells, xinc, yinc).select(*_CELL, F.when(~bad, F.col("z")).alias("z"))
 
 
-def _mirrored(cells: DataFrame, rows: int, cols: int, h: int) -> DataFrame:
-    """`cells` and their mirror images up to h cells beyond the edges of a grid of rows x cols."""
+def _mirrored(cells: DataFrame, rows, cols, h: int) -> DataFrame:
+    """`cells` and their mirror images up to h cells beyond the edges of a grid of rows x cols (numbers or columns)."""
 
-    def images(name: str, n: int):
+    def images(name: str, n):
         at = F.col(name)
         own = [at, F.when(at < h, -1 - at), F.when(at >= n - h, 2 * n - 1 - at)]
         return F.explode(F.filter(F.array(*own), lambda x: x.isNotNull()))
@@ -104,10 +104,14 @@ def _mirrored(cells: DataFrame, rows: int, cols: int, h: int) -> DataFrame:
     return cells.withColumn("_r", images("row", rows)).withColumn("_c", images("col", cols)).withColumn("row", F.col("_r")).withColumn("col", F.col("_c")).drop("_r", "_c")
 
 
-def zscore_filter(cells: DataFrame, rows: int, cols: int, threshold: float = 3.0, kernel: int = 5) -> DataFrame:
-    """z, null where |z - local mean| / local deviation exceeds the threshold; the box window mirrors at the edges."""
+def zscore_filter(cells: DataFrame, rows: int | None = None, cols: int | None = None, threshold: float = 3.0, kernel: int = 5) -> DataFrame:
+    """z, null where |z - local mean| / local deviation exceeds the threshold; the box window mirrors at the edges. Without `rows` or
+    `cols` the grid ends at the last row and column that there are."""
     h = kernel // 2
-    grid = _mirrored(_filled(cells), rows, cols, h).withColumn("_q", F.col("_z") * F.col("_z"))
+    ends = cells.agg((F.max("row") + 1).alias("_nr"), (F.max("col") + 1).alias("_nc"))  # one row
+    grid = _filled(cells).crossJoin(F.broadcast(ends)) if rows is None or cols is None else _filled(cells)
+    rows, cols = F.lit(rows) if rows is not None else F.col("_nr"), F.lit(cols) if cols is not None else F.col("_nc")
+    grid = _mirrored(grid, rows, cols, h).withColumn("_q", F.col("_z") * F.col("_z"))
     for line, order in (("row", "col"), ("col", "row")):
         w = Window.partitionBy(line).orderBy(order).rangeBetween(-h, h)
         grid = grid.withColumn("_m", F.avg("_z").over(w) if line == "row" else F.avg("_m").over(w)).withColumn(
@@ -121,7 +125,9 @@ def zscore_filter(cells: DataFrame, rows: int, cols: int, threshold: float = 3.0
 
 def flats_filter(cells: DataFrame, size: int | None = None) -> DataFrame:
     """z, null where more than `size` cells share its value; without a size the upper fence of frequencies (99th percentile
-    and 1.5 ranges). Void cells stay void. Only values above the size are joined back: at most cells / size of them."""
+    and 1.5 ranges). Void cells stay void. Only values above the size are joined back: at most cells / size of them.
+
+    The percentiles meet in one task as counts of distinct frequencies, of which n cells have sqrt(2 n) at most."""
     counts = cells.filter("z is not null").groupBy("z").agg(F.count("*").alias("_n"))
     if size is None:
         q = counts.agg(F.percentile("_n", F.lit(0.01)).alias("lo"), F.percentile("_n", F.lit(0.99)).alias("hi"))
