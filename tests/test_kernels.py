@@ -143,3 +143,14 @@ def test_z_order(spark):
     got = [r[0] for r in rows.select(manifest.z_order(F.col("x"), F.col("y"), 4)).collect()]
     plain = lambda x, y: sum(((min(15, int(x * 16)) >> i) & 1) << (2 * i) | ((min(15, int(y * 16)) >> i) & 1) << (2 * i + 1) for i in range(4))
     assert got == [plain(*p) for p in ((0, 0), (1, 1), (0.3, 0.8), (0.5, 0))]
+
+
+def test_sides_of_a_grid_are_not_broadcast(spark):
+    """A written grid of few bytes may have any number of cells."""
+    z = np.where(np.random.default_rng(9).random((12, 14)) < 0.2, np.nan, 1.0)
+    wall = [[(3.3, 20.0), (9.3, 20.0), (9.3, -20.0), (3.3, -20.0)]]
+    out = rasters.by_side(table(spark, z), GridSpec(Region(0, 14, 0, 12), 1.0, 1.0), [wall], lambda c: rasters.fill_idw(c, 2))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join LeftSemi" in line or ("Join Inner" in line and "_br" in line)]
+    assert len(joins) == 4 and all("strategy=merge" in line for line in joins)
+    assert out.count() == z.size
