@@ -220,6 +220,22 @@ def test_overlay_of_random_polygons_by_sample_points(spark):
         assert rings.nest(linked).filter("shell IS NULL").count() == 0
 
 
+def test_what_one_polygon_holds_whole_is_not_cut(spark, monkeypatch):
+    """Many polygons over one another inside a large one: only the border's edges are paired and tested."""
+    rng = np.random.default_rng(5)
+    turned = [[[(5 + r * math.cos(t + k * 2 * math.pi / 3), 5 + r * math.sin(t + k * 2 * math.pi / 3)) for k in range(3)]] for t, r in zip(rng.uniform(0, 2, 40), rng.uniform(1, 3, 40), strict=True)]
+    sizes, plain = {}, overlay.stash
+
+    def counted(df, label):
+        out = plain(df, label)
+        sizes[label] = out.count()
+        return out
+
+    monkeypatch.setattr(overlay, "stash", counted)
+    border = overlay.overlay(polygon_edges(spark, [box(0, 0, 10, 10), *turned]), polygon_edges(spark, [box(-1, 4, 3, 6)]))
+    assert overlay.area(border).first()["area"] == pytest.approx(102) and sizes["pieces"] < 20
+
+
 def test_tall_edges_do_not_multiply(spark):
     """A fence of edges as tall as the region: as many spans as twice the edges at most, and right counts."""
     n = 200
