@@ -3,6 +3,7 @@
 import json
 import struct
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -211,3 +212,17 @@ def test_geojson_fields(spark, tmp_path):
     f.write_text("\n".join(json.dumps({"geometry": g, "properties": p}) for g, p in rows))
     got = sorted(tuple(r) for r in readers.read_points(spark, str(f), "charts_000", weight_field="q").select("x", "y", "z", "w").collect())
     assert got == [(1.0, 2.0, -4.0, 3.0), (5.0, 6.0, -1.0, 1.0)]
+
+
+def test_coplanar_neighbours_of_crowded_places(spark, monkeypatch):
+    """Points at one place are compared once, and crowded buckets are dealt out: the same flags as by brute force."""
+    monkeypatch.setattr(filters, "_CROWD", 3)
+    rows = [((i * 7) % 11 / 4, (i * 5) % 13 / 4, float((i * 37) % 17)) for i in range(120)] + [(1.0, 1.0, float(i)) for i in range(10)] + [(-50.0, -50.0, 1.0)]
+
+    def flagged(x, y, z):
+        near = [p for p in rows if (p[0] - x) ** 2 + (p[1] - y) ** 2 <= 1]
+        a = np.array([(1, p[0] - x, p[1] - y) for p in near])
+        return len(near) < 4 or (np.linalg.matrix_rank(a) == 3 and abs(z - np.linalg.lstsq(a, np.array([p[2] for p in near]), rcond=None)[0][0]) > 3.01)
+
+    want = {i: 7 if flagged(*p) else 0 for i, p in enumerate(rows)}
+    assert classes(filters.coplanarz(points(spark, *rows), 1.0, 3.01)) == want and 0 < sum(v == 7 for v in want.values()) < len(rows)
