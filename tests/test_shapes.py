@@ -80,6 +80,16 @@ def test_a_great_hole_needs_cells_from_afar(spark):
     assert got == pytest.approx(whole(z)) and got[20, 20] == 100
 
 
+def test_a_lattice_needs_no_cells_from_afar(spark, monkeypatch):
+    z = np.full((37, 22), np.nan)
+    z[::4, ::4] = np.random.default_rng(8).random(z[::4, ::4].shape)
+    handed, unseen = [], triangles._unseen
+    monkeypatch.setattr(triangles, "_unseen", lambda *a: handed.append(unseen(*a)) or handed[-1])
+    got = array(triangles.interp_triangles(table(spark, z), tile=8, halo=3), z.shape)
+    assert got == pytest.approx(whole(z), nan_ok=True)
+    assert sum(h.count() for h in handed) == 0 and len(handed) <= 1
+
+
 def test_planes_come_back_by_either_method(spark):
     z = np.fromfunction(lambda r, c: 2 * r - 3 * c + 1.0, (12, 13))
     holes = np.where(np.random.default_rng(4).random(z.shape) < 0.6, np.nan, z)
