@@ -90,6 +90,20 @@ def test_a_lattice_needs_no_cells_from_afar(spark, monkeypatch):
     assert sum(h.count() for h in handed) == 0 and len(handed) <= 1
 
 
+def test_triangles_of_single_voids_are_found_nearby(monkeypatch):
+    rows, cols = np.mgrid[:40, :40]
+    data = (rows * 7 + cols) % 13 != 0
+    points, voids = np.argwhere(data)[:, ::-1], np.argwhere(~data)[:, ::-1]
+    place = {tuple(p): i for i, p in enumerate(points.tolist())}
+    compared, lowest = [], triangles._lowest
+    monkeypatch.setattr(triangles, "_lowest", lambda p, t: compared.append(len(t)) or lowest(p, t))
+    own = [place[c] for c in triangles.hull_of([tuple(map(int, p)) for p in points])]
+    found = triangles.enclosing(points, voids, np.array(own))
+    assert (found[:, 0] >= 0).sum() > 110 and sum(compared) < 4 * len(voids)  # from the hull on, each void takes ten and more
+    inside = found[:, 0] >= 0
+    assert (lowest(points, found[inside]) < 0).all() and (triangles.barycentric(points[found[inside]], voids[inside]) > -1e-9).all()
+
+
 def test_planes_come_back_by_either_method(spark):
     z = np.fromfunction(lambda r, c: 2 * r - 3 * c + 1.0, (12, 13))
     holes = np.where(np.random.default_rng(4).random(z.shape) < 0.6, np.nan, z)
