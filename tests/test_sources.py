@@ -7,11 +7,14 @@ import numpy as np
 import pytest
 
 from test_parts import las, variable
+from tidegrid import catalog_io
 from tidegrid.functions.grid import GridSpec, Region
 from tidegrid.sources import readers
 from tidegrid.sources.las import LasRecords
 from tidegrid.streaming import incremental
 
+SMALL = "/root/testdata/sf0.001"
+
 
 def test_offsets_come_before_scales(spark, tmp_path):
     (tmp_path / "a.xyz").write_text("1 2 3\n")
@@ -108,3 +111,14 @@ def test_streams_of_one_name_into_one_folder(spark, tmp_path):
     stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in0")
     incremental.ingest_stream(stream, grid, f"{tmp_path}/sums", f"{tmp_path}/progress0").awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/sums/batch=*").count() == 3
+
+
+def test_lists_of_soundings_are_as_many_as_their_rows_need(spark, monkeypatch, tmp_path):
+    whole = catalog_io.survey_beams(spark, SMALL)
+    monkeypatch.setattr(catalog_io, "_LIST", 100)
+    monkeypatch.setattr(catalog_io, "_place", lambda _, name: f"file://{tmp_path}/{name}")
+    dealt = catalog_io.survey_beams(spark, SMALL)
+    rows = [spark.read.text(str(p)).count() for p in tmp_path.glob("beams/lists/*/*.txt")]
+    assert len(rows) > 16 and max(rows) < 1000 and sum(rows) == spark.read.parquet(f"{SMALL}/lineitem.parquet").count()
+    assert sorted(dealt.collect()) == sorted(whole.collect()) and dealt.count() > 100
+    assert "SortMergeJoin" not in dealt._jdf.queryExecution().executedPlan().toString()

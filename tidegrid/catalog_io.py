@@ -127,13 +127,19 @@ def gridded_weights(spark: SparkSession, sf: str) -> DataFrame:
     return points(spark, sf).select("seq", F.round(surveys.gridded_weight(F.col("w") * 2 - 2 + F.col("u"), 0.75), 6).alias("weight"))
 
 
+#: Years of the lists of soundings, and soundings that such a list holds about.
+_YEARS, _LIST = 8, 250_000
+
+
 def survey_beams(spark: SparkSession, sf: str) -> DataFrame:
     """Soundings of the lists whose metadata name a late enough year, within a region, with weights by age."""
     place = _place(spark, "beams")
     b = beams(spark, sf).withColumn("x", (F.col("l_orderkey") % 997).cast("double")).withColumn("y", F.col("l_linenumber").cast("double"))
     b = b.withColumn("year", (F.col("l_orderkey") % 8 * 5 + 1985).cast("int"))
     line = F.concat_ws("\t", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).cast("string") if c in b.columns else F.lit("0.0") for c in surveys.BEAM_COLUMNS])
-    b.select(line.alias("value"), "year").repartition("year").write.partitionBy("year").text(f"{place}/lists")
+    lists = 1 + b.count() // (_YEARS * _LIST)  # of each year
+    dealt = b.select(line.alias("value"), "year", F.pmod(F.xxhash64("l_orderkey", "l_linenumber"), F.lit(lists)).alias("list")).repartition(_YEARS * lists, "year", "list")
+    dealt.select("value", "year").write.partitionBy("year").text(f"{place}/lists")
     files = spark.read.text(f"{place}/lists").select(F.input_file_name().alias("path")).distinct()
     lines = F.concat(F.lit("MBIO Data Format ID:  58\nTime:  06 11 "), F.regexp_extract("path", r"year=(\d+)", 1), F.lit(" 10:00\nNumber of Good Beams:  900  90.50%\n"))
     files.select("path", lines.alias("text")).mapInArrow(_beside, "n int").count()
