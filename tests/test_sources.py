@@ -122,3 +122,22 @@ def test_lists_of_soundings_are_as_many_as_their_rows_need(spark, monkeypatch, t
     assert len(rows) > 16 and max(rows) < 1000 and sum(rows) == spark.read.parquet(f"{SMALL}/lineitem.parquet").count()
     assert sorted(dealt.collect()) == sorted(whole.collect()) and dealt.count() > 100
     assert "SortMergeJoin" not in dealt._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lines_after_a_heading_stay_where_they_are_read(spark, monkeypatch, tmp_path):
+    (tmp_path / "in").mkdir()
+    for i in range(3):
+        (tmp_path / f"in/{i}.xyz").write_text("9;9;9\n8;8;8\n\n" + "".join(f"{i};{k};1\n" for k in range(400)))
+    (tmp_path / "in/short.xyz").write_text("9;9;9\n")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 1000)  # several blocks a file
+    try:
+        rows = readers.read_xyz(spark, f"{tmp_path}/in", skiprows=3, delimiter=";")
+        assert "SortMergeJoin" not in rows._jdf.queryExecution().executedPlan().toString()
+        assert sorted((r["x"], r["y"]) for r in rows.collect()) == [(i, k) for i in range(3) for k in range(400)]
+        monkeypatch.setattr(catalog_io, "_place", lambda _, name: f"file://{tmp_path}/{name}")
+        assert catalog_io.xyz_scaled(spark, SMALL).count() == spark.read.parquet(f"{SMALL}/orders.parquet").count()
+        assert len(list(tmp_path.glob("scaled.xyz/*.txt"))) > 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")

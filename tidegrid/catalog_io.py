@@ -39,15 +39,23 @@ def xyz_profile(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def xyz_scaled(spark: SparkSession, sf: str) -> DataFrame:
-    """Lines after three rows of heading, moved and scaled."""
+    """Lines after three rows of heading in each file, moved and scaled."""
     place = _place(spark, "scaled.xyz")
     lines = points(spark, sf).select(F.concat_ws(";", F.round("x", 6), F.round("y", 6), F.round("z", 6)).alias("value"))
-    heading = spark.createDataFrame([("9;9;9",), ("8;8;8",), ("7;7;7",)], "value string")
-    heading.unionByName(lines).coalesce(1).write.text(place)
+    lines.mapInArrow(_headed, "value string").write.text(place)
     rows = readers.read_points(spark, place, "xyz", skiprows=3, delimiter=";", x_offset=2.0, x_scale=10.0, y_offset=-1.0, y_scale=2.0, z_scale=-2.0)
     return _rounded(rows.select("x", "y", "z", "w", "u"))
 
 
+def _headed(batches):
+    """Three rows of heading before the lines of a task, which are those of a file."""
+    import pyarrow as pa
+
+    yield pa.RecordBatch.from_pydict({"value": pa.array(["9;9;9", "8;8;8", "7;7;7"])})
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.column(0)], names=["value"])
+
+
 def ogr_layers(spark: SparkSession, sf: str) -> DataFrame:
     """Features of several layers, of which the first known one is read, with heights in a property of a known name and nested collections."""
     place = _place(spark, "layers.geojsonl")
