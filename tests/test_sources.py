@@ -6,9 +6,12 @@ import struct
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from test_parts import las, variable
 from tidegrid import catalog_io
 from tidegrid.functions.grid import GridSpec, Region
+from tidegrid.functions.shared import stash
 from tidegrid.sources import readers
 from tidegrid.sources.las import LasRecords
 from tidegrid.streaming import incremental
@@ -141,3 +144,15 @@ def test_lines_after_a_heading_stay_where_they_are_read(spark, monkeypatch, tmp_
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    def files():
+        held = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+        return {held.apply(i).getName() for i in range(held.size()) if held.apply(i).getName().startswith("shuffle_")}
+
+    before, setting = files(), spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    rows = spark.range(3000).groupBy((F.col("id") % 1000).alias("g")).count()
+    written = stash(rows, "groups")
+    assert files() <= before and written.count() == 1000
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == setting
