@@ -69,6 +69,41 @@ def test_a_thin_plate_keeps_planes_and_nothing_comes_of_nothing(spark):
     assert np.isnan(array(splines.interp_spline(table(spark, np.full((4, 5), np.nan))), (4, 5))).all()
 
 
+def test_a_round_of_a_spline_writes_a_row_for_a_line_of_a_tile(spark, monkeypatch):
+    sizes = []
+
+    def stash(df, label, own=splines.stash):
+        sizes.append((df := own(df, label)).count())
+        return df
+
+    monkeypatch.setattr(splines, "stash", stash)
+    z = np.full((40, 20), np.nan)
+    z[::4, ::4] = np.random.default_rng(2).random((10, 5))
+    got = array(splines.interp_spline(table(spark, z), tile=8, halo=4), z.shape)
+    assert not np.isnan(got).any() and (got[::4, ::4] == z[::4, ::4]).all()
+    # by level 5 x 3, 10 x 5, 20 x 10 and 40 x 20 cells, in tiles of 8
+    assert sizes[0] == 5 and set(sizes) == {5, 10, 20 * 2, 40 * 3}
+
+
+def test_a_tile_is_sent_what_it_sees_of_segments(spark):
+    rows, cols, tile, reach = 19, 23, 4, 6
+    for k in (1, 2):
+        n, m = -(-rows // k), -(-cols // k)
+        z = np.arange(n * m, dtype=float).reshape(n, m)
+        own = [(r, t, z[r, t * tile : (t + 1) * tile].tolist(), [False] * len(z[r, t * tile : (t + 1) * tile])) for r in range(n) for t in range(-(-m // tile))]
+        sent = splines._dealt(spark.createDataFrame(own, "row int, tj int, z array<double>, fixed array<boolean>"), tile, reach, rows, cols, k)
+        got = sorted((r["ti"], r["tj"], v) for r in sent.collect() for v in r["z"])
+        sees = lambda t, x: t * tile - reach <= k * x < (t + 1) * tile + reach  # noqa: B023, E731
+        assert got == sorted((i, j, z[r, c]) for i in range(5) for j in range(6) for r in range(n) for c in range(m) if sees(i, r) and sees(j, c))
+
+
+def test_lines_weighted_by_cubic_convolution_equal_align(spark):
+    z = np.random.default_rng(5).random((9, 11))
+    unit, wide = (GridSpec(Region(0.0, 1.0, -1.0, 0.0), float(i), float(i)) for i in (1, 2))
+    want = array(rasters.align(table(spark, np.zeros((17, 22))), unit, table(spark, z), wide, "cubic"), (17, 22))
+    assert splines._cubic((0, 17), (0, 9)) @ z @ splines._cubic((0, 22), (0, 11)).T == pytest.approx(want, abs=1e-12)
+
+
 def test_cubic_convolution_of_quadratics_and_beside_voids(spark):
     f = lambda x, y: x * x - 2 * x * y + 3 * y
     own, fine = GridSpec(Region(0, 20, 0, 20), 2.0, 2.0), GridSpec(Region(0, 20, 0, 20), 0.5, 0.5)
