@@ -120,6 +120,35 @@ def test_cubic_convolution_of_quadratics_and_beside_voids(spark):
     assert tuple(w) == pytest.approx((1, 0.5625, 0, -0.0625, 0, 0.5625))
 
 
+def test_cubic_sampling_makes_one_row_of_a_point(spark):
+    rng = np.random.default_rng(11)
+    z = np.where(rng.random((9, 12)) < 0.6, rng.normal(0, 10, (9, 12)), np.nan)
+    own = GridSpec(Region(0, 24, 0, 18), 2.0, 2.0)
+    at = [(i, *p) for i, p in enumerate(rng.uniform(-5, 28, (300, 2)).tolist())] + [(300, 3.0, 5.0), (301, 1e12, 1.0), (302, None, 1.0), (303, 12.0, 2.0)]
+    found = filters.sample_cubic(spark.createDataFrame(at, "seq long, x double, y double").withColumn("twice", F.col("seq") * 2), table(spark, z), own, "z", "ref", ["seq", "twice"])
+    # what is exploded is not a point
+    depth, inside = None, []
+    for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines():
+        here = len(line) - len(line.lstrip(" :+-"))
+        depth = None if depth is not None and here <= depth else depth
+        inside += [line] if depth is not None else []
+        depth = here if depth is None and "Generate" in line else depth
+    assert inside and not any("seq#" in line for line in inside)
+
+    def kernel(t):
+        t = abs(t)
+        return 1.5 * t**3 - 2.5 * t**2 + 1 if t <= 1 else -0.5 * t**3 + 2.5 * t**2 - 4 * t + 2 if t < 2 else 0.0
+
+    want = {}
+    for seq, x, y in at:
+        met = [] if x is None else [(kernel(x / 2 - 0.5 - c) * kernel((18 - y) / 2 - 0.5 - r), z[r, c]) for r in range(9) for c in range(12) if not np.isnan(z[r, c])]
+        whole = sum(w for w, _ in met)
+        want[seq] = sum(w * v for w, v in met) / whole if whole >= 0.25 else None
+    got = {r["seq"]: r["ref"] for r in found.collect() if r["twice"] == 2 * r["seq"]}
+    assert got.keys() == want.keys() and {k for k, v in got.items() if v is None} == {k for k, v in want.items() if v is None}
+    assert all(got[k] == pytest.approx(v, abs=1e-9) for k, v in want.items() if v is not None) and sum(v is not None for v in want.values()) > 80
+
+
 def test_levels_go_on_by_themselves():
     assert surfaces.cudem_levels(2, (1.0, 0.5), (1, 3)) == {"factors": (9, 3, 1), "weights": (0.25, 0.5, 1.0)}
     assert surfaces.cudem_levels(1) == {"factors": (3, 1), "weights": (0.5, 1.0)} and surfaces.cudem_levels(0)["factors"] == (1,)
