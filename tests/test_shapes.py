@@ -260,6 +260,56 @@ def test_what_one_polygon_holds_whole_is_not_cut(spark, monkeypatch):
     assert overlay.area(border).first()["area"] == pytest.approx(102) and sizes["pieces"] < 20
 
 
+def test_parts_closer_than_a_millionth_are_told_apart(spark):
+    """A slit narrower than any step aside, and one as wide as the places that corners are rounded to."""
+    a, b = [box(0, 0, 1, 1), box(3, 0, 4, 1)], [box(1 + 4e-7, 0, 2, 1), box(4 + 2e-9, 0, 5, 1)]
+    got = areas(spark, a, b)
+    assert got["union"] == pytest.approx(4 - 4e-7 - 2e-9, abs=1e-12) and got["intersection"] == 0
+    assert got["difference"] == pytest.approx(2, abs=1e-12) and got["symmetric"] == pytest.approx(got["union"], abs=1e-12)
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_overlay_of_polygons_that_share_corners_and_parts_of_sides(spark, seed):
+    """Triangles on few lattice points: most meet at corners, run along one another or touch with a corner."""
+    rng = np.random.default_rng(seed)
+
+    def some(n):
+        corners = [rng.choice(36, 3, replace=False) for _ in range(n)]
+        return [[[(float(c // 6), float(c % 6)) for c in three]] for three in corners]
+
+    ea, eb = polygon_edges(spark, some(14)).cache(), polygon_edges(spark, some(10)).cache()
+    pts = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(rng.uniform(-0.5, 5.5, (700, 2)))], "seq long, x double, y double").cache()
+    inside = lambda e: {r["seq"] for r in inside_polygons(pts, e).collect()}
+    ia, ib = inside(ea), inside(eb)
+    borders = overlay.overlays(ea, eb, list(overlay._RULES)).cache()
+    for rule, want in (("union", ia | ib), ("intersection", ia & ib), ("difference", ia - ib), ("symmetric", ia ^ ib), ("a", ia), ("b", ib)):
+        border = borders.filter(F.col("rule") == rule)
+        assert inside(border.withColumn("poly", F.lit(0))) == want
+        ends = border.select(F.col("x1").alias("x"), F.col("y1").alias("y"), F.lit(1).alias("n")).union(border.select("x2", "y2", F.lit(-1)))
+        assert ends.groupBy("x", "y").agg(F.sum("n").alias("n")).filter("n <> 0").count() == 0
+    size = overlay.areas(borders).first()
+    assert size["union"] == pytest.approx(size["a"] + size["b"] - size["intersection"]) and size["symmetric"] == pytest.approx(size["union"] - size["intersection"])
+    assert size["difference"] == pytest.approx(size["a"] - size["intersection"])
+
+
+def test_edges_of_crowded_polygons_meet_without_a_join(spark, monkeypatch):
+    """So nothing that grows with the input is broadcast; and many blocks give what one block gives."""
+    rng = np.random.default_rng(7)
+    turned = lambda n, r: [[[(x + r * math.cos(t + k * 2 * math.pi / 5), y + r * math.sin(t + k * 2 * math.pi / 5)) for k in range(5)]] for x, y, t in rng.uniform(0, 4, (n, 3))]
+    a, b = polygon_edges(spark, turned(60, 0.3)).cache(), polygon_edges(spark, turned(30, 0.6)).cache()
+    whole = overlay.area(overlay.overlay(a, b, "symmetric")).first()["area"]
+
+    def join(*_, **__):
+        raise AssertionError("a join")
+
+    monkeypatch.setattr(overlay, "_BLOCK", 40)
+    with monkeypatch.context() as m:
+        m.setattr(type(a), "join", join)
+        border = overlay.overlay(a, b, "symmetric")
+    assert overlay.area(border).first()["area"] == pytest.approx(whole, abs=1e-9)
+    assert rings.link(border).count() == border.count()
+
+
 def test_tall_edges_do_not_multiply(spark):
     """A fence of edges as tall as the region: as many spans as twice the edges at most, and right counts."""
     n = 200
