@@ -366,3 +366,11 @@ def test_land_agrees_with_patches_of_cells(spark):
 def test_a_long_open_line_takes_few_rounds(spark):
     line = [(i / 1000, 5 + (i % 2) / 10) for i in range(-1, 2000)]
     assert land(spark, line) == []
+
+
+def test_a_region_without_a_coast_is_told_by_lines_outside(spark):
+    around = [(-5, -5), (15, -5), (15, 15), (-5, 15), (-5, -5)]
+    assert land(spark, around) == [(100, 0)] and land(spark, around[::-1]) == []
+    # an island to the east, and one around the region whose lake is the region
+    island = [(12, 2), (14, 2), (14, 8), (12, 8), (12, 2)]
+    assert land(spark, island) == [] and land(spark, around, [(-1, -1), (-1, 11), (11, 11), (11, -1), (-1, -1)]) == []
