@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidegrid import catalog_shapes
 from tidegrid.functions.grid import GridSpec, Region
 from tidegrid.operators import coastlines, overlay, rings, surfaces, triangles
 from tidegrid.operators.filters import crossings, inside_polygons, polygon_edges
@@ -310,6 +311,14 @@ def test_edges_of_crowded_polygons_meet_without_a_join(spark, monkeypatch):
     assert rings.link(border).count() == border.count()
 
 
+def test_areas_tell_whether_the_rings_close(spark, monkeypatch):
+    sf = "/root/testdata/sf0.001"
+    assert catalog_shapes.overlay_areas(spark, sf).first().asDict() == {"sums": True, "leaves": True, "some": True, "closed": True}
+    plain = overlay.overlays
+    monkeypatch.setattr(overlay, "overlays", lambda *a: (b := plain(*a)).filter(F.col("id") != b.filter("rule = 'union'").agg(F.min("id")).first()[0]))
+    assert not catalog_shapes.overlay_areas(spark, sf).first()["closed"]
+
+
 def test_tall_edges_do_not_multiply(spark):
     """A fence of edges as tall as the region: as many spans as twice the edges at most, and right counts."""
     n = 200
