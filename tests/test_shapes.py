@@ -319,6 +319,12 @@ def test_areas_tell_whether_the_rings_close(spark, monkeypatch):
     assert not catalog_shapes.overlay_areas(spark, sf).first()["closed"]
 
 
+def test_areas_add_up_where_the_second_set_covers_the_first(spark, tmp_path):
+    for name, key in (("customer", "c_custkey"), ("supplier", "s_suppkey")):
+        spark.range(12).withColumnRenamed("id", key).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert catalog_shapes.overlay_areas(spark, str(tmp_path)).first().asDict() == {"sums": True, "leaves": True, "some": True, "closed": True}
+
+
 def test_tall_edges_do_not_multiply(spark):
     """A fence of edges as tall as the region: as many spans as twice the edges at most, and right counts."""
     n = 200
